@@ -4,12 +4,72 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from auditlark.llm import decontaminate, personal_data
+from auditlark.llm.chat_format import rendered, repair_chats
+from auditlark.llm.exact_dedup import exact_dedup
+from auditlark.llm.mixing import mix
 from auditlark.llm.ngram_join import ngram_join
+from auditlark.llm.quality import fit_quality, score_quality
+from auditlark.llm.token_counts import token_counts
+from auditlark.llm.token_files import read_token_files, write_token_files
+from auditlark.llm.toxicity import fit_toxicity, score_toxicity
+
+
+def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{table}.parquet")
+
+
+def op1_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rendered(repair_chats(_read(spark, sf_dir, "conversations")))
 
 
 def op2_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ngram_join(spark.read.parquet(f"{sf_dir}/documents.parquet"), size=5, threshold=0.75)
+    return ngram_join(_read(spark, sf_dir, "documents"), size=5, threshold=0.75)
+
+
+def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_dedup(_read(spark, sf_dir, "documents"))
+
+
+def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts(_read(spark, sf_dir, "documents"), file="word_bpe_49k.json", limit=2048)
+
+
+def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return read_token_files(write_token_files(_read(spark, sf_dir, "documents"), file="byte_bpe_50k.json", end_id=0))
+
+
+def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contract_columns(decontaminate.benchmark_matches(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"), window=13))
+
+
+def op7_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return personal_data.contract_columns(personal_data.find_personal_data(_read(spark, sf_dir, "documents")))
+
+
+def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _read(spark, sf_dir, "documents")
+    return score_quality(docs, fit_quality(docs, _read(spark, sf_dir, "labels")))
+
+
+def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix(_read(spark, sf_dir, "documents")).drop("key")
+
+
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _read(spark, sf_dir, "documents")
+    return score_toxicity(docs, fit_toxicity(docs, _read(spark, sf_dir, "labels")))
+
 
+QUERIES = {f.__name__: f for f in (
+    op1_chat_format, op2_ngram_jaccard_join, op3_exact_dedup, op4_token_counts, op5_token_files,
+    op6_decontamination, op7_personal_data, op8_quality, op9_mixing, op10_toxicity,
+)}
 
-QUERIES = {"op2_ngram_jaccard_join": op2_ngram_jaccard_join}
-ORACLE: dict[str, str] = {}
+ORACLE = {
+    # equal after each run of blanks became one; RE2 classes are ASCII as the contract's
+    "op3_exact_dedup": r"""
+        WITH d AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') AS t FROM documents)
+        SELECT doc_id, min(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size, doc_id = min(doc_id) OVER w AS kept, sha256(t) AS text_sha256
+        FROM d WINDOW w AS (PARTITION BY t)""",
+}

@@ -3,16 +3,53 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from auditlark.llm.common import written
+from auditlark.llm.decontaminate import benchmark_matches, judged
+from auditlark.llm.mixing import mix, mixed_documents
+from auditlark.llm.ngram_join import ngram_join
+from auditlark.llm.token_files import read_token_files, write_token_files
+from auditlark.llm.toxicity import fit_toxicity, score_toxicity
 
-STAGES: list = []
+
+def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier predicts to be toxic go; it learns from the labels of the documents given."""
+    model = fit_toxicity(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    rejected = score_toxicity(docs, model).where("predicted = 1").select(F.col("doc_id").alias("__id")).distinct()
+    return docs.join(rejected, F.col("doc_id").eqNullSafe(F.col("__id")), "left_anti")
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of linked ones stays: the one with the smallest doc_id."""
+    dropped = ngram_join(docs).where("component_id <> doc_id").select(F.col("doc_id").alias("__id")).distinct()
+    return docs.join(dropped, F.col("doc_id") == F.col("__id"), "left_anti")
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents of which benchmark items cover a twentieth or more of the words go."""
+    found = judged(benchmark_matches(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")))
+    dropped = found.where("contaminated").select(F.col("doc_id").alias("__id")).distinct()
+    return docs.join(dropped, F.col("doc_id").eqNullSafe(F.col("__id")), "left_anti")
+
+
+def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each document as often as the mix of sources takes it."""
+    return mixed_documents(docs, mix(docs))
+
+
+def token_output(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token files of what is left, read back."""
+    return read_token_files(write_token_files(docs))
+
+
+STAGES = [("toxicity", toxicity), ("near_duplicates", near_duplicates), ("decontamination", decontamination), ("mixing", mixing), ("token_output", token_output)]
 #: Classifiers and sampling have no SQL form; the pipeline is tested against brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for name, stage in STAGES:
+    for name, stage in STAGES[:-1]:
         docs = written(stage(spark, docs, sf_dir), f"pipeline-{name}")
-    return docs
+    return STAGES[-1][1](spark, docs, sf_dir)
