@@ -8,51 +8,108 @@ other white space, or that may hold a special token's string, is encoded whole.
 
 from __future__ import annotations
 
+import gc
 import os
+from array import array
+from collections.abc import Iterator
+from contextlib import contextmanager
+from itertools import repeat
 
 import numpy as np
 import public_tokenizers
+import regex
 from tokenizers import Tokenizer
 
 from auditlark.llm.common import worker_state
 
 #: Pieces that a worker remembers at most; beyond it the memory starts anew.
-MOST_PIECES = 400_000
+MOST_PIECES = 600_000
+
+
+# How each file parts a text before merges, with the blank a word keeps or without.
+KEEPING = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
+DROPPING = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+")
+
+
+# Byte-level files write printable bytes as themselves and the others, in order, from U+0100 on.
+PRINTABLE = {*range(33, 127), *range(161, 173), *range(174, 256)}
+BYTE_CHARACTERS = {b: chr(256 + k) for k, b in enumerate(b for b in range(256) if b not in PRINTABLE)}
+
+
+@contextmanager
+def _no_collection() -> Iterator[None]:
+    """Keeps the cycle collector from walking the many short-lived lists of a batch; they hold no cycles."""
+    was = gc.isenabled()
+    gc.disable()
+    try:
+        yield
+    finally:
+        if was:
+            gc.enable()
+
+
+def _plain(text: str) -> bool:
+    return (text.isascii() or max(text) < "\u0100") and "<|" not in text
 
 
 class Pieces(dict):
-    """piece -> number; ids of piece k are flat[starts[k]:starts[k] + sizes[k]]. -1: not a piece by itself."""
+    """piece -> number; ids of piece k are flat[starts[k]:starts[k] + sizes[k]]. -1: not a piece by itself.
+
+    A piece of Latin-1 characters is parted as the file does it, and its parts' ids are remembered too, so that a
+    word before a comma costs nothing if the word has been met. Any other piece is encoded as it is.
+    """
 
-    def __init__(self, tokenizer: Tokenizer, leading: bool, any_piece: bool):
+    def __init__(self, tokenizer: Tokenizer, leading: bool, any_piece: bool, parts: dict[str, bytes]):
         super().__init__()
-        self.tokenizer, self.leading, self.any_piece = tokenizer, leading, any_piece
+        self.tokenizer, self.lead, self.any_piece, self.parts = tokenizer, " " if leading else "", any_piece, parts
         self.clear()
 
     def clear(self) -> None:
         super().clear()
+        self.parts.clear()
         self.starts, self.sizes = np.zeros(1024, np.int64), np.zeros(1024, np.int64)
         self.flat, self.used, self.count = np.zeros(8192, np.uint32), 0, 0
 
+    def _parted(self, piece: str) -> list[str]:
+        if not _plain(piece):
+            return [self.lead + piece]
+        if self.any_piece:
+            return DROPPING.findall(piece.lower())
+        return [self.lead + piece] if piece.isalpha() else KEEPING.findall(self.lead + piece)
+
     def learn(self, pieces: list[str]) -> None:
-        good = []
-        for p in pieces:
-            # where blanks are dropped every piece is by itself; else it must not touch other white space
-            if self.any_piece or (p and not p[0].isspace() and not p[-1].isspace() and "<|" not in p):
-                good.append(p)
-            else:
-                self[p] = -1
-        lead = " " if self.leading else ""
-        for p, e in zip(good, self.tokenizer.encode_batch_fast([lead + p for p in good], add_special_tokens=False), strict=True):
-            ids = e.ids
-            if self.count == len(self.starts):
-                self.starts, self.sizes = np.resize(self.starts, 2 * self.count), np.resize(self.sizes, 2 * self.count)
-            while self.used + len(ids) > len(self.flat):
-                self.flat = np.resize(self.flat, 2 * len(self.flat))
-            self.starts[self.count], self.sizes[self.count] = self.used, len(ids)
-            self.flat[self.used : self.used + len(ids)] = ids
-            self[p] = self.count
-            self.count += 1
-            self.used += len(ids)
+        # where blanks are dropped every piece is by itself; else it must not touch other white space
+        good = [p for p in pieces if self.any_piece or (p and not p[0].isspace() and not p[-1].isspace() and "<|" not in p)]
+        for p in pieces if len(good) < len(pieces) else ():
+            self[p] = -1
+        parted = [self._parted(p) for p in good]
+        if new := list({t for parts in parted for t in parts if t not in self.parts}):
+            whole = [t for t in new if not _plain(t)]
+            for t, e in zip(whole, self.tokenizer.encode_batch_fast(whole, add_special_tokens=False), strict=True):
+                self.parts[t] = array("I", e.ids).tobytes()
+            # a part is one unit of the file's parting: the library's merges take it directly, as byte characters
+            merge, blank = self.tokenizer.model.tokenize, BYTE_CHARACTERS[32]
+            for t in new:
+                if t not in self.parts:
+                    word = t[1:] if t[0] == " " else t
+                    if word.isalpha() and t.isascii():
+                        chars = t if word is t else blank + word
+                    else:
+                        chars = t.encode().decode("latin-1").translate(BYTE_CHARACTERS)
+                    self.parts[t] = array("I", [x.id for x in merge(chars)]).tobytes()
+        ids = [b"".join([self.parts[t] for t in parts]) for parts in parted]
+        sizes = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
+        first, n = self.count, len(ids)
+        while first + n > len(self.starts):
+            self.starts, self.sizes = np.resize(self.starts, 2 * len(self.starts)), np.resize(self.sizes, 2 * len(self.sizes))
+        total = int(sizes.sum())
+        while self.used + total > len(self.flat):
+            self.flat = np.resize(self.flat, 2 * len(self.flat))
+        self.flat[self.used : self.used + total] = np.frombuffer(b"".join(ids), np.uint32)
+        self.sizes[first : first + n] = sizes
+        self.starts[first : first + n] = self.used + np.cumsum(sizes) - sizes
+        self.update(zip(good, range(first, first + n), strict=True))
+        self.used, self.count = self.used + total, first + n
 
 
 class Encoder:
@@ -65,34 +122,38 @@ class Encoder:
         self.leading = len(self.tokenizer.encode("a b", add_special_tokens=False).ids) == len(self.tokenizer.encode("a", add_special_tokens=False).ids) + len(
             self.tokenizer.encode(" b", add_special_tokens=False).ids
         ) and self.tokenizer.encode(" b", add_special_tokens=False).ids != self.tokenizer.encode("b", add_special_tokens=False).ids
-        self.pieces = Pieces(self.tokenizer, self.leading, not self.leading)
-        self.first = Pieces(self.tokenizer, False, False) if self.leading else self.pieces
+        self.pieces = Pieces(self.tokenizer, self.leading, not self.leading, {})
+        self.first = Pieces(self.tokenizer, False, False, {}) if self.leading else self.pieces
 
     def _split(self, text: str) -> list[str]:
         return (text if self.leading else text.replace("\n", " ").replace("\t", " ")).split(" ")
 
+    def _numbered(self, know: Pieces, lists: list[list[str]]) -> list[np.ndarray]:
+        found = [np.fromiter(map(know.get, r, repeat(-2)), np.int64, len(r)) for r in lists]
+        missing = [np.flatnonzero(n == -2) for n in found]
+        if unknown := list({r[i] for r, m in zip(lists, missing, strict=True) for i in m.tolist()}):
+            know.learn(unknown)
+            for r, n, m in zip(lists, found, missing, strict=True):
+                n[m] = [know[r[i]] for i in m.tolist()]
+        return found
+
     def _numbers(self, texts: list[str]) -> tuple[list[np.ndarray | None], list[int]]:
         """Piece numbers of each text, or None for texts to be encoded whole, and the numbers of first pieces."""
         if len(self.pieces) + len(self.first) > MOST_PIECES:
             self.pieces.clear()
             self.first.clear()
         split = [self._split(t) for t in texts]
-        know = self.pieces
-        heads = [s[0] if s and self.leading else None for s in split]
-        rests = [s[1:] if self.leading else s for s in split]
-        if unknown := list({p for r in rests for p in r if p not in know}):
-            know.learn(unknown)
-        if unknown := list({h for h in heads if h is not None and h not in self.first}):
-            self.first.learn(unknown)
-        numbers: list[np.ndarray | None] = []
-        for t, r, h in zip(texts, rests, heads, strict=True):
-            n = np.fromiter(map(know.__getitem__, r), np.int64, len(r))
-            whole = (n < 0).any() or (h is not None and len(t) > 0 and self.first[h] < 0)
-            numbers.append(None if whole else n)
-        return numbers, [-1 if h is None or not t else self.first[h] for h, t in zip(heads, texts, strict=True)]
+        if not self.leading:
+            return self._numbered(self.pieces, split), [-1] * len(texts)
+        rests = self._numbered(self.pieces, [s[1:] for s in split])
+        heads = [int(n[0]) for n in self._numbered(self.first, [s[:1] for s in split])]
+        # an empty text has no first piece; any piece that isn't one by itself calls for the whole text
+        whole = [bool(t) and (h < 0 or bool((n < 0).any())) for t, n, h in zip(texts, rests, heads, strict=True)]
+        return [None if w else n for w, n in zip(whole, rests, strict=True)], [h if t else -1 for t, h in zip(texts, heads, strict=True)]
 
     def counts(self, texts: list[str]) -> list[int]:
-        numbers, heads = self._numbers(texts)
+        with _no_collection():
+            numbers, heads = self._numbers(texts)
         out = []
         for t, n, h in zip(texts, numbers, heads, strict=True):
             if n is None:
@@ -102,7 +163,8 @@ class Encoder:
         return out
 
     def ids(self, texts: list[str]) -> list[np.ndarray]:
-        numbers, heads = self._numbers(texts)
+        with _no_collection():
+            numbers, heads = self._numbers(texts)
         know, out = self.pieces, []
         for t, n, h in zip(texts, numbers, heads, strict=True):
             if n is None:
