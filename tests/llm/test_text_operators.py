@@ -201,12 +201,12 @@ def test_base_personal_data(spark):
 
 
 def test_context_finds_unseen_identifiers(spark):
-    texts = [f"note {i} please call me at +1 (555) 010-{1000 + i} today" for i in range(8)] + ["please call me at +44-77 for it", "please call me at +999-1 (now)", "we met in 1999 there", "please write me at 2001 things"]
-    texts += ["please call me at +1-2345-678 later"]
-    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    got = {r.doc_id: r for r in personal_data.contract_columns(personal_data.find_personal_data(docs, sure=0.5)).collect()}
-    assert got[10].spans == "" and got[0].n_phone == 1
-    assert sum(r.n_added for r in got.values()) >= 0
+    """Nine hosts after the same words teach the pattern; the tenth, no address by its numbers, is found by it."""
+    texts = [f"note {i} the host at 10.0.{i}.{i + 7}, today" for i in range(9)] + ["then the host at 999.1.2.3, again", "we met the host at 1999 there", "then some thing at 999.1.2.3, again"]
+    docs = spark.createDataFrame(list(enumerate(texts)) + [(100, texts[9])], "doc_id long, text string")
+    got = {r.doc_id: r for r in personal_data.contract_columns(personal_data.find_personal_data(docs)).collect()}
+    assert got[9].spans == got[100].spans == "ip:17:26" and (got[9].n_ip, got[9].n_added) == (0, 1)
+    assert got[10].spans == "" and got[11].spans == "" and got[0].spans == f"ip:{texts[0].index('10.')}:{texts[0].index(',')}"
 
 
 def test_targets():
@@ -219,7 +219,6 @@ def test_targets():
 
 def test_mixing(docs, rows):
     got = mix(docs).collect()
-    assert sorted(map(tuple, got)) == sorted(map(tuple, mix(docs.repartition(5)).collect())) if False else True
     assert len(got) == len(rows)
     sizes = {}
     for r in rows:
@@ -281,12 +280,22 @@ def test_toxicity_held_out(labelled):
     assert len(got) == docs.count()
     out = [(i, r) for i, r in got.items() if i is not None and i < 1200 and r.held_out]
     assert all((zlib.crc32(str(i).encode()) % 5 == 0) == r.held_out for i, r in got.items() if i is not None)
-    assert sum(r.predicted == (i % 5 == 0) for i, r in out) / len(out) > 0.97
+    assert sum(r.predicted == (i % 5 == 0) for i, r in out) / len(out) > 0.9  # 640 short rows to learn from
     assert got[5000].score == got[5001].score < 0.5
     none = score_toxicity(docs, fit_toxicity(docs, labels.limit(0)))
     assert none.where("predicted = 1").count() == 0
 
 
+def test_accuracy_on_the_test_tables(spark):
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))
+    toxic = score_toxicity(docs, fit_toxicity(docs, labels)).where("held_out").join(labels, "doc_id")
+    r = toxic.agg(F.count("*").alias("n"), F.count_if(F.expr("predicted = toxic")).alias("right"), F.count_if(F.expr("predicted = 1 and toxic = 0")).alias("false_alarms")).first()
+    assert r.n > 500 and r.right / r.n > 0.97 and r.false_alarms / r.n < 0.01
+    good = score_quality(docs, fit_quality(docs, labels)).where("held_out").join(labels, "doc_id")
+    r = good.agg(F.count("*").alias("n"), F.count_if(F.expr("selected = (quality = 1)")).alias("right")).first()
+    assert r.right / r.n > 0.9
+
+
 def test_quality_held_out(labelled):
     docs, labels = labelled
     got = {r.doc_id: r for r in score_quality(docs, fit_quality(docs, labels)).collect()}
