@@ -9,9 +9,9 @@ and the parts are summed. It serves three times:
    hash, and only the rarest ``shared - ceil(threshold * size) + 1`` of each class (its prefix) propose pairs.
 3. A proposed pair's overlap is summed over the fragments of the frequency order, and compared exactly.
 
-Pairs are proposed as stars (each class with the smallest one of a prefix shingle) and, after the links found
-have been joined to components, once more between different components only. So a group of thousands of near
-copies costs as many pairs as members, and no link between different components is missed.
+Pairs are proposed as stars (the heaviest class of a prefix shingle with the others) for a few rounds, whose links
+join classes to components, and at last all remaining pairs between different components are. So a group of
+thousands of near copies costs about as many pairs as members, and no link between components is missed.
 """
 
 from __future__ import annotations
@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from auditlark.llm.common import documents_of, written
+from auditlark.llm.common import documents_of, dropped, written
 from auditlark.llm.components import connected_components
 from auditlark.llm.kernels import U, blank_bytes, set_digests, shingles_of, slices, words_of
 
@@ -149,7 +149,7 @@ def _at_least(of, threshold: Fraction):
 
 
 def ngram_join(
-    docs: DataFrame, size: int = 5, threshold: float = 0.75, fragments: int | None = None, doc_id: str = "doc_id", text: str = "text"
+    docs: DataFrame, size: int = 5, threshold: float = 0.75, fragments: int | None = None, star_rounds: int = 3, doc_id: str = "doc_id", text: str = "text"
 ) -> DataFrame:
     """Link documents whose shingle sets have a Jaccard similarity of at least threshold.
 
@@ -187,30 +187,45 @@ def ngram_join(
     common = postings.join(often, "h")
     order = "row_number() over (partition by digest order by df, h)"
     common = written(
-        common.select("*", F.expr("count(*) over (partition by digest)").cast("int").alias("m"), F.expr(order).alias("pos")).where(F.col("m") >= need),
+        common.select(
+            "*",
+            F.expr("count(*) over (partition by digest)").cast("int").alias("m"),
+            (F.expr("sum(df) over (partition by digest)") / F.col("n")).alias("weight"),
+            F.expr(order).alias("pos"),
+        ).where(F.col("m") >= need),
         "ngram-common",
     )
-    prefix = common.where(F.col("pos") <= F.col("m") - need + 1).select("h", "digest", "n")
-    sized = _at_least("greatest(a_n, b_n)", t) <= F.expr("least(a_n, b_n)")
-    # stars: each class with the smallest class that has the prefix shingle too
-    hubs = prefix.groupBy("h").agg(F.min(F.struct("digest", "n")).alias("hub"), F.count("*").alias("k")).where("k > 1")
-    stars = (
-        prefix.join(hubs, "h")
-        .select(F.col("hub.digest").alias("a"), F.col("digest").alias("b"), F.col("hub.n").alias("a_n"), F.col("n").alias("b_n"))
-        .where((F.col("a") < F.col("b")) & sized)
-        .distinct()
-    )
-    tested = written(_overlaps(written(stars, "ngram-stars"), common, t), "ngram-tested")
-    links = tested.where("linked").select("a", "b")
-    # what is left: classes of different components that share a prefix shingle
-    label = written(connected_components(links), "ngram-labels")
-    marked = prefix.join(label, prefix["digest"] == label["node"], "left").select("h", "digest", "n", F.coalesce("root", "digest").alias("root"))
-    mixed = marked.groupBy("h").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("h")
-    mixed = written(marked.join(mixed, "h"), "ngram-mixed")
-    a, b = (mixed.select("h", *(F.col(c).alias(f"{s}_{c}") for c in ("digest", "n", "root"))) for s in "ab")
+    dropped(spark, postings)
+    # a class of high weight shares most of its shingles with many others: the likely centre of their group
+    prefix = common.where(F.col("pos") <= F.col("m") - need + 1).select("h", "digest", "n", "m", "pos", "weight", F.col("digest").alias("root"))
+    tested, links, roots = None, None, None
+    for _ in range(star_rounds):
+        if roots is not None:
+            prefix = _rooted(prefix, roots)
+        pairs = _stars(prefix, t)
+        if tested is not None:
+            pairs = pairs.join(tested.select("a", "b"), ["a", "b"], "left_anti")
+        found = written(_overlaps(written(pairs, "ngram-stars"), common, t), "ngram-tested")
+        tested = found if tested is None else tested.unionByName(found)
+        links = tested.where("linked").select("a", "b")
+        if not found.where("linked").limit(1).count():
+            break
+        roots = written(connected_components(links), "ngram-roots")
+    # what is left: classes of different components that share a prefix shingle, but for those that their
+    # distances to the same centre keep apart (the Jaccard distance obeys the triangle inequality)
+    prefix = _rooted(prefix, roots) if roots is not None else prefix
+    mixed = prefix.groupBy("h").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.max(F.struct("weight", "digest"))["digest"].alias("centre")).where("lo < hi")
+    near = tested.select(F.explode(F.array(F.struct(F.col("a").alias("centre"), F.col("b").alias("digest"), "distance"), F.struct(F.col("b").alias("centre"), F.col("a").alias("digest"), "distance"))).alias("x")).select("x.*")
+    mixed = prefix.join(mixed.select("h", "centre"), "h").join(near, ["centre", "digest"], "left")
+    mixed = written(mixed.select("h", "digest", "n", "m", "pos", "root", F.when(F.col("digest") == F.col("centre"), 0.0).otherwise(F.col("distance")).alias("d")), "ngram-mixed")
+    left, right = (mixed.select("h", *(F.col(c).alias(f"{side}_{c}") for c in ("digest", "n", "m", "pos", "root", "d"))) for side in "ab")
+    apart = F.coalesce(F.abs(F.col("a_d") - F.col("b_d")), F.lit(0.0)) <= 1 - float(t) + 1e-9
+    # an overlap's first shingle in the order leaves room for it among the shared shingles behind
+    needed = F.expr(f"({t.numerator}L * (a_n + b_n) + {t.numerator + t.denominator - 1}) div {t.numerator + t.denominator}")
+    room = F.expr("1 + least(a_m - a_pos, b_m - b_pos)") >= needed
     rest = (
-        a.join(b, "h")
-        .where((F.col("a_root") < F.col("b_root")) & sized)
+        left.join(right, "h")
+        .where((F.col("a_root") < F.col("b_root")) & _sized(t) & room & apart)
         .select(F.least("a_digest", "b_digest").alias("a"), F.greatest("a_digest", "b_digest").alias("b"), F.expr("if(a_digest < b_digest, a_n, b_n)").alias("a_n"), F.expr("if(a_digest < b_digest, b_n, a_n)").alias("b_n"))
         .distinct()
         .join(tested.select("a", "b"), ["a", "b"], "left_anti")
@@ -227,6 +242,25 @@ def ngram_join(
     )
 
 
+def _sized(t: Fraction):
+    """Whether the sizes a_n and b_n let a pair link."""
+    return _at_least("greatest(a_n, b_n)", t) <= F.expr("least(a_n, b_n)")
+
+
+def _rooted(prefix: DataFrame, roots: DataFrame) -> DataFrame:
+    return prefix.drop("root").join(roots, prefix["digest"] == roots["node"], "left").select("h", "digest", "n", "m", "pos", "weight", F.coalesce("root", "digest").alias("root"))
+
+
+def _stars(prefix: DataFrame, t: Fraction) -> DataFrame:
+    """Pairs of the heaviest class that has a prefix shingle with the heaviest one of every other component there."""
+    best = prefix.groupBy("h", "root").agg(F.max(F.struct("weight", "digest", "n")).alias("x"))
+    hubs = best.groupBy("h").agg(F.max("x").alias("hub"), F.count("*").alias("k")).where("k > 1")
+    pairs = best.join(hubs, "h").where(F.col("x.digest") != F.col("hub.digest"))
+    ordered = F.col("x.digest") < F.col("hub.digest")
+    side = lambda name, first: F.when(ordered == first, F.col(f"x.{name}")).otherwise(F.col(f"hub.{name}"))
+    return pairs.select(side("digest", True).alias("a"), side("digest", False).alias("b"), side("n", True).alias("a_n"), side("n", False).alias("b_n")).where(_sized(t)).distinct()
+
+
 def _overlaps(pairs: DataFrame, common: DataFrame, t: Fraction) -> DataFrame:
     """(a, b, overlap, linked): parts of each pair's overlap by fragment of the frequency order, summed."""
     involved = pairs.select(F.explode(F.array("a", "b")).alias("digest")).distinct()
@@ -237,4 +271,5 @@ def _overlaps(pairs: DataFrame, common: DataFrame, t: Fraction) -> DataFrame:
     both = left.join(segments.select(F.col("digest").alias("b"), "f", F.col("seg").alias("right")), ["b", "f"])
     parts = both.select("a", "b", "a_n", "b_n", F.size(F.array_intersect("left", "right")).alias("part"))
     summed = parts.groupBy("a", "b", "a_n", "b_n").agg(F.sum("part").alias("overlap"))
-    return summed.select("a", "b", "overlap", F.expr(f"{t.denominator}L * overlap >= {t.numerator}L * (a_n + b_n - overlap)").alias("linked"))
+    distance = (1 - F.col("overlap") / (F.col("a_n") + F.col("b_n") - F.col("overlap"))).alias("distance")
+    return summed.select("a", "b", "overlap", distance, F.expr(f"{t.denominator}L * overlap >= {t.numerator}L * (a_n + b_n - overlap)").alias("linked"))
