@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from auditlark.config import Config
 from auditlark.functions import text as T
-from auditlark.operators import chunk, evaluate, gates, parse, rerank, retrieve, scope, store
+from auditlark.operators import chunk, evaluate, gates, outputs, parse, rerank, retrieve, scope, store
 from auditlark.plans import fixtures, oracle
 from auditlark.sources.readers import read_pages, read_table
 
@@ -490,4 +490,60 @@ def error_report(spark, sf):
     return evaluate.error_report(results(spark, sf)).select("doc_id", "expected", "predicted", "score", "diagnosis")
 
 
+# -- pastes and reports --------------------------------------------------------------------------------------------
+
+
+@query
+def pasted_outcomes(spark, sf):
+    """Parts as outcomes, their brand's number as label."""
+    number = F.regexp_extract("p_brand", "([0-9]+)", 1)
+    raw = F.concat(F.lit("co1: "), "p_name", F.lit("\n CO2 - PO"), number, F.lit("\nnothing\nCO3 – "), "p_type")
+    cos, pos = outputs.pasted_outcomes(raw)
+    flat = lambda c, f: F.array_join(F.transform(c, lambda x: F.concat(x["co"], F.lit("="), x[f])), "|")
+    return read_table(spark, sf, "part").select("p_partkey", flat(cos, "text").alias("cos"), flat(pos, "po").alias("pos"))
+
+
+@query
+def compiled_modules(spark, sf):
+    """Conversations as syllabi: each turn is a module with its role as title; system turns are left empty."""
+    module = F.struct("turn", F.col("role").alias("title"), F.when(F.col("role") == "system", " ").otherwise(F.col("text")).alias("content"))
+    rows = turns(spark, sf).groupBy("conv_id").agg(F.array_sort(F.collect_list(module)).alias("modules"))
+    return rows.select("conv_id", F.md5(outputs.compiled_modules("modules")).alias("text_md5"))
+
+
+@query
+def distinct_texts(spark, sf):
+    d = read_table(spark, sf, "documents").select("doc_id", "source", "text")
+    return outputs.distinct_texts(d, "source", "doc_id").select("doc_id", "source")
+
+
+@query
+def question_bank(spark, sf):
+    """Pages as modules: a reply made of their addresses."""
+    reply = F.concat(F.lit("IN_SYLLABUS:\n1. Explain "), "url", F.lit("\n2. short\nfree line that is no item\nOUT_OF_SYLLABUS:\n1) Compare page "), F.col("page_id").cast("string"), F.lit(" with others\n"))
+    rows = outputs.question_bank(read_table(spark, sf, "pages").select(F.col("page_id").alias("module"), reply.alias("reply")))
+    return rows.select("module", "question", "expected")
+
+
+@query
+def keyword_baseline(spark, sf):
+    """The best share of a question's words of three signs and more among the chunks found for it."""
+    words = lambda c: F.array_distinct(F.filter(F.split(F.lower(c), r"[^\p{L}\p{N}_]+"), lambda w: w.rlike("^[a-z0-9]{3,}$")))
+    share = F.when(F.size(words("question")) == 0, 0.0).otherwise(F.size(F.array_intersect(words("question"), words("text"))) / F.size(words("question")))
+    return found(spark, sf).select("query_id", share.alias("s")).groupBy("query_id").agg(F.round(F.max("s"), 6).alias("score"))
+
+
+@query
+def compared_baselines(spark, sf):
+    rows = results(spark, sf)
+    one = rows.select(F.lit("distinct words").alias("name"), "expected", "predicted", (F.col("doc_id") % 7 / 1000).alias("seconds"))
+    two = rows.select(F.lit("length").alias("name"), "expected", F.col("other").alias("predicted"), (F.col("doc_id") % 3 / 1000).alias("seconds"))
+    return outputs.compared_baselines(one.unionByName(two))
+
+
+@query
+def similarity_percent(spark, sf):
+    return scored(spark, sf).select("query_id", "chunk_id", gates.percent(F.round("similarity", 6)).alias("percent"))
+
+
 ORACLE = oracle.STATEMENTS

@@ -354,4 +354,14 @@ STATEMENTS = {
         count(*) FILTER (predicted <> expected AND other <> expected) AS neither FROM results)
         SELECT *, round(least(1.0, 2 * (SELECT sum(exp(lgamma(only_first + only_second + 1) - lgamma(i + 1) - lgamma(only_first + only_second - i + 1) - (only_first + only_second) * ln(2))) FROM range(0, least(only_first, only_second) + 1) x(i))), 9) AS p_value FROM t""",
     "error_report": f"""WITH {RESULTS} SELECT doc_id, expected, predicted, score, CASE WHEN predicted THEN 'OUT-OF-SYLLABUS question was incorrectly ACCEPTED.' ELSE 'IN-SYLLABUS question was incorrectly REJECTED.' END AS diagnosis FROM results WHERE expected <> predicted""",
+    "pasted_outcomes": r"""SELECT p_partkey, 'CO1=' || trim(p_name) || '|CO2=PO' || regexp_extract(p_brand, '([0-9]+)', 1) || '|CO3=' || trim(p_type) AS cos, 'CO2=PO' || regexp_extract(p_brand, '([0-9]+)', 1) AS pos FROM part""",
+    "compiled_modules": f"""WITH m AS (SELECT conv_id, turn, role, text, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS i FROM conversations WHERE role <> 'system' AND {strip('text')} <> ''),
+        t AS (SELECT conv_id, string_agg(i || '  ' || role || ':' || chr(10) || text, chr(10) || chr(10) ORDER BY i) AS t FROM m GROUP BY conv_id) SELECT c.conv_id, md5(coalesce(t, '')) AS text_md5 FROM (SELECT DISTINCT conv_id FROM conversations) c LEFT JOIN t USING (conv_id)""",
+    "distinct_texts": f"SELECT min(doc_id) AS doc_id, source FROM documents GROUP BY source, {strip('text')}",
+    "question_bank": """SELECT page_id AS module, 'Explain ' || trim(url) AS question, true AS expected FROM pages WHERE length('Explain ' || trim(url)) > 15 UNION ALL SELECT page_id, 'Compare page ' || page_id || ' with others', false FROM pages""",
+    "keyword_baseline": f"""WITH {found(8)}, s AS (SELECT query_id, list_distinct(list_filter({words('question')}, lambda w: regexp_full_match(w, '[a-z0-9]{{3,}}'))) AS q, list_distinct(list_filter({words('text')}, lambda w: regexp_full_match(w, '[a-z0-9]{{3,}}'))) AS c FROM found)
+        SELECT query_id, round(max(CASE WHEN len(q) = 0 THEN 0 ELSE len(list_intersect(q, c)) / len(q) END), 6) AS score FROM s GROUP BY query_id""",
+    "compared_baselines": f"""WITH {RESULTS}, b AS (SELECT 'distinct words' AS name, expected, predicted, doc_id % 7 / 1000 AS seconds FROM results UNION ALL SELECT 'length', expected, other, doc_id % 3 / 1000 FROM results),
+        c AS (SELECT name, {COUNTS}, count(*) AS total, round(avg(seconds) * 1000, 3) AS mean_ms FROM b GROUP BY name) SELECT *, {metrics(4)} FROM c""",
+    "similarity_percent": f"WITH {SCORED} SELECT query_id, chunk_id, format('{{:.1f}}', round(similarity, 6) * 100) AS percent FROM scored",
 }
