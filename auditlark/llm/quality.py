@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -14,8 +13,9 @@ from pyspark.sql import functions as F
 from auditlark.llm.common import documents_of
 from auditlark.llm.features import gram_features, held_out, labelled_sample, shape_features, text_words
 
-#: The sample of labelled rows that a fit takes at most, and hashed weights as a power of two.
-MOST_ROWS, BITS = 12_000, 18
+#: The sample of labelled rows that a fit takes at most, and hashed weights as powers of two: of words, behind those
+#: of a text's form. A form counts fully; words share one weight, so that long texts don't drown it.
+MOST_ROWS, BITS, FORM_BITS = 12_000, 18, 12
 
 
 def grade() -> Column:
@@ -33,18 +33,25 @@ class OrdinalModel:
 
 
 def features(words, data, offsets, bits: int = BITS):
-    return [*shape_features(words, data, offsets, bits), *gram_features(words, bits, skips=False)[:1]]
+    row, index = gram_features(words, bits, skips=False)[0]
+    return [*shape_features(words, data, offsets, FORM_BITS), (row, index + (1 << FORM_BITS))]
+
+
+def values(index: np.ndarray, words: np.ndarray) -> np.ndarray:
+    """What a feature counts for in a text of so many distinct words."""
+    return np.where(index < 1 << FORM_BITS, 1.0, 1 / np.sqrt(np.maximum(1, words)))
 
 
 def ordinal_fit(rows: list[tuple[int, np.ndarray]], bits: int = BITS, grades: int = 3, rate: float = 0.3, decay: float = 1e-5, epochs: int = 4) -> OrdinalModel:
     """AdaGrad on the sum of the grades-1 binary losses; cuts stay in order by sorting."""
-    w, seen = np.zeros(1 << bits), np.full(1 << bits, 1e-6)
+    size = (1 << bits) + (1 << FORM_BITS)
+    w, seen = np.zeros(size), np.full(size, 1e-6)
     counts = np.array([max(0.5, sum(g > k for g, _ in rows)) / max(1, len(rows)) for k in range(grades - 1)])
     cuts = np.sort(-np.log(np.clip(counts, 1e-3, 1 - 1e-3) / (1 - np.clip(counts, 1e-3, 1 - 1e-3))))
     for epoch in range(epochs):
         for g, x in rows:
-            scale = 1 / math.sqrt(max(1, len(x)))
-            tail = 1 / (1 + np.exp(-np.clip(w[x].sum() * scale - cuts, -30, 30)))
+            scale = values(x, np.count_nonzero(x >= 1 << FORM_BITS))
+            tail = 1 / (1 + np.exp(-np.clip(w[x] @ scale - cuts, -30, 30)))
             miss = tail - (g > np.arange(grades - 1))
             step = miss.sum() * scale
             seen[x] += step * step
@@ -71,8 +78,9 @@ def score_quality(docs: DataFrame, model: OrdinalModel, least_grade: float = 1.0
             for lo, hi, data, offsets, words in text_words(batch.column(1)):
                 row, index = (np.concatenate(x) for x in zip(*features(words, data, offsets, bits), strict=True))
                 both = np.unique(row << 32 | index)
-                rows = both >> 32
-                total = np.bincount(rows, weights[both & 0xFFFFFFFF], minlength=hi - lo) / np.sqrt(np.maximum(1, np.bincount(rows, minlength=hi - lo)))
+                rows, index = both >> 32, both & 0xFFFFFFFF
+                distinct = np.bincount(rows, index >= 1 << FORM_BITS, minlength=hi - lo)
+                total = np.bincount(rows, weights[index] * values(index, distinct[rows]), minlength=hi - lo)
                 tails = 1 / (1 + np.exp(-np.clip(total[:, None] - cuts, -30, 30)))
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array(tails.sum(axis=1)), pa.array(np.ascontiguousarray(tails[:, -1]))], names=["doc_id", "expected_grade", "tail_probability"])
 
