@@ -92,9 +92,16 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label, most_rows: int, f
                 packed = [(both[cuts[i] : cuts[i + 1]] & 0xFFFFFFFF).astype(np.uint32).tobytes() for i in range(hi - lo)]
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), batch.column(2).slice(lo, hi - lo), pa.array(packed, pa.binary())], names=["doc_id", "label", "features"])
 
-    found = written(rows.mapInArrow(run, "doc_id long, label int, features binary"), "labelled").toLocalIterator()
-    held = sorted((zlib.crc32(str(r.doc_id).encode()), r.doc_id, r.label, bytes(r.features)) for r in found)
-    return [(label, np.frombuffer(f, np.uint32).astype(np.int64)) for _, _, label, f in held]
+    found = written(rows.mapInArrow(run, "doc_id long, label int, features binary"), "labelled")
+    # on the driver all features lie in one array of 32-bit indices; the rows are views of it
+    size = found.agg(F.sum(F.octet_length("features"))).first()[0] or 0
+    flat, about, used = np.empty(size // 4, np.uint32), [], 0
+    for r in found.toLocalIterator():
+        own = np.frombuffer(r.features, np.uint32)
+        flat[used : used + len(own)] = own
+        about.append((zlib.crc32(str(r.doc_id).encode()), r.doc_id, used, len(own), r.label))
+        used += len(own)
+    return [(label, flat[at : at + n]) for _, _, at, n, label in sorted(about)]
 
 
 def linear_sums(weights: np.ndarray, pairs: list[tuple[np.ndarray, np.ndarray]], rows: int) -> np.ndarray:
