@@ -60,10 +60,8 @@ def product(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return (a[:, :, None] + b[None, :, :]).min(axis=1)
 
 
-def decode(roles: list[int], enter: int, leave: int) -> list[tuple[list[int], int, bool]]:
+def decode(roles: list[int], enter: int, leave: int, steps, path) -> list[tuple[list[int], int, bool]]:
     """For each turn: roles of the empty turns before it, its role, and whether it starts a turn."""
-    steps = [step(r) for r in range(4)]
-    _, path = insertions()
     best = np.full(4, np.inf)
     best[enter] = 0
     back = np.zeros((len(roles), 4), np.int8)
@@ -83,103 +81,109 @@ def decode(roles: list[int], enter: int, leave: int) -> list[tuple[list[int], in
 def _cut(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Numbers the sorted rows of a partition by segment; the last row of each carries the segment's matrix."""
     steps = [step(r)[0] for r in range(4)]
-    part, count, held = TaskContext.get().partitionId() << 32, 0, []
-
-    def closed(rows: list) -> pd.DataFrame:
-        nonlocal count
-        m = None
-        for r in rows:
-            m = steps[r[2]] if m is None else product(m, steps[r[2]])
-        frame = pd.DataFrame(rows, columns=["conv_id", "rid", "role"])
-        frame["seg"], frame["pos"] = part + count, range(len(rows))
-        frame["matrix"] = [None] * (len(rows) - 1) + [m.ravel().tolist()]
-        count += 1
+    part, count, held, out = TaskContext.get().partitionId() << 32, 0, [], []
+
+    def close() -> None:
+        nonlocal count, held
+        m = steps[held[0][2]]
+        for r in held[1:]:
+            m = product(m, steps[r[2]])
+        last = len(held) - 1
+        out.extend((*r, part + count, k, m.ravel().tolist() if k == last else None) for k, r in enumerate(held))
+        count, held = count + 1, []
+
+    def flushed() -> pd.DataFrame:
+        frame = pd.DataFrame(out, columns=["conv_id", "rid", "role", "seg", "pos", "matrix"])
+        out.clear()
         return frame
 
     for frame in frames:
-        out = []
         for row in zip(frame.conv_id.tolist(), frame.rid.tolist(), frame.role.tolist(), strict=True):
             if held and (held[-1][0] != row[0] or len(held) == SEGMENT):
-                out.append(closed(held))
-                held = []
+                close()
             held.append(row)
         if out:
-            yield pd.concat(out, ignore_index=True)
+            yield flushed()
     if held:
-        yield closed(held)
+        close()
+        yield flushed()
 
 
 def _joints(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Matrices of each conversation in order -> states at the segments' ends, and the least cost."""
     gap, _ = insertions()
+    out: list[tuple] = []
 
-    def solved(segs: list[int], matrices: list[np.ndarray]) -> pd.DataFrame:
+    def solve(segs: list[int], matrices: list[np.ndarray]) -> None:
         best, backs = np.array([0, np.inf, np.inf, np.inf]), []
         for m in matrices:
             total = best[:, None] + m
             backs.append(total.argmin(axis=0))
             best = total.min(axis=0)
-        state = int((best + gap[:, FINAL]).argmin())
-        cost, ends = float((best + gap[:, FINAL]).min()), []
+        state, cost, ends = int((best + gap[:, FINAL]).argmin()), float((best + gap[:, FINAL]).min()), []
         for b in reversed(backs):
             ends.append((int(b[state]), state))
             state = int(b[state])
-        ends.reverse()
-        frame = pd.DataFrame({"of": segs, "enter": [e for e, _ in ends], "leave": [x for _, x in ends]})
-        frame["last"], frame["cost"] = [False] * (len(segs) - 1) + [True], cost
+        out.extend((seg, enter, leave, k == len(segs) - 1, cost) for k, (seg, (enter, leave)) in enumerate(zip(segs, reversed(ends), strict=True)))
+
+    def flushed() -> pd.DataFrame:
+        frame = pd.DataFrame(out, columns=["of", "enter", "leave", "last", "cost"])
+        out.clear()
         return frame
 
-    conv, segs, matrices, out = None, [], [], []
+    conv, segs, matrices = None, [], []
     for frame in frames:
         for c, s, m in zip(frame.conv_id.tolist(), frame.seg.tolist(), frame.matrix.tolist(), strict=True):
             if segs and c != conv:
-                out.append(solved(segs, matrices))
+                solve(segs, matrices)
                 segs, matrices = [], []
             conv = c
             segs.append(s)
             matrices.append(np.asarray(m, float).reshape(4, 4))
         if out:
-            yield pd.concat(out, ignore_index=True)
-            out = []
+            yield flushed()
     if segs:
-        yield solved(segs, matrices)
+        solve(segs, matrices)
+        yield flushed()
 
 
 def _decoded(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Rows of whole segments in order -> turns made: which input row, role, and how many turns began so far."""
     _, path = insertions()
+    steps = [step(r) for r in range(4)]
+    out: list[tuple] = []
 
-    def made(rows: pd.DataFrame) -> pd.DataFrame:
-        about = rows.iloc[0]
-        began, k, out = 0, 0, []
-        for rid, (before, role, new) in zip(rows.rid.tolist(), decode(rows.role.tolist(), int(about.enter), int(about.leave)), strict=True):
+    def make(rows: list[tuple]) -> None:
+        seg, _, _, _, enter, leave, last, cost, conv = rows[0]
+        began = k = 0
+        for row, (before, role, new) in zip(rows, decode([r[2] for r in rows], enter, leave, steps, path), strict=True):
             for r in before:
                 began, k = began + 1, k + 1
-                out.append((about.seg, k, began, r, None, True))
+                out.append((seg, k, began, r, None, conv, cost))
             began, k = began + new, k + 1
-            out.append((about.seg, k, began, role, rid, bool(new)))
-        if about["last"]:
-            for r in path[int(about.leave)][FINAL]:
-                began, k = began + 1, k + 1
-                out.append((about.seg, k, began, r, None, True))
-        frame = pd.DataFrame(out, columns=["seg", "k", "began", "role", "rid", "starts"])
-        frame["rid"] = frame["rid"].astype("Int64")
-        frame["conv_id"] = about.conv_id
-        frame["cost"] = float(about.cost)
+            out.append((seg, k, began, role, row[1], conv, cost))
+        for r in path[leave][FINAL] if last else ():
+            began, k = began + 1, k + 1
+            out.append((seg, k, began, r, None, conv, cost))
+
+    def flushed() -> pd.DataFrame:
+        frame = pd.DataFrame(out, columns=["seg", "k", "began", "role", "rid", "conv_id", "cost"])
+        frame["rid"] = pd.array([r[4] for r in out], "Int64")
+        out.clear()
         return frame
 
-    held: pd.DataFrame | None = None
+    held: list[tuple] = []
     for frame in frames:
-        if not len(frame):
-            continue
-        held = frame if held is None else pd.concat([held, frame], ignore_index=True)
-        last = held.seg.iloc[-1]
-        whole = held[held.seg != last]
-        if len(whole):
-            yield pd.concat([made(g) for _, g in whole.groupby("seg", sort=False)], ignore_index=True)
-        held = held[held.seg == last].reset_index(drop=True)
-    if held is not None and len(held):
-        yield made(held)
+        for row in zip(*(frame[c].tolist() for c in ("seg", "rid", "role", "pos", "enter", "leave", "last", "cost", "conv_id")), strict=True):
+            if held and held[-1][0] != row[0]:
+                make(held)
+                held = []
+            held.append(row)
+        if out:
+            yield flushed()
+    if held:
+        make(held)
+        yield flushed()
 
 
 def repair_chats(turns: DataFrame) -> DataFrame:
@@ -201,7 +205,7 @@ def repair_chats(turns: DataFrame) -> DataFrame:
     matrices = cut.where("matrix is not null").select("conv_id", "seg", "matrix").repartition("conv_id").sortWithinPartitions("conv_id", "seg")
     joints = written(matrices.mapInPandas(_joints, "of long, enter int, leave int, last boolean, cost double"), "chat-joints")
     jobs = cut.drop("matrix").join(joints, F.col("seg") == F.col("of")).drop("of").repartition("seg").sortWithinPartitions("seg", "pos")
-    made = written(jobs.mapInPandas(_decoded, "seg long, k int, began int, role int, rid long, starts boolean, conv_id string, cost double"), "chat-made")
+    made = written(jobs.mapInPandas(_decoded, "seg long, k int, began int, role int, rid long, conv_id string, cost double"), "chat-made")
     began = made.groupBy("conv_id", "seg").agg(F.max("began").alias("n"))
     offset = began.select(F.col("seg").alias("at"), F.expr("coalesce(sum(n) over (partition by conv_id order by seg rows between unbounded preceding and 1 preceding), 0)").alias("offset"))
     placed = made.join(offset, F.col("seg") == F.col("at")).select("conv_id", (F.col("offset") + F.col("began") - 1).alias("out_turn"), "role", "rid", "cost", "seg", "k")
