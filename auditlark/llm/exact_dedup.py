@@ -96,9 +96,10 @@ def exact_dedup(docs: DataFrame, memtables: int = FANOUT, doc_id: str = "doc_id"
     index.compact()
     found = digests.join(index.entries(), "digest")
     hits = found.where("n > 1").select(F.col("doc_id").alias("id"), "digest", "keep_id").distinct()
-    # bytes of the documents in groups: read again, joined by id to what the index says
-    bytes_ = rows.join(hits, F.col("doc_id").eqNullSafe(F.col("id"))).select("doc_id", "digest", "keep_id", normalised(F.col("text")).alias("bytes"))
-    bytes_ = bytes_.where(F.unhex(F.sha2("bytes", 256)) == F.col("digest"))
+    # bytes of the documents in groups: read again, joined by id to what the index says. The hash table of each task
+    # holds ids and digests; texts stream past it unsorted
+    bytes_ = rows.join(hits.hint("shuffle_hash"), F.col("doc_id").eqNullSafe(F.col("id"))).select("doc_id", "digest", "keep_id", normalised(F.col("text")).alias("bytes"))
+    bytes_ = written(bytes_.where(F.unhex(F.sha2("bytes", 256)) == F.col("digest")), "dedup-bytes")
     keeper = bytes_.where(F.col("doc_id").eqNullSafe(F.col("keep_id"))).groupBy("digest").agg(F.min("bytes").alias("kept_bytes"))
     differs = written(bytes_.join(keeper, "digest").where("bytes <> kept_bytes").select("doc_id", "digest", "bytes"), "dedup-differs")
     out = found.select("doc_id", "digest", "keep_id", "n")
