@@ -21,6 +21,7 @@ from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -30,9 +31,10 @@ from auditlark.llm.components import connected_components
 from auditlark.llm.kernels import U, blank_bytes, set_digests, shingles_of, slices, words_of
 
 #: Documents and shingles of one chunk, within which a shingle is sent once.
-CHUNK_DOCS, CHUNK_BYTES = 60_000, 12 << 20
+CHUNK_DOCS, CHUNK_BYTES = 60_000, 6 << 20
 PART = "frag int, chunk long, hashes binary, rows binary, doc_id array<long>, digest array<binary>, n array<int>, shared array<int>"
-COUNTED = "chunk long, row int, shared long, doc_id long, digest binary, n int"
+COUNTED = "chunk long, rows binary, counts binary, doc_id array<long>, digest array<binary>, n array<int>, shared array<int>"
+SUMMED = "doc_id long, digest binary, n int, shared int"
 
 
 def _parts(size: int, fragments: int):
@@ -96,15 +98,17 @@ def _chunk(ids: pa.Array, values: np.ndarray, bounds: np.ndarray, fragments: int
 
 
 def _counted(table: pa.Table) -> pa.Table:
-    """Reduce side: a fragment's part of each document's count of shingles that occur in other chunks."""
+    """Reduce side: a fragment's part of each document's count of shingles that occur in other chunks.
+
+    One row for each chunk that the fragment has a part for; what a chunk says of its documents passes through.
+    """
     chunks = table.column("chunk").to_numpy()
-    hashes, rows, where, out = [], [], [], []
+    about = table.filter(pc.is_null(table.column("hashes")))
+    empty = pa.nulls(len(about), pa.binary())
+    out = [pa.table([about.column("chunk"), empty, empty, *(about.column(c) for c in NAMES[3:])], schema=COUNTED_SCHEMA)]
+    hashes, rows, where = [], [], []
     for k, (h, r) in enumerate(zip(table.column("hashes").to_pylist(), table.column("rows").to_pylist(), strict=True)):
-        if h is None:
-            ids, digests, ns, shared = (table.column(c)[k].as_py() for c in ("doc_id", "digest", "n", "shared"))
-            m = len(ids)
-            out.append(pa.table([pa.array(np.full(m, chunks[k])), pa.array(range(m), pa.int32()), pa.array(shared, pa.int64()), pa.array(ids, pa.int64()), pa.array(digests, pa.binary()), pa.array(ns, pa.int32())], names=NAMES))
-        else:
+        if h is not None:
             hashes.append(np.frombuffer(h, np.uint32))
             rows.append(np.frombuffer(r, np.uint16))
             where.append(np.full(len(rows[-1]), k, np.int32))
@@ -118,12 +122,32 @@ def _counted(table: pa.Table) -> pa.Table:
         hit = order[twice]
         hit = hit[r[hit] != 0xFFFF]
         pair, count = np.unique(w[hit].astype(np.int64) << 16 | r[hit], return_counts=True)
-        m = len(pair)
-        out.append(pa.table([pa.array(chunks[pair >> 16]), pa.array((pair & 0xFFFF).astype(np.int32)), pa.array(count.astype(np.int64)), pa.nulls(m, pa.int64()), pa.nulls(m, pa.binary()), pa.nulls(m, pa.int32())], names=NAMES))
+        places, row, count = pair >> 16, (pair & 0xFFFF).astype(np.uint16), count.astype(np.uint32)
+        own = np.unique(places)
+        cuts = np.append(np.searchsorted(places, own), len(places))
+        packed = [(int(chunks[k]), row[a:b].tobytes(), count[a:b].tobytes(), None, None, None, None) for k, a, b in zip(own, cuts, cuts[1:], strict=False)]
+        if packed:
+            out.append(pa.table([pa.array(c, t) for c, t in zip(zip(*packed, strict=True), COUNTED_SCHEMA.types, strict=True)], schema=COUNTED_SCHEMA))
     return pa.concat_tables(out)
 
 
-NAMES = ["chunk", "row", "shared", "doc_id", "digest", "n"]
+NAMES = ["chunk", "rows", "counts", "doc_id", "digest", "n", "shared"]
+COUNTED_SCHEMA = pa.schema(
+    [("chunk", pa.int64()), ("rows", pa.binary()), ("counts", pa.binary()), ("doc_id", pa.list_(pa.int64())), ("digest", pa.list_(pa.binary())), ("n", pa.list_(pa.int32())), ("shared", pa.list_(pa.int32()))]
+)
+
+
+def _summed(table: pa.Table) -> pa.Table:
+    """All fragments' parts of one chunk -> one row for each of its documents."""
+    about = table.filter(pc.is_valid(table.column("doc_id")))
+    parts = table.filter(pc.is_valid(table.column("rows")))
+    out = []
+    for ids, digests, n, shared in zip(*(about.column(c).to_pylist() for c in NAMES[3:]), strict=True):
+        total = np.array(shared, np.int64)
+        for rows, counts in zip(parts.column("rows").to_pylist(), parts.column("counts").to_pylist(), strict=True):
+            total[np.frombuffer(rows, np.uint16)] += np.frombuffer(counts, np.uint32)
+        out.append(pa.table([pa.array(ids, pa.int64()), pa.array(digests, pa.binary()), pa.array(n, pa.int32()), pa.array(total.astype(np.int32))], names=["doc_id", "digest", "n", "shared"]))
+    return pa.concat_tables(out)
 
 
 def _sets(size: int):
@@ -165,12 +189,7 @@ def ngram_join(
     fragments = fragments or int(spark.conf.get("spark.sql.shuffle.partitions"))
     parts = docs.mapInArrow(_parts(size, fragments), PART)
     counted = parts.groupBy("frag").applyInArrow(_counted, COUNTED)
-    rows = written(
-        counted.groupBy("chunk", "row")
-        .agg(F.sum("shared").alias("shared"), F.max("doc_id").alias("doc_id"), F.max("digest").alias("digest"), F.max("n").alias("n"))
-        .drop("chunk", "row"),
-        "ngram-rows",
-    )
+    rows = written(counted.groupBy("chunk").applyInArrow(_summed, SUMMED), "ngram-rows")
     # one class for each set that may link at all
     need = _at_least("n", t)
     classes = written(
