@@ -1,7 +1,7 @@
 """Personal data: fixed patterns first, then bootstrapped contextual extraction; DataFrame functions only.
 
-Base spans seed the extraction. Each word with a digit or an at sign is an instance; the two words before it, with
-the kind of thing it looks like, are a lexical pattern. Patterns and instances form a graph that Spark scores in
+Base spans seed the extraction. An instance is a run of number groups, or another word with a digit or an at sign;
+the two words before all of it, with the kind of thing it looks like, are a lexical pattern. Patterns and instances form a graph that Spark scores in
 turn: a pattern is as sure as the instances it holds, an instance as its surest patterns together. Sure patterns
 with enough distinct seeds then mark the instances that the fixed patterns missed.
 """
@@ -20,7 +20,11 @@ EMAIL = r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Z
 IP = r"(?:\G|(?<![0-9]))[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++"
 CARD = r"[0-9](?:[\x20-]?[0-9])++"
 PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
-INSTANCE = r"(?<![^\x20\x09-\x0D])[^\x20\x09-\x0D0-9@]*+[0-9@][^\x20\x09-\x0D]*+"
+# A number group fills its word but for end punctuation; addresses of four numbers are words of their own, and neither
+# a plus nor what follows a dot and a blank carries on a run.
+GROUP = r"(?![0-9]++(?:\.[0-9]++){3})\(*+[0-9][0-9().-]*+(?=[,;:!?]*+(?:[\x20\x09-\x0D]|\z))"
+RUN = rf"\(*+\+?+{GROUP}(?:(?<=[0-9)-])\x20++(?:-\x20++)?+{GROUP})*+[,;:!?]*+"
+INSTANCE = rf"(?<![^\x20\x09-\x0D])(?:{RUN}|[^\x20\x09-\x0D0-9@]*+[0-9@][^\x20\x09-\x0D]*+)"
 
 SPAN = "array<struct<start:int,kind:int,end:int,match:string>>"
 
@@ -80,25 +84,27 @@ def base_spans(text: Column) -> Column:
 
 
 def instances(text: Column) -> Column:
-    """Words with a digit or an at sign: place, the word, and up to two words before it on the way from the last one."""
+    """Runs of number groups, and words with a digit or an at sign: place, the run or word without end punctuation, and
+    up to two words before it on the way from the last one."""
     pairs = F.arrays_zip(F.split(text, INSTANCE, -1).alias("gap"), F.regexp_extract_all(text, F.lit(INSTANCE), 0).alias("match"))
     kind = "array<struct<start:int,end:int,word:string,before:string>>"
     start = lambda acc, x: acc["at"] + F.length(x["gap"])
+    word = lambda x: F.regexp_replace(x["match"], "[.,;:!?]+$", "")
     before = lambda x: F.regexp_extract(F.lower(F.right(x["gap"], F.lit(80))), r"([^\x20\x09-\x0D]*[\x20\x09-\x0D]?[^\x20\x09-\x0D]+)[\x20\x09-\x0D]*$", 1)
     folded = F.aggregate(
         F.filter(pairs, lambda x: x["match"].isNotNull()),
         F.struct(F.lit(0).alias("at"), F.expr(f"cast(array() as {kind})").alias("out")),
         lambda acc, x: F.struct(
             (start(acc, x) + F.length(x["match"])).alias("at"),
-            F.array_append(acc["out"], F.struct(start(acc, x).alias("start"), (start(acc, x) + F.length(x["match"])).alias("end"), x["match"].alias("word"), before(x).alias("before"))).alias("out"),
+            F.array_append(acc["out"], F.struct(start(acc, x).alias("start"), (start(acc, x) + F.length(word(x))).alias("end"), word(x).alias("word"), before(x).alias("before"))).alias("out"),
         ),
     )
     return F.when(text.rlike("[0-9@]"), folded["out"]).otherwise(F.expr(f"cast(array() as {kind})"))
 
 
 def shape(word: Column) -> Column:
-    """A word's form: runs of digits and letters as one sign each, end punctuation dropped."""
-    return F.regexp_replace(F.regexp_replace(F.regexp_replace(word, "[.,;:!?]+$", ""), "[A-Za-z]+", "a"), "[0-9]+", "9")
+    """A word's or run's form: runs of digits, letters and blanks as one sign each."""
+    return F.regexp_replace(F.regexp_replace(F.regexp_replace(word, "[A-Za-z]+", "a"), "[0-9]+", "9"), r"\x20+", " ")
 
 
 def span_text(spans: Column) -> Column:
@@ -109,6 +115,8 @@ def span_text(spans: Column) -> Column:
 def discovered(edges: DataFrame, rounds: int = 2, least_seeds: int = 3, sure: float = 0.8) -> DataFrame:
     """edges(key, start, end, word, before, seed: kind or null) -> key, start, end, kind of unseen identifiers.
 
+    A word is a whole instance, a run with its blanks; seeds and spans are whole ones too.
+
     A pattern is (words before, form of the word). Scores of a round: a pattern's is the mean of its instances'
     scores; an instance's is 1 for a seed, else 1 minus the product of (1 - score) of its patterns of at least
     least_seeds distinct seeds. Kinds are voted by seeds. Instances need four digits, or an at sign.
@@ -127,8 +135,7 @@ def discovered(edges: DataFrame, rounds: int = 2, least_seeds: int = 3, sure: fl
     chosen = patterns.where(F.col("confidence") >= sure).select("before", "form", "kind")
     rich = (F.length(F.regexp_replace("word", "[^0-9]", "")) >= 4) | F.contains("word", F.lit("@"))
     found = named.where(F.col("seed").isNull() & rich).join(chosen, ["before", "form"])
-    end = F.col("start") + F.length(F.regexp_replace("word", "[.,;:!?]+$", ""))
-    return found.select("key", "start", end.alias("end"), "kind").distinct()
+    return found.select("key", "start", "end", "kind").distinct()
 
 
 def find_personal_data(docs: DataFrame, rounds: int = 2, least_seeds: int = 3, sure: float = 0.8, doc_id: str = "doc_id", text: str = "text") -> DataFrame:

@@ -209,6 +209,18 @@ def test_context_finds_unseen_identifiers(spark):
     assert got[10].spans == "" and got[11].spans == "" and got[0].spans == f"ip:{texts[0].index('10.')}:{texts[0].index(',')}"
 
 
+def test_context_finds_identifiers_with_blanks(spark):
+    """Cards and phones written with blanks, wrong or short by their numbers, are marked whole by what stands before."""
+    cards = [f"4{i:03d} 1111 1111 1{i:03d}" for i in range(200)]
+    seeds = [c for c in cards if base_of(c)[1][2]][:6]
+    texts = [f"my card number {c}, thanks" for c in seeds] + [f"call me on +49 30 12345{i:02d} today" for i in range(6)]
+    unseen = ["so my card number 4111 1111 1111 1112, thanks", "please call me on +49 30 1234 today", "please call me on +49 30 1234. 7 came", "chapter 4111 1111 1111 1112", "my card number 12 and call me on 1999", "call me on +49 30 1234\t5"]
+    docs = spark.createDataFrame(list(enumerate(texts + unseen)), "doc_id long, text string")
+    got = {r.doc_id: r for r in personal_data.contract_columns(personal_data.find_personal_data(docs)).collect()}
+    assert len(seeds) == 6 and all(got[i].n_added == 0 and len(got[i].spans.split(",")) == 1 for i in range(len(texts)))
+    assert [got[len(texts) + i].spans for i in range(len(unseen))] == ["card:18:37", "phone:18:29", "phone:18:29", "", "", "phone:11:22"]
+
+
 def test_targets():
     assert targets_of([]) == {}
     got = targets_of([("b", 10), ("a", 10), (None, 100)])
