@@ -56,6 +56,13 @@ EXTERNAL_DOMAINS = [
 # Markers of question types (substrings), and words left out of core terms.
 APPLICATION_MARKERS = ["case study", "scenario", "analyze", "how would you", "design", "implement", "evaluate", "justify", "compare"]
 DEFINITION_MARKERS = ["what is", "define", "explain", "describe", "short note", "meaning of", "overview of"]
+#: NLTK's English stop words, without those that no word of three letters can be.
+KEYWORD_STOP_WORDS = (
+    "myself our ours ourselves you your yours yourself yourselves him his himself she her hers herself its itself they them their theirs themselves what which who whom this that these those are was were been being "
+    "have has had having does did doing the and but because until while for with about against between into through during before after above below from down out off over under again further then once here there "
+    "when where why how all any both each few more most other some such nor not only own same than too very can will just don should now ain aren couldn didn doesn hadn hasn haven isn mightn mustn needn shan shouldn "
+    "wasn weren won wouldn"
+).split()
 CORE_STOP_WORDS = ["what", "is", "the", "of", "and", "in", "to", "explain", "define", "describe", "how"]
 
 # Department names by abbreviation; abbreviations known without a longer name stay as they are.

@@ -16,9 +16,12 @@ from pyspark.sql import functions as F
 
 from auditlark.config import DEFAULTS, Config
 from auditlark.functions import text as T
+from auditlark.functions import words as W
 
 #: Vectors of one block of queries: with 1,024 doubles each they are 32 MB at most.
 BLOCK = 4096
+#: Terms of one block of questions.
+BLOCK_TERMS = 1_000_000
 
 
 def _unit(vectors: np.ndarray) -> np.ndarray:
@@ -105,6 +108,72 @@ def scored(found: DataFrame, c: Config = DEFAULTS) -> DataFrame:
     return rows.withColumn("similarity", boosted(base_score("semantic", "keyword", c), "boost", c))
 
 
+def _highest(shared, apart: bool):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids, slots, offsets, places, weights = shared.value
+        own = {int(q): i for i, q in enumerate(ids)} if apart else {}
+        best = np.zeros(len(ids))
+        for batch in batches:
+            for name, terms, values in zip(*(batch.column(k).to_pylist() for k in range(3))):
+                hits = [(slots[t], v) for t, v in zip(terms or [], values or []) if t in slots]
+                if not hits:
+                    continue
+                at = np.concatenate([places[offsets[s] : offsets[s + 1]] for s, _ in hits])
+                products = np.concatenate([weights[offsets[s] : offsets[s + 1]] * v for s, v in hits])
+                sums = np.bincount(at, products, len(ids))
+                if name in own:
+                    sums[own[name]] = 0
+                np.maximum(best, sums, out=best)
+        kept = best > 0
+        yield pa.RecordBatch.from_arrays([pa.array(ids[kept]), pa.array(best[kept])], names=["query_id", "score"])
+
+    return run
+
+
+def highest_product(queries: DataFrame, chunks: DataFrame, apart: bool = False) -> DataFrame:
+    """queries(query_id, terms, weights) x chunks(chunk_id, terms, weights) -> (query_id, score).
+
+    The highest sum of products of weights over shared terms that any chunk has with the query; 0 without one. Terms
+    are distinct within a row. A task keeps one score for each query of a block, so rows grow with tasks times
+    queries, never with pairs. apart: a query's own id doesn't count.
+    """
+    spark = chunks.sparkSession
+    out, block, size = None, [], 0
+
+    def search() -> DataFrame:
+        by_term: dict[str, list[tuple[int, float]]] = {}
+        for i, r in enumerate(block):
+            for t, w in zip(r.terms, r.weights):
+                by_term.setdefault(t, []).append((i, w))
+        flat = [x for pairs in by_term.values() for x in pairs]
+        offsets = np.cumsum([0, *(len(x) for x in by_term.values())])
+        parts = (np.array([r.query_id for r in block], np.int64), {t: k for k, t in enumerate(by_term)}, offsets, np.array([i for i, _ in flat], np.int64), np.array([w for _, w in flat], float))
+        return chunks.select("chunk_id", "terms", "weights").mapInArrow(_highest(spark.sparkContext.broadcast(parts), apart), "query_id long, score double")
+
+    for row in queries.select("query_id", "terms", "weights").where("size(terms) > 0").toLocalIterator():
+        block.append(row)
+        size += len(row.terms)
+        if len(block) == BLOCK or size >= BLOCK_TERMS:
+            out, block, size = search() if out is None else out.unionByName(search()), [], 0
+    if block:
+        out = search() if out is None else out.unionByName(search())
+    if out is None:
+        out = spark.createDataFrame([], "query_id long, score double")
+    best = out.groupBy("query_id").agg(F.max("score").alias("score"))
+    return queries.select("query_id").join(best, "query_id", "left").select("query_id", F.coalesce("score", F.lit(0.0)).alias("score"))
+
+
+def keyword_scores(questions: DataFrame, chunks: DataFrame, apart: bool = False) -> DataFrame:
+    """questions(query_id, question) x chunks(chunk_id, text) -> (query_id, score): the best share of a question's
+    distinct words of three signs and more that any chunk has, stop words left out; 0 without words."""
+    words = lambda c: F.array_distinct(F.filter(F.split(F.lower(c), r"[^\p{L}\p{N}_]+"), lambda w: w.rlike("^[a-z0-9]{3,}$") & ~w.isin(W.KEYWORD_STOP_WORDS)))
+    ones = lambda c: F.transform(c, lambda w: F.lit(1.0))
+    weighed = lambda df, key, text: df.select(key, F.coalesce(words(text), F.array().cast("array<string>")).alias("terms")).withColumn("weights", ones("terms"))
+    q = weighed(questions, "query_id", "question")
+    shared = highest_product(q, weighed(chunks, "chunk_id", "text"), apart)
+    return q.join(shared, "query_id").select("query_id", F.when(F.size("terms") == 0, 0.0).otherwise(F.col("score") / F.size("terms")).alias("score"))
+
+
 def tfidf(texts: DataFrame) -> DataFrame:
     """texts(id, text) -> (id, term, weight): smoothed idf, L2-normalised; terms are words of two signs and more."""
     terms = texts.select("id", F.explode(F.filter(F.split(F.lower("text"), r"[^\p{L}\p{N}_]+"), lambda w: F.length(w) >= 2)).alias("term"))

@@ -133,6 +133,19 @@ def test_top_k(spark):
     assert retrieve.top_k(queries.limit(0), chunks, 3).count() == 0 and retrieve.top_k(queries, chunks.limit(0), 3).count() == 0
 
 
+@pytest.mark.parametrize("block", [4096, 2])
+def test_keyword_scores_take_every_chunk(spark, monkeypatch, block):
+    """Against brute force over all pairs; the eight nearest vectors don't matter, stop words don't count."""
+    monkeypatch.setattr(retrieve, "BLOCK", block)
+    texts = {i: f"filler word{i} and the" for i in range(30)} | {30: "alpha beta_x gamma", 31: "", 32: None}
+    asked = {1: "What is the Alpha, gamma of delta?", 2: "the and of", 3: None, 4: "filler word7 alpha", 30: "alpha gamma"}
+    chunks = spark.createDataFrame(list(texts.items()), "chunk_id long, text string").repartition(5)
+    questions = spark.createDataFrame(list(asked.items()), "query_id long, question string")
+    got = {r.query_id: r.score for r in retrieve.keyword_scores(questions, chunks, apart=True).collect()}
+    assert got == pytest.approx({1: 2 / 3, 2: 0, 3: 0, 4: 2 / 3, 30: 0})
+    assert {r.score for r in retrieve.keyword_scores(questions, chunks.where("false")).collect()} == {0.0}
+
+
 def test_decisions(spark):
     schema = "query_id long, question string, top double, chunks array<struct<distance:double,chunk_id:bigint,module:string,similarity:double,semantic:double,boost:double,text:string>>"
     one = lambda text, boost=0.0: [(0.1, 1, "Unit 1", 0.8, 0.8, boost, text)]
