@@ -174,12 +174,37 @@ def keyword_scores(questions: DataFrame, chunks: DataFrame, apart: bool = False)
     return q.join(shared, "query_id").select("query_id", F.when(F.size("terms") == 0, 0.0).otherwise(F.col("score") / F.size("terms")).alias("score"))
 
 
-def tfidf(texts: DataFrame) -> DataFrame:
+def tfidf(texts: DataFrame, stop_words: list[str] | tuple[str, ...] = ()) -> DataFrame:
     """texts(id, text) -> (id, term, weight): smoothed idf, L2-normalised; terms are words of two signs and more."""
-    terms = texts.select("id", F.explode(F.filter(F.split(F.lower("text"), r"[^\p{L}\p{N}_]+"), lambda w: F.length(w) >= 2)).alias("term"))
-    tf = terms.groupBy("id", "term").agg(F.count("*").alias("tf"))
+    tf = _term_counts(texts, stop_words)
+    return _weighed(tf, _idf(tf, texts))
+
+
+def _term_counts(texts: DataFrame, stop_words) -> DataFrame:
+    terms = texts.select("id", F.explode(F.filter(F.split(F.lower("text"), r"[^\p{L}\p{N}_]+"), lambda w: (F.length(w) >= 2) & ~w.isin(list(stop_words)))).alias("term"))
+    return terms.groupBy("id", "term").agg(F.count("*").alias("tf"))
+
+
+def _idf(tf: DataFrame, texts: DataFrame) -> DataFrame:
     df = tf.groupBy("term").agg(F.count("*").alias("df"))
     n = texts.agg(F.count("*").alias("n"))
-    raw = tf.join(df, "term").crossJoin(F.broadcast(n)).select("id", "term", (F.col("tf") * (F.log((1 + F.col("n")) / (1 + F.col("df"))) + 1)).alias("w"))
+    return df.crossJoin(F.broadcast(n)).select("term", (F.log((1 + F.col("n")) / (1 + F.col("df"))) + 1).alias("idf"))
+
+
+def _weighed(tf: DataFrame, idf: DataFrame) -> DataFrame:
+    raw = tf.join(idf, "term").select("id", "term", (F.col("tf") * F.col("idf")).alias("w"))
     norm = raw.groupBy("id").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
     return raw.join(norm, "id").select("id", "term", (F.col("w") / F.col("norm")).alias("weight"))
+
+
+def tfidf_scores(questions: DataFrame, chunks: DataFrame, apart: bool = False) -> DataFrame:
+    """questions(query_id, question) x chunks(chunk_id, text) -> (query_id, score): the highest cosine of TF-IDF
+    weights that any chunk has with the question; 0 without shared terms. The idf is that of the chunks, terms that
+    no chunk has don't count in the question's norm, stop words are left out."""
+    texts = chunks.select(F.col("chunk_id").alias("id"), "text")
+    tf = _term_counts(texts, W.TFIDF_STOP_WORDS)
+    idf = _idf(tf, texts)
+    listed = lambda rows, key: rows.groupBy(F.col("id").alias(key)).agg(F.collect_list(F.struct("term", "weight")).alias("x")).select(key, F.col("x.term").alias("terms"), F.col("x.weight").alias("weights"))
+    asked = listed(_weighed(_term_counts(questions.select(F.col("query_id").alias("id"), F.col("question").alias("text")), W.TFIDF_STOP_WORDS), idf), "query_id")
+    scores = highest_product(asked, listed(_weighed(tf, idf), "chunk_id"), apart)
+    return questions.select("query_id").join(scores, "query_id", "left").select("query_id", F.coalesce("score", F.lit(0.0)).alias("score"))

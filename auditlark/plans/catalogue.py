@@ -353,6 +353,13 @@ def tfidf_weights(spark, sf):
     return rows.select(F.col("id").alias("item_id"), "term", F.round("weight", 6).alias("weight"))
 
 
+@query
+def tfidf_baseline(spark, sf):
+    """The highest TF-IDF cosine of each question with any chunk."""
+    rows = retrieve.tfidf_scores(query_vectors(spark, sf), vectors(spark, sf), apart=True)
+    return rows.select("query_id", F.round("score", 6).alias("score"))
+
+
 @query
 def pairwise_jaccard(spark, sf):
     """Of the few chunks found for each question, all pairs with the Jaccard similarity of their keywords."""

@@ -1,5 +1,7 @@
 """Golden cases of the audit's operators."""
 
+import math
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -146,6 +148,25 @@ def test_keyword_scores_take_every_chunk(spark, monkeypatch, block):
     assert {r.score for r in retrieve.keyword_scores(questions, chunks.where("false")).collect()} == {0.0}
 
 
+def test_tfidf_scores(spark):
+    """Against the formula over all pairs: idf of the chunks, unknown terms and stop words left out, best of all."""
+    texts = {1: "key key cipher the", 2: "cipher block mode", 3: "", 4: "table the the"}
+    asked = {1: "What is the key cipher?", 2: "the of", 3: "cipher banana", 4: "banana", 5: None}
+    df = {"key": 1, "cipher": 2, "block": 1, "mode": 1, "table": 1}
+
+    def vector(text):
+        w = [x for x in (text or "").lower().replace("?", "").split() if x in df]
+        v = {x: w.count(x) * (math.log(5 / (1 + df[x])) + 1) for x in w}
+        norm = math.sqrt(sum(x * x for x in v.values())) or 1
+        return {k: x / norm for k, x in v.items()}
+
+    want = {q: max(sum(w * vector(t).get(k, 0) for k, w in vector(a).items()) for t in texts.values()) for q, a in asked.items()}
+    chunks = spark.createDataFrame(list(texts.items()), "chunk_id long, text string")
+    questions = spark.createDataFrame(list(asked.items()), "query_id long, question string")
+    got = {r.query_id: r.score for r in retrieve.tfidf_scores(questions, chunks).collect()}
+    assert got == pytest.approx(want) and got[1] > 0.9 and got[2] == got[4] == got[5] == 0
+
+
 def test_decisions(spark):
     schema = "query_id long, question string, top double, chunks array<struct<distance:double,chunk_id:bigint,module:string,similarity:double,semantic:double,boost:double,text:string>>"
     one = lambda text, boost=0.0: [(0.1, 1, "Unit 1", 0.8, 0.8, boost, text)]
