@@ -94,6 +94,18 @@ class CurriculumEngine:
         out = heads.join(named, "query_id", "left")
         return out.select("doc_id", "syllabus_id", F.coalesce("s", "subject_name").alias("subject_name"), F.coalesce("c", "subject_code").alias("subject_code"), F.coalesce("m", "semester").alias("semester"), F.coalesce("d", "department").alias("department"), "program", "bos")
 
+    def _boosts(self, asked: DataFrame, chunks: DataFrame) -> DataFrame:
+        """asked(query_id, question) -> (query_id, boost): by the best cosine of a question's concept with any concept
+        of the syllabus' chunks; questions without concepts have no row."""
+        text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("chunk_no", "text"))), lambda x: x["text"]), " ")
+        known = chunks.groupBy("syllabus_id").agg(text.alias("text")).select(F.explode(scope.lexical_concepts("text")).alias("concept")).distinct()
+        known = known.select(F.xxhash64("concept").alias("chunk_id"), self.embedder.vector(F.col("concept"), "passage").alias("vector"))
+        own = asked.select("query_id", F.explode(scope.lexical_concepts("question")).alias("concept"))
+        sought = own.select("concept").distinct().select(F.xxhash64("concept").alias("query_id"), self.embedder.vector(F.col("concept"), "query").alias("vector"))
+        near = retrieve.top_k(sought, known, 1).select(F.col("query_id").alias("key"), "cosine")
+        best = own.select("query_id", F.xxhash64("concept").alias("key")).join(near, "key").groupBy("query_id").agg(F.max("cosine").alias("best"))
+        return best.select("query_id", retrieve.concept_boost("best", self.config).alias("boost"))
+
     def analyze_questions(self, pastes: DataFrame, syllabus_id: str | None = None, threshold: float | None = None) -> DataFrame:
         """pastes(paste_id, text) -> one result row per question in them."""
         questions = pastes.select("paste_id", F.posexplode(T.split_questions("text")).alias("pos", "question"))
@@ -106,6 +118,10 @@ class CurriculumEngine:
         found = retrieve.top_k(asked, chunks, self.config.retrieval_k).join(asked.drop("vector"), "query_id").join(chunks.select("chunk_id", "text", "module"), "chunk_id")
         gate = None
         if syllabus_id is not None:
+            found = found.join(self._boosts(asked, chunks), "query_id", "left").withColumn("boost", F.coalesce("boost", F.lit(0.0)))
             gate = scope.concept_overlap(asked.select("query_id", F.lit(syllabus_id).alias("syllabus_id"), "question"), self.store.read("concepts"))
-        result = gates.audited(retrieve.scored(found, self.config), threshold if threshold is not None else self.config.user_threshold, syllabus_id is not None, gate, self.judge, self.config)
+        rows = retrieve.scored(found, self.config)
+        # gates see the boost that was applied
+        rows = rows.withColumn("boost", F.when(retrieve.base_score("semantic", "keyword", self.config) > self.config.boost_base, F.col("boost")).otherwise(0.0))
+        result = gates.audited(rows, threshold if threshold is not None else self.config.user_threshold, syllabus_id is not None, gate, self.judge, self.config)
         return questions.select("paste_id", "pos", "query_id").join(result, "query_id")

@@ -51,6 +51,41 @@ def test_audit(spark, engine):
     assert (d.subject_name, d.semester) == ("Other", "4")
 
 
+class Table:
+    """Vectors of given texts; all others are alike and far from them."""
+
+    def __init__(self, **vectors):
+        self.vectors = {k.replace("_", " "): v for k, v in vectors.items()}
+
+    def vector(self, text, task):
+        out = F.array(*(F.lit(0.0) for _ in range(3)), F.lit(1.0))
+        for k, v in self.vectors.items():
+            out = F.when(F.lower(text) == k, F.array(*(F.lit(float(x)) for x in v))).otherwise(out)
+        return out
+
+
+def stored(spark, folder, embedder, text, syllabus="s"):
+    e = CurriculumEngine(spark, f"file://{folder}/own", embedder)
+    row = [(syllabus, 0, text, "M1", None, None, None, None, "CORE")]
+    e.store.append("chunks", spark.createDataFrame(row, "syllabus_id string, chunk_no int, text string, module string, department string, semester string, subject_code string, subject_name string, elective_type string"))
+    return e
+
+
+def test_concepts_boost_paraphrases(spark, tmp_path):
+    """An application question near the chunk and with a concept near one of its own passes by the strong override."""
+    question, text = "How would you implement Redundancy Removal", "Normalization of relations and tables in database design with functional dependencies, decomposition and lossless joins of every kind."
+    near = {"redundancy removal": [1, 0.5, 0, 0], "normalization": [1, 0.4, 0, 0], question.lower(): [1, 0.3, 0, 0], text.lower(): [1, 0.3, 0, 0]}
+    embedder = Table()
+    embedder.vectors = near
+    e = stored(spark, tmp_path, embedder, text)
+    pastes = spark.createDataFrame([(1, question)], "paste_id long, text string")
+    got = e.analyze_questions(pastes, "s", 0.2).first()
+    assert got.similarity == pytest.approx(0.92) and got.decision == "YES" and got.is_in_syllabus
+    embedder.vectors = near | {"redundancy removal": [0, 0, 1, 0]}
+    got = e.analyze_questions(pastes, "s", 0.2).first()
+    assert got.similarity == pytest.approx(0.8) and got.decision == "NO"
+
+
 def test_stream(spark, engine, tmp_path):
     source = tmp_path / "in"
     spark.createDataFrame([(1, "Define RSA")], "paste_id long, text string").write.parquet(str(source))
