@@ -25,9 +25,18 @@ class CurriculumEngine:
     # -- ingestion -------------------------------------------------------------------------------------------------
 
     def parse_curriculum(self, docs: DataFrame, parse_id: str | None = None) -> tuple[str, DataFrame]:
-        """Parse and stage docs(doc_id, text); returns the stage's id and its preview."""
+        """Parse and stage docs(doc_id, text); returns the stage's id and its preview.
+
+        Segments without a code have the digest of their text in their id. Of several texts with one code in a batch
+        the one of the smallest digest has the plain id, the others have their digest in it too.
+        """
         rows = parse.segments(docs.where("text is not null and text <> ''").withColumn("doc_id", F.col("doc_id").cast("string")))
-        parse_id = parse_id or hashlib.md5("".join(sorted(str(r.doc_id) for r in docs.select("doc_id").limit(1000).collect())).encode()).hexdigest()
+        coded = F.coalesce("subject_code", F.lit("")) != ""
+        rows = rows.withColumn("digest", F.upper(F.md5("text"))).withColumn("nth", F.when(coded, F.expr("dense_rank() over (partition by syllabus_id order by digest)")).otherwise(0))
+        rows = rows.withColumn("syllabus_id", F.when(F.col("nth") == 1, F.col("syllabus_id")).otherwise(F.concat_ws("-", "syllabus_id", "digest"))).drop("digest", "nth")
+        if parse_id is None:
+            whole = docs.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.xxhash64(F.col("doc_id").cast("string"), "text").cast("decimal(38,0)")), F.lit(0)).alias("sum")).first()
+            parse_id = hashlib.md5(f"{whole.n} {whole.sum}".encode()).hexdigest()
         self.store.append("staged", rows.withColumn("parse_id", F.lit(parse_id)))
         known = self.store.read("chunks").select("syllabus_id").distinct().withColumn("already_ingested", F.lit(True))
         staged = self.store.read("staged").where(F.col("parse_id") == parse_id).join(known, "syllabus_id", "left")

@@ -34,6 +34,22 @@ def test_ingest_is_idempotent(spark, engine):
         engine.ingest_selected("no such stage")
 
 
+def test_ingest_keeps_every_text(spark, tmp_path):
+    """Documents without metadata, and two texts with one code, are all stored, once each."""
+    e = CurriculumEngine(spark, f"file://{tmp_path}/store")
+    plain = [f"{w} systems in practice: {BODY}" for w in ("alpha", "beta", "gamma")]
+    coded = [fixtures.STRUCTURED.replace("Encryption techniques.", f"{w} {BODY}") for w in ("First", "Second")]
+    docs = spark.createDataFrame(list(enumerate([*plain, plain[0], *coded])), "doc_id long, text string")
+    n = e.ingest_syllabus(docs).count()
+    assert n == 5 and e.store.exists("IT-VIII-PEC-IT801B")
+    texts = [r.text for r in e.store.read("chunks").collect()]
+    assert all(sum(w in t for t in texts) == 1 for w in ("alpha systems", "beta systems", "gamma systems"))
+    e.ingest_syllabus(docs.repartition(5)).collect()
+    e.ingest_syllabus(spark.createDataFrame([(0, "delta systems in practice: " + BODY)], "doc_id long, text string")).collect()
+    assert e.store.registry().count() == 6 and e.store.read("chunks").count() == len(texts) + 1
+    assert e.parse_curriculum(docs)[0] == e.parse_curriculum(docs.orderBy(F.desc("doc_id")))[0] != e.parse_curriculum(docs.limit(2))[0]
+
+
 def test_views(engine):
     ids = {r.syllabus_id for r in engine.list_syllabi().collect()}
     assert "IT-VIII-PEC-IT801B" in ids and engine.departments() == ["Information Technology"]
