@@ -11,13 +11,19 @@ from auditlark.functions import text as T
 
 
 class Embedder(Protocol):
-    """Makes a vector column of a text column; task is query or passage."""
+    """Makes a vector column of a text column; task is query or passage.
+
+    One whose literal is true knows no likeness between different words, so single words aren't compared by it.
+    """
 
     def vector(self, text: Column, task: str) -> Column: ...
 
 
 class HashedWords:
-    """Counts of hashed words, L2-normalised by the search; built-in functions only."""
+    """Counts of hashed words, L2-normalised by the search; built-in functions only. Different words are alike only
+    where their slots collide."""
+
+    literal = True
 
     def __init__(self, size: int = 256):
         self.size = size

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from auditlark.config import DEFAULTS, Config
 from auditlark.functions import text as T
 from auditlark.functions import words as W
+from auditlark.operators import retrieve
 
 
 def lexical_concepts(text: Column | str, least: int = 3) -> Column:
@@ -39,9 +40,10 @@ def alike(a: Column | str, b: Column | str) -> Column:
     return (F.length(a) >= 4) & (F.length(b) >= 4) & (inside | (long_a & long_b & (F.substring(a, 1, 5) == F.substring(b, 1, 5))))
 
 
-def concept_overlap(questions: DataFrame, concepts: DataFrame) -> DataFrame:
+def concept_overlap(questions: DataFrame, concepts: DataFrame, embedder=None, c: Config = DEFAULTS) -> DataFrame:
     """questions(query_id, syllabus_id, question) -> (query_id, overlap): the share of content words, repeats counted,
-    that are or resemble a word of the syllabus' concepts; 1 without words on either side.
+    that are or resemble a word of the syllabus' concepts; 1 without words on either side. With an embedder, other
+    words count by their best cosine with one of the syllabus, if it reaches scope_cosine.
 
     Word pairs meet by keys, not all with all: equal first five letters, or a word's own parts of five letters and
     more that are a word of the other side.
@@ -56,6 +58,12 @@ def concept_overlap(questions: DataFrame, concepts: DataFrame) -> DataFrame:
     hit = words.select("syllabus_id", "word", F.explode(F.concat(keys(F.col("word")), parts(F.col("word")))).alias("key")).join(whole_s, ["syllabus_id", "key"], "left_semi")
     held = words.where(F.length("word") >= 5).join(part_s.withColumnRenamed("key", "word"), ["syllabus_id", "word"], "left_semi")
     matched = hit.select("syllabus_id", "word").unionByName(held).distinct().withColumn("score", F.lit(1.0))
+    if embedder is not None:
+        rest = words.join(matched, ["syllabus_id", "word"], "left_anti").withColumn("query_id", F.xxhash64("syllabus_id", "word"))
+        sought = rest.select("query_id", embedder.vector(F.col("word"), "query").alias("vector"), F.col("syllabus_id").alias("group"))
+        known = s.select(F.xxhash64("syllabus_id", "other").alias("chunk_id"), embedder.vector(F.col("other"), "passage").alias("vector"), F.col("syllabus_id").alias("group"))
+        near = retrieve.top_k(sought, known, 1, grouped=True).where(F.col("cosine") >= c.scope_cosine)
+        matched = matched.unionByName(rest.join(near, "query_id").select("syllabus_id", "word", F.col("cosine").alias("score")))
     found = q.join(matched, ["syllabus_id", "word"], "left").groupBy("query_id").agg(F.avg(F.coalesce("score", F.lit(0.0))).alias("found"))
     known = s.select("syllabus_id").distinct().withColumn("known", F.lit(True))
     return questions.select("query_id", "syllabus_id").join(known, "syllabus_id", "left").join(found, "query_id", "left").select("query_id", F.when(F.col("known"), F.coalesce("found", F.lit(1.0))).otherwise(1.0).alias("overlap"))

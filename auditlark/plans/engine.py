@@ -115,6 +115,20 @@ class CurriculumEngine:
         best = own.select("query_id", F.xxhash64("concept").alias("key")).join(near, "key").groupBy("query_id").agg(F.max("cosine").alias("best"))
         return best.select("query_id", retrieve.concept_boost("best", self.config).alias("boost"))
 
+    def _outcomes(self, asked: DataFrame, syllabus_id: str | None) -> DataFrame:
+        """asked(query_id, vector) -> (query_id, mapped_co, mapped_co_full, mapped_po): the nearest outcome, of the
+        syllabus if there is one, and then its label."""
+        cos = self.store.read("outcomes")
+        if syllabus_id is not None:
+            cos = cos.where(F.col("syllabus_id") == syllabus_id)
+        cos = cos.withColumn("chunk_id", F.xxhash64("syllabus_id", "course_code", "co", "text"))
+        near = retrieve.top_k(asked, cos.select("chunk_id", self.embedder.vector(F.col("text"), "passage").alias("vector")), 1).select("query_id", "chunk_id")
+        mapped = near.join(cos.dropDuplicates(["chunk_id"]), "chunk_id").select("query_id", "syllabus_id", F.col("co").alias("mapped_co"), F.col("full_co").alias("mapped_co_full"))
+        if syllabus_id is None:
+            return mapped.select("query_id", "mapped_co", "mapped_co_full", F.lit(None).cast("string").alias("mapped_po"))
+        pos = self.store.read("outcome_map").groupBy("syllabus_id", F.col("co").alias("key")).agg(F.min("po").alias("mapped_po"))
+        return mapped.withColumn("key", F.upper("mapped_co")).join(pos, ["syllabus_id", "key"], "left").select("query_id", "mapped_co", "mapped_co_full", "mapped_po")
+
     def analyze_questions(self, pastes: DataFrame, syllabus_id: str | None = None, threshold: float | None = None) -> DataFrame:
         """pastes(paste_id, text) -> one result row per question in them."""
         questions = pastes.select("paste_id", F.posexplode(T.split_questions("text")).alias("pos", "question"))
@@ -128,9 +142,15 @@ class CurriculumEngine:
         gate = None
         if syllabus_id is not None:
             found = found.join(self._boosts(asked, chunks), "query_id", "left").withColumn("boost", F.coalesce("boost", F.lit(0.0)))
-            gate = scope.concept_overlap(asked.select("query_id", F.lit(syllabus_id).alias("syllabus_id"), "question"), self.store.read("concepts"))
+            gate = scope.concept_overlap(asked.select("query_id", F.lit(syllabus_id).alias("syllabus_id"), "question"), self.store.read("concepts"), None if getattr(self.embedder, "literal", False) else self.embedder, self.config)
         rows = retrieve.scored(found, self.config)
         # gates see the boost that was applied
         rows = rows.withColumn("boost", F.when(retrieve.base_score("semantic", "keyword", self.config) > self.config.boost_base, F.col("boost")).otherwise(0.0))
         result = gates.audited(rows, threshold if threshold is not None else self.config.user_threshold, syllabus_id is not None, gate, self.judge, self.config)
-        return questions.select("paste_id", "pos", "query_id").join(result, "query_id")
+        out = questions.select("paste_id", "pos", "query_id").join(result, "query_id")
+        out = out.join(self._outcomes(asked, syllabus_id), "query_id", "left")
+        if gate is None:
+            return out
+        refused = (F.col("similarity") >= self.config.scope_similarity) & (F.col("match_strength") == "WEAK_MATCH") & (F.round("overlap", 4) < self.config.scope_overlap)
+        mapped = {k: F.when(~F.coalesce(refused, F.lit(False)), F.col(k)) for k in ("mapped_co", "mapped_co_full", "mapped_po")}
+        return out.join(gate, "query_id", "left").withColumns(mapped).drop("overlap")

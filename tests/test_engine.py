@@ -102,6 +102,27 @@ def test_concepts_boost_paraphrases(spark, tmp_path):
     assert got.similarity == pytest.approx(0.8) and got.decision == "NO"
 
 
+def test_scope_takes_synonyms_and_outcomes_are_mapped(spark, tmp_path):
+    from auditlark.operators import scope
+
+    near = Table(car=[1, 0.1, 0, 0], automobile=[1, 0, 0, 0], boat=[0.5, 1, 0, 0])
+    q = spark.createDataFrame([(1, "s", "car boat"), (2, "t", "car")], "query_id long, syllabus_id string, question string")
+    concepts = spark.createDataFrame([("s", "automobile"), ("t", "banana")], "syllabus_id string, concept string")
+    got = {r.query_id: r.overlap for r in scope.concept_overlap(q, concepts, near).collect()}
+    assert got == pytest.approx({1: 1 / 1.01**0.5 / 2, 2: 0})
+    assert {r.overlap for r in scope.concept_overlap(q, concepts).collect()} == {0.0}
+
+    embedder = Table()
+    embedder.vectors = {"define keys": [0, 1, 0, 0], "use of keys": [0, 1, 0.1, 0], "other things": [1, 0, 0, 0]}
+    e = stored(spark, tmp_path, embedder, BODY)
+    schema = "syllabus_id string, course_code string, co string, full_co string, text string"
+    e.store.append("outcomes", spark.createDataFrame([("s", "X1", "CO1", "X1.CO1", "other things"), ("s", "X1", "CO2", "X1.CO2", "use of keys")], schema))
+    e.store.append("outcome_map", spark.createDataFrame([("s", "CO2", "PO3", None), ("t", "CO2", "PO9", None)], "syllabus_id string, co string, po string, strength int"))
+    pastes = spark.createDataFrame([(1, "Define keys")], "paste_id long, text string")
+    r = e.analyze_questions(pastes, "s", 0.2).first()
+    assert (r.mapped_co, r.mapped_co_full, r.mapped_po) == ("CO2", "X1.CO2", "PO3")
+
+
 def test_stream(spark, engine, tmp_path):
     source = tmp_path / "in"
     spark.createDataFrame([(1, "Define RSA")], "paste_id long, text string").write.parquet(str(source))
