@@ -147,7 +147,14 @@ class CurriculumEngine:
         # gates see the boost that was applied
         rows = rows.withColumn("boost", F.when(retrieve.base_score("semantic", "keyword", self.config) > self.config.boost_base, F.col("boost")).otherwise(0.0))
         result = gates.audited(rows, threshold if threshold is not None else self.config.user_threshold, syllabus_id is not None, gate, self.judge, self.config)
-        out = questions.select("paste_id", "pos", "query_id").join(result, "query_id")
+        # questions for which nothing was found are answered too
+        level = T.bloom_level("asked")
+        nothing = {
+            "question": F.col("asked"), "similarity": F.lit(0.0), "match_strength": F.lit("NO_MATCH"), "match_type": F.lit("OUT_OF_CURRICULUM"), "gatekeeper_passed": F.lit(False), "is_in_syllabus": F.lit(False), "bloom_level": level,
+            "difficulty": T.difficulty(level), "modules": F.lit(""), "question_type": T.question_type("asked"), "decision": F.lit("NO"), "justification": F.lit(gates.LOW), "n_chunks": F.lit(0).cast("long"),
+        }
+        out = questions.select("paste_id", "pos", "query_id", F.col("question").alias("asked")).join(result, "query_id", "left")
+        out = out.withColumns({k: F.coalesce(k, v) for k, v in nothing.items()}).drop("asked")
         out = out.join(self._outcomes(asked, syllabus_id), "query_id", "left")
         if gate is None:
             return out

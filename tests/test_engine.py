@@ -123,6 +123,15 @@ def test_scope_takes_synonyms_and_outcomes_are_mapped(spark, tmp_path):
     assert (r.mapped_co, r.mapped_co_full, r.mapped_po) == ("CO2", "X1.CO2", "PO3")
 
 
+def test_questions_without_chunks_are_answered(spark, engine):
+    pastes = spark.createDataFrame([(1, "Q1. Define RSA in brief Q2: Design a cipher for mail")], "paste_id long, text string")
+    rows = engine.analyze_questions(pastes, "no such syllabus", 0.2).orderBy("pos").collect()
+    assert [(r.question, r.bloom_level, r.similarity, r.match_strength, r.match_type, r.decision, r.is_in_syllabus, r.gatekeeper_passed, r.n_chunks) for r in rows] == [
+        ("Define RSA in brief", "Remember", 0.0, "NO_MATCH", "OUT_OF_CURRICULUM", "NO", False, False, 0),
+        ("Design a cipher for mail", "Create", 0.0, "NO_MATCH", "OUT_OF_CURRICULUM", "NO", False, False, 0),
+    ]
+
+
 def test_stream(spark, engine, tmp_path):
     source = tmp_path / "in"
     spark.createDataFrame([(1, "Define RSA")], "paste_id long, text string").write.parquet(str(source))
