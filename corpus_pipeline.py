@@ -21,9 +21,21 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of linked ones stays: the one with the smallest doc_id."""
-    dropped = ngram_join(docs).where("component_id <> doc_id").select(F.col("doc_id").alias("__id")).distinct()
-    return docs.join(dropped, F.col("doc_id") == F.col("__id"), "left_anti")
+    """One row of each group of linked ones stays: the one with the smallest doc_id, null behind all others.
+
+    Rows with one doc_id are told apart by their text, and of equal ones a single one stays. Rows without words are
+    linked with nothing and all stay.
+    """
+    keyed = docs.withColumn("__key", F.xxhash64(F.col("doc_id").isNull(), "doc_id", "text"))
+    linked = ngram_join(keyed, doc_id="__key").where("n_shingles > 0").groupBy(F.col("doc_id").alias("__key")).agg(F.min("component_id").alias("component_id"), F.count("*").alias("n"))
+    linked = written(linked, "near-duplicates")
+    named = linked.join(keyed.select("__key", F.col("doc_id").alias("id")).distinct(), "__key")
+    first = F.min(F.struct(F.col("id").isNull().alias("unnamed"), "id", "__key", "n"))
+    kept = written(named.groupBy("component_id").agg(first.alias("x")).select("x.__key", "x.n"), "near-duplicates")
+    again = kept.where("n > 1").select("__key")
+    gone = linked.select("__key").join(kept, "__key", "left_anti").unionByName(again)
+    single = keyed.join(again, "__key", "left_semi").dropDuplicates(["__key"])
+    return keyed.join(gone, "__key", "left_anti").unionByName(single).select(docs.columns)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

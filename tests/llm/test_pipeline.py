@@ -96,6 +96,17 @@ def test_stages(spark, folder):
     assert sorted((r.doc_id, r.start, r.n_tokens, r.ids_crc32) for r in tokens) == sorted(want)
 
 
+def test_near_duplicates_of_repeated_and_null_ids(spark, tmp_path):
+    a, b, c = ("one two three four five six seven " + " ".join(f"{x}{k}" for k in range(20)) for x in "abc")
+    rows = [(1, a), (1, a), (2, a), (2, b), (None, b), (None, c), (None, c), (3, None), (3, None), (4, c + " more")]
+    docs = spark.createDataFrame([(i, t, "en") for i, t in rows], "doc_id long, text string, lang string")
+    out = corpus_pipeline.near_duplicates(spark, docs, str(tmp_path))
+    assert out.columns == docs.columns
+    assert sorted(((r.doc_id, r.text) for r in out.collect()), key=repr) == sorted([(1, a), (2, b), (3, None), (3, None), (4, c + " more")], key=repr)
+    alone = docs.where("doc_id is null and text is not null").limit(3)
+    assert corpus_pipeline.near_duplicates(spark, alone, str(tmp_path)).count() == 2
+
+
 def test_run(spark, folder):
     sf, _ = folder
     rows = corpus_pipeline.run(spark, sf)
