@@ -1,184 +1,215 @@
-"""Exact tokenizer encodings of whole texts, with the work shared between equal words.
+"""Exact tokenizer encodings of whole texts, with the work shared between equal units.
 
-A tokenizers file is run by the tokenizers library. Both supported files cut a text into pieces before any merge,
-and no piece spans a blank between two other characters, so a text's ids are those of its blank-parted pieces in
-turn. Pieces repeat far more often than texts; a worker keeps the ids of those it has met. A text where blanks meet
-other white space, or that may hold a special token's string, is encoded whole.
+A tokenizers file is run by the tokenizers library. Both supported files cut a text into units before any merge, so
+that a text's ids are those of its units in turn. numpy finds the units of many texts at a time, Arrow the distinct
+ones; units repeat far more often than texts, and a worker keeps the ids of those it has met. A text with a character
+beyond Latin-1, or that may hold a special token's string, is encoded whole by the library.
 """
 
 from __future__ import annotations
 
-import gc
 import os
-from array import array
 from collections.abc import Iterator
-from contextlib import contextmanager
 from itertools import repeat
 
 import numpy as np
 import public_tokenizers
-import regex
+import pyarrow as pa
+import pyarrow.compute as pc
 from tokenizers import Tokenizer
 
 from auditlark.llm.common import worker_state
 
-#: Pieces that a worker remembers at most; beyond it the memory starts anew.
-MOST_PIECES = 600_000
-
-
-# How each file parts a text before merges, with the blank a word keeps or without.
-KEEPING = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
-DROPPING = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+")
-
+#: Units that a worker remembers at most; beyond it the memory starts anew.
+MOST_UNITS = 250_000
+#: Bytes of texts that are cut at a time; a longer text is a slice of its own.
+SLICE_BYTES = 1 << 20
+BLANK, APOSTROPHE = 32, 39
+SPACE, LETTER, NUMBER, OTHER = range(4)
 
 # Byte-level files write printable bytes as themselves and the others, in order, from U+0100 on.
 PRINTABLE = {*range(33, 127), *range(161, 173), *range(174, 256)}
-BYTE_CHARACTERS = {b: chr(256 + k) for k, b in enumerate(b for b in range(256) if b not in PRINTABLE)}
-
-
-@contextmanager
-def _no_collection() -> Iterator[None]:
-    """Keeps the cycle collector from walking the many short-lived lists of a batch; they hold no cycles."""
-    was = gc.isenabled()
-    gc.disable()
-    try:
-        yield
-    finally:
-        if was:
-            gc.enable()
+BYTE_CODES = np.arange(256, dtype="<u4")
+BYTE_CODES[[b for b in range(256) if b not in PRINTABLE]] = np.arange(256, 512 - len(PRINTABLE))
 
 
-def _plain(text: str) -> bool:
-    return (text.isascii() or max(text) < "\u0100") and "<|" not in text
-
-
-class Pieces(dict):
-    """piece -> number; ids of piece k are flat[starts[k]:starts[k] + sizes[k]]. -1: not a piece by itself.
-
-    A piece of Latin-1 characters is parted as the file does it, and its parts' ids are remembered too, so that a
-    word before a comma costs nothing if the word has been met. Any other piece is encoded as it is.
-    """
+class Units(dict):
+    """unit (bytes) -> number; ids of unit k are flat[starts[k]:starts[k] + sizes[k]]. Number 0 has no ids."""
 
-    def __init__(self, tokenizer: Tokenizer, leading: bool, any_piece: bool, parts: dict[str, bytes]):
+    def __init__(self, tokenizer: Tokenizer, dropped: frozenset[bytes]):
         super().__init__()
-        self.tokenizer, self.lead, self.any_piece, self.parts = tokenizer, " " if leading else "", any_piece, parts
+        self.merge, self.dropped = tokenizer.model.tokenize, dropped
         self.clear()
 
     def clear(self) -> None:
         super().clear()
-        self.parts.clear()
-        self.starts, self.sizes = np.zeros(1024, np.int64), np.zeros(1024, np.int64)
-        self.flat, self.used, self.count = np.zeros(8192, np.uint32), 0, 0
-
-    def _parted(self, piece: str) -> list[str]:
-        if not _plain(piece):
-            return [self.lead + piece]
-        if self.any_piece:
-            return DROPPING.findall(piece.lower())
-        return [self.lead + piece] if piece.isalpha() else KEEPING.findall(self.lead + piece)
-
-    def learn(self, pieces: list[str]) -> None:
-        # where blanks are dropped every piece is by itself; else it must not touch other white space
-        good = [p for p in pieces if self.any_piece or (p and not p[0].isspace() and not p[-1].isspace() and "<|" not in p)]
-        for p in pieces if len(good) < len(pieces) else ():
-            self[p] = -1
-        parted = [self._parted(p) for p in good]
-        if new := list({t for parts in parted for t in parts if t not in self.parts}):
-            whole = [t for t in new if not _plain(t)]
-            for t, e in zip(whole, self.tokenizer.encode_batch_fast(whole, add_special_tokens=False), strict=True):
-                self.parts[t] = array("I", e.ids).tobytes()
-            # a part is one unit of the file's parting: the library's merges take it directly, as byte characters
-            merge, blank = self.tokenizer.model.tokenize, BYTE_CHARACTERS[32]
-            for t in new:
-                if t not in self.parts:
-                    word = t[1:] if t[0] == " " else t
-                    if word.isalpha() and t.isascii():
-                        chars = t if word is t else blank + word
-                    else:
-                        chars = t.encode().decode("latin-1").translate(BYTE_CHARACTERS)
-                    self.parts[t] = array("I", [x.id for x in merge(chars)]).tobytes()
-        ids = [b"".join([self.parts[t] for t in parts]) for parts in parted]
-        sizes = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
+        self.starts, self.sizes = np.zeros(1024, np.int64), np.zeros(1024, np.int32)
+        self.flat, self.used, self.count = np.zeros(8192, np.uint32), 0, 1
+
+    def _ids(self, units: list[bytes]) -> Iterator[list[int]]:
+        """The library's merges take a unit directly, as byte characters."""
+        text = BYTE_CODES[np.frombuffer(b"".join(units), np.uint8)].tobytes().decode("utf-32-le")
+        at = 0
+        for unit in units:
+            yield [t.id for t in self.merge(text[at : at + len(unit)])]
+            at += len(unit)
+
+    def learn(self, units: list[bytes]) -> None:
+        good = [u for u in units if u[:1] not in self.dropped and u[:2] not in self.dropped]
+        if len(good) < len(units):
+            self.update(zip(units, repeat(0)))
+        ids = list(self._ids(good))
         first, n = self.count, len(ids)
+        sizes = np.fromiter(map(len, ids), np.int64, n)
+        total = int(sizes.sum())
         while first + n > len(self.starts):
             self.starts, self.sizes = np.resize(self.starts, 2 * len(self.starts)), np.resize(self.sizes, 2 * len(self.sizes))
-        total = int(sizes.sum())
         while self.used + total > len(self.flat):
             self.flat = np.resize(self.flat, 2 * len(self.flat))
-        self.flat[self.used : self.used + total] = np.frombuffer(b"".join(ids), np.uint32)
+        self.flat[self.used : self.used + total] = np.fromiter((i for x in ids for i in x), np.uint32, total)
         self.sizes[first : first + n] = sizes
         self.starts[first : first + n] = self.used + np.cumsum(sizes) - sizes
         self.update(zip(good, range(first, first + n), strict=True))
         self.used, self.count = self.used + total, first + n
 
+    def numbers(self, units: list[bytes]) -> np.ndarray:
+        found = np.fromiter(map(self.get, units, repeat(-1)), np.int64, len(units))
+        missing = np.flatnonzero(found < 0)
+        if len(missing):
+            new = [units[i] for i in missing.tolist()]
+            self.learn(new)
+            found[missing] = [self[u] for u in new]
+        return found
+
 
 class Encoder:
-    """Encodes many texts at a time as the tokenizers library does for one whole text, without added special tokens."""
+    """Encodes many texts at a time as the tokenizers library does for one whole text, without added special tokens.
+
+    A unit is a run of letters, a run of numbers, a run of other signs (each with the blank before it), white space,
+    or an apostrophe with s, t, re, ve, m, ll or d where no blank and no other sign is before it. Files that drop white
+    space count letters without case, take numbers one by one, and know no blank before a unit.
+    """
 
     def __init__(self, file: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.tokenizer = Tokenizer.from_file(public_tokenizers.path(file))
         # a byte-level file keeps the blank before a word with the word; the other drops all blanks
-        self.leading = len(self.tokenizer.encode("a b", add_special_tokens=False).ids) == len(self.tokenizer.encode("a", add_special_tokens=False).ids) + len(
-            self.tokenizer.encode(" b", add_special_tokens=False).ids
-        ) and self.tokenizer.encode(" b", add_special_tokens=False).ids != self.tokenizer.encode("b", add_special_tokens=False).ids
-        self.pieces = Pieces(self.tokenizer, self.leading, not self.leading, {})
-        self.first = Pieces(self.tokenizer, False, False, {}) if self.leading else self.pieces
-
-    def _split(self, text: str) -> list[str]:
-        return (text if self.leading else text.replace("\n", " ").replace("\t", " ")).split(" ")
-
-    def _numbered(self, know: Pieces, lists: list[list[str]]) -> list[np.ndarray]:
-        found = [np.fromiter(map(know.get, r, repeat(-2)), np.int64, len(r)) for r in lists]
-        missing = [np.flatnonzero(n == -2) for n in found]
-        if unknown := list({r[i] for r, m in zip(lists, missing, strict=True) for i in m.tolist()}):
-            know.learn(unknown)
-            for r, n, m in zip(lists, found, missing, strict=True):
-                n[m] = [know[r[i]] for i in m.tolist()]
-        return found
-
-    def _numbers(self, texts: list[str]) -> tuple[list[np.ndarray | None], list[int]]:
-        """Piece numbers of each text, or None for texts to be encoded whole, and the numbers of first pieces."""
-        if len(self.pieces) + len(self.first) > MOST_PIECES:
-            self.pieces.clear()
-            self.first.clear()
-        split = [self._split(t) for t in texts]
+        alone = [self.tokenizer.encode(t, add_special_tokens=False).ids for t in ("a b", "a", " b", "b")]
+        self.leading = len(alone[0]) == len(alone[1]) + len(alone[2]) and alone[2] != alone[3]
+        self.kinds = np.array([self._kind(chr(c)) for c in range(256)], np.uint8)
+        spaces = [chr(c).encode() for c in np.flatnonzero(self.kinds == SPACE).tolist()]
+        self.units = Units(self.tokenizer, frozenset(() if self.leading else spaces))
+
+    def _kind(self, char: str) -> int:
+        """What the library's own cutting takes a character for."""
+        pieces = lambda c: len(self.tokenizer.pre_tokenizer.pre_tokenize_str(c + char + c))
+        if pieces("a") == 1:
+            return LETTER
+        if pieces("!") == 1:
+            return OTHER
+        return NUMBER if pieces("1") == (1 if self.leading else 3) else SPACE
+
+    def _starts(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+        """The bytes where units of Latin-1 texts begin."""
+        kind = self.kinds[data]
+        wide = np.flatnonzero(data >= 0xC2)
+        if len(wide):
+            kind[wide] = kind[wide + 1] = self.kinds[(data[wide] & 3).astype(np.int64) << 6 | data[wide + 1] & 63]
+        head = np.zeros(len(data), bool)
+        head[offsets[:-1][offsets[:-1] < offsets[1:]]] = True
+        start = head.copy()
+        start[1:] |= kind[1:] != kind[:-1]
+        within = (data & 0xC0) == 0x80
+        if self.leading:
+            # white space leaves its last character to what follows; a blank joins it, any other stands by itself
+            after = np.flatnonzero(start & ~head & (kind != SPACE))
+            after = after[kind[after - 1] == SPACE]
+            last = after - 1
+            start[last - within[last]] = True
+            start[after[data[last] == BLANK]] = False
+        else:
+            start |= (kind == NUMBER) & ~within
+        mark = np.flatnonzero((data == APOSTROPHE) & start)
+        mark = mark[mark + 1 < len(data)]
+        mark = mark[(kind[mark + 1] == LETTER) & ~head[mark + 1]]
+        if len(mark):
+            padded = np.concatenate((data, np.zeros(2, np.uint8)))
+            one, two = padded[mark + 1], np.where(np.concatenate((head, [True, True]))[mark + 2], 0, padded[mark + 2])
+            size = np.isin(one, np.frombuffer(b"stmd", np.uint8)).astype(np.int64)
+            size[np.isin(one, np.frombuffer(b"rv", np.uint8)) & (two == ord("e")) | (one == ord("l")) & (two == ord("l"))] = 2
+            mark, size = mark[size > 0], size[size > 0]
+            start[mark + 1] = False
+            start[(mark + 1 + size)[mark + 1 + size < len(data)]] = True
+        return np.flatnonzero(start)
+
+    def _numbered(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Unit numbers of all texts, and where each text's begin."""
+        offsets, data = _buffers(texts)
+        if not len(data):
+            return np.zeros(0, np.int64), np.zeros(len(texts) + 1, np.int64)
         if not self.leading:
-            return self._numbered(self.pieces, split), [-1] * len(texts)
-        rests = self._numbered(self.pieces, [s[1:] for s in split])
-        heads = [int(n[0]) for n in self._numbered(self.first, [s[:1] for s in split])]
-        # an empty text has no first piece; any piece that isn't one by itself calls for the whole text
-        whole = [bool(t) and (h < 0 or bool((n < 0).any())) for t, n, h in zip(texts, rests, heads, strict=True)]
-        return [None if w else n for w, n in zip(whole, rests, strict=True)], [h if t else -1 for t, h in zip(texts, heads, strict=True)]
-
-    def counts(self, texts: list[str]) -> list[int]:
-        with _no_collection():
-            numbers, heads = self._numbers(texts)
-        out = []
-        for t, n, h in zip(texts, numbers, heads, strict=True):
-            if n is None:
-                out.append(len(self.tokenizer.encode(t, add_special_tokens=False).ids))
-            else:
-                out.append(int(self.pieces.sizes[n].sum()) + (int(self.first.sizes[h]) if h >= 0 else 0))
-        return out
-
-    def ids(self, texts: list[str]) -> list[np.ndarray]:
-        with _no_collection():
-            numbers, heads = self._numbers(texts)
-        know, out = self.pieces, []
-        for t, n, h in zip(texts, numbers, heads, strict=True):
-            if n is None:
-                out.append(np.array(self.tokenizer.encode(t, add_special_tokens=False).ids, np.uint32))
-                continue
-            sizes = know.sizes[n]
-            ends = np.cumsum(sizes)
-            at = np.arange(int(ends[-1]) if len(ends) else 0) + np.repeat(know.starts[n] - (ends - sizes), sizes)
-            ids = know.flat[at]
-            if h >= 0:
-                a = self.first.starts[h]
-                ids = np.concatenate((self.first.flat[a : a + self.first.sizes[h]], ids))
-            out.append(ids)
-        return out
+            data = data.copy()
+            data[(data >= 65) & (data <= 90)] += 32
+            wide = np.flatnonzero(data[:-1] == 0xC3) + 1
+            wide = wide[(data[wide] <= 0x9E) & (data[wide] != 0x97)]
+            data[wide] += 32
+        if len(self.units) > MOST_UNITS:
+            self.units.clear()
+        starts = self._starts(data, offsets)
+        places = pa.py_buffer(np.append(starts, len(data)).astype(np.int32))
+        coded = pa.Array.from_buffers(pa.binary(), len(starts), [None, places, pa.py_buffer(np.ascontiguousarray(data))]).dictionary_encode()
+        return self.units.numbers(coded.dictionary.to_pylist())[coded.indices.to_numpy()], np.searchsorted(starts, offsets)
+
+    def _slices(self, texts: pa.Array) -> Iterator[tuple[pa.Array, np.ndarray, list[list[int]]]]:
+        """Slices of texts: those to cut, which of all they are, and the ids of the others, which the library encodes."""
+        ends, lo = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy()), 0
+        while lo < len(texts):
+            before = int(ends[lo - 1]) if lo else 0
+            hi = max(lo + 1, int(np.searchsorted(ends, before + SLICE_BYTES, side="right")))
+            part = pc.fill_null(texts.slice(lo, hi - lo), "")
+            offsets, data = _buffers(part)
+            odd = data >= 0xC4
+            odd[:-1] |= (data[:-1] == ord("<")) & (data[1:] == ord("|"))
+            seen = np.concatenate(([0], np.cumsum(odd)))
+            plain = seen[offsets[1:]] == seen[offsets[:-1]]
+            others = [] if plain.all() else part.filter(pa.array(~plain)).to_pylist()
+            yield part.filter(pa.array(plain)) if others else part, plain, [self.tokenizer.encode(t, add_special_tokens=False).ids for t in others]
+            lo = hi
+
+    def counts(self, texts: pa.Array) -> np.ndarray:
+        """The number of ids of each text; null counts as empty."""
+        out = [np.zeros(0, np.int64)]
+        for part, plain, others in self._slices(texts):
+            numbers, bounds = self._numbered(part)
+            ends = np.concatenate(([0], np.cumsum(self.units.sizes[numbers], dtype=np.int64)))
+            sizes = np.zeros(len(plain), np.int64)
+            sizes[plain], sizes[~plain] = np.diff(ends[bounds]), [len(x) for x in others]
+            out.append(sizes)
+        return np.concatenate(out)
+
+    def ids(self, texts: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """For each slice of texts in turn: the ids of its texts, one behind the other, and how many each has."""
+        for part, plain, others in self._slices(texts):
+            numbers, bounds = self._numbered(part)
+            each = self.units.sizes[numbers].astype(np.int64)
+            ends = np.concatenate(([0], np.cumsum(each)))
+            ids = self.units.flat[np.arange(ends[-1]) + np.repeat(self.units.starts[numbers] - ends[:-1], each)]
+            sizes = np.zeros(len(plain), np.int64)
+            sizes[plain], sizes[~plain] = np.diff(ends[bounds]), [len(x) for x in others]
+            if others:
+                cuts = np.cumsum(np.where(plain, sizes, 0))[~plain]
+                runs = zip(np.split(ids, cuts), [*(np.array(x, np.uint32) for x in others), np.zeros(0, np.uint32)], strict=True)
+                ids = np.concatenate([x for pair in runs for x in pair])
+            yield ids, sizes
+
+
+def _buffers(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Offsets (from 0) and bytes of an array of strings without nulls."""
+    texts = texts.cast(pa.large_string())
+    offsets = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1] if len(texts) else np.zeros(1, np.int64)
+    raw = texts.buffers()[2]
+    data = np.frombuffer(raw, np.uint8) if raw is not None and raw.size else np.zeros(0, np.uint8)
+    return offsets - offsets[0], data[offsets[0] : offsets[-1]]
 
 
 def encoder(file: str) -> Encoder:

@@ -13,6 +13,7 @@ import struct
 import uuid
 import zlib
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -22,10 +23,12 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from auditlark.llm.common import documents_of, new_path, written
+from auditlark.llm.common import documents_of, new_path, returning_memory, written
 from auditlark.llm.encoders import encoder
 
 MAGIC = b"ALTPLN01"
+#: Documents that a reader hands on at a time.
+READ_ROWS = 8192
 
 
 def to_planes(ids: np.ndarray, planes: str) -> list[bytes]:
@@ -58,9 +61,10 @@ class ShardWriter:
         self.sizes: list[int] = []
         out.write(MAGIC)
 
-    def add(self, doc_id: int | None, ids: np.ndarray) -> None:
-        self.docs.append(doc_id)
-        self.sizes.append(len(ids))
+    def add(self, doc_ids: list[int | None], ids: np.ndarray, sizes: np.ndarray) -> None:
+        """Documents in turn: their ids, one behind the other, and how many each has."""
+        self.docs += doc_ids
+        self.sizes += sizes.tolist()
         self.total += len(ids)
         self.held.append(ids)
         self.waiting += len(ids)
@@ -69,7 +73,7 @@ class ShardWriter:
             full = len(everything) // self.block * self.block
             for k in range(0, full, self.block):
                 self._flush(everything[k : k + self.block])
-            self.held, self.waiting = [everything[full:]], len(everything) - full
+            self.held, self.waiting = [everything[full:].copy()], len(everything) - full
 
     def _flush(self, ids: np.ndarray) -> None:
         parts = [self.packer.compress(p) for p in to_planes(ids, self.planes)]
@@ -130,18 +134,19 @@ def _write(folder: str, file: str, end_id: int, block: int, planes: str):
         store.create_dir(top, recursive=True)
         # every attempt has a name of its own; the manifest names the one that counts
         name = f"shard-{shard:06d}-{uuid.uuid4().hex}.planes"
-        own, end = encoder(file), np.array([end_id], np.uint32)
+        own = encoder(file)
         with store.open_output_stream(f"{top}/{name}") as out:
             writer = ShardWriter(out, block, planes)
             for batch in batches:
-                ids, texts = batch.column(0).to_pylist(), batch.column(1)
-                for at in range(0, len(texts), 256):
-                    for k, found in enumerate(own.ids([t or "" for t in texts.slice(at, 256).to_pylist()])):
-                        writer.add(ids[at + k], np.concatenate((found, end)))
+                doc_ids, at = batch.column(0).to_pylist(), 0
+                for ids, sizes in own.ids(batch.column(1)):
+                    ids = np.insert(ids, np.cumsum(sizes), end_id)
+                    writer.add(doc_ids[at : at + len(sizes)], ids, sizes + 1)
+                    at += len(sizes)
             writer.close()
         yield pa.RecordBatch.from_arrays([pa.array([shard], pa.int32()), pa.array([name]), pa.array([writer.total], pa.int64()), pa.array([len(writer.docs)], pa.int64())], names=["shard", "name", "n_ids", "n_docs"])
 
-    return run
+    return returning_memory(run)
 
 
 def _read(folder: str):
@@ -150,11 +155,11 @@ def _read(folder: str):
         for batch in batches:
             for name, before in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 with store.open_input_file(f"{top}/{name}") as source:
-                    rows = [(d, before + start, len(ids), zlib.crc32(ids.astype("<u4").tobytes())) for d, start, ids in ShardReader(source).documents()]
-                columns = list(zip(*rows, strict=True)) or [[]] * 4
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["doc_id", "start", "n_tokens", "ids_crc32"])
+                    found = ((d, before + start, len(ids), zlib.crc32(ids.astype("<u4").tobytes())) for d, start, ids in ShardReader(source).documents())
+                    while rows := list(islice(found, READ_ROWS)):
+                        yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows, strict=True)], names=["doc_id", "start", "n_tokens", "ids_crc32"])
 
-    return run
+    return returning_memory(run)
 
 
 def write_token_files(
@@ -170,7 +175,9 @@ def write_token_files(
     spark = docs.sparkSession
     folder = folder or new_path(spark, "token-files")
     shards = shards or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ordered = documents_of(docs, doc_id, text).repartitionByRange(shards, "doc_id").sortWithinPartitions("doc_id", F.xxhash64("text"))
+    # rows that share an id are dealt by their texts too, so that they need not meet in one task
+    order = ["doc_id", F.xxhash64("text")]
+    ordered = documents_of(docs, doc_id, text).repartitionByRange(shards, *order).sortWithinPartitions(*order)
     manifest = written(ordered.mapInArrow(_write(folder, file, end_id, block, planes), "shard int, name string, n_ids long, n_docs long"), "token-manifest")
     # one row for each shard: as many as tasks wrote
     rows, before = [], 0
