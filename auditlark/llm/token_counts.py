@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from auditlark.llm.common import BLANKS, documents_of, new_path
+from auditlark.llm.common import BLANKS, documents_of, new_path, returning_memory, written
 from auditlark.llm.encoders import encoder
 
 CACHE = "version string, digest binary, n_tokens long"
@@ -35,13 +35,9 @@ def _encoded(file: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = encoder(file)
         for batch in batches:
-            texts = batch.column(1)
-            counts: list[int] = []
-            for at in range(0, len(texts), 256):
-                counts += own.counts([t or "" for t in texts.slice(at, 256).to_pylist()])
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(counts, pa.int64())], names=["digest", "n_tokens"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(own.counts(batch.column(1)), pa.int64())], names=["digest", "n_tokens"])
 
-    return run
+    return returning_memory(run)
 
 
 def token_counts(docs: DataFrame, cache: str | None = None, file: str = "word_bpe_49k.json", limit: int = 2048, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -56,17 +52,18 @@ def token_counts(docs: DataFrame, cache: str | None = None, file: str = "word_bp
     rows = documents_of(docs, doc_id, text).withColumn("text", F.coalesce("text", F.lit("")))
     digest = content_digest(F.col("text"), file)
     stored = read_cache(spark, path).where(F.col("version") == version).select("digest", "n_tokens")
-    # the smallest document of each content is encoded if the content isn't stored
-    about = rows.select("doc_id", digest.alias("digest"))
+    # one reading of the texts says what each row holds; the smallest document of each content is encoded if that isn't stored
+    about = written(rows.select("doc_id", F.octet_length("text").cast("long").alias("n_bytes"), digest.alias("digest")), "token-digests")
     misses = about.groupBy("digest").agg(F.min("doc_id").alias("id")).join(stored, "digest", "left_anti")
-    chosen = rows.join(misses.select("id", F.col("digest").alias("miss")), F.col("doc_id").eqNullSafe(F.col("id")), "inner")
+    # the ids of misses are the hash table of each task; texts stream past it unsorted
+    chosen = rows.join(misses.select("id", F.col("digest").alias("miss")).hint("shuffle_hash"), F.col("doc_id").eqNullSafe(F.col("id")), "inner")
     # rows may share an id: only the row of the missing content counts
     chosen = chosen.where(digest == F.col("miss")).select("miss", "text")
     counted = chosen.mapInArrow(_encoded(file), "digest binary, n_tokens long").dropDuplicates(["digest"])
     counted.select(F.lit(version).alias("version"), "digest", "n_tokens").write.mode("append").parquet(path)
     stored = read_cache(spark, path).where(F.col("version") == version).groupBy("digest").agg(F.max("n_tokens").alias("n_tokens"))
-    sized = rows.select("doc_id", F.octet_length("text").cast("long").alias("n_bytes"), digest.alias("digest"))
-    return sized.join(stored, "digest", "left").select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"), F.hex("digest").alias("digest"))
+    sized = about.join(stored, "digest", "left")
+    return sized.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"), F.hex("digest").alias("digest"))
 
 
 def read_cache(spark: SparkSession, path: str) -> DataFrame:
