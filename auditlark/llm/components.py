@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from auditlark.llm.common import written
+from auditlark.llm.common import dropped, written
 
 
 def connected_components(links: DataFrame, most_rounds: int = 40) -> DataFrame:
@@ -25,7 +25,8 @@ def connected_components(links: DataFrame, most_rounds: int = 40) -> DataFrame:
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").select(F.col("v").alias("w"), "m", "u")
         pairs = small.select(F.explode(F.array(F.struct(F.col("w").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))).alias("e"))
-        edges = written(pairs.select("e.u", "e.v").where("u <> v").distinct(), "components")
+        old, edges = edges, written(pairs.select("e.u", "e.v").where("u <> v").distinct(), "components")
+        dropped(links.sparkSession, old)
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == before:
             break

@@ -59,22 +59,23 @@ class Words:
     first: np.ndarray
 
 
-def slices(column: pa.Array | pa.ChunkedArray, most_bytes: int = 4 << 20) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
-    """Cut a string column into runs of rows of about most_bytes: (row from, row to, bytes, offsets). Null is empty."""
+def slices(column: pa.Array | pa.ChunkedArray, most_bytes: int = 1 << 20, most_rows: int = 30_000) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """Cut a string column into runs of rows of about most_bytes: (row from, row to, bytes, offsets). Null is empty.
+
+    The kernels below need about 60 bytes for each byte of a run, so a run is small, but for a longer text.
+    """
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
-    column = pc.fill_null(column.cast(pa.large_string()), "")
-    n = len(column)
-    if not n:
-        return
-    offsets = np.frombuffer(column.buffers()[1], np.int64)[column.offset : column.offset + n + 1]
-    raw = column.buffers()[2]
-    data = np.frombuffer(raw, np.uint8) if raw is not None and raw.size else np.zeros(0, np.uint8)
-    lo = 0
+    ends, lo, n = np.cumsum(pc.fill_null(pc.binary_length(column), 0).to_numpy(), dtype=np.int64), 0, len(column)
     while lo < n:
-        hi = max(lo + 1, int(np.searchsorted(offsets, offsets[lo] + most_bytes, side="right")) - 1)
-        hi = min(hi, n)
-        yield lo, hi, data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo]
+        before = int(ends[lo - 1]) if lo else 0
+        hi = min(max(lo + 1, int(np.searchsorted(ends, before + most_bytes, side="right"))), lo + most_rows, n)
+        # only the run's rows are copied where nulls are filled
+        part = pc.fill_null(column.slice(lo, hi - lo).cast(pa.large_string()), "")
+        offsets = np.frombuffer(part.buffers()[1], np.int64)[part.offset : part.offset + hi - lo + 1]
+        raw = part.buffers()[2]
+        data = np.frombuffer(raw, np.uint8) if raw is not None and raw.size else np.zeros(0, np.uint8)
+        yield lo, hi, data[offsets[0] : offsets[-1]], offsets - offsets[0]
         lo = hi
 
 

@@ -26,12 +26,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from auditlark.llm.common import documents_of, dropped, written
+from auditlark.llm.common import documents_of, dropped, returning_memory, written
 from auditlark.llm.components import connected_components
 from auditlark.llm.kernels import U, blank_bytes, set_digests, shingles_of, slices, words_of
 
 #: Documents and shingles of one chunk, within which a shingle is sent once.
 CHUNK_DOCS, CHUNK_BYTES = 60_000, 6 << 20
+#: Bytes of texts for each fragment: about 350,000 entries, so that the 32 bits that tell a fragment's shingles apart
+#: leave one pair in ten thousand together, whatever the size of the input; and so that a worker holds little at a time.
+FRAGMENT_BYTES = 2 << 20
 PART = "frag int, chunk long, hashes binary, rows binary, doc_id array<long>, digest array<binary>, n array<int>, shared array<int>"
 COUNTED = "chunk long, rows binary, counts binary, doc_id array<long>, digest array<binary>, n array<int>, shared array<int>"
 SUMMED = "doc_id long, digest binary, n int, shared int"
@@ -41,25 +44,30 @@ def _parts(size: int, fragments: int):
     """Map side: each distinct shingle of a chunk once, dealt to fragments by its upper bits."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        schema = pa.schema(
-            [("frag", pa.int32()), ("chunk", pa.int64()), ("hashes", pa.binary()), ("rows", pa.binary()), ("doc_id", pa.list_(pa.int64())),
-             ("digest", pa.list_(pa.binary())), ("n", pa.list_(pa.int32())), ("shared", pa.list_(pa.int32()))]
-        )
-        parting = blank_bytes()
+        parting, ids, held, taken = blank_bytes(), [], [], 0
         for batch in batches:
-            ids = batch.column(0)
-            for lo, hi, data, offsets in slices(batch.column(1), CHUNK_BYTES):
-                for at in range(lo, hi, CHUNK_DOCS):
-                    to = min(hi, at + CHUNK_DOCS)
-                    part = offsets[at - lo : to - lo + 1]
-                    values, bounds = shingles_of(words_of(data[part[0] : part[-1]], part - part[0], parting), size)
-                    yield from _chunk(ids.slice(at, to - at), values, bounds, fragments, schema)
-
-    return run
+            for lo, hi, data, offsets in slices(batch.column(1), most_rows=CHUNK_DOCS // 2):
+                ids.append(batch.column(0).slice(lo, hi - lo))
+                held.append(shingles_of(words_of(data, offsets, parting), size))
+                taken += len(data)
+                if taken >= CHUNK_BYTES or sum(map(len, ids)) > CHUNK_DOCS // 2:
+                    yield _chunk(ids, held, fragments)
+                    ids, held, taken = [], [], 0
+        if ids:
+            yield _chunk(ids, held, fragments)
+
+    return returning_memory(run)
+
+
+PART_SCHEMA = pa.schema(
+    [("frag", pa.int32()), ("chunk", pa.int64()), ("hashes", pa.binary()), ("rows", pa.binary()), ("doc_id", pa.list_(pa.int64())),
+     ("digest", pa.list_(pa.binary())), ("n", pa.list_(pa.int32())), ("shared", pa.list_(pa.int32()))]
+)
 
 
-def _chunk(ids: pa.Array, values: np.ndarray, bounds: np.ndarray, fragments: int, schema: pa.Schema) -> Iterator[pa.RecordBatch]:
-    n = np.diff(bounds)
+def _chunk(ids: list[pa.Array], held: list[tuple[np.ndarray, np.ndarray]], fragments: int) -> pa.RecordBatch:
+    values, n = np.concatenate([v for v, _ in held]), np.concatenate([np.diff(bounds) for _, bounds in held])
+    bounds = np.concatenate(([0], np.cumsum(n)))
     digests = set_digests(values, bounds)
     # documents with equal sets count once, so that copies in a chunk add nothing
     keys = np.ascontiguousarray(digests).view("V16").ravel()
@@ -80,21 +88,20 @@ def _chunk(ids: pa.Array, values: np.ndarray, bounds: np.ndarray, fragments: int
         send = sorted_values[starts]
         who = np.where(sizes == 1, sorted_rows[starts], 0xFFFF).astype(np.uint16)
         frag = ((send >> U(32)) * U(fragments)) >> U(32)
-        cuts = np.searchsorted(frag, np.arange(fragments + 1))
         # copies within the chunk link anyway: they take what their lead gets
     else:
-        send, who, cuts = np.zeros(0, U), np.zeros(0, np.uint16), np.zeros(fragments + 1, np.int64)
+        send, who, frag = np.zeros(0, U), np.zeros(0, np.uint16), np.zeros(0, U)
     copied = np.bincount(same, minlength=len(first))[same] > 1
     shared[copied] = n[copied]
     low = (send & U(0xFFFFFFFF)).astype(np.uint32)
-    rows = []
-    for f in range(fragments):
-        a, b = cuts[f], cuts[f + 1]
-        if a < b:
-            rows.append((f, chunk, low[a:b].tobytes(), who[a:b].tobytes(), None, None, None, None))
+    own, cuts = np.unique(frag, return_index=True)
+    rows = [
+        (f, chunk, low[a:b].tobytes(), who[a:b].tobytes(), None, None, None, None)
+        for f, a, b in zip(own.tolist(), cuts, np.append(cuts, len(frag))[1:], strict=True)
+    ]
     about = [digests[i].tobytes() for i in range(len(n))]
-    rows.append((chunk % fragments, chunk, None, None, ids.to_pylist(), about, n.tolist(), shared.tolist()))
-    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), schema.types, strict=True)], schema=schema)
+    rows.append((chunk % fragments, chunk, None, None, pa.concat_arrays(ids).to_pylist(), about, n.tolist(), shared.tolist()))
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), PART_SCHEMA.types, strict=True)], schema=PART_SCHEMA)
 
 
 def _counted(table: pa.Table) -> pa.Table:
@@ -106,22 +113,19 @@ def _counted(table: pa.Table) -> pa.Table:
     about = table.filter(pc.is_null(table.column("hashes")))
     empty = pa.nulls(len(about), pa.binary())
     out = [pa.table([about.column("chunk"), empty, empty, *(about.column(c) for c in NAMES[3:])], schema=COUNTED_SCHEMA)]
-    hashes, rows, where = [], [], []
-    for k, (h, r) in enumerate(zip(table.column("hashes").to_pylist(), table.column("rows").to_pylist(), strict=True)):
-        if h is not None:
-            hashes.append(np.frombuffer(h, np.uint32))
-            rows.append(np.frombuffer(r, np.uint16))
-            where.append(np.full(len(rows[-1]), k, np.int32))
-    if hashes:
-        h, r, w = np.concatenate(hashes), np.concatenate(rows), np.concatenate(where)
+    h, r = (_joined(table.column(c), kind) for c, kind in (("hashes", np.uint32), ("rows", np.uint16)))
+    if len(h):
+        sizes = pc.fill_null(pc.binary_length(table.column("rows")), 0).to_numpy() // 2
         order = np.argsort(h, kind="stable")
         s = h[order]
         twice = np.zeros(len(s), bool)
         twice[1:] = s[1:] == s[:-1]
         twice[:-1] |= twice[1:]
         hit = order[twice]
+        del order, s, twice, h
         hit = hit[r[hit] != 0xFFFF]
-        pair, count = np.unique(w[hit].astype(np.int64) << 16 | r[hit], return_counts=True)
+        w = np.repeat(np.arange(len(sizes)), sizes)
+        pair, count = np.unique(w[hit] << 16 | r[hit], return_counts=True)
         places, row, count = pair >> 16, (pair & 0xFFFF).astype(np.uint16), count.astype(np.uint32)
         own = np.unique(places)
         cuts = np.append(np.searchsorted(places, own), len(places))
@@ -131,6 +135,12 @@ def _counted(table: pa.Table) -> pa.Table:
     return pa.concat_tables(out)
 
 
+def _joined(column: pa.ChunkedArray, kind: type) -> np.ndarray:
+    """The bytes of all values of a binary column, one behind the other, as numbers."""
+    parts = [np.frombuffer(c.buffers()[2], np.uint8)[o[c.offset] : o[c.offset + len(c)]] for c in column.chunks if len(c) and c.buffers()[2] is not None for o in [np.frombuffer(c.buffers()[1], np.int32)]]
+    return np.concatenate(parts).view(kind) if parts else np.zeros(0, kind)
+
+
 NAMES = ["chunk", "rows", "counts", "doc_id", "digest", "n", "shared"]
 COUNTED_SCHEMA = pa.schema(
     [("chunk", pa.int64()), ("rows", pa.binary()), ("counts", pa.binary()), ("doc_id", pa.list_(pa.int64())), ("digest", pa.list_(pa.binary())), ("n", pa.list_(pa.int32())), ("shared", pa.list_(pa.int32()))]
@@ -164,7 +174,7 @@ def _sets(size: int):
                     [pa.array([d.tobytes() for d in digests], pa.binary()), pa.array(np.diff(bounds).astype(np.int32)), lists], names=["digest", "n", "shingles"]
                 )
 
-    return run
+    return returning_memory(run)
 
 
 def _at_least(of, threshold: Fraction):
@@ -186,7 +196,9 @@ def ngram_join(
     t = Fraction(threshold).limit_denominator(1000)
     spark = docs.sparkSession
     docs = documents_of(docs, doc_id, text)
-    fragments = fragments or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    if not fragments:
+        size_of_all = docs.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
+        fragments = max(1, -(-size_of_all // FRAGMENT_BYTES))
     parts = docs.mapInArrow(_parts(size, fragments), PART)
     counted = parts.groupBy("frag").applyInArrow(_counted, COUNTED)
     rows = written(counted.groupBy("chunk").applyInArrow(_summed, SUMMED), "ngram-rows")
@@ -202,7 +214,8 @@ def ngram_join(
         sets.join(classes.select("digest"), "digest", "left_semi").dropDuplicates(["digest"]).select("digest", "n", F.explode("shingles").alias("h"))
     )
     postings = written(postings, "ngram-postings")
-    often = postings.groupBy("h").agg(F.count("*").cast("int").alias("df")).where("df > 1")
+    # a table of its own: Spark can then split the join where one shingle has very many postings
+    often = written(postings.groupBy("h").agg(F.count("*").cast("int").alias("df")).where("df > 1"), "ngram-often")
     common = postings.join(often, "h")
     order = "row_number() over (partition by digest order by df, h)"
     common = written(
@@ -214,7 +227,7 @@ def ngram_join(
         ).where(F.col("m") >= need),
         "ngram-common",
     )
-    dropped(spark, postings)
+    dropped(spark, postings, often)
     # a class of high weight shares most of its shingles with many others: the likely centre of their group
     prefix = common.where(F.col("pos") <= F.col("m") - need + 1).select("h", "digest", "n", "m", "pos", "weight", F.col("digest").alias("root"))
     tested, links, roots = None, None, None
