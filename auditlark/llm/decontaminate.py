@@ -7,108 +7,152 @@ words that all occur in the benchmark can move it off its root, so numpy finds t
 from __future__ import annotations
 
 import hashlib
-import pickle
+from array import array
 from bisect import bisect_right
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from auditlark.llm.common import documents_of, written
+from auditlark.llm.common import documents_of, returning_memory, small_batches, written
 from auditlark.llm.kernels import non_alphanumeric_bytes, slices, words_of
 
 
 class SuffixAutomaton:
-    """All factors of several word sequences. Words are hashes; states are positions in parallel lists."""
-
-    def __init__(self, window: int):
-        self.window = window
-        self.next: list[dict[int, int]] = [{}]
-        self.link, self.length = [-1], [0]
-        self.ends: list[set[int]] = [set()]  # items whose prefix ends in the state
-        self.names: list[str] = []
-        self.sizes: list[int] = []
-
-    def add(self, name: str, words: list[int]) -> None:
-        item = len(self.names)
-        self.names.append(name)
-        self.sizes.append(len(words))
-        last = 0
-        for w in words:
-            last = self._extend(last, w)
-            self.ends[last].add(item)
-
-    def _new(self, length: int, link: int, moves: dict[int, int]) -> int:
-        self.next.append(moves)
-        self.link.append(link)
-        self.length.append(length)
-        self.ends.append(set())
-        return len(self.next) - 1
+    """All factors of several word sequences, in flat arrays of numbers (about 50 bytes a word).
+
+    Words are codes, their places in the sorted vocabulary of hashes. Most states have one move, which lies in two
+    arrays; the moves beyond lie in one table by state and code.
+    """
+
+    def __init__(self, items: list[tuple[str, np.ndarray]], window: int):
+        """items: names and word hashes; those without words count for nothing."""
+        items = [(name, words) for name, words in items if len(words)]
+        self.window, self.names = window, [name for name, _ in items]
+        self.vocabulary = np.unique(np.concatenate([words for _, words in items])) if items else np.zeros(0, np.uint64)
+        self.least = min([window, *(len(words) for _, words in items)])
+        self.only, self.to = array("i", [-1]), array("i", [-1])
+        self.link, self.length = array("i", [0]), array("i", [0])
+        self.more: dict[int, int] = {}
+        self.branches: dict[int, list[int]] = {}  # codes of a state's further moves, for copies
+        ends, sizes = array("q"), array("i")  # state << 32 | item, for each prefix of an item
+        for k, (_, words) in enumerate(items):
+            last = 0
+            for w in np.searchsorted(self.vocabulary, words).tolist():
+                last = self._extend(last, w)
+                ends.append(last << 32 | k)
+            sizes.append(len(words))
+        self._finish(np.array(ends, np.int64), np.array(sizes, np.int64))
+
+    def _move(self, state: int, w: int) -> int:
+        return self.to[state] if self.only[state] == w else self.more.get(state * len(self.vocabulary) + w, -1)
+
+    def _set(self, state: int, w: int, to: int) -> None:
+        if self.only[state] in (-1, w):
+            self.only[state], self.to[state] = w, to
+        else:
+            key = state * len(self.vocabulary) + w
+            if key not in self.more:
+                self.branches.setdefault(state, []).append(w)
+            self.more[key] = to
+
+    def _new(self, length: int, link: int) -> int:
+        for column, value in ((self.only, -1), (self.to, -1), (self.link, link), (self.length, length)):
+            column.append(value)
+        return len(self.only) - 1
 
     def _split(self, p: int, w: int, q: int) -> int:
         """A copy of q that stands for its factors of at most length[p] + 1 words."""
-        copy = self._new(self.length[p] + 1, self.link[q], dict(self.next[q]))
+        copy = self._new(self.length[p] + 1, self.link[q])
+        for code in ([self.only[q]] if self.only[q] >= 0 else []) + self.branches.get(q, []):
+            self._set(copy, code, self._move(q, code))
         self.link[q] = copy
-        while p >= 0 and self.next[p].get(w) == q:
-            self.next[p][w] = copy
+        while self._move(p, w) == q:
+            self._set(p, w, copy)
+            if not p:
+                break
             p = self.link[p]
         return copy
 
     def _extend(self, last: int, w: int) -> int:
-        if (q := self.next[last].get(w)) is not None:  # the sequence so far is a factor already
+        if (q := self._move(last, w)) >= 0:  # the sequence so far is a factor already
             return q if self.length[q] == self.length[last] + 1 else self._split(last, w, q)
-        state, p = self._new(self.length[last] + 1, 0, {}), last
-        while p >= 0 and w not in self.next[p]:
-            self.next[p][w] = state
+        state, p = self._new(self.length[last] + 1, 0), last
+        while self._move(p, w) < 0:
+            self._set(p, w, state)
+            if not p:
+                return state
             p = self.link[p]
-        if p >= 0:
-            q = self.next[p][w]
-            self.link[state] = q if self.length[q] == self.length[p] + 1 else self._split(p, w, q)
+        q = self._move(p, w)
+        self.link[state] = q if self.length[q] == self.length[p] + 1 else self._split(p, w, q)
         return state
 
-    def finish(self) -> SuffixAutomaton:
-        """Items below each state of window words, and the short items that end in each state."""
-        by_length = sorted(range(1, len(self.next)), key=self.length.__getitem__)
-        for s in reversed(by_length):
-            if self.link[s] > 0:
-                self.ends[self.link[s]] |= self.ends[s]
-        # the whole sequence of a short item ends in the state that its words lead to
-        self.short: list[tuple[tuple[int, int], ...]] = [()] * len(self.next)
-        for s in by_length:
-            own = tuple((self.sizes[i], i) for i in self.ends[s] if self.sizes[i] < self.window and self.sizes[i] == self.length[s])
-            self.short[s] = (*own, *self.short[self.link[s]])
-        for s in range(len(self.next)):
-            reaches = self.length[s] >= self.window > self.length[self.link[s]] if s else False
-            self.ends[s] = frozenset(self.ends[s]) if reaches else frozenset()
-        return self
-
-    def read(self, words: list[int]) -> tuple[list[tuple[int, int]], set[int]]:
-        """Spans (from, to) of words that a window covers, and the items of those windows."""
+    def _finish(self, ends: np.ndarray, sizes: np.ndarray) -> None:
+        """Arrays for reading: each state's window (the state of its last window words), the items of each window,
+        and where short items end."""
+        self.only, self.to, self.link, self.length = (np.array(x, np.int32) for x in (self.only, self.to, self.link, self.length))
+        keys = np.fromiter(self.more.keys(), np.int64, len(self.more))
+        order = np.argsort(keys)
+        self.more_keys, self.more_to = keys[order], np.fromiter(self.more.values(), np.int32, len(keys))[order]
+        del self.more, self.branches
+        short_end = np.zeros(len(self.link), bool)
+        state, item = ends >> 32, ends & 0xFFFFFFFF
+        whole = (sizes[item] < self.window) & (self.length[state] == sizes[item])
+        short_end[state[whole]] = True
+        self.at_window, self.short = np.zeros(len(self.link), np.int32), np.zeros(len(self.link), np.int32)
+        for s in np.argsort(self.length, kind="stable")[1:].tolist():
+            up = self.link[s]
+            self.at_window[s] = self.at_window[up] or (s if self.length[s] >= self.window else 0)
+            self.short[s] = s if short_end[s] else self.short[up]
+        self.window_items = self._grouped(self.at_window[state], item, self.at_window[state] > 0)
+        self.short_items = self._grouped(state, item, whole)
+
+    @staticmethod
+    def _grouped(state: np.ndarray, item: np.ndarray, chosen: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The distinct pairs of those chosen, sorted: states, items."""
+        pairs = np.unique(state[chosen].astype(np.int64) << 32 | item[chosen])
+        return (pairs >> 32).astype(np.int32), (pairs & 0xFFFFFFFF).astype(np.int32)
+
+    @staticmethod
+    def _of(grouped: tuple[np.ndarray, np.ndarray], state: int) -> list[int]:
+        states, items = grouped
+        return items[np.searchsorted(states, state) : np.searchsorted(states, state, side="right")].tolist()
+
+    def _read_move(self, state: int, w: int) -> int:
+        if self.only[state] == w:
+            return int(self.to[state])
+        key = state * len(self.vocabulary) + w
+        at = int(np.searchsorted(self.more_keys, key))
+        return int(self.more_to[at]) if at < len(self.more_keys) and self.more_keys[at] == key else -1
+
+    def read(self, codes: list[int]) -> tuple[list[tuple[int, int]], set[int]]:
+        """Spans (from, to) of words that a window covers, and the items of those windows. Codes are of the vocabulary."""
         state = run = 0
         spans: list[tuple[int, int]] = []
-        items: set[int] = set()
-        for i, w in enumerate(words):
-            while state and w not in self.next[state]:
-                state = self.link[state]
-                run = self.length[state]
-            if (to := self.next[state].get(w)) is None:
+        windows: set[int] = set()
+        shorts: set[int] = set()
+        for i, w in enumerate(codes):
+            while (to := self._read_move(state, w)) < 0 and state:
+                state = int(self.link[state])
+                run = int(self.length[state])
+            if to < 0:
                 continue
             state, run = to, run + 1
             if run >= self.window:
-                at = state
-                while self.length[self.link[at]] >= self.window:
-                    at = self.link[at]
-                items |= self.ends[at]
+                windows.add(int(self.at_window[state]))
                 spans.append((i + 1 - run, i + 1))
-            if self.short[state]:
-                held = [(size, k) for size, k in self.short[state] if size <= run]
-                items.update(k for _, k in held)
-                if held:
-                    spans.append((i + 1 - max(held)[0], i + 1))
-        return spans, items
+            at, longest = int(self.short[state]), 0
+            while at:
+                if self.length[at] <= run:
+                    shorts.add(at)
+                    longest = longest or int(self.length[at])
+                at = int(self.short[self.link[at]])
+            if longest:
+                spans.append((i + 1 - longest, i + 1))
+        items = {k for s in windows for k in self._of(self.window_items, s)}
+        return spans, items | {k for s in shorts for k in self._of(self.short_items, s)}
 
 
 def _words(column: pa.Array) -> Iterator[tuple[int, int, object]]:
@@ -117,41 +161,37 @@ def _words(column: pa.Array) -> Iterator[tuple[int, int, object]]:
         yield lo, hi, words_of(data, offsets, parting)
 
 
-def automata(benchmark: DataFrame, window: int, most_words: int, item_id: str = "item_id", text: str = "text") -> list[SuffixAutomaton]:
-    """The items in blocks of at most most_words words (or one longer item); each block has an automaton."""
+def automata(benchmark: DataFrame, window: int, most_words: int, item_id: str = "item_id", text: str = "text") -> Iterator[SuffixAutomaton]:
+    """The items in blocks of at most most_words words (or one longer item); each block has an automaton, made in turn."""
     rows = benchmark.select(F.col(f"`{item_id}`").cast("string").alias("id"), F.col(f"`{text}`").cast("string").alias("text"))
-    out, held = [], 0
+    held, size = [], 0
     for row in rows.orderBy("id", "text").toLocalIterator():
         for _, _, w in _words(pa.array([row.text], pa.string())):
-            if not len(w.hash):
-                continue
-            if not out or held + len(w.hash) > most_words:
-                out.append(SuffixAutomaton(window))
-                held = 0
-            out[-1].add(row.id, w.hash.tolist())
-            held += len(w.hash)
-    return [a.finish() for a in out]
+            if held and size + len(w.hash) > most_words:
+                yield SuffixAutomaton(held, window)
+                held, size = [], 0
+            held.append((row.id, w.hash))
+            size += len(w.hash)
+    yield SuffixAutomaton(held, window)
 
 
-FOUND = "doc_id long, n_words long, spans array<struct<from:int,to:int>>, items array<string>"
+SPANS = "array<struct<from:int,to:int>>"
 
 
 def _matches(shared, window: int):
-    """(doc_id, text) -> the spans hit in every document, empty for most."""
+    """Adds to (row, text, n_words, spans, items) what one block of the benchmark hits; all rows pass."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        automaton: SuffixAutomaton = pickle.loads(shared.value)
-        vocabulary = np.array(sorted({w for moves in automaton.next for w in moves}), np.uint64)
-        least = min([window, *(n for n in automaton.sizes if n)])
+        automaton: SuffixAutomaton = shared.value  # read once a worker
+        vocabulary, least = automaton.vocabulary, automaton.least
         mask = np.zeros(1 << 16, bool)
         mask[(vocabulary & np.uint64(0xFFFF)).astype(np.int64)] = True
-        kind = pa.list_(pa.struct([("from", pa.int32()), ("to", pa.int32())]))
         for batch in batches:
             for lo, hi, w in _words(batch.column(1)):
-                known = mask[(w.hash & np.uint64(0xFFFF)).astype(np.int64)]
+                known, code = mask[(w.hash & np.uint64(0xFFFF)).astype(np.int64)], np.zeros(len(w.hash), np.int64)
                 maybe = np.flatnonzero(known)
-                at = np.minimum(np.searchsorted(vocabulary, w.hash[maybe]), len(vocabulary) - 1)
-                known[maybe] = vocabulary[at] == w.hash[maybe]
+                code[maybe] = np.minimum(np.searchsorted(vocabulary, w.hash[maybe]), len(vocabulary) - 1)
+                known[maybe] = vocabulary[code[maybe]] == w.hash[maybe]
                 # stretches of known words within one document
                 edge = np.flatnonzero(np.diff(np.concatenate(([0], known.astype(np.int8), [0]))))
                 spans, items = {}, {}
@@ -160,23 +200,24 @@ def _matches(shared, window: int):
                     while a < b:
                         stop = min(b, int(w.first[d + 1]))
                         if stop - a >= least:
-                            found, which = automaton.read(w.hash[a:stop].tolist())
+                            found, which = automaton.read(code[a:stop].tolist())
                             if found:
                                 start = a - int(w.first[d])
                                 spans.setdefault(d, []).extend((start + x, start + y) for x, y in found)
-                                items.setdefault(d, set()).update(which)
+                                items.setdefault(d, set()).update(automaton.names[k] for k in which)
                         a, d = max(a, stop), d + 1
-                n = hi - lo
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        batch.column(0).slice(lo, n).cast(pa.int64()), pa.array(np.diff(w.first).astype(np.int64)),
-                        pa.array([[{"from": x, "to": y} for x, y in joined(spans.get(d, ()))] for d in range(n)], kind),
-                        pa.array([sorted({automaton.names[k] for k in items.get(d, ())}) for d in range(n)], pa.list_(pa.string())),
-                    ],
-                    names=["doc_id", "n_words", "spans", "items"],
-                )
+                part = batch.slice(lo, hi - lo)
+                merged = [part.column(3), part.column(4)]
+                if spans:
+                    old, names = merged[0].to_pylist(), merged[1].to_pylist()
+                    for d in spans:
+                        old[d] = [{"from": x, "to": y} for x, y in joined([*((s["from"], s["to"]) for s in old[d]), *spans[d]])]
+                        names[d] = sorted({*names[d], *items[d]})
+                    merged = [pa.array(old, merged[0].type), pa.array(names, merged[1].type)]
+                columns = [part.column(0), part.column(1), pa.array(np.diff(w.first).astype(np.int64)), *merged]
+                yield pa.RecordBatch.from_arrays(columns, names=["row", "text", "n_words", "spans", "items"])
 
-    return run
+    return returning_memory(run)
 
 
 def joined(spans) -> list[tuple[int, int]]:
@@ -190,45 +231,32 @@ def joined(spans) -> list[tuple[int, int]]:
     return out
 
 
-def benchmark_matches(docs: DataFrame, benchmark: DataFrame, window: int = 13, most_words: int = 1_000_000, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row per row of docs: doc_id, n_words, spans (of word numbers, end exclusive), items (ids, sorted).
+def matched_rows(docs: DataFrame, benchmark: DataFrame, window: int = 13, most_words: int = 1_000_000, text: str = "text") -> DataFrame:
+    """Each row of docs as one column `row`, with text, n_words, spans and items; no row is joined to any other.
 
-    Words are runs of digits, letters and all characters beyond ASCII, A-Z as a-z. A window is `window`
-    consecutive words of an item, or a whole shorter item. A null or empty document has no words and no spans; a
-    null or empty item has no window; items with the same id count once. Extra columns are ignored. The automaton
-    that executors get holds at most most_words words of items; a larger benchmark is read in such blocks, one pass each.
+    Words are runs of digits, letters and all characters beyond ASCII, A-Z as a-z. A window is `window` consecutive
+    words of an item, or a whole shorter item. A null or empty document has no words and no spans; a null or empty
+    item has no window; items with the same id count once. An automaton that executors get holds at most most_words
+    words of items, about 50 bytes each; a larger benchmark is read in such blocks, one written pass each.
     """
     spark = docs.sparkSession
-    docs = documents_of(docs, doc_id, text)
-    blocks = automata(benchmark, window, most_words)
-    if len(blocks) <= 1:
-        shared = spark.sparkContext.broadcast(cloudpickle.dumps((blocks or [SuffixAutomaton(window).finish()])[0]))
-        return docs.mapInArrow(_matches(shared, window), FOUND)
-    docs = docs.withColumn("key", F.xxhash64("doc_id", "text"))
-    passes = None
-    for block in blocks:
-        shared = spark.sparkContext.broadcast(cloudpickle.dumps(block))
-        found = docs.select("key", "text").mapInArrow(_matches(shared, window), FOUND).withColumnRenamed("doc_id", "key")
-        found = written(found.where(F.size("spans") > 0).drop("n_words"), "decontaminate")
-        passes = found if passes is None else passes.unionByName(found)
-    hits = passes.groupBy("key").agg(F.flatten(F.collect_list("spans")).alias("all"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
-    union = F.aggregate(
-        F.array_sort("all"),
-        F.expr("cast(array() as array<struct<from:int,to:int>>)"),
-        lambda out, s: F.when((F.size(out) > 0) & (F.element_at(out, -1)["to"] >= s["from"]),
-                              F.concat(F.slice(out, 1, F.size(out) - 1), F.array(F.struct(F.element_at(out, -1)["from"].alias("from"), F.greatest(F.element_at(out, -1)["to"], s["to"]).alias("to")))))
-        .otherwise(F.concat(out, F.array(s))),
+    small_batches(spark)
+    rows = docs.select(
+        F.struct("*").alias("row"), F.col(f"`{text}`").cast("string").alias("text"), F.lit(0).cast("long").alias("n_words"), F.expr(f"cast(array() as {SPANS})").alias("spans"),
+        F.expr("cast(array() as array<string>)").alias("items"),
     )
-    counts = docs.mapInArrow(_word_counts, "doc_id long, text string, key long, n_words long")
-    out = counts.join(hits.select("key", union.alias("spans"), "items"), "key", "left")
-    none = F.expr("cast(array() as array<struct<from:int,to:int>>)")
-    return out.select("doc_id", "n_words", F.coalesce("spans", none).alias("spans"), F.coalesce("items", F.expr("cast(array() as array<string>)")).alias("items"))
+    schema = rows.schema
+    for k, block in enumerate(automata(benchmark, window, most_words)):
+        rows = written(rows, "decontaminate") if k else rows
+        rows = rows.mapInArrow(_matches(spark.sparkContext.broadcast(block), window), schema)
+    return rows
 
 
-def _word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        counts = [c for _, _, w in _words(batch.column(1)) for c in np.diff(w.first).tolist()]
-        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(counts, pa.int64())], names=["doc_id", "text", "key", "n_words"])
+def benchmark_matches(docs: DataFrame, benchmark: DataFrame, window: int = 13, most_words: int = 1_000_000, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """One row per row of docs: doc_id, n_words, spans (of word numbers, end exclusive), items (ids, sorted), as
+    matched_rows() has them. Extra columns are ignored; an empty table gives no rows."""
+    rows = matched_rows(documents_of(docs, doc_id, text), benchmark, window, most_words)
+    return rows.select("row.doc_id", "n_words", "spans", "items")
 
 
 def judged(matches: DataFrame, share: int = 20) -> DataFrame:
@@ -239,21 +267,30 @@ def judged(matches: DataFrame, share: int = 20) -> DataFrame:
     )
 
 
-def without_spans(docs: DataFrame, matches: DataFrame, least_words: int = 13, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """docs with each hit span of at least least_words words cut out of the text; other columns stay.
+def without_contaminated(docs: DataFrame, benchmark: DataFrame, share: int = 20, window: int = 13, most_words: int = 1_000_000, text: str = "text") -> DataFrame:
+    """The rows of docs that aren't contaminated, with all their columns, whatever those are called.
+
+    Each row is judged by its own text alone, so null and repeated ids and repeated rows need no care.
+    """
+    rows = judged(matched_rows(docs, benchmark, window, most_words, text), share)
+    return rows.where(~F.col("contaminated")).select("row.*")
+
+
+def without_spans(docs: DataFrame, benchmark: DataFrame, least_words: int = 13, window: int = 13, most_words: int = 1_000_000, text: str = "text") -> DataFrame:
+    """docs with each hit span of at least least_words words cut out of the text; all rows and other columns stay.
 
-    A cut takes the span's characters from its first to its last word. Documents are matched by doc_id, which
-    must be distinct here; null ids stay as they are.
+    A cut takes the span's characters from its first to its last word.
     """
-    spans = matches.select(F.col("doc_id").alias("__id"), F.filter("spans", lambda s: s["to"] - s["from"] >= least_words).alias("__spans")).where(F.size("__spans") > 0)
+    rows = matched_rows(docs, benchmark, window, most_words, text)
+    spans = F.filter("spans", lambda s: s["to"] - s["from"] >= least_words)
     word = r"([0-9A-Za-z\x{80}-\x{10FFFF}]+)"
     # pieces[i] parts word i-1 from word i; a word stays unless a span holds its number
-    pieces, words = F.split(F.col(f"`{text}`"), word, -1), F.regexp_extract_all(F.col(f"`{text}`"), F.lit(word), 1)
-    kept = F.transform(words, lambda w, i: F.when(F.exists("__spans", lambda s: (i >= s["from"]) & (i < s["to"])), "").otherwise(w))
-    gaps = F.transform(pieces, lambda p, i: F.when(F.exists("__spans", lambda s: (i > s["from"]) & (i < s["to"])), "").otherwise(p))
+    pieces, words = F.split("text", word, -1), F.regexp_extract_all("text", F.lit(word), 1)
+    kept = F.transform(words, lambda w, i: F.when(F.exists("cuts", lambda s: (i >= s["from"]) & (i < s["to"])), "").otherwise(w))
+    gaps = F.transform(pieces, lambda p, i: F.when(F.exists("cuts", lambda s: (i > s["from"]) & (i < s["to"])), "").otherwise(p))
     cut = F.array_join(F.transform(F.arrays_zip(gaps.alias("g"), kept.alias("w")), lambda x: F.concat(x["g"], F.coalesce(x["w"], F.lit("")))), "")
-    out = docs.join(spans, F.col(f"`{doc_id}`") == F.col("__id"), "left")
-    return out.withColumn(text, F.when(F.col("__spans").isNotNull(), cut).otherwise(F.col(f"`{text}`"))).drop("__id", "__spans")
+    new = F.when(F.size("cuts") > 0, cut).otherwise(F.col("text"))
+    return rows.withColumn("cuts", spans).select(*(new.alias(c) if c == text else F.col("row").getField(c).alias(c) for c in docs.columns))
 
 
 def contract_columns(matches: DataFrame) -> DataFrame:

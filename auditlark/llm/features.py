@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from auditlark.llm.common import documents_of, written
+from auditlark.llm.common import documents_of, returning_memory, written
 from auditlark.llm.kernels import U, Words, mixed, non_alphanumeric_bytes, slices, words_of
 
 
@@ -92,7 +92,7 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label, most_rows: int, f
                 packed = [(both[cuts[i] : cuts[i + 1]] & 0xFFFFFFFF).astype(np.uint32).tobytes() for i in range(hi - lo)]
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), batch.column(2).slice(lo, hi - lo), pa.array(packed, pa.binary())], names=["doc_id", "label", "features"])
 
-    found = written(rows.mapInArrow(run, "doc_id long, label int, features binary"), "labelled")
+    found = written(rows.mapInArrow(returning_memory(run), "doc_id long, label int, features binary"), "labelled")
     # on the driver all features lie in one array of 32-bit indices; the rows are views of it
     size = found.agg(F.sum(F.octet_length("features"))).first()[0] or 0
     flat, about, used = np.empty(size // 4, np.uint32), [], 0
@@ -104,8 +104,20 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label, most_rows: int, f
     return [(label, flat[at : at + n]) for _, _, at, n, label in sorted(about)]
 
 
-def linear_sums(weights: np.ndarray, pairs: list[tuple[np.ndarray, np.ndarray]], rows: int) -> np.ndarray:
+class Lookup:
+    """Weights of few of many coordinates: a mark for each coordinate, and the weights of those marked."""
+
+    def __init__(self, bits: int, index: np.ndarray, weight: np.ndarray):
+        """index is sorted."""
+        self.marked, self.index, self.weight = np.zeros(1 << bits, bool), index, weight
+        self.marked[index] = True
+
+    def __getitem__(self, index: np.ndarray) -> np.ndarray:
+        return self.weight[np.searchsorted(self.index, index)]
+
+
+def linear_sums(weights: Lookup, pairs: list[tuple[np.ndarray, np.ndarray]], rows: int) -> np.ndarray:
     """Per row, the sum of the weights of its distinct features."""
-    held = [(row[hit], index[hit]) for row, index in pairs for hit in [weights[index] != 0]]
+    held = [(row[hit], index[hit]) for row, index in pairs for hit in [weights.marked[index]]]
     both = np.unique(np.concatenate([row << 32 | index for row, index in held])) if held else np.zeros(0, np.int64)
     return np.bincount(both >> 32, weights[both & 0xFFFFFFFF], minlength=rows)[:rows]

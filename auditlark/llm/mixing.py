@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from auditlark.llm.common import written
+from auditlark.llm.common import returning_memory, written
 from auditlark.llm.kernels import blank_bytes, slices, words_of
 
 #: Units that one flight takes, and sources that are planned on the driver, at most.
@@ -129,7 +129,7 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (1.0, 2.0, 3.0), most: flo
     """
     spark = docs.sparkSession
     rows = docs.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), row_key(doc_id, source, text).alias("key"), F.col(f"`{source}`").cast("string").alias("source"), F.col(f"`{text}`").cast("string").alias("text"))
-    units = written(rows.mapInArrow(_word_sizes, "doc_id long, key long, source string, size long"), "mix-units")
+    units = written(rows.mapInArrow(returning_memory(_word_sizes), "doc_id long, key long, source string, size long"), "mix-units")
     sums = units.groupBy("source").agg(F.sum("size").alias("size"), F.count("*").alias("n")).limit(MOST_SOURCES + 1).collect()
     if len(sums) > MOST_SOURCES:
         raise ValueError(f"more than {MOST_SOURCES} sources")
@@ -159,9 +159,12 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (1.0, 2.0, 3.0), most: flo
 
 
 def mixed_documents(docs: DataFrame, mixed: DataFrame, doc_id: str = "doc_id", source: str = "source", text: str = "text") -> DataFrame:
-    """docs with each row as often as the mix takes it. Equal rows share the copies of all of them."""
-    copies = mixed.groupBy("key").agg(F.sum("copies").alias("__copies"), F.count("*").alias("__rows")).withColumnRenamed("key", "__key")
-    if copies.where("__rows > 1").limit(1).count():
+    """docs with each row as often as the mix takes it. Equal rows share the copies of all of them; columns may have
+    any names."""
+    copies = mixed.groupBy("key").agg(F.sum("copies").alias("copies"), F.count("*").alias("rows"))
+    if copies.where("rows > 1").limit(1).count():
         docs = docs.dropDuplicates([doc_id, source, text])
-    keyed = docs.withColumn("__key", row_key(doc_id, source, text)).join(copies.where("__copies > 0"), "__key")
-    return keyed.withColumn("__copy", F.explode(F.expr("array_repeat(1, cast(__copies as int))"))).select(*docs.columns)
+    keyed = docs.select(F.struct("*").alias("row"), row_key(doc_id, source, text).alias("key"))
+    # the taken keys are the hash table of each task; texts stream past it unsorted
+    taken = keyed.join(copies.where("copies > 0").select("key", "copies").hint("shuffle_hash"), "key")
+    return taken.select("row", F.explode(F.expr("array_repeat(1, cast(copies as int))"))).select("row.*")

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from auditlark.llm.common import documents_of
+from auditlark.llm.common import documents_of, returning_memory
 from auditlark.llm.features import gram_features, held_out, labelled_sample, shape_features, text_words
 
 #: The sample of labelled rows that a fit takes at most, and hashed weights as powers of two: of words, behind those
@@ -84,5 +84,5 @@ def score_quality(docs: DataFrame, model: OrdinalModel, least_grade: float = 1.0
                 tails = 1 / (1 + np.exp(-np.clip(total[:, None] - cuts, -30, 30)))
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array(tails.sum(axis=1)), pa.array(np.ascontiguousarray(tails[:, -1]))], names=["doc_id", "expected_grade", "tail_probability"])
 
-    scored = documents_of(docs, doc_id, text).mapInArrow(run, "doc_id long, expected_grade double, tail_probability double")
+    scored = documents_of(docs, doc_id, text).mapInArrow(returning_memory(run), "doc_id long, expected_grade double, tail_probability double")
     return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "expected_grade", "tail_probability", (F.col("expected_grade") >= least_grade).alias("selected"))

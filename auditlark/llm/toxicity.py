@@ -10,9 +10,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from auditlark.llm.common import documents_of
-from auditlark.llm.features import gram_features, held_out, labelled_sample, linear_sums, text_words
+from auditlark.llm.common import returning_memory, small_batches
+from auditlark.llm.features import Lookup, gram_features, held_out, labelled_sample, linear_sums, text_words
 
 #: The sample of labelled rows that a fit takes at most.
 MOST_ROWS = 12_000
@@ -27,10 +28,8 @@ class SparseModel:
     index: np.ndarray
     weight: np.ndarray
 
-    def dense(self) -> np.ndarray:
-        out = np.zeros(1 << self.bits)
-        out[self.index] = self.weight
-        return out
+    def lookup(self) -> Lookup:
+        return Lookup(self.bits, self.index, self.weight)
 
 
 def ftrl_fit(rows: list[tuple[int, np.ndarray]], bits: int, alpha: float = 2.0, beta: float = 1.0, l1: float = 3.0, l2: float = 1.0, epochs: int = 3) -> SparseModel:
@@ -59,22 +58,36 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, bits: int = 22, most_rows:
     return ftrl_fit(rows, bits, **ftrl)
 
 
-def score_toxicity(docs: DataFrame, model: SparseModel, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row per row of docs: doc_id, held_out, score (0 to 1), predicted (1 from 0.5 on).
-
-    The whole text is scored. A null or empty text, or one without words, gets the score of the bias. Without
-    labels to learn from, or without toxic ones, every score is below 0.5. Extra columns are ignored.
-    """
-    spark = docs.sparkSession
-    parts = spark.sparkContext.broadcast((model.bits, model.bias, model.index, model.weight))
+def _scored(docs: DataFrame, kept, kind: T.DataType, text: str, model: SparseModel) -> DataFrame:
+    """(kept, score) of each row; no row is joined to any other."""
+    small_batches(docs.sparkSession)
+    parts = docs.sparkSession.sparkContext.broadcast((model.bits, model.bias, model.index, model.weight))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits, bias, index, weight = parts.value
-        dense = SparseModel(bits, bias, index, weight).dense()
+        weights = SparseModel(bits, bias, index, weight).lookup()
         for batch in batches:
             for lo, hi, _, _, words in text_words(batch.column(1)):
-                total = bias + linear_sums(dense, gram_features(words, bits), hi - lo)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array(1 / (1 + np.exp(-np.clip(total, -35, 35))))], names=["doc_id", "score"])
+                total = bias + linear_sums(weights, gram_features(words, bits), hi - lo)
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array(1 / (1 + np.exp(-np.clip(total, -35, 35))))], names=["kept", "score"])
+
+    rows = docs.select(kept.alias("kept"), F.col(f"`{text}`").cast("string").alias("text"))
+    return rows.mapInArrow(returning_memory(run), T.StructType([T.StructField("kept", kind), T.StructField("score", T.DoubleType())]))
+
+
+def score_toxicity(docs: DataFrame, model: SparseModel, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """One row per row of docs: doc_id, held_out, score (0 to 1), predicted (1 if the score is 0.5 or more).
 
-    scored = documents_of(docs, doc_id, text).mapInArrow(run, "doc_id long, score double")
+    The whole text is scored. A null or empty text, or one without words, gets the score of the bias. Without
+    labels to learn from, or without toxic ones, every score is below 0.5. Extra columns are ignored.
+    """
+    scored = _scored(docs, F.col(f"`{doc_id}`").cast("long"), T.LongType(), text, model).withColumnRenamed("kept", "doc_id")
     return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+def without_toxic(docs: DataFrame, model: SparseModel, text: str = "text") -> DataFrame:
+    """The rows of docs whose text isn't predicted to be toxic, with all their columns, whatever those are called.
+
+    Each row is judged by its own text alone, so null and repeated ids and repeated rows need no care.
+    """
+    return _scored(docs, F.struct("*"), docs.schema, text, model).where("score < 0.5").select("kept.*")
