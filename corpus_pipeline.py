@@ -6,18 +6,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from auditlark.llm.common import written
-from auditlark.llm.decontaminate import benchmark_matches, judged
+from auditlark.llm.decontaminate import without_contaminated
 from auditlark.llm.mixing import mix, mixed_documents
 from auditlark.llm.ngram_join import ngram_join
 from auditlark.llm.token_files import read_token_files, write_token_files
-from auditlark.llm.toxicity import fit_toxicity, score_toxicity
+from auditlark.llm.toxicity import fit_toxicity, without_toxic
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier predicts to be toxic go; it learns from the labels of the documents given."""
-    model = fit_toxicity(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    rejected = score_toxicity(docs, model).where("predicted = 1").select(F.col("doc_id").alias("__id")).distinct()
-    return docs.join(rejected, F.col("doc_id").eqNullSafe(F.col("__id")), "left_anti")
+    """Rows whose texts the classifier predicts to be toxic go; it learns from the labels of the documents given."""
+    return without_toxic(docs, fit_toxicity(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -26,23 +24,23 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     Rows with one doc_id are told apart by their text, and of equal ones a single one stays. Rows without words are
     linked with nothing and all stay.
     """
-    keyed = docs.withColumn("__key", F.xxhash64(F.col("doc_id").isNull(), "doc_id", "text"))
-    linked = ngram_join(keyed, doc_id="__key").where("n_shingles > 0").groupBy(F.col("doc_id").alias("__key")).agg(F.min("component_id").alias("component_id"), F.count("*").alias("n"))
+    rows = docs.select(F.struct("*").alias("row"), F.col("doc_id").alias("id"), F.xxhash64(F.col("doc_id").isNull(), "doc_id", "text").alias("key"), "text")
+    linked = ngram_join(rows, doc_id="key").where("n_shingles > 0").groupBy(F.col("doc_id").alias("key")).agg(F.min("component_id").alias("component_id"), F.count("*").alias("n"))
     linked = written(linked, "near-duplicates")
-    named = linked.join(keyed.select("__key", F.col("doc_id").alias("id")).distinct(), "__key")
-    first = F.min(F.struct(F.col("id").isNull().alias("unnamed"), "id", "__key", "n"))
-    kept = written(named.groupBy("component_id").agg(first.alias("x")).select("x.__key", "x.n"), "near-duplicates")
-    again = kept.where("n > 1").select("__key")
-    gone = linked.select("__key").join(kept, "__key", "left_anti").unionByName(again)
-    single = keyed.join(again, "__key", "left_semi").dropDuplicates(["__key"])
-    return keyed.join(gone, "__key", "left_anti").unionByName(single).select(docs.columns)
+    named = linked.join(rows.select("key", "id").distinct(), "key")
+    first = F.min(F.struct(F.col("id").isNull().alias("unnamed"), "id", "key", "n"))
+    kept = written(named.groupBy("component_id").agg(first.alias("x")).select("x.key", "x.n"), "near-duplicates")
+    again = kept.where("n > 1").select("key")
+    gone = written(linked.select("key").join(kept, "key", "left_anti").unionByName(again), "near-duplicates")
+    # keys are the hash tables of the tasks; texts stream past them unsorted
+    others = rows.join(gone.hint("shuffle_hash"), "key", "left_anti").select("row.*")
+    single = rows.join(again.hint("shuffle_hash"), "key", "left_semi").dropDuplicates(["key"]).select("row.*")
+    return others.unionByName(single)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents of which benchmark items cover a twentieth or more of the words go."""
-    found = judged(benchmark_matches(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")))
-    dropped = found.where("contaminated").select(F.col("doc_id").alias("__id")).distinct()
-    return docs.join(dropped, F.col("doc_id").eqNullSafe(F.col("__id")), "left_anti")
+    """Rows of whose words benchmark items cover a twentieth or more go."""
+    return without_contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
