@@ -107,6 +107,45 @@ def test_near_duplicates_of_repeated_and_null_ids(spark, tmp_path):
     assert corpus_pipeline.near_duplicates(spark, alone, str(tmp_path)).count() == 2
 
 
+CLASHES = ["row", "key", "kept", "score", "copies", "id", "n", "spans", "items", "n_words", "component_id", "label", "size", "target", "predicted"]
+
+
+@pytest.mark.parametrize("name", ["toxicity", "near_duplicates", "decontamination", "mixing"])
+def test_stages_on_odd_tables(spark, folder, name):
+    """Empty tables, columns named like those of the operators, null and repeated ids, a very long text."""
+    sf, items = folder
+    stage = dict(corpus_pipeline.STAGES)[name]
+    kinds = "doc_id long, text string, source string, " + ", ".join(f"`{c}` string" for c in CLASHES)
+    extra = ["x"] * len(CLASHES)
+    assert stage(spark, spark.createDataFrame([], kinds), sf).columns == ["doc_id", "text", "source", *CLASHES]
+    clean = [" ".join(f"{w}{k}" for k in range(12)) for w in ("alpha", "beta", "gamma")]
+    long = " ".join(f"long{k}" for k in range(150_000))
+    rows = [(1, clean[0], "s"), (1, clean[1], "s"), (None, clean[2], None), (None, None, "s"), (2, "", "t"), (3, long, "t"), (1, items[0][1], "s"), (None, items[0][1] + " end", "s")]
+    docs = spark.createDataFrame([(*r, *extra) for r in rows], kinds)
+    out = stage(spark, docs, sf).collect()
+    got = sorted([(r.doc_id, r.text) for r in out], key=repr)
+    assert all([r[c] for c in CLASHES] == extra for r in out)
+    want = [(i, t) for i, t, _ in rows]
+    if name == "decontamination":
+        want = [r for r in want if not contamination(r[1], items)[4]]
+        assert len(want) == len(rows) - 2
+    if name == "near_duplicates":  # the two that hold the item are near copies: the one with an id stays
+        want.remove((None, items[0][1] + " end"))
+    if name == "mixing":
+        assert got and set(got) <= set(want)
+    else:
+        assert got == sorted(want, key=repr)
+
+
+def test_token_output_of_odd_tables(spark, tmp_path):
+    docs = spark.createDataFrame([(None, "a b"), (None, None), (5, "x " * 100_000), (5, ""), (5, "y")], "doc_id long, text string")
+    out = corpus_pipeline.token_output(spark, docs, str(tmp_path)).collect()
+    t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    want = sorted([(str(r.doc_id), len(t.encode(r.text or "", add_special_tokens=False).ids) + 1) for r in docs.collect()])
+    assert sorted((str(r.doc_id), r.n_tokens) for r in out) == want and sorted(r.start for r in out)[0] == 0
+    assert corpus_pipeline.token_output(spark, docs.limit(0), str(tmp_path)).count() == 0
+
+
 def test_run(spark, folder):
     sf, _ = folder
     rows = corpus_pipeline.run(spark, sf)

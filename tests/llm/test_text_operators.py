@@ -1,6 +1,7 @@
 """The operators on documents against brute force: nulls, empty and long texts, ties, repeated rows, clashing columns."""
 
 import hashlib
+import math
 import random
 import re
 import zlib
@@ -202,7 +203,7 @@ def test_base_personal_data(spark):
 
 def test_context_finds_unseen_identifiers(spark):
     """Nine hosts after the same words teach the pattern; the tenth, no address by its numbers, is found by it."""
-    texts = [f"note {i} the host at 10.0.{i}.{i + 7}, today" for i in range(9)] + ["then the host at 999.1.2.3, again", "we met the host at 1999 there", "then some thing at 999.1.2.3, again"]
+    texts = [f"note {i} the host at 10.0.{i}.{i + 7}, today" for i in range(9)] + ["then the host at 999.1.2.3, again", "we met the host at 1999 there", "then some thing by 999.1.2.3, again"]
     docs = spark.createDataFrame(list(enumerate(texts)) + [(100, texts[9])], "doc_id long, text string")
     got = {r.doc_id: r for r in personal_data.contract_columns(personal_data.find_personal_data(docs)).collect()}
     assert got[9].spans == got[100].spans == "ip:17:26" and (got[9].n_ip, got[9].n_added) == (0, 1)
@@ -218,7 +219,68 @@ def test_context_finds_identifiers_with_blanks(spark):
     docs = spark.createDataFrame(list(enumerate(texts + unseen)), "doc_id long, text string")
     got = {r.doc_id: r for r in personal_data.contract_columns(personal_data.find_personal_data(docs)).collect()}
     assert len(seeds) == 6 and all(got[i].n_added == 0 and len(got[i].spans.split(",")) == 1 for i in range(len(texts)))
-    assert [got[len(texts) + i].spans for i in range(len(unseen))] == ["card:18:37", "phone:18:29", "phone:18:29", "", "", "phone:11:22"]
+    assert [got[len(texts) + i].spans for i in range(len(unseen))] == ["card:18:37", "phone:18:29", "phone:18:29", "card:8:27", "", "phone:11:22"]
+
+
+def test_identifiers_that_others_hide(spark):
+    """A card behind a phone makes one number of both, which is neither; their exact forms mark each by itself."""
+    cards = [c for i in range(400) if base_of(c := f"4111111111{i:06d}")[1][2]][:12]
+    texts = [f"{'w' * (i + 1)} {c} and" for i, c in enumerate(cards[:8])] + [f"so +1 (212) 555-01{i:02d} v" for i in range(8)] + [f"at +1 (212) 555-0199 {cards[9]} there"]
+    got = personal_data.contract_columns(personal_data.find_personal_data(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))).collect()
+    last = max(got, key=lambda r: r.doc_id)
+    assert (last.n_card, last.n_phone, last.n_added, last.spans) == (0, 0, 2, "phone:3:20,card:21:37")
+    assert all(r.n_added == 0 for r in got if r.doc_id < 16)
+
+
+def test_many_numbers_in_one_text(spark):
+    text = " ".join(f"{1000 + k}." if k % 3 else f"1.2.3.{k % 256}" for k in range(20_000))
+    got = personal_data.contract_columns(personal_data.find_personal_data(spark.createDataFrame([(1, text)], "doc_id long, text string"))).first()
+    spans, counts = base_of(text)
+    assert [got.n_email, got.n_ip, got.n_card, got.n_phone] == counts and got.base_sha256 == hashlib.sha256(spans.encode()).hexdigest()
+
+
+def plain_discovery(edges, rounds, least, sure):
+    """What discovered() finds, by loops."""
+    def parts(word, before):
+        rough = re.sub(" +", " ", re.sub("[0-9]+", "9", re.sub("[A-Za-z]+", "a", word)))
+        last, prefix = before.split(" ")[-1] if before else "", re.match("[^=:0-9]*[=:][\"']?", word.lower())
+        return {("0:", re.sub("[0-9]", "9", re.sub("[A-Za-z]+", "a", word))), *([("2:" + before, rough)] if before != last else []), *([("1:" + last, rough)] if last else []), *([("=:" + prefix[0], rough)] if prefix else [])}
+
+    seed = {}
+    for _, _, _, word, before, kind in edges:
+        for p in parts(word, before):
+            seed[p, word] = max((x for x in (seed.get((p, word)), kind) if x is not None), default=None)
+    score = {pair: float(k is not None) for pair, k in seed.items()}
+    for r in range(rounds):
+        by = {}
+        for (p, word), v in score.items():
+            by.setdefault(p, []).append((v, seed[p, word]))
+        sure_of = {p: (sum(v for v, _ in x) / len(x), min(k for k in {k for _, k in x if k is not None} if sum(j == k for _, j in x) == max(sum(j == i for _, j in x) for i in {i for _, i in x if i is not None})))
+                   for p, x in by.items() if sum(k is not None for _, k in x) >= least}
+        if r < rounds - 1:
+            for pair in score:
+                if seed[pair] is None:
+                    doubts = [max(1e-9, 1 - sure_of[p][0]) for p, w in score if w == pair[1] and p in sure_of]
+                    score[pair] = 1 - math.prod(doubts) if doubts else 0.0
+    out = set()
+    for key, start, end, word, before, kind in edges:
+        best = [(-sure_of[p][0], sure_of[p][1]) for p in parts(word, before) if p in sure_of and sure_of[p][0] >= sure]
+        if kind is None and best and (len(re.sub("[^0-9]", "", word)) >= 4 or "@" in word):
+            out.add((key, start, end, min(best)[1]))
+    return out
+
+
+@pytest.mark.parametrize("rounds", [1, 2, 3])
+def test_discovery_scores(spark, rounds):
+    rng = random.Random(rounds)
+    edges = []
+    for k in range(400):
+        word = rng.choice(["{}.{}.{}.{}", "{} {}", "a{}", "key={}", "{}@x"]).format(*(rng.randrange(1, 4000) for _ in range(4)))
+        known = next((e[5] for e in edges if e[3] == word), rng.choice([None, 1, 2]) if "." in word or "=" in word else None)
+        edges.append((k % 90, k * 10, k * 10 + len(word), word, rng.choice(["", "at", "host at", "call me", "no"]), known))
+    frame = spark.createDataFrame(edges, "key long, start int, end int, word string, before string, seed int")
+    got = {tuple(r) for r in personal_data.discovered(frame, rounds, 3, 0.55).collect()}
+    assert got == plain_discovery(edges, rounds, 3, 0.55) and got
 
 
 def test_targets():
