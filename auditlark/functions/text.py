@@ -61,6 +61,11 @@ def content_words(text: Column | str) -> Column:
     return F.filter(F.split(F.lower(col(text)), r"[^\p{L}\p{N}_]+"), lambda w: w.rlike("^[a-z]{3,}$") & ~w.isin(W.GENERIC_WORDS))
 
 
+def let(value: Column, use) -> Column:
+    """use(value) with value computed once; Spark repeats an expression in each branch and lambda that names it."""
+    return F.get(F.transform(F.array(value), use), 0)
+
+
 # -- cleaning ------------------------------------------------------------------------------------------------------
 
 
@@ -106,21 +111,27 @@ def preview(text: Column | str, most: int = 200) -> Column:
 
 def header_ratio(text: Column | str) -> Column:
     """Share of lines that look like metadata fields; 1 without lines."""
-    rows = lines(text)
+    return let(lines(text), _header_share)
+
+
+def _header_share(rows: Column) -> Column:
     return F.when(F.size(rows) == 0, 1.0).otherwise(F.size(F.filter(rows, lambda x: x.rlike(rf"(?i)^\s*(?:{W.HEADER_LINE})"))) / F.size(rows))
 
 
 def is_low_information(text: Column | str, c: Config = DEFAULTS) -> Column:
     """Whether a chunk is to be left out before embedding: short, headers, few words, or no sign of teaching."""
-    t = strip(text)
-    tokens = F.filter(alphabetic_tokens(t), lambda w: ~w.isin(W.QUALITY_STOP_WORDS))
-    return (
-        (F.length(t) < c.quality_chars)
-        | (t.rlike(rf"(?i)^(?-i:[^a-z\n]){{0,30}}(?:{W.HEADER_START})") & (F.size(lines(t)) <= 2))
-        | (header_ratio(t) >= c.quality_headers)
-        | (F.size(tokens) < c.quality_tokens)
-        | (~has_word(t, W.EDUCATIONAL) & (F.length(t) < c.quality_pass))
-    )
+
+    def poor(t: Column, rows: Column) -> Column:
+        tokens = F.filter(alphabetic_tokens(t), lambda w: ~w.isin(W.QUALITY_STOP_WORDS))
+        return (
+            (F.length(t) < c.quality_chars)
+            | (t.rlike(rf"(?i)^(?-i:[^a-z\n]){{0,30}}(?:{W.HEADER_START})") & (F.size(rows) <= 2))
+            | (_header_share(rows) >= c.quality_headers)
+            | (F.size(tokens) < c.quality_tokens)
+            | ((F.length(t) < c.quality_pass) & ~has_word(t, W.EDUCATIONAL))
+        )
+
+    return let(strip(text), lambda t: let(lines(t), lambda rows: poor(t, rows)))
 
 
 def has_publisher(text: Column | str, company: bool = False) -> Column:

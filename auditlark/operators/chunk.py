@@ -34,21 +34,26 @@ def sentences(text: Column | str) -> Column:
     return F.split(T.col(text), r"(?<=\.)\s+")
 
 
+SECTIONS = "array<struct<label:string,body:string>>"
+
+
 def sections(text: Column | str) -> Column:
     """array<struct<label, body>>: by unit headings, else by two and more numbered titles, else the whole."""
-    t = T.col(text)
-    kind = "array<struct<label:string,body:string>>"
 
-    def cut(pattern: str, label) -> Column:
-        bodies = F.transform(F.split(t, pattern, -1), T.strip)
-        found = F.regexp_extract_all(t, F.lit(pattern), 0)
-        lead = F.when(F.get(bodies, 0) != "", F.array(F.struct(F.lit(None).cast("string").alias("label"), F.get(bodies, 0).alias("body")))).otherwise(F.expr(f"cast(array() as {kind})"))
-        return F.concat(lead, F.transform(found, lambda h, i: F.struct(label(h).alias("label"), F.get(bodies, i + 1).alias("body"))))
+    def cut(t: Column, pattern: str, label) -> Column:
+        def joined(bodies: Column) -> Column:
+            lead = F.when(F.get(bodies, 0) != "", F.array(F.struct(F.lit(None).cast("string").alias("label"), F.get(bodies, 0).alias("body")))).otherwise(F.expr(f"cast(array() as {SECTIONS})"))
+            return F.concat(lead, F.transform(F.regexp_extract_all(t, F.lit(pattern), 0), lambda h, i: F.struct(label(h).alias("label"), F.get(bodies, i + 1).alias("body"))))
+
+        return T.let(F.transform(F.split(t, pattern, -1), T.strip), joined)
 
-    headed = cut(HEADING, lambda h: F.concat(F.lit("Unit "), F.regexp_extract(h, HEADING, 1)))
-    titled = cut(TITLED, lambda h: F.concat(F.lit("Unit "), F.regexp_extract(h, TITLED, 1), F.lit(": "), T.strip(F.regexp_extract(h, TITLED, 2))))
-    whole = F.array(F.struct(F.lit(None).cast("string").alias("label"), T.strip(t).alias("body")))
-    return F.when(F.regexp_count(t, F.lit(HEADING)) >= 1, headed).when(F.regexp_count(t, F.lit(TITLED)) >= 2, titled).otherwise(whole)
+    def parted(t: Column) -> Column:
+        headed = cut(t, HEADING, lambda h: F.concat(F.lit("Unit "), F.regexp_extract(h, HEADING, 1)))
+        titled = cut(t, TITLED, lambda h: F.concat(F.lit("Unit "), F.regexp_extract(h, TITLED, 1), F.lit(": "), T.strip(F.regexp_extract(h, TITLED, 2))))
+        whole = F.array(F.struct(F.lit(None).cast("string").alias("label"), T.strip(t).alias("body")))
+        return F.when(t.rlike(HEADING), headed).when(F.regexp_count(t, F.lit(TITLED)) >= 2, titled).otherwise(whole)
+
+    return T.let(T.col(text), parted)
 
 
 def without_references(body: Column) -> Column:
@@ -58,11 +63,14 @@ def without_references(body: Column) -> Column:
 
 def topics(body: Column, c: Config = DEFAULTS) -> Column:
     """Numbered topics of a section if there are two and more, else its lines packed, else the section."""
-    b = without_references(body)
-    numbered = F.filter(F.transform(F.split(F.regexp_replace(b, TOPIC, f"{MARK}$1"), MARK), T.strip), lambda x: F.length(x) >= c.chunk_least)
-    lines = packed(F.filter(F.transform(F.split(b, "\n"), T.strip), lambda x: x != ""), "\n", c)
-    whole = F.filter(F.array(b), lambda x: F.length(x) >= c.chunk_least)
-    return F.when(F.regexp_count(b, F.lit(TOPIC)) >= 2, numbered).when(F.size(lines) > 0, lines).otherwise(whole)
+
+    def cut(b: Column) -> Column:
+        numbered = F.filter(F.transform(F.split(F.regexp_replace(b, TOPIC, f"{MARK}$1"), MARK), T.strip), lambda x: F.length(x) >= c.chunk_least)
+        lines = packed(F.filter(F.transform(F.split(b, "\n"), T.strip), lambda x: x != ""), "\n", c)
+        whole = F.filter(F.array(b), lambda x: F.length(x) >= c.chunk_least)
+        return F.when(F.regexp_count(b, F.lit(TOPIC)) >= 2, numbered).otherwise(T.let(lines, lambda own: F.when(F.size(own) > 0, own).otherwise(whole)))
+
+    return T.let(without_references(body), cut)
 
 
 def implicit_label(chunk: Column) -> Column:
@@ -73,7 +81,9 @@ def implicit_label(chunk: Column) -> Column:
 
 def chunks(docs: DataFrame, c: Config = DEFAULTS) -> DataFrame:
     """docs(doc_id, text) -> (doc_id, chunk_no from 0, text, module): one topic each, long ones packed by sentences."""
-    sect = docs.select("doc_id", F.posexplode(sections(T.normalise("text"))).alias("s", "section")).where("section.body <> ''")
+    # one step a projection: what a step makes is computed once
+    clean = docs.select("doc_id", T.normalise("text").alias("clean"))
+    sect = clean.select("doc_id", F.posexplode(sections("clean")).alias("s", "section")).where("section.body <> ''")
     topic = sect.select("doc_id", "s", F.col("section.label").alias("label"), F.posexplode(topics(F.col("section.body"), c)).alias("t", "topic"))
     label = F.coalesce("label", implicit_label(F.col("topic")))
     pieces = F.when(F.length("topic") <= c.chunk_most, F.array("topic")).otherwise(packed(sentences("topic"), " ", c))

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import math
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -46,13 +48,27 @@ def mcnemar(rows: DataFrame) -> DataFrame:
     n = lambda a, b: F.count_if(F.expr(f"{'' if a else 'not '}first and {'' if b else 'not '}second"))
     table = rows.agg(n(True, True).alias("both"), n(True, False).alias("only_first"), n(False, True).alias("only_second"), n(False, False).alias("neither"))
     total = F.expr("only_first + only_second")
-    # log C(n, i) grows by log((n - i + 1) / i); the sum of the tail stays within doubles
+    # the tail from its largest term down: each term is the one before times i / (n - i + 1). Only so many matter, a few
+    # dozen standard deviations, so that the sum is bounded by the root of the number of rows
+    terms = F.expr("cast(least(least(only_first, only_second) + 1, 64 + 40 * sqrt(only_first + only_second)) as int)")
     tail = F.expr(
-        "aggregate(sequence(0L, least(only_first, only_second)), named_struct('l', double(0), 's', double(0)), (a, i) -> named_struct("
-        "'l', if(i = 0, 0D, a.l + ln((only_first + only_second - i + 1D) / greatest(i, 1))),"
-        "'s', a.s + exp(if(i = 0, 0D, a.l + ln((only_first + only_second - i + 1D) / greatest(i, 1))) - (only_first + only_second) * ln(2D))), a -> a.s)"
+        "aggregate(sequence(1, terms), named_struct('t', double(1), 's', double(0)), (a, k) -> named_struct("
+        "'t', a.t * (least(only_first, only_second) - k + 1D) / (greatest(only_first, only_second) + k), 's', a.s + a.t), a -> a.s)"
     )
-    return table.select("*", F.when(total == 0, 1.0).otherwise(F.least(F.lit(1.0), 2 * tail)).alias("p_value"))
+    table = table.withColumn("terms", terms).withColumn("tail", tail * F.exp(_log_choose("least(only_first, only_second)") - total * math.log(2.0))).drop("terms")
+    return table.withColumn("p_value", F.when(total == 0, 1.0).otherwise(F.least(F.lit(1.0), 2 * F.col("tail")))).drop("tail")
+
+
+def _log_choose(k: str) -> Column:
+    """ln C(only_first + only_second, k)."""
+    return _log_factorial("only_first + only_second") - _log_factorial(k) - _log_factorial(f"only_first + only_second - {k}")
+
+
+def _log_factorial(n: str) -> Column:
+    """ln n!: a sum for small n, else Stirling's series (exact to 1e-14 from 64 on)."""
+    small = f"aggregate(sequence(1L, greatest(1L, least(64L, {n}))), double(0), (a, i) -> a + ln(double(i)))"
+    series = f"({n}) * ln(double({n})) - ({n}) + 0.5 * ln(2 * pi() * ({n})) + 1D / (12D * ({n})) - 1D / (360D * pow({n}, 3)) + 1D / (1260D * pow({n}, 5))"
+    return F.expr(f"if(({n}) <= 64, {small}, {series})")
 
 
 def error_report(rows: DataFrame) -> DataFrame:

@@ -112,11 +112,13 @@ def audited(scored: DataFrame, threshold: float = DEFAULTS.user_threshold, scope
     if scope is not None:
         rows = rows.join(scope, "query_id", "left").withColumn("rejected", F.coalesce((F.col("top") >= c.scope_similarity) & (F.round("overlap", 4) < c.scope_overlap), F.lit(False)))
     else:
-        rows = rows.withColumn("rejected", F.lit(False))
+        rows = rows.withColumns({"overlap": F.lit(1.0), "rejected": F.lit(False)})
     effective = max(threshold, c.weak)
     rows = decided(rows, effective, judge, c)
-    passes = gate_passes("top", threshold, c)
-    inside = passes & ~F.col("rejected") & F.col("in_syllabus")
+    # a question out of scope has no evidence, whatever was found for it
+    rows = rows.withColumn("chunks", F.when(F.col("rejected"), F.expr("slice(chunks, 1, 0)")).otherwise(F.col("chunks")))
+    passes = gate_passes("top", threshold, c) & ~F.col("rejected")
+    inside = passes & F.col("in_syllabus")
     first = F.get("chunks", 0)
     strength = match_strength("top", c)
     raised = F.when((strength == "WEAK_MATCH") & (F.coalesce(first["semantic"], F.lit(0.0)) >= c.upgrade_semantic) & (F.coalesce(first["boost"], F.lit(0.0)) > 0) & F.lit(scoped), "PARTIAL_MATCH").otherwise(strength)
@@ -125,5 +127,15 @@ def audited(scored: DataFrame, threshold: float = DEFAULTS.user_threshold, scope
         "query_id", "question", F.round("top", 4).alias("similarity"), F.when(F.col("rejected"), "WEAK_MATCH").when(passes, raised).otherwise(strength).alias("match_strength"),
         F.when(inside, match_type("top", F.lit(scoped), c)).otherwise("OUT_OF_CURRICULUM").alias("match_type"), passes.alias("gatekeeper_passed"), inside.alias("is_in_syllabus"),
         level.alias("bloom_level"), T.difficulty(level).alias("difficulty"), F.array_join(F.slice(rerank.modules_of("chunks", c), 1, c.modules_shown), ",").alias("modules"), "question_type",
-        F.when(passes & ~F.col("rejected"), F.col("decision")).otherwise("NO").alias("decision"), F.when(passes, F.col("justification")).otherwise(LOW).alias("justification"), F.size("chunks").cast("long").alias("n_chunks"),
+        F.when(passes, F.col("decision")).otherwise("NO").alias("decision"), F.when(F.col("rejected"), foreign_scope(c)).when(passes, F.col("justification")).otherwise(LOW).alias("justification"),
+        F.size("chunks").cast("long").alias("n_chunks"), *(F.round(F.coalesce(first[name], F.lit(0.0)), 4).alias(label) for name, label in DIAGNOSTICS.items()),
     )
+
+
+#: Of the first chunk left, what its score is made of.
+DIAGNOSTICS = {"semantic": "semantic_score", "keyword": "keyword_overlap_score", "boost": "concept_boost"}
+
+
+def foreign_scope(c: Config = DEFAULTS) -> Column:
+    """Why a question whose concepts are foreign to the syllabus is refused, with its figures."""
+    return F.format_string("High similarity (%.2f) but only %.2f of the question's concepts occur in the syllabus; at least %.2f must.", F.col("top"), F.coalesce("overlap", F.lit(1.0)), F.lit(c.scope_overlap))

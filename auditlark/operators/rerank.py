@@ -8,12 +8,13 @@ from pyspark.sql import functions as F
 from auditlark.config import DEFAULTS, Config
 from auditlark.functions import text as T
 
-CHUNK = "struct<distance:double,chunk_id:bigint,module:string,similarity:double,semantic:double,boost:double,text:string>"
+CHUNK = "struct<distance:double,chunk_id:bigint,module:string,similarity:double,semantic:double,keyword:double,boost:double,text:string>"
 
 
 def collected(rows: DataFrame) -> DataFrame:
     """Scored rows -> (query_id, question, top, chunks): chunks by distance then id; top is the best similarity."""
-    parts = F.struct(F.col("distance").cast("double").alias("distance"), F.col("chunk_id").cast("long").alias("chunk_id"), "module", F.col("similarity").cast("double").alias("similarity"), F.col("semantic").cast("double").alias("semantic"), F.col("boost").cast("double").alias("boost"), "text")
+    keyword = F.col("keyword") if "keyword" in rows.columns else F.lit(None)
+    parts = F.struct(F.col("distance").cast("double").alias("distance"), F.col("chunk_id").cast("long").alias("chunk_id"), "module", F.col("similarity").cast("double").alias("similarity"), F.col("semantic").cast("double").alias("semantic"), keyword.cast("double").alias("keyword"), F.col("boost").cast("double").alias("boost"), "text")
     return rows.groupBy("query_id", "question").agg(F.max("similarity").alias("top"), F.array_sort(F.collect_list(parts)).alias("chunks"))
 
 

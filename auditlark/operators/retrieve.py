@@ -1,7 +1,7 @@
 """Exact cosine top-k and the hybrid score.
 
 Queries are taken in blocks of a bounded number of vectors, which executors hold while the chunks stream past. Each
-batch of chunks keeps its k best for each query, so what is shuffled grows with batches, not with pairs.
+task keeps its k best for each query, so what is shuffled grows with tasks, not with pairs.
 """
 
 from __future__ import annotations
@@ -10,6 +10,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window
 from pyspark.sql import functions as F
@@ -20,6 +21,8 @@ from auditlark.functions import words as W
 
 #: Vectors of one block of queries: with 1,024 doubles each they are 32 MB at most.
 BLOCK = 4096
+#: Chunks that are compared with a block at a time: 17 MB of similarities.
+SLICE = 512
 #: Terms of one block of questions.
 BLOCK_TERMS = 1_000_000
 
@@ -30,27 +33,63 @@ def _unit(vectors: np.ndarray) -> np.ndarray:
 
 
 def _matrix(column: pa.Array, size: int) -> np.ndarray:
-    return np.array([v if v is not None and len(v) == size else [0.0] * size for v in column.to_pylist()], float).reshape(-1, size)
+    """The vectors of a list column; those that are null or of another length are zeros."""
+    column = column.cast(pa.list_(pa.float64()))
+    right = pc.fill_null(pc.equal(pc.list_value_length(column), size), False).to_numpy(zero_copy_only=False)
+    out = np.zeros((len(column), size))
+    out[right] = pc.fill_null(pc.list_flatten(column.filter(pa.array(right))), 0.0).to_numpy(zero_copy_only=False).reshape(-1, size)
+    return out
+
+
+class _Best:
+    """The k best chunks so far of each query of a block, by cosine and then by id."""
+
+    def __init__(self, ids: np.ndarray, k: int):
+        self.ids, self.k = ids, k
+        self.score, self.name = np.full((len(ids), k), -2.0), np.full((len(ids), k), np.iinfo(np.int64).max)
+
+    def add(self, sims: np.ndarray, names: np.ndarray) -> None:
+        """sims: a row for each query, a column for each of names; -2 is out."""
+        near = np.round(sims, 12)
+        if near.shape[1] > 4 * self.k:
+            # nothing below a query's k-th best of these can stay; of equal ones the ids decide, so all are looked at
+            edge = -np.partition(-near, self.k - 1, axis=1)[:, self.k - 1]
+            keep = near >= np.maximum(edge, np.round(self.score[:, -1], 12))[:, None]
+            most = int(keep.sum(axis=1).max(initial=0))
+            if not most:
+                return
+            at = np.argsort(~keep, axis=1, kind="stable")[:, :most]
+            chosen = np.take_along_axis(keep, at, 1)
+            sims, names = np.where(chosen, np.take_along_axis(sims, at, 1), -2.0), np.where(chosen, names[at], np.iinfo(np.int64).max)
+        else:
+            names = np.broadcast_to(names, sims.shape)
+        score, name = np.concatenate((self.score, sims), axis=1), np.concatenate((self.name, names), axis=1)
+        order = np.lexsort((name, -np.round(score, 12)), axis=1)[:, : self.k]
+        self.score, self.name = np.take_along_axis(score, order, 1), np.take_along_axis(name, order, 1)
+
+    def rows(self) -> pa.RecordBatch:
+        keep = self.score > -2
+        owner = np.broadcast_to(self.ids[:, None], keep.shape)
+        return pa.RecordBatch.from_arrays([pa.array(owner[keep]), pa.array(self.name[keep]), pa.array(self.score[keep])], names=["query_id", "chunk_id", "cosine"])
 
 
 def _best(shared, k: int, apart: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids, groups, queries = shared.value
+        codes = {g: n for n, g in enumerate(dict.fromkeys(groups))}
+        own, best = np.array([codes[g] for g in groups]), _Best(ids, k)
         for batch in batches:
-            names = np.array(batch.column(0).to_pylist(), dtype=np.int64)
-            if not len(names):
-                continue
-            sims = queries @ _unit(_matrix(batch.column(1), queries.shape[1])).T
-            if batch.num_columns > 2:  # only chunks of the query's own group
-                sims[np.array(groups, object)[:, None] != np.array(batch.column(2).to_pylist(), object)[None, :]] = -2
-            if apart:
-                sims[ids[:, None] == names[None, :]] = -2
-            order = np.lexsort((np.broadcast_to(names, sims.shape), -np.round(sims, 12)), axis=1)[:, :k]
-            rows = np.repeat(np.arange(len(ids)), order.shape[1])
-            flat = order.ravel()
-            score = sims[rows, flat]
-            keep = score > -2
-            yield pa.RecordBatch.from_arrays([pa.array(ids[rows][keep]), pa.array(names[flat][keep]), pa.array(score[keep])], names=["query_id", "chunk_id", "cosine"])
+            for at in range(0, len(batch), SLICE):
+                part = batch.slice(at, SLICE)
+                names = part.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
+                sims = queries @ _unit(_matrix(part.column(1), queries.shape[1])).T
+                if part.num_columns > 2:  # only chunks of the query's own group
+                    theirs = np.array([codes.get(g, -1) for g in part.column(2).to_pylist()])
+                    sims[own[:, None] != theirs[None, :]] = -2
+                if apart:
+                    sims[ids[:, None] == names[None, :]] = -2
+                best.add(sims, names)
+        yield best.rows()
 
     return run
 

@@ -51,11 +51,16 @@ def concept_overlap(questions: DataFrame, concepts: DataFrame, embedder=None, c:
     q = questions.select("query_id", "syllabus_id", F.posexplode(T.content_words("question")).alias("pos", "word"))
     s = concepts.select("syllabus_id", F.explode(F.filter(F.split(F.lower("concept"), r"[^\p{L}\p{N}_]+"), lambda w: w.rlike("^[a-z]{3,}$"))).alias("other")).distinct()
     keys = lambda w: F.array_distinct(F.concat(F.array(w), F.when(F.length(w) >= 5, F.array(F.concat(F.lit("^"), F.substring(w, 1, 5)))).otherwise(F.expr("cast(array() as array<string>)"))))
-    parts = lambda w: F.when(F.length(w) > 5, F.flatten(F.transform(F.sequence(F.lit(5), F.length(w) - 1), lambda n: F.transform(F.sequence(F.lit(1), F.length(w) - n + 1), lambda i: F.substring(w, i, n))))).otherwise(F.expr("cast(array() as array<string>)"))
-    whole_s = s.select("syllabus_id", F.explode(keys(F.col("other"))).alias("key")).distinct()
-    part_s = s.select("syllabus_id", F.explode(parts(F.col("other"))).alias("key")).distinct()
+    # a part can only be a whole word of the other side: none is longer than the longest there
+    longest = lambda words, name: F.coalesce(F.max(F.length(name)), F.lit(0)).alias("most")
     words = q.select("syllabus_id", "word").distinct()
-    hit = words.select("syllabus_id", "word", F.explode(F.concat(keys(F.col("word")), parts(F.col("word")))).alias("key")).join(whole_s, ["syllabus_id", "key"], "left_semi")
+    most_s, most_q = (frame.groupBy("syllabus_id").agg(longest(frame, name)) for frame, name in ((s, "other"), (words, "word")))
+    none = F.expr("cast(array() as array<string>)")
+    sizes = lambda w: F.sequence(F.lit(5), F.least(F.length(w) - 1, F.col("most")))
+    parts = lambda w: F.when(F.least(F.length(w) - 1, F.col("most")) >= 5, F.flatten(F.transform(sizes(w), lambda n: F.transform(F.sequence(F.lit(1), F.length(w) - n + 1), lambda i: F.substring(w, i, n))))).otherwise(none)
+    whole_s = s.select("syllabus_id", F.explode(keys(F.col("other"))).alias("key")).distinct()
+    part_s = s.join(most_q, "syllabus_id").select("syllabus_id", F.explode(parts(F.col("other"))).alias("key")).distinct()
+    hit = words.join(most_s, "syllabus_id").select("syllabus_id", "word", F.explode(F.concat(keys(F.col("word")), parts(F.col("word")))).alias("key")).join(whole_s, ["syllabus_id", "key"], "left_semi")
     held = words.where(F.length("word") >= 5).join(part_s.withColumnRenamed("key", "word"), ["syllabus_id", "word"], "left_semi")
     matched = hit.select("syllabus_id", "word").unionByName(held).distinct().withColumn("score", F.lit(1.0))
     if embedder is not None:

@@ -22,9 +22,9 @@ def docs(spark, *texts):
 
 
 BLOOM = {
-    "Define the term 'database'": "Remember", "Explain the working of TCP/IP protocol": "Understand", "Implement a bubble sort algorithm in Python": "Apply",
-    "Compare and differentiate RSA and AES encryption": "Analyze", "Justify the use of cloud computing for enterprise systems": "Evaluate", "Design a secure network topology for a hospital": "Create",
-    "The CIA Triad.": "Unknown", "List and analyze the properties of RSA": "Analyze", "DEFINE what encryption means": "Remember", "Why so": "Evaluate", "how is it": "Analyze", "étude": "Unknown",
+    "Define a flow net.": "Remember", "Explain why clay swells when it is wet": "Understand", "Solve the equation for the depth of the footing": "Apply",
+    "Compare a raft with a pile foundation": "Analyze", "Justify your choice of a retaining wall": "Evaluate", "Design a drainage layer below a road": "Create",
+    "Terzaghi and clay.": "Unknown", "List and analyze the layers of the ground": "Analyze", "DEFINE what the void ratio means": "Remember", "Why so": "Evaluate", "how is it": "Analyze", "étude": "Unknown",
     "What are the different types of it": "Understand", "Who": "Remember",
 }
 
@@ -59,14 +59,16 @@ def test_structured_parser(spark):
     r = parse.structured_courses(docs(spark, fixtures.STRUCTURED)).collect()
     assert len(r) == 1
     r = r[0]
-    assert (r.subject_name, r.subject_code, r.semester, r.program, r.department) == ("Cryptography & Network Security", "PEC-IT801B", "VIII", "B.Tech", "Information Technology")
-    assert r.objectives == "To secure network communication." and r.references == "1. Stallings, Cryptography." and r.warnings == []
-    assert [(o.co, o.text, o.bloom_level) for o in r.outcomes] == [("CO1", "Design secure frameworks.", "Create"), ("CO2", "Analyze threat models. continued over a line", "Analyze")]
-    assert sorted((m.co, m.po, m.strength) for m in r.matrix) == [("CO1", "PO1", 3), ("CO1", "PO2", 2), ("CO1", "PO5", 1), ("CO2", "PO1", 2), ("CO2", "PO2", 3), ("CO2", "PO3", 1), ("CO2", "PO5", 2)]
-    assert [(u.unit, u.title, u.content) for u in r.units] == [("1", "Intro", "Introduction to security, plaintext."), ("2", "RSA", "Encryption techniques.")]
-    assert (r.co_count, r.po_count, r.module_count, r.parser, r.parser_confidence) == (2, 2, 2, "AICTE", 0.97)
+    assert (r.subject_name, r.subject_code, r.semester, r.program, r.department) == ("Soil Mechanics & Foundation Design", "PEC-CE602A", "VI", "B.Tech", "Civil Engineering")
+    assert r.objectives == "To judge what a given ground can bear." and r.references == "1. Terzaghi, Theoretical Soil Mechanics." and r.warnings == []
+    assert [(o.co, o.text, o.bloom_level) for o in r.outcomes] == [
+        ("CO1", "Explain how water moves through soils.", "Understand"), ("CO2", "Calculate the settlement of footings. also under loads that change", "Apply"), ("CO3", "Design a retaining wall.", "Create"),
+    ]
+    assert sorted((m.co, m.po, m.strength) for m in r.matrix) == [("CO1", "PO1", 2), ("CO1", "PO3", 1), ("CO2", "PO1", 3), ("CO2", "PO2", 2), ("CO2", "PO4", 1), ("CO3", "PO2", 1), ("CO3", "PO3", 3)]
+    assert [(u.unit, u.title, u.content) for u in r.units] == [("1", "Seepage", "Permeability and flow nets."), ("2", "Settlement", "Consolidation of clay layers.")]
+    assert (r.co_count, r.po_count, r.module_count, r.parser, r.parser_confidence) == (3, 3, 2, "AICTE", 0.97)
     primary = parse.primary_outcomes(parse.outcome_matrix(parse.structured_lines(docs(spark, fixtures.STRUCTURED)))).collect()
-    assert sorted((p.co, p.po) for p in primary) == [("CO1", "PO1"), ("CO2", "PO2")]
+    assert sorted((p.co, p.po) for p in primary) == [("CO1", "PO1"), ("CO2", "PO1"), ("CO3", "PO3")]
 
 
 def test_structured_quirks(spark):
