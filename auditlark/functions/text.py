@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import re
 
 from pyspark.sql import Column
@@ -20,7 +21,8 @@ def col(c: Column | str) -> Column:
 
 
 def strip(text: Column | str) -> Column:
-    return F.regexp_replace(col(text), r"^\s+|\s+$", "")
+    """White space of ASCII off both ends."""
+    return F.btrim(col(text), F.lit(" \t\n\x0b\f\r"))
 
 
 def has_word(text: Column | str, alternatives: str) -> Column:
@@ -69,30 +71,68 @@ def let(value: Column, use) -> Column:
 # -- cleaning ------------------------------------------------------------------------------------------------------
 
 
+def needles(alternatives: str) -> list[str]:
+    """For each alternative of a pattern the longest string that any of its matches must hold, in lower case."""
+    plain = re.sub(r"\(\?:[^()]*\)\??", "\0", alternatives)
+    found = []
+    for alternative in plain.split("|"):
+        fixed = re.sub(r"\[[^\]]*\][?*+]?|\\b|\\[a-z][?*+]?|\.\{[0-9,]+\}|\.\*|.[?*]", "\0", alternative)
+        found.append(max((x.replace("\\", "") for x in fixed.split("\0")), key=len).lower())
+    return sorted(set(found))
+
+
+def _gone(pattern: str, *held: str, by: str = "", sign=None):
+    """A step that replaces a pattern in texts that hold one of some strings (in lower case) or show a sign: to look
+    for a fixed string costs a fraction of a search by pattern, and most texts of a large collection hold none."""
+    def step(t: Column) -> Column:
+        gate = sign(t) if sign else let(F.lower(t), lambda low: functools.reduce(Column.__or__, (F.contains(low, F.lit(x)) for x in held)))
+        return F.when(gate, F.regexp_replace(t, pattern, by)).otherwise(t)
+
+    return step
+
+
+def _in_turn(text: Column, *steps) -> Column:
+    for step in steps:
+        text = let(text, step)
+    return text
+
+
+_HOURS = _gone(r"(?i)\[\s*\d+\s*L?\s*\]", "[")
+_NUMBERS = lambda t: t.rlike(r"[0-9]\s+[0-9]")
+_BREAKS = _gone("\n{3,}", "\n\n\n", by="\n\n")
+
+
 def normalise(text: Column | str) -> Column:
     """Typography and course metadata out of a syllabus: dashes, hour marks, meta lines, number rows, blank runs."""
-    t = F.regexp_replace(col(text), "\r", "")
-    t = F.regexp_replace(t, r"(?<![\p{L}\p{N}_])([A-Za-z])\s*[–—]\s*([\p{L}\p{N}_])", "$1-$2")
-    t = F.regexp_replace(t, "[–—]", "-")
-    t = F.regexp_replace(t, r"(?i)\[\s*\d+\s*L?\s*\]", "")
-    t = F.regexp_replace(t, rf"(?i)(?:^|\n)[^\n]*?(?:{W.COURSE_META})[^\n]*", "")
-    t = F.regexp_replace(t, rf"(?i)(?:^|\n)\s*(?:Page:\s*\d+/\d+\s+)?[^\n]*?(?:{W.UNIVERSITY})[^\n]*", "")
-    t = F.regexp_replace(t, r"\b(?:\d+(?:\.\d+)?\s+){4,}\d+(?:\.\d+)?\b", "")
-    t = F.regexp_replace(t, "[ \t]{2,}", " ")
-    return F.regexp_replace(t, "\n{3,}", "\n\n")
+    return _in_turn(
+        F.replace(col(text), F.lit("\r"), F.lit("")),
+        _gone(r"(?<![\p{L}\p{N}_])([A-Za-z])\s*[–—]\s*([\p{L}\p{N}_])", "–", "—", by="$1-$2"),
+        lambda t: F.translate(t, "–—", "--"),
+        _HOURS,
+        _gone(rf"(?i)(?:^|\n)[^\n]*?(?:{W.COURSE_META})[^\n]*", *needles(W.COURSE_META)),
+        _gone(rf"(?i)(?:^|\n)\s*(?:Page:\s*\d+/\d+\s+)?[^\n]*?(?:{W.UNIVERSITY})[^\n]*", *needles(W.UNIVERSITY)),
+        _gone(r"\b(?:\d+(?:\.\d+)?\s+){4,}\d+(?:\.\d+)?\b", sign=_NUMBERS),
+        _gone("[ \t]{2,}", "  ", "\t", by=" "),
+        _BREAKS,
+    )
 
 
 def clean_legacy(text: Column | str) -> Column:
     """Whole lines out of a legacy document: number rows, publishers, accreditation, headers, schemes, hour marks."""
     codes = "|".join(rf"\b{c}\b" for c in W.PUBLISHER_CODES)
-    t = F.regexp_replace(col(text), "\r", "")
-    t = F.regexp_replace(t, r"(?m)^\s*(?:CO\d+|PO\d+)?\s*(?:\d+(?:\.\d+)?\s+){4,}\d+(?:\.\d+)?\s*$", "")
-    t = F.regexp_replace(t, rf"(?i)(?:^|\n)[^\n]*?(?:{W.PUBLISHERS}|{codes}|ISBN)[^\n]*", "")
-    t = F.regexp_replace(t, rf"(?i)(?:^|\n)[^\n]*?(?:{W.ACCREDITATION})[^\n]*", "")
-    t = F.regexp_replace(t, rf"(?i)(?:^|\n)\s*(?:Page\s*:\s*\d+[^\n]*|[^\n]*?(?:{W.LEGACY_UNIVERSITY})[^\n]*)", "")
-    t = F.regexp_replace(t, rf"(?i)(?:^|\n)[^\n]*?(?:{W.LEGACY_META})[^\n]*", "")
-    t = F.regexp_replace(t, r"(?i)\[\s*\d+\s*L?\s*\]", "")
-    return strip(F.regexp_replace(t, "\n{3,}", "\n\n"))
+    outcomes = [f"po{n}" for n in range(10)]  # of the alternative that is two letters and a number
+    return strip(
+        _in_turn(
+            F.replace(col(text), F.lit("\r"), F.lit("")),
+            _gone(r"(?m)^\s*(?:CO\d+|PO\d+)?\s*(?:\d+(?:\.\d+)?\s+){4,}\d+(?:\.\d+)?\s*$", sign=_NUMBERS),
+            _gone(rf"(?i)(?:^|\n)[^\n]*?(?:{W.PUBLISHERS}|{codes}|ISBN)[^\n]*", *needles(f"{W.PUBLISHERS}|{codes}|ISBN")),
+            _gone(rf"(?i)(?:^|\n)[^\n]*?(?:{W.ACCREDITATION})[^\n]*", *(x for x in needles(W.ACCREDITATION) if x != "po"), *outcomes),
+            _gone(rf"(?i)(?:^|\n)\s*(?:Page\s*:\s*\d+[^\n]*|[^\n]*?(?:{W.LEGACY_UNIVERSITY})[^\n]*)", "page", *needles(W.LEGACY_UNIVERSITY)),
+            _gone(rf"(?i)(?:^|\n)[^\n]*?(?:{W.LEGACY_META})[^\n]*", *needles(W.LEGACY_META)),
+            _HOURS,
+            _BREAKS,
+        )
+    )
 
 
 def html_to_text(html: Column | str) -> Column:

@@ -233,9 +233,10 @@ def legacy_subjects(docs: DataFrame, fix_semester: bool = False, c: Config = DEF
     A subject's semester is the last one named before the next subject opens, or with fix_semester before its own.
     Reading lists are left out until the next semester or subject; blocks below c.legacy_block characters are dropped.
     """
-    cleaned = docs.select("doc_id", F.split(T.clean_legacy("text"), "\n").alias("lines"))
-    # only a line with a code opens a subject: documents without any leave before their lines are sorted
-    cleaned = cleaned.where(F.exists("lines", lambda x: T.strip(x).rlike(CODE))).select("doc_id", F.posexplode("lines").alias("raw_no", "line"))
+    # only a line with a code opens a subject: documents that hold none leave before their lines are sorted
+    lines = T.let(F.split(T.clean_legacy("text"), "\n"), lambda own: F.when(F.exists(own, lambda x: T.strip(x).rlike(CODE)), own))
+    # (a mark in brackets may part the word, and is cleaned away)
+    cleaned = docs.where(F.contains(F.lower("text"), F.lit("code")) | F.contains("text", F.lit("["))).select("doc_id", F.posexplode(lines).alias("raw_no", "line"))
     rows = cleaned.select("doc_id", "raw_no", F.col("raw_no").alias("line_no"), T.strip("line").alias("line")).where("line <> ''")
     context = global_context(rows)
     sem = F.coalesce(*(F.when(F.regexp_extract("line", p, 1) != "", F.regexp_extract("line", p, 1)) for p in (SEMESTER, ORDINAL_SEMESTER)))
