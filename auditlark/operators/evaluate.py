@@ -47,6 +47,11 @@ def mcnemar(rows: DataFrame) -> DataFrame:
     """rows(first, second: whether each was right) -> both, only_first, only_second, neither, p_value (exact, two-sided)."""
     n = lambda a, b: F.count_if(F.expr(f"{'' if a else 'not '}first and {'' if b else 'not '}second"))
     table = rows.agg(n(True, True).alias("both"), n(True, False).alias("only_first"), n(False, True).alias("only_second"), n(False, False).alias("neither"))
+    return with_p_value(table)
+
+
+def with_p_value(table: DataFrame) -> DataFrame:
+    """Adds the exact two-sided p_value of only_first against only_second."""
     total = F.expr("only_first + only_second")
     # the tail from its largest term down: each term is the one before times i / (n - i + 1). Only so many matter, a few
     # dozen standard deviations, so that the sum is bounded by the root of the number of rows

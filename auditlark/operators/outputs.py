@@ -58,9 +58,14 @@ def compared_baselines(scores: DataFrame) -> DataFrame:
 
 
 def write_results(results: DataFrame, folder: str) -> None:
-    """results.csv (eight columns), metrics.json, and the two reports of wrong answers, as folders of part files."""
+    """results.csv (eight columns), metrics.json, and the two reports of wrong answers, as folders of part files.
+
+    Questions without an answer (predicted is null) are errors: they are counted, and left out of all else.
+    """
+    errors = results.where("predicted is null").agg(F.count("*").cast("int").alias("errors_skipped"))
+    results = results.where("predicted is not null")
     results.select(*RESULT_COLUMNS).write.mode("overwrite").csv(f"{folder}/results.csv", header=True)
-    matrix = evaluate.metrics(evaluate.confusion(results)).withColumn("errors_skipped", F.lit(0))
+    matrix = evaluate.metrics(evaluate.confusion(results)).join(F.broadcast(errors))  # one row each
     matrix.withColumnRenamed("f1", "f1_score").write.mode("overwrite").json(f"{folder}/metrics.json")
     wrong = evaluate.error_report(results)
     wrong.where("predicted").write.mode("overwrite").json(f"{folder}/false_positives.json")

@@ -28,6 +28,25 @@ def outcome_upsert(stored: DataFrame, given: DataFrame) -> DataFrame:
     return upper.groupBy("syllabus_id", "co").agg(F.max_by("po", "seq").alias("po"), F.max_by("strength", "seq").alias("strength"))
 
 
+def absent(rows: DataFrame, stored: DataFrame) -> DataFrame:
+    """Rows of syllabi that stored doesn't know."""
+    return rows.join(stored.select("syllabus_id").distinct(), "syllabus_id", "left_anti")
+
+
+def labelled(found: DataFrame, outcome_map: DataFrame) -> DataFrame:
+    """found(syllabus_id, mapped_co, ...) plus mapped_po, the outcome's label, of several the least; null without one."""
+    labels = outcome_map.groupBy("syllabus_id", F.upper("co").alias("key")).agg(F.min("po").alias("mapped_po"))
+    return found.withColumn("key", F.upper("mapped_co")).join(labels, ["syllabus_id", "key"], "left").drop("key")
+
+
+def by_module(chunks: DataFrame) -> DataFrame:
+    """chunks(syllabus_id, chunk_no, text, module) with each module's chunks numbered: module, nth, syllabus_id, chunk_no,
+    text. Chunks without a module belong to general topics."""
+    named = F.coalesce(F.nullif("module", F.lit("")), F.lit("General Topics"))
+    rows = chunks.select(named.alias("module"), "syllabus_id", "chunk_no", "text")
+    return rows.withColumn("nth", F.expr("row_number() over (partition by module order by syllabus_id, chunk_no)"))
+
+
 class Store:
     """Tables below a folder. Deletions cascade to all tables, so that nothing of a syllabus outlives it."""
 
@@ -62,7 +81,7 @@ class Store:
 
     def new_only(self, rows: DataFrame) -> DataFrame:
         """Rows of syllabi that aren't stored yet."""
-        return rows.join(self.read("chunks").select("syllabus_id").distinct(), "syllabus_id", "left_anti")
+        return absent(rows, self.read("chunks"))
 
     def delete(self, syllabus_id: str) -> None:
         from urllib.parse import quote

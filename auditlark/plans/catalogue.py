@@ -304,9 +304,11 @@ def map_co(spark, sf):
 
 @query
 def co_to_po(spark, sf):
-    """Orders as outcomes, parts of them as labels: the strongest label of each, the first of equals."""
-    rows = read_table(spark, sf, "lineitem").groupBy("l_orderkey").agg(F.max_by("l_suppkey", F.struct("l_quantity", (-F.col("l_linenumber")).alias("p"), (-F.col("l_suppkey")).alias("s"))).alias("po"))
-    return read_table(spark, sf, "orders").select("o_orderkey").join(rows, F.col("o_orderkey") == F.col("l_orderkey"), "left").select("o_orderkey", "po")
+    """Orders as outcomes of their customers, their suppliers as labels, in either case."""
+    o = read_table(spark, sf, "orders").select(F.col("o_custkey").cast("string").alias("syllabus_id"), F.concat(F.lit("co"), F.col("o_orderkey").cast("string")).alias("mapped_co"), "o_orderkey", "o_orderpriority")
+    label = F.concat(F.lit("PO"), (F.col("l_suppkey") % 12).cast("string"))
+    known = read_table(spark, sf, "lineitem").join(o.where("o_orderpriority <> '1-URGENT'"), F.col("l_orderkey") == F.col("o_orderkey"))
+    return store.labelled(o.select("syllabus_id", "mapped_co"), known.select("syllabus_id", F.upper("mapped_co").alias("co"), label.alias("po")))
 
 
 @query
@@ -457,8 +459,15 @@ def distinct_departments(spark, sf):
 
 @query
 def already_ingested(spark, sf):
-    """Customers without orders are the subjects still to be stored."""
-    return read_table(spark, sf, "customer").join(read_table(spark, sf, "orders"), F.col("c_custkey") == F.col("o_custkey"), "left_anti").select("c_custkey")
+    """Customers are subjects; those with an urgent order are stored, the others are still to be."""
+    subjects = read_table(spark, sf, "customer").select(F.col("c_custkey").cast("string").alias("syllabus_id"))
+    return store.absent(subjects, read_table(spark, sf, "orders").where("o_orderpriority = '1-URGENT'").select(F.col("o_custkey").cast("string").alias("syllabus_id")))
+
+
+@query
+def chunks_by_module(spark, sf):
+    rows = catalog_rows(spark, sf).select(F.concat(F.lit("s"), F.col("c_nationkey").cast("string")).alias("syllabus_id"), F.col("c_custkey").alias("chunk_no"), F.col("c_name").alias("text"), F.when(F.col("c_custkey") % 7 > 1, F.concat(F.lit("M"), (F.col("c_custkey") % 5).cast("string"))).when(F.col("c_custkey") % 7 == 1, "").alias("module"))
+    return store.by_module(rows).select("module", F.col("nth").cast("long").alias("nth"), "syllabus_id", "chunk_no")
 
 
 @query

@@ -126,8 +126,7 @@ class CurriculumEngine:
         mapped = near.join(cos.dropDuplicates(["chunk_id"]), "chunk_id").select("query_id", "syllabus_id", F.col("co").alias("mapped_co"), F.col("full_co").alias("mapped_co_full"))
         if syllabus_id is None:
             return mapped.select("query_id", "mapped_co", "mapped_co_full", F.lit(None).cast("string").alias("mapped_po"))
-        pos = self.store.read("outcome_map").groupBy("syllabus_id", F.col("co").alias("key")).agg(F.min("po").alias("mapped_po"))
-        return mapped.withColumn("key", F.upper("mapped_co")).join(pos, ["syllabus_id", "key"], "left").select("query_id", "mapped_co", "mapped_co_full", "mapped_po")
+        return store.labelled(mapped, self.store.read("outcome_map")).select("query_id", "mapped_co", "mapped_co_full", "mapped_po")
 
     def analyze_questions(self, pastes: DataFrame, syllabus_id: str | None = None, threshold: float | None = None) -> DataFrame:
         """pastes(paste_id, text) -> one result row per question in them."""
@@ -139,6 +138,8 @@ class CurriculumEngine:
         chunks = chunks.select("*", F.xxhash64("syllabus_id", "chunk_no").alias("chunk_id"), self.embedder.vector(F.col("text"), "passage").alias("vector"))
         asked = questions.select("query_id", "question", self.embedder.vector(F.col("question"), "query").alias("vector"))
         found = retrieve.top_k(asked, chunks, self.config.retrieval_k).join(asked.drop("vector"), "query_id").join(chunks.select("chunk_id", "text", "module"), "chunk_id")
+        # a chunk stored without a module is named by its own words
+        found = found.withColumn("module", F.coalesce(F.nullif("module", F.lit("")), T.module_of_chunk("text")))
         gate = None
         if syllabus_id is not None:
             found = found.join(self._boosts(asked, chunks), "query_id", "left").withColumn("boost", F.coalesce("boost", F.lit(0.0)))
@@ -152,6 +153,7 @@ class CurriculumEngine:
         nothing = {
             "question": F.col("asked"), "similarity": F.lit(0.0), "match_strength": F.lit("NO_MATCH"), "match_type": F.lit("OUT_OF_CURRICULUM"), "gatekeeper_passed": F.lit(False), "is_in_syllabus": F.lit(False), "bloom_level": level,
             "difficulty": T.difficulty(level), "modules": F.lit(""), "question_type": T.question_type("asked"), "decision": F.lit("NO"), "justification": F.lit(gates.LOW), "n_chunks": F.lit(0).cast("long"),
+            **{label: F.lit(0.0) for label in gates.DIAGNOSTICS.values()},
         }
         out = questions.select("paste_id", "pos", "query_id", F.col("question").alias("asked")).join(result, "query_id", "left")
         out = out.withColumns({k: F.coalesce(k, v) for k, v in nothing.items()}).drop("asked")

@@ -289,8 +289,8 @@ STATEMENTS = {
     "topk_cosine": f"WITH {found(8)} SELECT query_id, chunk_id, round(cosine, 6) AS cosine, rank FROM found",
     "vector_baseline": f"WITH {found(1)} SELECT query_id, chunk_id, round(cosine, 6) AS score FROM found",
     "map_co": f"WITH {found(1, 'AND q.grp = c.grp')} SELECT query_id, chunk_id AS co, round(greatest(0, 1 - (1 - cosine) / 2), 6) AS similarity FROM found",
-    "co_to_po": """WITH r AS (SELECT l_orderkey, list(l_suppkey ORDER BY l_quantity DESC, l_linenumber, l_suppkey)[1] AS po FROM lineitem GROUP BY l_orderkey)
-        SELECT o_orderkey, po FROM orders LEFT JOIN r ON o_orderkey = l_orderkey""",
+    "co_to_po": """WITH r AS (SELECT l_orderkey, min('PO' || l_suppkey % 12) AS po FROM lineitem JOIN orders ON o_orderkey = l_orderkey WHERE o_orderpriority <> '1-URGENT' GROUP BY l_orderkey)
+        SELECT CAST(o_custkey AS VARCHAR) AS syllabus_id, 'co' || o_orderkey AS mapped_co, po AS mapped_po FROM orders LEFT JOIN r ON o_orderkey = l_orderkey""",
     "hybrid_score": f"WITH {SCORED} SELECT query_id, chunk_id, round(semantic, 6) AS semantic, round(keyword, 6) AS keyword, round(boost, 6)::DOUBLE AS boost, round(similarity, 6) AS similarity FROM scored",
     "match_gates": f"""WITH {SCORED}, t AS (SELECT query_id, round(max(similarity), 6) AS top, query_id % 100 = 0 AS scoped FROM scored GROUP BY query_id)
         SELECT query_id, CASE WHEN top > 0.36 THEN 'STRONG_MATCH' WHEN top >= 0.32 THEN 'PARTIAL_MATCH' WHEN top >= 0.28 THEN 'WEAK_MATCH' ELSE 'NO_MATCH' END AS strength,
@@ -345,7 +345,9 @@ STATEMENTS = {
         FROM r LEFT JOIN m USING (syllabus_id) GROUP BY syllabus_id""",
     "hierarchy": """SELECT r_name AS department, n_name AS semester, string_agg(CAST(s_suppkey AS VARCHAR), ',' ORDER BY CAST(s_suppkey AS VARCHAR)) AS subjects FROM supplier JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey GROUP BY ALL""",
     "distinct_departments": f"WITH {CATALOG} SELECT DISTINCT department FROM catalog",
-    "already_ingested": "SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_custkey IS NOT NULL)",
+    "already_ingested": "SELECT CAST(c_custkey AS VARCHAR) AS syllabus_id FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderpriority = '1-URGENT')",
+    "chunks_by_module": """WITH m AS (SELECT CASE WHEN c_custkey % 7 > 1 THEN 'M' || c_custkey % 5 ELSE 'General Topics' END AS module, 's' || c_nationkey AS syllabus_id, c_custkey AS chunk_no FROM customer)
+        SELECT module, row_number() OVER (PARTITION BY module ORDER BY syllabus_id, chunk_no) AS nth, syllabus_id, chunk_no FROM m""",
     "dedup_insert": "SELECT DISTINCT CAST(l_suppkey AS VARCHAR) AS course_code, CAST(l_linenumber AS VARCHAR) AS full_co FROM lineitem x WHERE NOT EXISTS (SELECT 1 FROM lineitem y WHERE y.l_suppkey <= 20 AND y.l_suppkey = x.l_suppkey AND y.l_linenumber = x.l_linenumber)",
     "confusion_matrix": f"WITH {RESULTS}, c AS (SELECT {COUNTS}, count(*) AS total FROM results) SELECT *, {metrics(4)} FROM c",
     "threshold_sweep": f"WITH {SWEEP} SELECT * FROM sweep",

@@ -2,6 +2,7 @@
 
 import math
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -233,3 +234,52 @@ def test_store_operators(spark):
     more = spark.createDataFrame([("s", "CO1", "po3", 2)], "syllabus_id string, co string, po string, strength int")
     assert [tuple(r) for r in store.outcome_upsert(pos, more).collect()] == [("s", "CO1", "PO3", 2)]
     assert DEFAULTS.retrieval_k == 8
+
+
+def test_record_of_a_question_out_of_scope(spark):
+    """However similar, a question whose concepts are foreign has no evidence, no gate, and the reason."""
+    rows = spark.createDataFrame([(q, "Define clay", 1, "Unit 1", 0.9, 0.1, 0.9, 0.5, 0.0, "Introduction to the design of foundations, with an analysis of the settlement of clay layers and the architecture of retaining walls in practice.") for q in (1, 2)],
+                                 "query_id long, question string, chunk_id long, module string, similarity double, distance double, semantic double, keyword double, boost double, text string")
+    scope_of = spark.createDataFrame([(1, 0.0), (2, 0.9)], "query_id long, overlap double")
+    out, kept = gates.audited(rows, 0.2, scope=scope_of).orderBy("query_id").collect()
+    assert (out.gatekeeper_passed, out.is_in_syllabus, out.decision, out.modules, out.n_chunks, out.bloom_level, out.difficulty) == (False, False, "NO", "", 0, "Unknown", "Unknown")
+    assert (out.match_strength, out.match_type, out.semantic_score) == ("WEAK_MATCH", "OUT_OF_CURRICULUM", 0.0) and "0.90" in out.justification and "concepts" in out.justification
+    assert (kept.gatekeeper_passed, kept.modules, kept.n_chunks, kept.semantic_score, kept.keyword_overlap_score, kept.concept_boost) == (True, "Unit 1", 1, 0.9, 0.5, 0.0)
+
+
+@pytest.mark.parametrize("b, c", [(0, 0), (1, 0), (3, 9), (40, 61), (70, 70), (500, 640), (12, 4000)])
+def test_mcnemar_is_exact(spark, b, c):
+    rows = spark.createDataFrame([(True, False)] * b + [(False, True)] * c + [(True, True)], "first boolean, second boolean")
+    n = b + c
+    want = 1.0 if not n else min(1.0, 2 * sum(math.comb(n, i) for i in range(min(b, c) + 1)) / 2**n)
+    assert evaluate.mcnemar(rows).first().p_value == pytest.approx(want, rel=1e-9, abs=1e-300)
+
+
+def test_mcnemar_of_very_many_rows(spark):
+    """The sum is bounded by the root of the counts; here the normal approximation is near enough to compare."""
+    table = spark.range(1).select(F.lit(0).cast("long").alias("both"), F.lit(500_000_000).cast("long").alias("only_first"), F.lit(500_030_000).cast("long").alias("only_second"), F.lit(0).cast("long").alias("neither"))
+    z = (30_000 - 1) / math.sqrt(1_000_030_000)
+    assert evaluate.with_p_value(table).first().p_value == pytest.approx(math.erfc(z / math.sqrt(2)), rel=1e-3)
+
+
+def test_scope_of_a_very_long_word(spark):
+    q = spark.createDataFrame([(1, "s", "x" * 5000 + " settlement")], "query_id long, syllabus_id string, question string")
+    c = spark.createDataFrame([("s", "settlements")], "syllabus_id string, concept string")
+    assert scope.concept_overlap(q, c).first().overlap == 0.5
+
+
+@pytest.mark.parametrize("apart, grouped", [(False, False), (True, True)])
+def test_top_k_against_numpy(spark, apart, grouped):
+    """Many ties, vectors of zeros, nulls and other lengths, several slices."""
+    rng = np.random.default_rng(5)
+    vectors = rng.integers(-1, 2, (1300, 3)).astype(float)
+    rows = [(int(k), [float(x) for x in v], f"g{k % 3}") for k, v in enumerate(vectors)] + [(2000, None, "g0"), (2001, [1.0], "g1")]
+    frame = spark.createDataFrame(rows, "id long, vector array<double>, group string").repartition(3)
+    asked = frame.where("id < 40").withColumnRenamed("id", "query_id")
+    got = {}
+    for r in retrieve.top_k(asked, frame.withColumnRenamed("id", "chunk_id"), 8, grouped=grouped, apart=apart).collect():
+        got.setdefault(r.query_id, []).append((r["rank"], r.chunk_id, round(r.cosine, 9)))
+    unit = lambda v: np.zeros(3) if v is None or len(v) != 3 or not np.any(v) else np.array(v) / np.linalg.norm(v)
+    for q, v, g in rows[:40]:
+        best = sorted((-round(float(unit(v) @ unit(w)), 12), k) for k, w, h in rows if (not grouped or g == h) and (not apart or k != q))[:8]
+        assert sorted(got[q]) == [(i + 1, k, round(-s, 9) + 0.0) for i, (s, k) in enumerate(best)]
