@@ -9,6 +9,8 @@ holds) is compared with that document byte by byte.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -80,17 +82,21 @@ class DigestIndex:
         return self.runs().drop("run")
 
 
-def exact_dedup(docs: DataFrame, memtables: int = FANOUT, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def sha256(text: Column) -> Column:
+    return F.unhex(F.sha2(text, 256))
+
+
+def exact_dedup(docs: DataFrame, memtables: int = FANOUT, doc_id: str = "doc_id", text: str = "text", digest_of: Callable[[Column], Column] = sha256) -> DataFrame:
     """One row per row of docs: doc_id, keep_id (smallest doc_id of equal texts), group_size, kept, text_sha256.
 
     Texts are equal when they are after each run of blanks became one; null counts as empty, so null and empty
     texts form one group, and so may texts of blanks alone with each other. Rows that share a doc_id and a text are all
     kept if that id stays. Null doc_ids give way to others. No rows give no rows; extra columns are ignored. Equal
-    digests of different bytes, should they ever meet, form groups by their bytes.
+    digests of different bytes, should they ever meet, form groups by their bytes; digest_of is another digest for tests.
     """
     spark = docs.sparkSession
     rows = documents_of(docs, doc_id, text)
-    digests = written(rows.select("doc_id", F.unhex(F.sha2(normalised(F.col("text")), 256)).alias("digest")), "dedup-digests")
+    digests = written(rows.select("doc_id", digest_of(normalised(F.col("text"))).alias("digest")), "dedup-digests")
     index = DigestIndex(spark, memtables)
     index.flush(digests)
     index.compact()
@@ -99,21 +105,23 @@ def exact_dedup(docs: DataFrame, memtables: int = FANOUT, doc_id: str = "doc_id"
     # bytes of the documents in groups: read again, joined by id to what the index says. The hash table of each task
     # holds ids and digests; texts stream past it unsorted
     bytes_ = rows.join(hits.hint("shuffle_hash"), F.col("doc_id").eqNullSafe(F.col("id"))).select("doc_id", "digest", "keep_id", normalised(F.col("text")).alias("bytes"))
-    bytes_ = written(bytes_.where(F.unhex(F.sha2("bytes", 256)) == F.col("digest")), "dedup-bytes")
+    bytes_ = written(bytes_.where(digest_of(F.col("bytes")) == F.col("digest")), "dedup-bytes")
     keeper = bytes_.where(F.col("doc_id").eqNullSafe(F.col("keep_id"))).groupBy("digest").agg(F.min("bytes").alias("kept_bytes"))
+    # a table of its own: Spark can then split the join where one text has very many copies
+    keeper = written(keeper, "dedup-keepers")
     differs = written(bytes_.join(keeper, "digest").where("bytes <> kept_bytes").select("doc_id", "digest", "bytes"), "dedup-differs")
     out = found.select("doc_id", "digest", "keep_id", "n")
     if differs.limit(1).count():
-        out = _by_bytes(rows, out, differs)
+        out = _by_bytes(rows, out, differs, digest_of)
     return out.select(
         "doc_id", "keep_id", F.col("n").cast("long").alias("group_size"), F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), F.lower(F.hex("digest")).alias("text_sha256")
     )
 
 
-def _by_bytes(rows: DataFrame, out: DataFrame, differs: DataFrame) -> DataFrame:
+def _by_bytes(rows: DataFrame, out: DataFrame, differs: DataFrame, digest_of: Callable[[Column], Column]) -> DataFrame:
     """Groups of the digests that different texts share, by the texts themselves."""
     digests = differs.select("digest").distinct()
-    texts = rows.select("doc_id", normalised(F.col("text")).alias("bytes")).withColumn("digest", F.unhex(F.sha2("bytes", 256))).join(digests, "digest", "left_semi")
+    texts = rows.select("doc_id", normalised(F.col("text")).alias("bytes")).withColumn("digest", digest_of(F.col("bytes"))).join(digests, "digest", "left_semi")
     groups = texts.groupBy("digest", "bytes").agg(F.min("doc_id").alias("keep_id"), F.count("*").alias("n"))
     again = texts.join(groups, ["digest", "bytes"]).select("doc_id", "digest", "keep_id", "n")
     return out.join(digests, "digest", "left_anti").unionByName(again)

@@ -97,6 +97,19 @@ def test_exact_dedup(docs, rows):
     assert sorted(tuple(r) for r in exact_dedup(docs).collect()) == want
 
 
+def test_exact_dedup_tells_equal_digests_apart(spark):
+    """With a digest of one hexadecimal sign, most groups of equal digests hold several texts."""
+    rng = random.Random(4)
+    rows = [(k if k % 7 else None if k % 2 else k, rng.choice(["a", "b  c", "b c", "", None, "d\te"]) if k % 3 else f"text {rng.randrange(60)}") for k in range(300)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    groups = {}
+    for i, t in rows:
+        groups.setdefault(BLANK.sub(" ", t or ""), []).append(i)
+    want = sorted(((i, min((x for x in g if x is not None), default=None), len(g)) for g in groups.values() for i in g), key=repr)
+    got = exact_dedup(docs, digest_of=lambda t: F.unhex(F.concat(F.lit("0"), F.substring(F.sha2(t, 256), 1, 1))))
+    assert sorted(((r.doc_id, r.keep_id, r.group_size) for r in got.collect()), key=repr) == want
+
+
 def test_token_counts_and_their_cache(docs, rows, tmp_path):
     t = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
     count = lambda x: len(t.encode(x or "", add_special_tokens=False).ids)
