@@ -217,5 +217,8 @@ def repair_chats(turns: DataFrame) -> DataFrame:
 
 
 def rendered(repaired: DataFrame) -> DataFrame:
-    """Adds rendered: the turn between its role's mark and the end mark; a conversation is its turns in order."""
+    """Adds rendered: the turn between its role's mark and the end mark; a conversation is its turns in order.
+
+    Texts stay as they are: a mark inside a text is not escaped, so clean texts first where readers trust marks.
+    """
     return repaired.withColumn("rendered", F.concat(F.lit("<|"), "role", F.lit("|>\n"), "text", F.lit("\n<|end|>\n")))

@@ -124,7 +124,8 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (1.0, 2.0, 3.0), most: flo
 
     Sizes are words; null and empty texts have none and take none. Null is a source of its own, the last. Each
     source's taken words are its target but for its landing problem, of at most two documents. No document has more
-    than ceil(most) copies. The seed and the rows alone decide, so reruns agree. Equal rows are units of their own.
+    than ceil(most) copies. The seed and the rows alone decide, so reruns agree. Equal rows are units of their own;
+    they share a bucket, which they may fill beyond BUCKET.
     A table without rows gives none. Extra columns are ignored. At most MOST_SOURCES sources are planned.
     """
     spark = docs.sparkSession

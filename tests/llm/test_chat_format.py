@@ -74,3 +74,12 @@ def test_nulls_and_empty(spark):
     assert cf.repair_chats(spark.createDataFrame([], schema)).count() == 0
     got = cf.repair_chats(spark.createDataFrame([(None, None, None, None), (None, 1, "assistant", "x"), (7, 1, "user", "q"), (7, 1, "user", "q")], schema)).collect()
     assert sorted((r.conv_id or 0, r.out_turn, r.role, r.text) for r in got) == [(0, 0, "user", ""), (0, 1, "assistant", "x"), (7, 0, "user", "q\nq"), (7, 1, "assistant", "")]
+
+
+def test_one_role_for_thousands_of_turns(spark):
+    """No text is lost or moved, whatever merges, relabels and insertions the repair chooses."""
+    turns = spark.createDataFrame([(1, k, "user", f"t{k}") for k in range(9000)], "conv_id long, turn long, role string, text string")
+    out = sorted(cf.repair_chats(turns).collect(), key=lambda r: r.out_turn)
+    assert [t for r in out for t in r.text.split("\n") if t] == [f"t{k}" for k in range(9000)]
+    assert [r.out_turn for r in out] == list(range(len(out))) and sum(r.n_source for r in out) == 9000
+    assert all(a.role != b.role for a, b in zip(out, out[1:], strict=False))
