@@ -57,7 +57,7 @@ def judged_reply(reply: Column | str) -> tuple[Column, Column, Column]:
 
     def last(mark: str, default: str) -> Column:
         own = F.filter(rows, lambda x: F.upper(x).startswith(mark))
-        return F.when(F.size(own) > 0, T.strip(F.substring(F.element_at(own, -1), len(mark) + 1, 1_000_000))).otherwise(default)
+        return F.when(F.size(own) > 0, T.strip(F.substr(F.element_at(own, -1), F.lit(len(mark) + 1)))).otherwise(default)
 
     decision = F.upper(last("DECISION:", "NO"))
     why = last("JUSTIFICATION:", "")
