@@ -9,10 +9,14 @@ from auditlark.llm.chat_format import rendered, repair_chats
 from auditlark.llm.exact_dedup import exact_dedup
 from auditlark.llm.mixing import mix
 from auditlark.llm.ngram_join import ngram_join
+from auditlark.llm.oracles import spelling_sql, vector_codes_sql, vector_dedup_sql
 from auditlark.llm.quality import fit_quality, score_quality
+from auditlark.llm.spelling import spelling_groups, word_counts
 from auditlark.llm.token_counts import token_counts
 from auditlark.llm.token_files import read_token_files, write_token_files
 from auditlark.llm.toxicity import fit_toxicity, score_toxicity
+from auditlark.llm.vector_codes import vector_codes
+from auditlark.llm.vector_dedup import vector_dedup
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -61,9 +65,22 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_toxicity(docs, fit_toxicity(docs, _read(spark, sf_dir, "labels")))
 
 
+def op11_vector_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_dedup(_read(spark, sf_dir, "embeddings"), least=0.95)
+
+
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling_groups(word_counts(_read(spark, sf_dir, "documents"), least_length=6, least_n=5, slips=199), factor=5)
+
+
+def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes(_read(spark, sf_dir, "embeddings"), parts=8, entries=16, rounds=6)
+
+
 QUERIES = {f.__name__: f for f in (
     op1_chat_format, op2_ngram_jaccard_join, op3_exact_dedup, op4_token_counts, op5_token_files,
     op6_decontamination, op7_personal_data, op8_quality, op9_mixing, op10_toxicity,
+    op11_vector_dedup, op12_spelling_variants, op13_vector_codes,
 )}
 
 LOWER = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -91,4 +108,7 @@ ORACLE = {
         c AS (SELECT doc_id, count(DISTINCT x) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + n)) AS x FROM h) GROUP BY doc_id), t AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT doc_id, item FROM h) GROUP BY doc_id)
         SELECT d.doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
         FROM d LEFT JOIN c USING (doc_id) LEFT JOIN t USING (doc_id)""",
+    "op11_vector_dedup": vector_dedup_sql(),
+    "op12_spelling_variants": spelling_sql(),
+    "op13_vector_codes": vector_codes_sql(),
 }
