@@ -1 +1,10 @@
-"""auditlark: curriculum-audit and retrieval analytics as Spark DataFrame plans."""
+"""auditlark: curriculum-audit and retrieval analytics as Spark DataFrame plans.
+
+Functions that run on executors are pickled by value, so a cluster needs no copy of this package beside the driver's.
+"""
+
+import sys
+
+from pyspark import cloudpickle
+
+cloudpickle.register_pickle_by_value(sys.modules[__name__])

@@ -140,12 +140,68 @@ def units(lines: DataFrame) -> DataFrame:
     )
 
 
+#: A row of the outcome matrix, a cell that counts, and the digits of a line without any such row.
+MATRIX_ROW, CELL, BARE = r"(?i)^\s*(CO\d+|CO)\b(.*)", r"^[+-]?\d{1,9}$", r"\b[123]\b"
+#: What a line belongs to: an outcome, a unit, a row of the matrix, a bare line of the matrix, or the course alone.
+OUTCOME, UNIT_LINE, ROW, BARE_LINE, COURSE = "outcome", "unit", "row", "bare", ""
+
+
+def _tagged(docs: DataFrame) -> DataFrame:
+    """structured_lines() with the kind and the item of each line, for aggregates by item and then by course.
+
+    All windows run over a document's lines in their order, so they share one exchange and one sort; counts that start
+    anew in each course are differences from the count at its title.
+    """
+    lines, w = structured_lines(docs), _so_far("doc_id")
+    before = Window.partitionBy("doc_id").orderBy("line_no").rowsBetween(Window.unboundedPreceding, -1)
+    state, there, text = F.col("state"), F.col("content").isNotNull(), T.strip("content")
+    title = F.coalesce(F.col("trigger") == "TITLE", F.lit(False))
+    outcome, unit, mapped = (state == "OUTCOMES") & there, (state == "SYLLABUS") & there & ~F.col("content").rlike(UNIT_TABLE), (state == "MAPPING") & there
+    rows = lines.select("*", *(F.coalesce(v, F.lit(False)).alias(k) for k, v in {"is_title": title, "is_outcome": outcome, "is_unit": unit, "is_mapped": mapped}.items()), text.alias("own"))
+    found = F.transform(F.regexp_extract_all("own", F.lit(r"(?i)\b(?:PO\d+|PSO\d+|PO-\d+|PSO-\d+)\b"), 0), lambda x: F.replace(F.upper(x), F.lit("-"), F.lit("")))
+    heading = F.col("is_mapped") & (F.contains("own", F.lit("PO1")) | F.contains("own", F.lit("PO-1")))
+    starts = F.col("is_outcome") & F.col("own").rlike(r"(?i)^\s*(?:CO\d+|[0-9]+)\s*[:\.]?\s*.+")
+    rows = rows.select("*", F.when(heading, F.when(F.size(found) > 0, found)).alias("labels"), starts.alias("starts"), (F.col("is_unit") & F.col("content").rlike(UNIT)).alias("head"))
+    # labels hold until others come, or another course; the first line of a section opens an item whatever it is
+    held = F.when(F.col("is_title"), F.struct(F.lit(None).cast("array<string>").alias("labels"))).when(F.col("labels").isNotNull(), F.struct("labels"))
+    earlier = lambda c: F.coalesce(F.last(F.when(F.col(c), F.col("course_no")), ignorenulls=True).over(before), F.lit(0))
+    rows = rows.select("*", F.last(held, ignorenulls=True).over(w)["labels"].alias("header"), earlier("is_outcome").alias("o_before"), earlier("is_unit").alias("u_before"))
+    cells = F.filter(F.transform(F.split(T.strip(F.regexp_extract("own", MATRIX_ROW, 2)), r"\s+|\|"), T.strip), lambda c: c != "")
+    placed = F.transform(cells, lambda c, i: F.struct(F.coalesce(F.get("header", i), F.concat(F.lit("PO"), (i + 1).cast("string"))).alias("po"), i.alias("pos"), F.when(c.rlike(CELL), c).cast("int").alias("strength")))
+    is_row = F.col("is_mapped") & F.col("labels").isNull() & F.col("own").rlike(MATRIX_ROW)
+    rows = rows.withColumn("cells", F.when(is_row, F.filter(placed, lambda x: x["strength"].isNotNull()))).withColumn("is_row", F.coalesce(F.size("cells") > 0, F.lit(False)))
+    opened = lambda line, start, before: F.sum((F.col(line) & (F.col(start) | (F.col(before) != F.col("course_no")))).cast("int")).over(w)
+    rows = rows.select("*", opened("is_outcome", "starts", "o_before").alias("n_outcome"), opened("is_unit", "head", "u_before").alias("n_unit"), F.sum(F.col("is_row").cast("int")).over(w).alias("n_row"))
+    rows = rows.withColumn("n_row", F.col("n_row") - F.last(F.when(F.col("is_title"), F.col("n_row")), ignorenulls=True).over(w))
+    co = F.upper(F.regexp_extract("own", MATRIX_ROW, 1))
+    bare = F.when(F.col("is_mapped") & F.col("labels").isNull(), F.regexp_extract_all("own", F.lit(BARE), 0))
+    rows = rows.withColumn("bare", bare)
+    kinds = [
+        ("is_outcome", OUTCOME, F.col("n_outcome").cast("string")), ("is_unit", UNIT_LINE, F.col("n_unit").cast("string")),
+        ("is_row", ROW, F.when(co == "CO", F.concat(co, F.col("n_row").cast("string"))).otherwise(co)), (F.size("bare") >= 3, BARE_LINE, F.col("line_no").cast("string")),
+    ]
+    kind, item = F.when(F.lit(False), COURSE), F.when(F.lit(False), COURSE)
+    for test, name, number in kinds:
+        test = F.coalesce(T.col(test), F.lit(False))
+        kind, item = kind.when(test, name), item.when(test, number)
+    said = F.when(F.col("starts"), T.strip(F.regexp_extract("own", r"(?i)^\s*(?:CO\d+|[0-9]+)\s*[:\.]?\s*(.+)", 1))).otherwise(F.col("own"))
+    return rows.select("*", kind.otherwise(COURSE).alias("kind"), item.otherwise("").alias("item"), F.when(F.col("is_outcome"), said).alias("said"))
+
+
+def _latest(cells: Column) -> Column:
+    """Of cells with one label the last one; a sort, and a look at the next."""
+    by_label = F.array_sort(F.transform(cells, lambda x: F.struct(x["po"].alias("po"), x["pos"].alias("pos"), x["strength"].alias("strength"))))
+    return T.let(by_label, lambda s: F.filter(s, lambda x, i: F.coalesce(F.get(s, i + 1)["po"] != x["po"], F.lit(True))))
+
+
 def structured_courses(docs: DataFrame) -> DataFrame:
-    """One row per course: header fields, sections, outcomes, matrix, units, warnings, counts, syllabus id."""
-    lines = structured_lines(docs)
+    """One row per course: header fields, sections, outcomes, matrix, units, warnings, counts, syllabus id.
+
+    Lines are dealt by document and sorted once; items and then courses are aggregated where their lines are.
+    """
     code_line = F.regexp_extract("line", r"(?i)(?:Course\s*Code|Subject\s*Code|Code)\s*[:\-–]\s*([A-Za-z0-9\-]{2,20})", 1)
     sem_line = F.regexp_extract("line", r"(?i)Semester\s*[:\-–]\s*(\d+(?:st|nd|rd|th)?|[IVXLC]+)", 1)
-    is_title, in_header = F.col("trigger") == "TITLE", (F.col("state") == "HEADER") & F.col("trigger").isNull()
+    in_header = (F.col("state") == "HEADER") & F.col("trigger").isNull()
     raw = T.strip(F.regexp_extract("line", r"(?i)^\s*(?:Course\s*Title|Course\s*Name|Subject\s*Name|Paper\s*Title)\s*[:\-–]\s*(.*)", 1))
     code_at = r"(?i)(?:\s+|\b)(?:Code|Course\s*Code|Subject\s*Code)\s*[:\-–]\s*([A-Za-z0-9\-]+).*$"
     sem_at = r"(?i)\bSemester\s*[:\-–]\s*(\d+(?:st|nd|rd|th)?|[IVXLC]+).*$"
@@ -154,21 +210,43 @@ def structured_courses(docs: DataFrame) -> DataFrame:
     title_sem = F.regexp_extract(before_code, sem_at, 1)
     title = T.strip(F.regexp_replace(before_code, sem_at, ""))
     nonempty = lambda c: F.when(c != "", c)
-    heads = lines.groupBy("doc_id", "course_no").agg(
-        F.max(F.when(is_title, title)).alias("t0"), F.max(F.when(is_title, title_code)).alias("c0"), F.max(F.when(is_title, title_sem)).alias("s0"),
-        F.max_by(nonempty(code_line), F.when(in_header & (code_line != ""), F.col("line_no"))).alias("c1"),
-        F.max_by(nonempty(sem_line), F.when(in_header & (sem_line != ""), F.col("line_no"))).alias("s1"),
-        F.min_by(T.strip("line"), F.when(in_header & (code_line == "") & (sem_line == ""), F.col("line_no"))).alias("t1"),
-        _joined((F.col("state") == "OBJECTIVES") & F.col("content").isNotNull(), "content").alias("objectives"),
-        _joined((F.col("state") == "REFERENCES") & F.col("content").isNotNull(), "content").alias("references"),
-        _joined(F.lit(True), "line").alias("raw_text"),
+    lines = _tagged(docs).select("*", F.when(in_header, code_line).alias("code_line"), F.when(in_header, sem_line).alias("sem_line"), *(F.when(F.col("is_title"), v).alias(k) for k, v in {"t0": title, "c0": title_code, "s0": title_sem}.items()))
+    at = lambda test, value: F.when(test, F.struct("line_no", T.col(value).alias("v")))
+    parts = lambda test, value: F.collect_list(at(test, value))
+    body = F.when(F.col("kind") == OUTCOME, F.col("said")).when((F.col("kind") == UNIT_LINE) & ~F.col("head"), F.col("content"))
+    section = lambda name: (F.col("state") == name) & F.col("content").isNotNull()
+    named = in_header & (F.col("code_line") == "") & (F.col("sem_line") == "")
+    items = lines.groupBy("doc_id", "course_no", "kind", "item").agg(
+        F.min("line_no").alias("first"), parts(body.isNotNull(), body).alias("body"), F.min(F.struct("line_no", "head", "content")).alias("lead"),
+        F.max(at(F.col("is_row"), "cells")).alias("cells"), F.max(at(F.col("kind") == BARE_LINE, "bare")).alias("bare"),
+        *(F.max(k).alias(k) for k in ("t0", "c0", "s0")), F.max(at(F.col("code_line") != "", "code_line")).alias("c1"), F.max(at(F.col("sem_line") != "", "sem_line")).alias("s1"),
+        F.min(at(named, T.strip("line"))).alias("t1"), parts(section("OBJECTIVES"), "content").alias("objectives"), parts(section("REFERENCES"), "content").alias("references"), parts(F.lit(True), "line").alias("raw"),
+    )
+    spoken = lambda c, sep: T.strip(F.array_join(F.transform(F.array_sort(c), lambda p: p["v"]), sep))
+    is_unit = F.col("kind") == UNIT_LINE
+    items = items.withColumn("text", F.when(F.col("kind") == OUTCOME, spoken("body", " ")).when(is_unit, spoken("body", "\n")))
+    items = items.withColumn("level", F.when(F.col("kind") == OUTCOME, T.bloom_level("text")))
+    number, name = F.regexp_extract("lead.content", UNIT, 1), T.strip(F.regexp_extract("lead.content", UNIT, 2))
+    items = items.select(
+        "*", T.difficulty("level").alias("difficulty"), F.when(F.col("lead.head"), number).otherwise("1").alias("unit"),
+        F.when(~F.col("lead.head"), "Syllabus Content").when(name != "", name).otherwise(F.concat(F.lit("Unit "), number)).alias("unit_title"),
+    )
+    of = lambda kind, *columns: F.array_sort(F.collect_list(F.when(F.col("kind") == kind, F.struct(*columns))))
+    whole = lambda c: spoken(F.flatten(F.collect_list(c)), "\n").alias(c)
+    rows = items.groupBy("doc_id", "course_no").agg(
+        *(F.max(k).alias(k) for k in ("t0", "c0", "s0")), F.max("c1")["v"].alias("c1"), F.max("s1")["v"].alias("s1"), F.min("t1")["v"].alias("t1"),
+        whole("objectives"), whole("references"), whole("raw").alias("raw_text"),
+        of(OUTCOME, "first", "text", F.col("level").alias("bloom_level"), "difficulty").alias("outcomes"), of(UNIT_LINE, "first", "unit", F.col("unit_title").alias("title"), F.col("text").alias("content")).alias("units"),
+        of(ROW, F.col("item").alias("co"), F.col("cells.v").alias("cells")).alias("cells"), of(BARE_LINE, "first", F.col("bare.v").alias("bare")).alias("bare"),
     )
-    o = outcomes(lines).groupBy("doc_id", "course_no").agg(F.array_sort(F.collect_list(F.struct("co", "text", "bloom_level", "difficulty"))).alias("outcomes"))
-    m = outcome_matrix(lines).groupBy("doc_id", "course_no").agg(F.array_sort(F.collect_list(F.struct("co", "po", "strength"))).alias("matrix"))
-    u = units(lines).groupBy("doc_id", "course_no").agg(F.array_sort(F.collect_list(F.struct("unit_no", "unit", "title", "content"))).alias("units"))
-    rows = heads
-    for other in (o, m, u):
-        rows = rows.join(other, ["doc_id", "course_no"], "left")
+    numbered = lambda prefix, i: F.concat(F.lit(prefix), (i + 1).cast("string"))
+    outcomes_ = F.array_sort(F.transform("outcomes", lambda x, i: F.struct(numbered("CO", i).alias("co"), x["text"].alias("text"), x["bloom_level"].alias("bloom_level"), x["difficulty"].alias("difficulty"))))
+    units_ = F.transform("units", lambda x, i: F.struct((i + 1).cast("long").alias("unit_no"), x["unit"].alias("unit"), x["title"].alias("title"), x["content"].alias("content")))
+    cell = lambda co, po, strength: F.struct(co.alias("co"), po.alias("po"), strength.alias("strength"))
+    marked = F.flatten(F.transform("cells", lambda r: F.transform(_latest(r["cells"]), lambda x: cell(r["co"], x["po"], x["strength"]))))
+    bare = F.flatten(F.transform("bare", lambda r, i: F.transform(r["bare"], lambda v, j: cell(numbered("CO", i), numbered("PO", j), v.cast("int")))))
+    filled = lambda c: F.when(F.size(c) > 0, c)
+    rows = rows.withColumns({"outcomes": filled(outcomes_), "units": filled(units_), "matrix": filled(F.array_sort(F.when(F.size("cells") > 0, marked).otherwise(bare)))}).drop("cells", "bare")
     rows = rows.select("*", F.coalesce(nonempty(F.col("c1")), nonempty(F.col("c0")), F.lit("")).alias("code"), F.coalesce(nonempty(F.col("s1")), nonempty(F.col("s0"))).alias("given"), F.coalesce(nonempty(F.col("t0")), F.col("t1"), F.lit("")).alias("name"))
     # each step is a projection of its own, so that no expression is spelled out inside another
     rows = rows.withColumns({"inferred": T.semester_of_code("code"), "department": T.department_of("raw_text", "code"), "elective_type": T.elective_type("code", F.substring("raw_text", 1, 1000))})

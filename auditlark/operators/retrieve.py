@@ -1,126 +1,18 @@
-"""Exact cosine top-k and the hybrid score.
-
-Queries are taken in blocks of a bounded number of vectors, which executors hold while the chunks stream past. Each
-task keeps its k best for each query, so what is shuffled grows with tasks, not with pairs.
-"""
+"""The hybrid score of found chunks, and the keyword and TF-IDF scores over all chunks. Searches are in grid.py."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable
 
-import numpy as np
-import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from auditlark.config import DEFAULTS, Config
 from auditlark.functions import text as T
 from auditlark.functions import words as W
+from auditlark.operators.grid import highest_product, top_k
 
-#: Vectors of one block of queries: with 1,024 doubles each they are 32 MB at most.
-BLOCK = 4096
-#: Chunks that are compared with a block at a time: 17 MB of similarities.
-SLICE = 512
-#: Terms of one block of questions.
-BLOCK_TERMS = 1_000_000
-
-
-def _unit(vectors: np.ndarray) -> np.ndarray:
-    norms = np.linalg.norm(vectors, axis=1, keepdims=True)
-    return np.divide(vectors, norms, out=np.zeros_like(vectors), where=norms > 0)
-
-
-def _matrix(column: pa.Array, size: int) -> np.ndarray:
-    """The vectors of a list column; those that are null or of another length are zeros."""
-    column = column.cast(pa.list_(pa.float64()))
-    right = pc.fill_null(pc.equal(pc.list_value_length(column), size), False).to_numpy(zero_copy_only=False)
-    out = np.zeros((len(column), size))
-    out[right] = pc.fill_null(pc.list_flatten(column.filter(pa.array(right))), 0.0).to_numpy(zero_copy_only=False).reshape(-1, size)
-    return out
-
-
-class _Best:
-    """The k best chunks so far of each query of a block, by cosine and then by id."""
-
-    def __init__(self, ids: np.ndarray, k: int):
-        self.ids, self.k = ids, k
-        self.score, self.name = np.full((len(ids), k), -2.0), np.full((len(ids), k), np.iinfo(np.int64).max)
-
-    def add(self, sims: np.ndarray, names: np.ndarray) -> None:
-        """sims: a row for each query, a column for each of names; -2 is out."""
-        near = np.round(sims, 12)
-        if near.shape[1] > 4 * self.k:
-            # nothing below a query's k-th best of these can stay; of equal ones the ids decide, so all are looked at
-            edge = -np.partition(-near, self.k - 1, axis=1)[:, self.k - 1]
-            keep = near >= np.maximum(edge, np.round(self.score[:, -1], 12))[:, None]
-            most = int(keep.sum(axis=1).max(initial=0))
-            if not most:
-                return
-            at = np.argsort(~keep, axis=1, kind="stable")[:, :most]
-            chosen = np.take_along_axis(keep, at, 1)
-            sims, names = np.where(chosen, np.take_along_axis(sims, at, 1), -2.0), np.where(chosen, names[at], np.iinfo(np.int64).max)
-        else:
-            names = np.broadcast_to(names, sims.shape)
-        score, name = np.concatenate((self.score, sims), axis=1), np.concatenate((self.name, names), axis=1)
-        order = np.lexsort((name, -np.round(score, 12)), axis=1)[:, : self.k]
-        self.score, self.name = np.take_along_axis(score, order, 1), np.take_along_axis(name, order, 1)
-
-    def rows(self) -> pa.RecordBatch:
-        keep = self.score > -2
-        owner = np.broadcast_to(self.ids[:, None], keep.shape)
-        return pa.RecordBatch.from_arrays([pa.array(owner[keep]), pa.array(self.name[keep]), pa.array(self.score[keep])], names=["query_id", "chunk_id", "cosine"])
-
-
-def _best(shared, k: int, apart: bool):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, groups, queries = shared.value
-        codes = {g: n for n, g in enumerate(dict.fromkeys(groups))}
-        own, best = np.array([codes[g] for g in groups]), _Best(ids, k)
-        for batch in batches:
-            for at in range(0, len(batch), SLICE):
-                part = batch.slice(at, SLICE)
-                names = part.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
-                sims = queries @ _unit(_matrix(part.column(1), queries.shape[1])).T
-                if part.num_columns > 2:  # only chunks of the query's own group
-                    theirs = np.array([codes.get(g, -1) for g in part.column(2).to_pylist()])
-                    sims[own[:, None] != theirs[None, :]] = -2
-                if apart:
-                    sims[ids[:, None] == names[None, :]] = -2
-                best.add(sims, names)
-        yield best.rows()
-
-    return run
-
-
-def top_k(queries: DataFrame, chunks: DataFrame, k: int = DEFAULTS.retrieval_k, grouped: bool = False, apart: bool = False) -> DataFrame:
-    """queries(query_id, vector[, group]) x chunks(chunk_id, vector[, group]) -> (query_id, chunk_id, cosine, rank).
-
-    The k nearest chunks of each query by cosine, ties by chunk_id. grouped: only chunks of the same group, as a
-    filter before the search. apart: a query's own id is no neighbour. Vectors of norm 0, null or another length
-    have cosine 0. Blocks of BLOCK queries are read one after another.
-    """
-    spark = chunks.sparkSession
-    columns = ["vector", "group"] if grouped else ["vector"]
-    out, block = None, []
-
-    def search() -> DataFrame:
-        size = max(len(r.vector or []) for r in block)
-        matrix = _unit(np.array([r.vector if r.vector and len(r.vector) == size else [0.0] * size for r in block], float))
-        shared = spark.sparkContext.broadcast((np.array([r.query_id for r in block], np.int64), [r.group if grouped else None for r in block], matrix))
-        return chunks.select("chunk_id", *columns).mapInArrow(_best(shared, k, apart), "query_id long, chunk_id long, cosine double")
-
-    for row in queries.select("query_id", *columns).toLocalIterator():
-        block.append(row)
-        if len(block) == BLOCK:
-            out, block = search() if out is None else out.unionByName(search()), []
-    if block:
-        out = search() if out is None else out.unionByName(search())
-    if out is None:
-        out = spark.createDataFrame([], "query_id long, chunk_id long, cosine double")
-    best = Window.partitionBy("query_id").orderBy(F.desc(F.round("cosine", 12)), "chunk_id")
-    return out.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
+__all__ = ["base_score", "boosted", "concept_boost", "highest_product", "keyword_scores", "scored", "semantic_score", "tfidf", "tfidf_scores", "top_k"]
 
 
 def semantic_score(distance: Column | str) -> Column:
@@ -147,65 +39,12 @@ def scored(found: DataFrame, c: Config = DEFAULTS) -> DataFrame:
     return rows.withColumn("similarity", boosted(base_score("semantic", "keyword", c), "boost", c))
 
 
-def _highest(shared, apart: bool):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, slots, offsets, places, weights = shared.value
-        own = {int(q): i for i, q in enumerate(ids)} if apart else {}
-        best = np.zeros(len(ids))
-        for batch in batches:
-            for name, terms, values in zip(*(batch.column(k).to_pylist() for k in range(3))):
-                hits = [(slots[t], v) for t, v in zip(terms or [], values or []) if t in slots]
-                if not hits:
-                    continue
-                at = np.concatenate([places[offsets[s] : offsets[s + 1]] for s, _ in hits])
-                products = np.concatenate([weights[offsets[s] : offsets[s + 1]] * v for s, v in hits])
-                sums = np.bincount(at, products, len(ids))
-                if name in own:
-                    sums[own[name]] = 0
-                np.maximum(best, sums, out=best)
-        kept = best > 0
-        yield pa.RecordBatch.from_arrays([pa.array(ids[kept]), pa.array(best[kept])], names=["query_id", "score"])
-
-    return run
-
-
-def highest_product(queries: DataFrame, chunks: DataFrame, apart: bool = False) -> DataFrame:
-    """queries(query_id, terms, weights) x chunks(chunk_id, terms, weights) -> (query_id, score).
-
-    The highest sum of products of weights over shared terms that any chunk has with the query; 0 without one. Terms
-    are distinct within a row. A task keeps one score for each query of a block, so rows grow with tasks times
-    queries, never with pairs. apart: a query's own id doesn't count.
-    """
-    spark = chunks.sparkSession
-    out, block, size = None, [], 0
-
-    def search() -> DataFrame:
-        by_term: dict[str, list[tuple[int, float]]] = {}
-        for i, r in enumerate(block):
-            for t, w in zip(r.terms, r.weights):
-                by_term.setdefault(t, []).append((i, w))
-        flat = [x for pairs in by_term.values() for x in pairs]
-        offsets = np.cumsum([0, *(len(x) for x in by_term.values())])
-        parts = (np.array([r.query_id for r in block], np.int64), {t: k for k, t in enumerate(by_term)}, offsets, np.array([i for i, _ in flat], np.int64), np.array([w for _, w in flat], float))
-        return chunks.select("chunk_id", "terms", "weights").mapInArrow(_highest(spark.sparkContext.broadcast(parts), apart), "query_id long, score double")
-
-    for row in queries.select("query_id", "terms", "weights").where("size(terms) > 0").toLocalIterator():
-        block.append(row)
-        size += len(row.terms)
-        if len(block) == BLOCK or size >= BLOCK_TERMS:
-            out, block, size = search() if out is None else out.unionByName(search()), [], 0
-    if block:
-        out = search() if out is None else out.unionByName(search())
-    if out is None:
-        out = spark.createDataFrame([], "query_id long, score double")
-    best = out.groupBy("query_id").agg(F.max("score").alias("score"))
-    return queries.select("query_id").join(best, "query_id", "left").select("query_id", F.coalesce("score", F.lit(0.0)).alias("score"))
-
-
-def keyword_scores(questions: DataFrame, chunks: DataFrame, apart: bool = False) -> DataFrame:
+def keyword_scores(questions: DataFrame, chunks: DataFrame, apart: bool = False, lemma: Callable[[Column], Column] | None = None) -> DataFrame:
     """questions(query_id, question) x chunks(chunk_id, text) -> (query_id, score): the best share of a question's
-    distinct words of three signs and more that any chunk has, stop words left out; 0 without words."""
-    words = lambda c: F.array_distinct(F.filter(F.split(F.lower(c), r"[^\p{L}\p{N}_]+"), lambda w: w.rlike("^[a-z0-9]{3,}$") & ~w.isin(W.KEYWORD_STOP_WORDS)))
+    distinct words of three signs and more that any chunk has, stop words left out; 0 without words. lemma: words of both
+    sides count as what it makes of them."""
+    own = lambda c: F.filter(F.split(F.lower(c), r"[^\p{L}\p{N}_]+"), lambda w: w.rlike("^[a-z0-9]{3,}$") & ~w.isin(W.KEYWORD_STOP_WORDS))
+    words = lambda c: F.array_distinct(own(c) if lemma is None else F.transform(own(c), lambda w: lemma(w)))
     ones = lambda c: F.transform(c, lambda w: F.lit(1.0))
     weighed = lambda df, key, text: df.select(key, F.coalesce(words(text), F.array().cast("array<string>")).alias("terms")).withColumn("weights", ones("terms"))
     q = weighed(questions, "query_id", "question")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -18,9 +20,15 @@ def lexical_concepts(text: Column | str, least: int = 3) -> Column:
     return F.array_distinct(F.concat(phrases, acronyms))
 
 
-def scope_concepts(texts: DataFrame, c: Config = DEFAULTS) -> DataFrame:
+def concepts_of(text: Column | str, least: int = 3, phrases: Callable[[Column], Column] | None = None) -> Column:
+    """lexical_concepts, and behind them what phrases makes of the text (an array), if given."""
+    own = lexical_concepts(text, least)
+    return own if phrases is None else F.array_distinct(F.concat(own, F.coalesce(phrases(T.col(text)), F.array().cast("array<string>"))))
+
+
+def scope_concepts(texts: DataFrame, c: Config = DEFAULTS, phrases: Callable[[Column], Column] | None = None) -> DataFrame:
     """texts(syllabus_id, text) -> (syllabus_id, rank, concept): the longest concepts, equals by letters."""
-    rows = texts.select("syllabus_id", F.explode(F.filter(lexical_concepts("text", 2), lambda p: ~p.isin(W.GENERIC_WORDS))).alias("concept")).distinct()
+    rows = texts.select("syllabus_id", F.explode(F.filter(concepts_of("text", 2, phrases), lambda p: ~p.isin(W.GENERIC_WORDS))).alias("concept")).distinct()
     ranked = rows.withColumn("rank", F.expr("row_number() over (partition by syllabus_id order by length(concept) desc, concept)"))
     return ranked.where(F.col("rank") <= c.scope_concepts).select("syllabus_id", "rank", "concept")
 

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import re
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -11,9 +15,23 @@ TABLES = {
     "concepts": "syllabus_id string, rank int, concept string",
     "outcomes": "syllabus_id string, course_code string, co string, full_co string, text string",
     "outcome_map": "syllabus_id string, co string, po string, strength int",
+    "ingested": "syllabus_id string, parse_id string, run string",
     "staged": "syllabus_id string, parse_id string, doc_id string, department string, program string, semester string, subject_code string, subject_name string, elective_type string, route string, text string",
 }
 
+#: The tables of stored vectors, (syllabus_id, chunk_no, vector), have the embedder's name behind this, and their indexes.
+VECTORS, INDEX = "vectors-", "index-"
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new folder for an intermediate table, in the one that the driver and all executors share."""
+    top = spark.conf.get("spark.checkpoint.dir", None)
+    if not top:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        top = "file://" + tempfile.mkdtemp(prefix="auditlark-")
+    return f"{top.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
 
 def outcome_insert(stored: DataFrame, given: DataFrame) -> DataFrame:
     """Rows of given that have no (course_code, full_co) in stored, one for each key: insert if absent."""
@@ -47,6 +65,10 @@ def by_module(chunks: DataFrame) -> DataFrame:
     return rows.withColumn("nth", F.expr("row_number() over (partition by module order by syllabus_id, chunk_no)"))
 
 
+def _in_order(table: str, rows: DataFrame) -> DataFrame:
+    return rows.select(*(c.split()[0] for c in TABLES[table].split(", "))) if table in TABLES else rows
+
+
 class Store:
     """Tables below a folder. Deletions cascade to all tables, so that nothing of a syllabus outlives it."""
 
@@ -57,6 +79,12 @@ class Store:
         at = self.spark._jvm.org.apache.hadoop.fs.Path(path)
         return at.getFileSystem(self.spark._jsc.hadoopConfiguration()), at
 
+    def tables(self) -> list[str]:
+        """The fixed tables, and those of vectors, one for each embedder."""
+        fs, at = self._fs(self.folder)
+        names = [s.getPath().getName() for s in fs.listStatus(at)] if fs.exists(at) else []
+        return [*TABLES, *(n for n in names if n.startswith(VECTORS))]
+
     def path(self, table: str) -> str:
         return f"{self.folder}/{table}"
 
@@ -67,15 +95,19 @@ class Store:
         return self.spark.read.schema(TABLES[table]).parquet(self.path(table))
 
     def append(self, table: str, rows: DataFrame) -> None:
-        columns = [c.split()[0] for c in TABLES[table].split(", ")]
-        rows.select(*columns).repartition("syllabus_id").write.mode("append").partitionBy("syllabus_id").parquet(self.path(table))
+        _in_order(table, rows).repartition("syllabus_id").write.mode("append").partitionBy("syllabus_id").parquet(self.path(table))
 
     def replace(self, table: str, rows: DataFrame) -> None:
         """Overwrite the partitions of the syllabi in rows, no others."""
-        columns = [c.split()[0] for c in TABLES[table].split(", ")]
-        kept = rows.select(*columns).repartition("syllabus_id").write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+        kept = _in_order(table, rows).repartition("syllabus_id").write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
         kept.partitionBy("syllabus_id").parquet(self.path(table))
 
+    def vectors(self, model: str, kind: str) -> DataFrame:
+        """Stored vectors of an embedder, whose column has this type."""
+        fs, at = self._fs(self.path(VECTORS + model))
+        schema = f"syllabus_id string, chunk_no int, vector {kind}"
+        return self.spark.read.schema(schema).parquet(self.path(VECTORS + model)) if fs.exists(at) else self.spark.createDataFrame([], schema)
+
     def exists(self, syllabus_id: str) -> bool:
         return bool(self.read("chunks").where(F.col("syllabus_id") == syllabus_id).limit(1).count())
 
@@ -86,13 +118,13 @@ class Store:
     def delete(self, syllabus_id: str) -> None:
         from urllib.parse import quote
 
-        for table in TABLES:
+        for table in self.tables():
             for name in {syllabus_id, quote(syllabus_id, safe=" -_.,()&")}:
                 fs, at = self._fs(f"{self.path(table)}/syllabus_id={name}")
                 fs.delete(at, True)
 
     def reset(self, *tables: str) -> None:
-        for table in tables or TABLES:
+        for table in tables or self.tables():
             fs, at = self._fs(self.path(table))
             fs.delete(at, True)
 
@@ -118,3 +150,14 @@ def hierarchy(registered: DataFrame) -> DataFrame:
     named = registered.select(F.coalesce("department", F.lit("Unknown Department")).alias("department"), F.coalesce("semester", F.lit("Unknown")).alias("semester"), F.struct("syllabus_id", "subject_name").alias("subject"))
     by_semester = named.groupBy("department", "semester").agg(F.array_sort(F.collect_list("subject")).alias("subjects"))
     return by_semester.groupBy("department").agg(F.array_sort(F.collect_list(F.struct("semester", "subjects"))).alias("semesters"))
+
+
+def summary(chunks: DataFrame) -> DataFrame:
+    """(department, semester, n_subjects, n_modules, n_chunks) of each semester, each department (semester null) and all
+    (both null); level tells them apart: 0, 1 and 3. Subjects are counted before they are added up, so no list is built."""
+    unnamed = F.lower(F.coalesce("module", F.lit(""))).isin("", "unknown", "none")
+    modules = chunks.groupBy("syllabus_id", F.when(~unnamed, F.col("module")).alias("module")).agg(F.count("*").alias("n"), F.min(F.struct("chunk_no", "department", "semester")).alias("first"))
+    subjects = modules.groupBy("syllabus_id").agg(F.count("module").alias("n_modules"), F.sum("n").alias("n_chunks"), F.min("first").alias("first"))
+    named = subjects.select("n_modules", "n_chunks", F.coalesce("first.department", F.lit("Unknown Department")).alias("department"), F.coalesce("first.semester", F.lit("Unknown")).alias("semester"))
+    rolled = named.rollup("department", "semester").agg(F.grouping_id().cast("int").alias("level"), F.count("*").alias("n_subjects"), F.sum("n_modules").alias("n_modules"), F.sum("n_chunks").alias("n_chunks"))
+    return rolled.select("level", "department", "semester", "n_subjects", F.coalesce("n_modules", F.lit(0)).alias("n_modules"), F.coalesce("n_chunks", F.lit(0)).alias("n_chunks"))

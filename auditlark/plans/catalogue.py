@@ -9,7 +9,10 @@ from pyspark.sql import functions as F
 
 from auditlark.config import Config
 from auditlark.functions import text as T
-from auditlark.operators import chunk, evaluate, gates, outputs, parse, rerank, retrieve, scope, store
+from auditlark.functions.lemmas import lemma
+from auditlark.operators import chunk, evaluate, gates, grid, outputs, parse, phrases, rerank, retrieve, scope, store
+from auditlark.operators.embed import HashedWords
+from auditlark.operators.index import VectorIndex
 from auditlark.plans import fixtures, oracle
 from auditlark.sources.readers import read_pages, read_table
 
@@ -64,7 +67,7 @@ def vectors(spark: SparkSession, sf: str) -> DataFrame:
 
 def query_vectors(spark: SparkSession, sf: str) -> DataFrame:
     """The stated query set: every embedding whose id is divisible by 50."""
-    return vectors(spark, sf).where("chunk_id % 50 = 0").select(F.col("chunk_id").alias("query_id"), "vector", "group", asked(F.col("chunk_id"), "text").alias("question"))
+    return vectors(spark, sf).where("chunk_id % 50 = 0").select(F.col("chunk_id").alias("query_id"), "vector", "group", asked(F.expr("chunk_id div 50"), "text").alias("question"))
 
 
 def found(spark: SparkSession, sf: str, k: int = 8, grouped: bool = False) -> DataFrame:
@@ -295,6 +298,43 @@ def vector_baseline(spark, sf):
     return retrieve.top_k(query_vectors(spark, sf), vectors(spark, sf), 1, apart=True).select("query_id", "chunk_id", F.round("cosine", 6).alias("score"))
 
 
+@query
+def index_search(spark, sf):
+    """The same search through the inverted-file index, every cell probed."""
+    with_index = VectorIndex.build(vectors(spark, sf).select("chunk_id", "vector"), store.scratch(spark, "index"))
+    rows = with_index.search(query_vectors(spark, sf), 8, probes=len(with_index.centroids), apart=True)
+    return rows.select("query_id", "chunk_id", F.round("cosine", 6).alias("cosine"), F.col("rank").cast("long").alias("rank"))
+
+
+@query
+def index_recall(spark, sf):
+    """What a quarter of the cells finds of each question's eight nearest chunks."""
+    with_index = VectorIndex.build(vectors(spark, sf).select("chunk_id", "vector"), store.scratch(spark, "index"))
+    asked_ = query_vectors(spark, sf).select("query_id", "vector")
+    best = with_index.exact(asked_, 8, apart=True).select("query_id", "chunk_id")
+    mine = with_index.search(asked_, 8, probes=-(-len(with_index.centroids) // 4), apart=True).select("query_id", "chunk_id", F.lit(1).alias("found"))
+    return best.join(mine, ["query_id", "chunk_id"], "left").groupBy("query_id").agg((F.count("found") / F.count("*")).alias("recall"))
+
+
+def embedded(rows: DataFrame, name: str) -> DataFrame:
+    """Counts of words in so many slots that none collide."""
+    return rows.select(F.col(name), HashedWords(2**60).vector(F.col("text")).alias("vector"))
+
+
+@query
+def embedded_documents(spark, sf):
+    rows = embedded(texts(spark, sf), "doc_id")
+    return rows.select("doc_id", F.size("vector.slots").cast("long").alias("n_distinct"), F.aggregate("vector.values", F.lit(0.0), lambda a, x: a + x).cast("long").alias("n_words"), F.coalesce(F.array_max("vector.values"), F.lit(0.0)).cast("long").alias("most"))
+
+
+@query
+def word_search(spark, sf):
+    """The three documents nearest to each benchmark item by the cosine of word counts, every document compared."""
+    items = embedded(read_table(spark, sf, "benchmark").where("text is not null"), "item_id").withColumnRenamed("item_id", "query_id")
+    found_ = grid.top_k(items, embedded(texts(spark, sf), "doc_id").withColumnRenamed("doc_id", "chunk_id"), 3)
+    return found_.select("query_id", "chunk_id", F.round("cosine", 6).alias("cosine"), F.col("rank").cast("long").alias("rank"))
+
+
 @query
 def map_co(spark, sf):
     """The nearest outcome of the question's own syllabus, with the halved distance as similarity."""
@@ -433,12 +473,22 @@ def full_audit(spark, sf):
 # -- store ---------------------------------------------------------------------------------------------------------
 
 
-@query
-def registry(spark, sf):
-    rows = catalog_rows(spark, sf).select(
+def stored_chunks(spark: SparkSession, sf: str) -> DataFrame:
+    return catalog_rows(spark, sf).select(
         F.concat(F.lit("s"), F.col("c_nationkey").cast("string")).alias("syllabus_id"), F.col("c_custkey").alias("chunk_no"), "department", "semester", F.col("code").alias("subject_code"), F.col("c_name").alias("subject_name"), F.lit("CORE").alias("elective_type"),
         F.when(F.col("c_custkey") % 7 == 0, "Unknown").otherwise(F.concat(F.lit("M"), (F.col("c_custkey") % 5).cast("string"))).alias("module"),
     )
+
+
+@query
+def ingestion_summary(spark, sf):
+    """Customers as chunks of subjects, one for each account name: counts by semester, by department and of all."""
+    return store.summary(stored_chunks(spark, sf).withColumn("syllabus_id", F.concat("syllabus_id", F.lit("-"), (F.col("chunk_no") % 40).cast("string"))))
+
+
+@query
+def registry(spark, sf):
+    rows = stored_chunks(spark, sf)
     return store.registry(rows).withColumn("modules", F.array_join("modules", ","))
 
 
@@ -557,6 +607,27 @@ def keyword_baseline_all(spark, sf):
     return rows.select("query_id", F.round("score", 6).alias("score"))
 
 
+@query
+def keyword_baseline_lemmas(spark, sf):
+    """keyword_baseline_all over base forms of words."""
+    rows = retrieve.keyword_scores(query_vectors(spark, sf), vectors(spark, sf), apart=True, lemma=lemma)
+    return rows.select("query_id", F.round("score", 6).alias("score"))
+
+
+@query
+def base_forms(spark, sf):
+    """The distinct words of the benchmark and their base forms."""
+    words = read_table(spark, sf, "benchmark").select(F.explode(F.split(F.lower("text"), r"[^\p{L}\p{N}_]+")).alias("word")).where("word <> ''").distinct()
+    return words.select("word", lemma("word").alias("lemma"))
+
+
+@query
+def key_phrases(spark, sf):
+    """The five key phrases of each text."""
+    rows = phrases.key_phrases(texts(spark, sf), 5, key="doc_id")
+    return rows.select("doc_id", F.col("rank").cast("long").alias("rank"), "phrase", F.round("score", 6).alias("score"), "n")
+
+
 @query
 def compared_baselines(spark, sf):
     rows = results(spark, sf)

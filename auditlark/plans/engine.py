@@ -3,14 +3,17 @@
 from __future__ import annotations
 
 import hashlib
+import uuid
+from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from auditlark.config import DEFAULTS, Config
 from auditlark.functions import text as T
-from auditlark.operators import chunk, gates, parse, retrieve, scope, store
+from auditlark.operators import chunk, gates, grid, parse, retrieve, scope, store
 from auditlark.operators.embed import Embedder, HashedWords
+from auditlark.operators.index import VectorIndex
 
 
 class NoInput(ValueError):
@@ -18,7 +21,9 @@ class NoInput(ValueError):
 
 
 class CurriculumEngine:
-    def __init__(self, spark: SparkSession, folder: str, embedder: Embedder | None = None, judge=None, config: Config = DEFAULTS):
+    def __init__(self, spark: SparkSession, folder: str, embedder: Embedder | None = None, judge=None, config: Config = DEFAULTS, phrases: Callable[[Column], Column] | None = None):
+        """phrases: further concepts of a text as an array column, such as phrases.candidate_phrases."""
+        self.phrases = phrases
         self.spark, self.store, self.config, self.judge = spark, store.Store(spark, folder), config, judge
         self.embedder = embedder or HashedWords()
 
@@ -49,13 +54,18 @@ class CurriculumEngine:
             raise NoInput(f"no stage {parse_id}")
         if syllabus_ids is not None:
             staged = staged.where(F.col("syllabus_id").isin(syllabus_ids))
-        fresh = self.store.new_only(staged.dropDuplicates(["syllabus_id"]))
+        run = uuid.uuid4().hex
+        # what is new is decided once: the parse, the chunks and the ledger see the same rows
+        new = self.store.new_only(staged.dropDuplicates(["syllabus_id"])).select("syllabus_id")
+        self.store.append("ingested", new.select("syllabus_id", F.lit(parse_id).alias("parse_id"), F.lit(run).alias("run")))
+        mine = self.store.read("ingested").where(F.col("run") == run).select("syllabus_id")
+        fresh = staged.dropDuplicates(["syllabus_id"]).join(mine, "syllabus_id", "left_semi")
         about = ["syllabus_id", "department", "semester", "subject_code", "subject_name", "elective_type"]
         pieces = chunk.chunks(fresh.select(F.col("syllabus_id").alias("doc_id"), "text"), self.config).withColumnRenamed("doc_id", "syllabus_id")
         pieces = pieces.where(~T.is_reference_entry("text", self.config) & ~T.is_low_information("text", self.config))
         pieces = pieces.withColumn("chunk_no", F.expr("cast(row_number() over (partition by syllabus_id order by chunk_no) - 1 as int)"))
         rows = pieces.join(fresh.select(*about), "syllabus_id")
-        concepts = scope.scope_concepts(fresh.select("syllabus_id", "text"), self.config)
+        concepts = scope.scope_concepts(fresh.select("syllabus_id", "text"), self.config, self.phrases)
         found = parse.structured_lines(fresh.select(F.col("syllabus_id").alias("doc_id"), "text"))
         codes = fresh.select(F.col("syllabus_id").alias("doc_id"), F.coalesce("subject_code", F.lit("")).alias("course_code"))
         cos = parse.outcomes(found).join(codes, "doc_id").select(F.col("doc_id").alias("syllabus_id"), "course_code", "co", F.concat_ws(".", "course_code", "co").alias("full_co"), "text")
@@ -64,9 +74,11 @@ class CurriculumEngine:
         self.store.replace("concepts", concepts)
         self.store.replace("outcomes", cos)
         self.store.replace("outcome_map", pos)
+        self.store.replace(store.VECTORS + self.embedder.name, rows.select("syllabus_id", "chunk_no", self.embedder.vector(F.col("text"), "passage").alias("vector")))
         self.store.append("chunks", rows)
-        ids = [r.syllabus_id for r in fresh.select("syllabus_id").collect()] if syllabus_ids is None else syllabus_ids
-        return self.store.registry().where(F.col("syllabus_id").isin(ids))
+        if syllabus_ids is not None:
+            return self.store.registry().where(F.col("syllabus_id").isin(syllabus_ids))
+        return self.store.registry().join(mine, "syllabus_id", "left_semi")
 
     def ingest_syllabus(self, docs: DataFrame) -> DataFrame:
         parse_id, _ = self.parse_curriculum(docs)
@@ -79,6 +91,10 @@ class CurriculumEngine:
     def departments(self) -> list[str]:
         return [r[0] for r in self.store.registry().select("department").where("department is not null").distinct().orderBy("department").collect()]
 
+    def summary(self) -> DataFrame:
+        """Counts of subjects, modules and chunks by semester, by department and of all."""
+        return store.summary(self.store.read("chunks"))
+
     def hierarchy(self) -> DataFrame:
         return store.hierarchy(self.store.registry())
 
@@ -89,7 +105,33 @@ class CurriculumEngine:
         return self.store.purge()
 
     def reset_vectors(self) -> None:
-        self.store.reset("chunks")
+        """Chunks go with their vectors; indexes answer only for stored chunks."""
+        self.store.reset("chunks", *(t for t in self.store.tables() if t.startswith(store.VECTORS)))
+
+    # -- vectors ---------------------------------------------------------------------------------------------------
+
+    def embedded(self, chunks: DataFrame) -> DataFrame:
+        """Stored chunks with chunk_id and their stored vectors; those that have none of this embedder are embedded here."""
+        made = self.embedder.vector(F.col("text"), "passage")
+        kind = chunks.select(made.alias("vector")).dtypes[0][1]
+        stored = self.store.vectors(self.embedder.name, kind).withColumnRenamed("vector", "stored")
+        rows = chunks.join(stored, ["syllabus_id", "chunk_no"], "left").withColumn("chunk_id", F.xxhash64("syllabus_id", "chunk_no"))
+        return rows.withColumn("vector", F.coalesce("stored", made)).drop("stored")
+
+    def build_index(self, cells: int | None = None) -> VectorIndex:
+        """A new version of the inverted-file index over all stored chunks."""
+        rows = self.embedded(self.store.read("chunks")).select("chunk_id", "vector")
+        return VectorIndex.build(rows, self.store.path(store.INDEX + self.embedder.name), cells)
+
+    def index(self) -> VectorIndex | None:
+        return VectorIndex.open(self.spark, self.store.path(store.INDEX + self.embedder.name))
+
+    def nearest(self, queries: DataFrame, chunks: DataFrame, k: int, probes: int | None = None) -> DataFrame:
+        """grid.top_k over embedded(chunks): in full, or in so many cells of the index, if there is one."""
+        index = self.index() if probes else None
+        if index is None:
+            return grid.top_k(queries, chunks, k)
+        return index.search(queries, k, probes, among=chunks)
 
     # -- audit -----------------------------------------------------------------------------------------------------
 
@@ -97,7 +139,7 @@ class CurriculumEngine:
         """Metadata of each document's head; the nearest chunk's subject overrides it if it is near enough."""
         about = T.metadata("text")
         heads = docs.select("doc_id", *(v.alias(k) for k, v in about.items()), self.embedder.vector(F.substring("text", 1, 1000), "query").alias("vector")).withColumn("query_id", F.xxhash64("doc_id"))
-        chunks = self.store.read("chunks").select("*", self.embedder.vector(F.col("text"), "passage").alias("vector"), F.xxhash64("syllabus_id", "chunk_no").alias("chunk_id"))
+        chunks = self.embedded(self.store.read("chunks"))
         near = retrieve.top_k(heads, chunks, 1).where((1 - F.col("cosine")) < self.config.detect_distance)
         named = near.join(chunks.select("chunk_id", F.col("subject_name").alias("s"), F.col("subject_code").alias("c"), F.col("semester").alias("m"), F.col("department").alias("d"), "syllabus_id"), "chunk_id")
         out = heads.join(named, "query_id", "left")
@@ -107,9 +149,9 @@ class CurriculumEngine:
         """asked(query_id, question) -> (query_id, boost): by the best cosine of a question's concept with any concept
         of the syllabus' chunks; questions without concepts have no row."""
         text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("chunk_no", "text"))), lambda x: x["text"]), " ")
-        known = chunks.groupBy("syllabus_id").agg(text.alias("text")).select(F.explode(scope.lexical_concepts("text")).alias("concept")).distinct()
+        known = chunks.groupBy("syllabus_id").agg(text.alias("text")).select(F.explode(scope.concepts_of("text", phrases=self.phrases)).alias("concept")).distinct()
         known = known.select(F.xxhash64("concept").alias("chunk_id"), self.embedder.vector(F.col("concept"), "passage").alias("vector"))
-        own = asked.select("query_id", F.explode(scope.lexical_concepts("question")).alias("concept"))
+        own = asked.select("query_id", F.explode(scope.concepts_of("question", phrases=self.phrases)).alias("concept"))
         sought = own.select("concept").distinct().select(F.xxhash64("concept").alias("query_id"), self.embedder.vector(F.col("concept"), "query").alias("vector"))
         near = retrieve.top_k(sought, known, 1).select(F.col("query_id").alias("key"), "cosine")
         best = own.select("query_id", F.xxhash64("concept").alias("key")).join(near, "key").groupBy("query_id").agg(F.max("cosine").alias("best"))
@@ -128,16 +170,21 @@ class CurriculumEngine:
             return mapped.select("query_id", "mapped_co", "mapped_co_full", F.lit(None).cast("string").alias("mapped_po"))
         return store.labelled(mapped, self.store.read("outcome_map")).select("query_id", "mapped_co", "mapped_co_full", "mapped_po")
 
-    def analyze_questions(self, pastes: DataFrame, syllabus_id: str | None = None, threshold: float | None = None) -> DataFrame:
-        """pastes(paste_id, text) -> one result row per question in them."""
+    def analyze_questions(self, pastes: DataFrame, syllabus_id: str | None = None, threshold: float | None = None, probes: int | None = None) -> DataFrame:
+        """pastes(paste_id, text) -> one result row per question in them.
+
+        probes: look only into so many cells of the index that build_index() made; without a syllabus, which is searched in
+        full in any case.
+        """
         questions = pastes.select("paste_id", F.posexplode(T.split_questions("text")).alias("pos", "question"))
         questions = questions.withColumn("query_id", F.xxhash64("paste_id", "pos"))
         chunks = self.store.read("chunks")
         if syllabus_id is not None:
             chunks = chunks.where(F.col("syllabus_id") == syllabus_id)
-        chunks = chunks.select("*", F.xxhash64("syllabus_id", "chunk_no").alias("chunk_id"), self.embedder.vector(F.col("text"), "passage").alias("vector"))
+        chunks = self.embedded(chunks)
         asked = questions.select("query_id", "question", self.embedder.vector(F.col("question"), "query").alias("vector"))
-        found = retrieve.top_k(asked, chunks, self.config.retrieval_k).join(asked.drop("vector"), "query_id").join(chunks.select("chunk_id", "text", "module"), "chunk_id")
+        near = self.nearest(asked, chunks, self.config.retrieval_k, probes if syllabus_id is None else None)
+        found = near.join(asked.drop("vector"), "query_id").join(chunks.select("chunk_id", "text", "module"), "chunk_id")
         # a chunk stored without a module is named by its own words
         found = found.withColumn("module", F.coalesce(F.nullif("module", F.lit("")), T.module_of_chunk("text")))
         gate = None

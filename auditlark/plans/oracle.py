@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 
+from auditlark.functions import lemmas as L
 from auditlark.functions import words as W
 from auditlark.operators import parse
 from auditlark.plans import fixtures
@@ -77,7 +78,7 @@ VECTORS = """vectors AS (SELECT e.vec_id AS chunk_id, e.embedding::DOUBLE[] AS v
 
 
 def found(k: int, same: str = "") -> str:
-    return f"""{VECTORS}, pairs AS (SELECT q.chunk_id AS query_id, {asked('q.chunk_id', 'q.text')} AS question, c.chunk_id, c.module, c.text, list_cosine_similarity(q.v, c.v) AS cosine
+    return f"""{VECTORS}, pairs AS (SELECT q.chunk_id AS query_id, {asked('(q.chunk_id // 50)', 'q.text')} AS question, c.chunk_id, c.module, c.text, list_cosine_similarity(q.v, c.v) AS cosine
         FROM vectors q JOIN vectors c ON q.chunk_id <> c.chunk_id {same} WHERE q.chunk_id % 50 = 0),
     found AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(cosine, 12) DESC, chunk_id) AS rank FROM pairs) WHERE rank <= {k})"""
 
@@ -105,6 +106,17 @@ def elective(code: str, text: str) -> str:
     return "CASE " + " ".join(arms + [f"WHEN {has(both, p)} THEN '{name}'" for name, p in W.ELECTIVES]) + " ELSE 'CORE' END"
 
 
+def lemma(w: str) -> str:
+    known = {form: base for base, forms in L.IRREGULAR.items() for form in forms.split()} | {b: b for b in L.BASE}
+    arms = [f"WHEN {w} = {lit(form)} THEN {lit(base)}" for form, base in known.items()]
+    arms += [f"WHEN regexp_matches({w}, {lit(pattern)}) THEN regexp_extract({w}, {lit(pattern)}, 1) || '{ending}'" for pattern, ending in L.RULES]
+    return f"CASE {' '.join(arms)} ELSE {w} END"
+
+
+def long_words(x: str) -> str:
+    return f"list_filter({words(x)}, lambda w: regexp_full_match(w, '[a-z0-9]{{3,}}') AND NOT list_contains({strings(W.KEYWORD_STOP_WORDS)}, w))"
+
+
 # -- quality -------------------------------------------------------------------------------------------------------
 
 
@@ -287,6 +299,14 @@ STATEMENTS = {
         o AS (SELECT doc_id, CASE WHEN length({strip('r.c')}) >= 20 THEN list_append(r.o, {strip('r.c')}) ELSE r.o END AS l FROM f)
         SELECT doc_id, CAST(unnest(range(len(l))) AS INT) AS pos, unnest(l) AS piece FROM o""",
     "topk_cosine": f"WITH {found(8)} SELECT query_id, chunk_id, round(cosine, 6) AS cosine, rank FROM found",
+    "index_search": f"WITH {found(8)} SELECT query_id, chunk_id, round(cosine, 6) AS cosine, rank FROM found",
+    "embedded_documents": f"""WITH {TEXTS}, w AS (SELECT doc_id, unnest(list_filter({words('text')}, lambda w: w <> '')) AS w FROM texts), c AS (SELECT doc_id, w, count(*) AS n FROM w GROUP BY ALL),
+        g AS (SELECT doc_id, count(*) AS d, sum(n)::BIGINT AS s, max(n) AS m FROM c GROUP BY doc_id) SELECT doc_id, coalesce(d, 0) AS n_distinct, coalesce(s, 0) AS n_words, coalesce(m, 0) AS most FROM texts LEFT JOIN g USING (doc_id)""",
+    "word_search": f"""WITH {TEXTS}, b AS (SELECT item_id AS q, w, count(*)::DOUBLE AS n FROM (SELECT item_id, unnest(list_filter({words('text')}, lambda w: w <> '')) AS w FROM benchmark) GROUP BY ALL),
+        d AS (SELECT doc_id AS c, w, count(*)::DOUBLE AS n FROM (SELECT doc_id, unnest(list_filter({words('text')}, lambda w: w <> '')) AS w FROM texts) GROUP BY ALL),
+        p AS (SELECT q, c, sum(b.n * d.n) AS dot FROM b JOIN d USING (w) GROUP BY ALL), x AS (SELECT q, sqrt(sum(n * n)) AS n FROM b GROUP BY q), y AS (SELECT c, sqrt(sum(n * n)) AS n FROM d GROUP BY c),
+        s AS (SELECT item_id AS q, doc_id AS c, coalesce(dot / (x.n * y.n), 0) AS s FROM benchmark CROSS JOIN texts LEFT JOIN p ON p.q = item_id AND p.c = doc_id LEFT JOIN x ON x.q = item_id LEFT JOIN y ON y.c = doc_id WHERE benchmark.text IS NOT NULL),
+        r AS (SELECT *, row_number() OVER (PARTITION BY q ORDER BY round(s, 12) DESC, c) AS rank FROM s) SELECT q AS query_id, c AS chunk_id, round(s, 6) AS cosine, rank FROM r WHERE rank <= 3""",
     "vector_baseline": f"WITH {found(1)} SELECT query_id, chunk_id, round(cosine, 6) AS score FROM found",
     "map_co": f"WITH {found(1, 'AND q.grp = c.grp')} SELECT query_id, chunk_id AS co, round(greatest(0, 1 - (1 - cosine) / 2), 6) AS similarity FROM found",
     "co_to_po": """WITH r AS (SELECT l_orderkey, min('PO' || l_suppkey % 12) AS po FROM lineitem JOIN orders ON o_orderkey = l_orderkey WHERE o_orderpriority <> '1-URGENT' GROUP BY l_orderkey)
@@ -339,6 +359,9 @@ STATEMENTS = {
         o AS (SELECT query_id, avg(score) AS overlap FROM e JOIN m USING (sid, w) GROUP BY query_id) SELECT q.query_id, round(coalesce(overlap, 1.0), 6)::DOUBLE AS overlap FROM q LEFT JOIN o USING (query_id)""",
     "frequent_concepts": f"""WITH w AS (SELECT lang AS syllabus_id, unnest({content_words('text')}) AS concept FROM documents), c AS (SELECT syllabus_id, concept, count(*) AS n FROM w GROUP BY ALL)
         SELECT * FROM (SELECT syllabus_id, row_number() OVER (PARTITION BY syllabus_id ORDER BY n DESC, concept) AS rank, concept, n FROM c) WHERE rank <= 20""",
+    "ingestion_summary": f"""WITH {CATALOG}, r AS (SELECT 's' || c_nationkey || '-' || c_custkey % 40 AS sid, c_custkey, department, semester, CASE WHEN c_custkey % 7 <> 0 THEN 'M' || c_custkey % 5 END AS module FROM catalog),
+        s AS (SELECT sid, arg_min(department, c_custkey) AS department, arg_min(semester, c_custkey) AS semester, count(DISTINCT module) AS m, count(*) AS n FROM r GROUP BY sid)
+        SELECT CAST(grouping(department, semester) AS INT) AS level, department, semester, count(*) AS n_subjects, CAST(sum(m) AS BIGINT) AS n_modules, CAST(sum(n) AS BIGINT) AS n_chunks FROM s GROUP BY ROLLUP (department, semester)""",
     "registry": f"""WITH {CATALOG}, r AS (SELECT 's' || c_nationkey AS syllabus_id, c_custkey, department, semester, code, c_name, CASE WHEN c_custkey % 7 <> 0 THEN 'M' || c_custkey % 5 END AS module FROM catalog),
         m AS (SELECT syllabus_id, string_agg(module, ',' ORDER BY seen) AS modules FROM (SELECT syllabus_id, module, min(c_custkey) AS seen FROM r WHERE module IS NOT NULL GROUP BY ALL) GROUP BY syllabus_id)
         SELECT syllabus_id, arg_min(department, c_custkey) AS department, arg_min(semester, c_custkey) AS semester, arg_min(code, c_custkey) AS subject_code, arg_min(c_name, c_custkey) AS subject_name, 'CORE' AS elective_type, any_value(coalesce(modules, '')) AS modules, count(*) AS n_chunks
@@ -363,6 +386,28 @@ STATEMENTS = {
     "question_bank": """SELECT page_id AS module, 'Explain ' || trim(url) AS question, true AS expected FROM pages WHERE length('Explain ' || trim(url)) > 15 UNION ALL SELECT page_id, 'Compare page ' || page_id || ' with others', false FROM pages""",
     "keyword_baseline": f"""WITH {found(8)}, s AS (SELECT query_id, list_distinct(list_filter({words('question')}, lambda w: regexp_full_match(w, '[a-z0-9]{{3,}}'))) AS q, list_distinct(list_filter({words('text')}, lambda w: regexp_full_match(w, '[a-z0-9]{{3,}}'))) AS c FROM found)
         SELECT query_id, round(max(CASE WHEN len(q) = 0 THEN 0 ELSE len(list_intersect(q, c)) / len(q) END), 6) AS score FROM s GROUP BY query_id""",
+    "keyword_baseline_all": f"""WITH {VECTORS}, k AS (SELECT chunk_id, list_distinct(list_filter({words('text')}, lambda w: regexp_full_match(w, '[a-z0-9]{{3,}}') AND NOT list_contains({strings(W.KEYWORD_STOP_WORDS)}, w))) AS c FROM vectors),
+        q AS (SELECT chunk_id, list_distinct(list_filter({words(asked('(chunk_id // 50)', 'text'))}, lambda w: regexp_full_match(w, '[a-z0-9]{{3,}}') AND NOT list_contains({strings(W.KEYWORD_STOP_WORDS)}, w))) AS w FROM vectors WHERE chunk_id % 50 = 0)
+        SELECT q.chunk_id AS query_id, round(max(CASE WHEN len(q.w) = 0 THEN 0 ELSE len(list_intersect(q.w, k.c)) / len(q.w) END), 6) AS score FROM q JOIN k ON q.chunk_id <> k.chunk_id GROUP BY q.chunk_id""",
+    "tfidf_baseline": f"""WITH {VECTORS}, w AS (SELECT chunk_id AS i, unnest(list_filter({words('text')}, lambda w: length(w) >= 2 AND NOT list_contains({strings(W.TFIDF_STOP_WORDS)}, w))) AS t FROM vectors),
+        c AS (SELECT i, t, count(*) AS n FROM w GROUP BY ALL), f AS (SELECT t, ln((1 + (SELECT count(*) FROM vectors)) / (1 + count(*))) + 1 AS idf FROM c GROUP BY t),
+        v AS (SELECT i, t, n * idf / sqrt(sum(n * n * idf * idf) OVER (PARTITION BY i)) AS x FROM c JOIN f USING (t)),
+        a AS (SELECT chunk_id AS i, unnest(list_filter({words(asked('(chunk_id // 50)', 'text'))}, lambda w: length(w) >= 2)) AS t FROM vectors WHERE chunk_id % 50 = 0),
+        b AS (SELECT i, t, count(*) AS n FROM a JOIN f USING (t) GROUP BY ALL), u AS (SELECT i, t, n * idf / sqrt(sum(n * n * idf * idf) OVER (PARTITION BY i)) AS x FROM b JOIN f USING (t)),
+        s AS (SELECT u.i AS q, v.i AS c, sum(u.x * v.x) AS s FROM u JOIN v USING (t) WHERE u.i <> v.i GROUP BY ALL)
+        SELECT chunk_id AS query_id, round(coalesce(max(s), 0), 6) AS score FROM vectors LEFT JOIN s ON q = chunk_id WHERE chunk_id % 50 = 0 GROUP BY chunk_id""",
+    "keyword_baseline_lemmas": f"""WITH {VECTORS}, u AS (SELECT DISTINCT w, {lemma('w')} AS m FROM (SELECT unnest({words('text')}) AS w FROM vectors UNION ALL SELECT unnest({strings([v.lower() for p in VERBS for v in p.split()])}))),
+        k AS (SELECT chunk_id AS c, list(DISTINCT m) AS c_words FROM (SELECT chunk_id, unnest({long_words('text')}) AS w FROM vectors) JOIN u USING (w) GROUP BY ALL),
+        q AS (SELECT chunk_id AS q, list(DISTINCT m) AS q_words FROM (SELECT chunk_id, unnest({long_words(asked('(chunk_id // 50)', 'text'))}) AS w FROM vectors WHERE chunk_id % 50 = 0) JOIN u USING (w) GROUP BY ALL),
+        s AS (SELECT q, max(len(list_intersect(q_words, c_words)) / len(q_words)) AS s FROM q JOIN k ON q <> c GROUP BY q)
+        SELECT chunk_id AS query_id, round(coalesce(s, 0), 6) AS score FROM vectors LEFT JOIN s ON q = chunk_id WHERE chunk_id % 50 = 0""",
+    "base_forms": f"SELECT DISTINCT word, {lemma('word')} AS lemma FROM (SELECT unnest({words('text')}) AS word FROM benchmark) WHERE word <> ''",
+    "key_phrases": rf"""WITH {TEXTS}, t AS (SELECT doc_id, regexp_extract_all(lower(text), '[\p{{L}}\p{{N}}_]+(?:[''’\-][\p{{L}}\p{{N}}_]+)*|[^\s\p{{L}}\p{{N}}_]+|\n') AS t FROM texts),
+        c AS (SELECT doc_id, array_to_string(list_transform(t, lambda x: CASE WHEN regexp_matches(x, '^[\p{{L}}\p{{N}}_]') AND NOT list_contains({strings(W.TFIDF_STOP_WORDS)}, x) THEN x ELSE '|' END), ' ') AS c FROM t),
+        p AS (SELECT doc_id, phrase, count(*) AS n, len(string_split(phrase, ' ')) AS size FROM (SELECT doc_id, trim(unnest(string_split(c, '|'))) AS phrase FROM c) WHERE regexp_matches(phrase, '\p{{L}}') AND len(string_split(phrase, ' ')) <= 4 GROUP BY ALL),
+        w AS (SELECT doc_id, phrase, n, size, unnest(string_split(phrase, ' ')) AS word FROM p), g AS (SELECT doc_id, word, sum(size * n) / sum(n) AS weight FROM w GROUP BY ALL),
+        s AS (SELECT doc_id, phrase, n, sum(weight) AS score FROM w JOIN g USING (doc_id, word) GROUP BY ALL)
+        SELECT * FROM (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY round(score, 9) DESC, phrase) AS rank, phrase, round(score, 6) AS score, n FROM s) WHERE rank <= 5""",
     "compared_baselines": f"""WITH {RESULTS}, b AS (SELECT 'distinct words' AS name, expected, predicted, doc_id % 7 / 1000 AS seconds FROM results UNION ALL SELECT 'length', expected, other, doc_id % 3 / 1000 FROM results),
         c AS (SELECT name, {COUNTS}, count(*) AS total, round(avg(seconds) * 1000, 3) AS mean_ms FROM b GROUP BY name) SELECT *, {metrics(4)} FROM c""",
     "similarity_percent": f"WITH {SCORED} SELECT query_id, chunk_id, format('{{:.1f}}', round(similarity, 6) * 100) AS percent FROM scored",

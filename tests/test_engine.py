@@ -18,8 +18,8 @@ BODY = "Encryption and decryption protocol design, with the architecture of secu
 @pytest.fixture(scope="module")
 def engine(spark, tmp_path_factory):
     e = CurriculumEngine(spark, f"file://{tmp_path_factory.mktemp('store')}")
-    text = fixtures.STRUCTURED.replace("Permeability and flow nets.", BODY)
-    e.ingest_syllabus(spark.createDataFrame([(1, text), (2, fixtures.LEGACY), (3, None)], "doc_id long, text string")).collect()
+    text = fixtures.STRUCTURED.replace("Staff readings between two tides.", BODY)
+    e.ingest_syllabus(spark.createDataFrame([(1, text), (2, fixtures.LEGACY.replace("Discharge rules and what they do to waiting.", BODY)), (3, None)], "doc_id long, text string")).collect()
     return e
 
 
@@ -38,10 +38,10 @@ def test_ingest_keeps_every_text(spark, tmp_path):
     """Documents without metadata, and two texts with one code, are all stored, once each."""
     e = CurriculumEngine(spark, f"file://{tmp_path}/store")
     plain = [f"{w} systems in practice: {BODY}" for w in ("alpha", "beta", "gamma")]
-    coded = [fixtures.STRUCTURED.replace("Consolidation of clay layers.", f"{w} {BODY}") for w in ("First", "Second")]
+    coded = [fixtures.STRUCTURED.replace("Staff readings between two tides.", f"{w} {BODY}") for w in ("First", "Second")]
     docs = spark.createDataFrame(list(enumerate([*plain, plain[0], *coded])), "doc_id long, text string")
     n = e.ingest_syllabus(docs).count()
-    assert n == 5 and e.store.exists("CE-VI-PEC-CE602A")
+    assert n == 5 and e.store.exists("CE-V-OEC-OE-CE514C")
     texts = [r.text for r in e.store.read("chunks").collect()]
     assert all(sum(w in t for t in texts) == 1 for w in ("alpha systems", "beta systems", "gamma systems"))
     e.ingest_syllabus(docs.repartition(5)).collect()
@@ -52,14 +52,14 @@ def test_ingest_keeps_every_text(spark, tmp_path):
 
 def test_views(engine):
     ids = {r.syllabus_id for r in engine.list_syllabi().collect()}
-    assert "CE-VI-PEC-CE602A" in ids and engine.departments() == ["Civil Engineering", "Information Technology"]
+    assert "CE-V-OEC-OE-CE514C" in ids and engine.departments() == ["Civil Engineering", "Information Technology"]
     assert engine.list_syllabi(semester="none").count() == 0 and engine.hierarchy().count() == 2
-    assert engine.store.exists("CE-VI-PEC-CE602A") and engine.store.read("outcomes").count() >= 2
+    assert engine.store.exists("CE-V-OEC-OE-CE514C") and engine.store.read("outcomes").count() >= 2
 
 
 def test_audit(spark, engine):
     pastes = spark.createDataFrame([(1, "Q1. Explain the encryption and decryption protocol design Q2: Define bananas")], "paste_id long, text string")
-    rows = engine.analyze_questions(pastes, "CE-VI-PEC-CE602A", 0.2).orderBy("pos").collect()
+    rows = engine.analyze_questions(pastes, "CE-V-OEC-OE-CE514C", 0.2).orderBy("pos").collect()
     assert [r.question for r in rows] == ["Explain the encryption and decryption protocol design", "Define bananas"]
     assert all(0 <= r.similarity <= 1 and r.n_chunks <= 3 for r in rows) and not rows[1].is_in_syllabus
     assert rows[0].bloom_level == "Create"
@@ -70,6 +70,8 @@ def test_audit(spark, engine):
 class Table:
     """Vectors of given texts; all others are alike and far from them."""
 
+    name = "table"
+
     def __init__(self, **vectors):
         self.vectors = {k.replace("_", " "): v for k, v in vectors.items()}
 
@@ -144,10 +146,10 @@ def test_stream(spark, engine, tmp_path):
 
 def test_delete_cascades(spark, tmp_path):
     e = CurriculumEngine(spark, f"file://{tmp_path}/store")
-    e.ingest_syllabus(spark.createDataFrame([(1, fixtures.STRUCTURED.replace("Consolidation of clay layers.", BODY))], "doc_id long, text string"))
-    assert e.store.exists("CE-VI-PEC-CE602A")
-    e.delete_syllabus("CE-VI-PEC-CE602A")
-    assert not e.store.exists("CE-VI-PEC-CE602A") and e.store.read("outcomes").count() == 0
+    e.ingest_syllabus(spark.createDataFrame([(1, fixtures.STRUCTURED.replace("Staff readings between two tides.", BODY))], "doc_id long, text string"))
+    assert e.store.exists("CE-V-OEC-OE-CE514C")
+    e.delete_syllabus("CE-V-OEC-OE-CE514C")
+    assert not e.store.exists("CE-V-OEC-OE-CE514C") and e.store.read("outcomes").count() == 0
     assert e.purge_all() == 0
 
 
