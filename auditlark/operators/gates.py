@@ -20,6 +20,7 @@ CONCEPTUAL = "The question is conceptually grounded in syllabus topics."
 GROUNDED = "The question is grounded in syllabus topics."
 ALIGNED = "The application conceptually aligns with syllabus topics."
 UNSURE = "Validator could not confidently ground the question in the syllabus."
+GATE_FAILED = "Similarity below threshold — no valid syllabus content found."
 BAD_YES = "The application conceptually aligns with the technical scope of the syllabus."
 BAD_NO = "The question introduces topics or applications not explicitly supported by the syllabus."
 
@@ -106,6 +107,8 @@ def audited(scored: DataFrame, threshold: float = DEFAULTS.user_threshold, scope
     """Scored chunks of every question -> one result row per question.
 
     scope(query_id, overlap), if given, rejects questions whose concepts are foreign to the syllabus before all else.
+    Only a question that passes its gate has chunks, a judge's answer (llm_*) and the two strongest modules at most; one
+    that fails it keeps all its modules, and the reason. A pass that the cleaner left without chunks is no match.
     """
     rows = rerank.collected(scored)
     rows = rows.withColumn("chunks", rerank.cleaned(rerank.gap_filtered(rerank.deduplicated("chunks", c), c), c))
@@ -118,6 +121,9 @@ def audited(scored: DataFrame, threshold: float = DEFAULTS.user_threshold, scope
     # a question out of scope has no evidence, whatever was found for it
     rows = rows.withColumn("chunks", F.when(F.col("rejected"), F.expr("slice(chunks, 1, 0)")).otherwise(F.col("chunks")))
     passes = gate_passes("top", threshold, c) & ~F.col("rejected")
+    modules = rerank.modules_of("chunks", c)
+    shown = F.expr("transform(chunks, x -> named_struct('chunk_id', x.chunk_id, 'module', x.module, 'similarity', round(x.similarity, 4), 'text', x.text))")
+    kept = F.when(passes, shown).otherwise(F.slice(shown, 1, 0))
     inside = passes & F.col("in_syllabus")
     first = F.get("chunks", 0)
     strength = match_strength("top", c)
@@ -126,9 +132,11 @@ def audited(scored: DataFrame, threshold: float = DEFAULTS.user_threshold, scope
     return rows.select(
         "query_id", "question", F.round("top", 4).alias("similarity"), F.when(F.col("rejected"), "WEAK_MATCH").when(passes, raised).otherwise(strength).alias("match_strength"),
         F.when(inside, match_type("top", F.lit(scoped), c)).otherwise("OUT_OF_CURRICULUM").alias("match_type"), passes.alias("gatekeeper_passed"), inside.alias("is_in_syllabus"),
-        level.alias("bloom_level"), T.difficulty(level).alias("difficulty"), F.array_join(F.slice(rerank.modules_of("chunks", c), 1, c.modules_shown), ",").alias("modules"), "question_type",
-        F.when(passes, F.col("decision")).otherwise("NO").alias("decision"), F.when(F.col("rejected"), foreign_scope(c)).when(passes, F.col("justification")).otherwise(LOW).alias("justification"),
-        F.size("chunks").cast("long").alias("n_chunks"), *(F.round(F.coalesce(first[name], F.lit(0.0)), 4).alias(label) for name, label in DIAGNOSTICS.items()),
+        level.alias("bloom_level"), T.difficulty(level).alias("difficulty"), F.array_join(F.when(passes, F.slice(modules, 1, c.modules_shown)).otherwise(modules), ",").alias("modules"), "question_type",
+        F.when(passes, F.col("decision")).otherwise("NO").alias("decision"), F.when(F.col("rejected"), foreign_scope(c)).when(passes, F.col("justification")).otherwise(GATE_FAILED).alias("justification"),
+        F.when(F.col("rejected"), "MATCH_FOUND").when((strength == "NO_MATCH") | (passes & (F.size("chunks") == 0)), "NO_MATCH").otherwise("MATCH_FOUND").alias("retrieval_status"), F.col("rejected").alias("scope_rejected"),
+        *(F.when(passes, F.col(name)).alias(label) for name, label in (("decision", "llm_decision"), ("justification", "llm_justification"), ("decided_module", "llm_module"))),
+        F.size(kept).cast("long").alias("n_chunks"), kept.alias("top_chunks"), *(F.round(F.coalesce(first[name], F.lit(0.0)), 4).alias(label) for name, label in DIAGNOSTICS.items()),
     )
 
 

@@ -20,7 +20,7 @@ FLAGSHIP = "full_audit"
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
 #: Vectors of the test tables are far from each other: thresholds fit their band.
-BAND = Config(strong=0.36, partial=0.32, weak=0.28, boost_base=0.2, boost_high=(0.35, 0.12), boost_low=(0.30, 0.06), module_similarity=0.2, override_similarity=0.33, override_semantic=0.3, upgrade_semantic=0.3)
+BAND = Config(strong=0.36, partial=0.32, weak=0.28, boost_base=0.2, boost_high=(0.35, 0.12), boost_low=(0.30, 0.06), module_similarity=0.2, override_similarity=0.33, override_semantic=0.3, upgrade_semantic=0.3, scope_similarity=0.34)
 VERBS = ["Define", "Explain", "Implement", "Compare", "Justify", "Design", "What is", "Why is", "How does", "Discuss"]
 
 
@@ -308,11 +308,11 @@ def index_search(spark, sf):
 
 @query
 def index_recall(spark, sf):
-    """What a quarter of the cells finds of each question's eight nearest chunks."""
+    """What the cells that the index probes by default find of each question's eight nearest chunks."""
     with_index = VectorIndex.build(vectors(spark, sf).select("chunk_id", "vector"), store.scratch(spark, "index"))
     asked_ = query_vectors(spark, sf).select("query_id", "vector")
     best = with_index.exact(asked_, 8, apart=True).select("query_id", "chunk_id")
-    mine = with_index.search(asked_, 8, probes=-(-len(with_index.centroids) // 4), apart=True).select("query_id", "chunk_id", F.lit(1).alias("found"))
+    mine = with_index.search(asked_, 8, apart=True).select("query_id", "chunk_id", F.lit(1).alias("found"))
     return best.join(mine, ["query_id", "chunk_id"], "left").groupBy("query_id").agg((F.count("found") / F.count("*")).alias("recall"))
 
 
@@ -467,7 +467,14 @@ def scope_concepts(spark, sf):
 
 @query
 def full_audit(spark, sf):
-    return gates.audited(scored(spark, sf), 0.2, scoped=True, c=BAND)
+    """Every verb, refusals by scope, a judge that says yes to questions of even length, and every gate."""
+    rows = scored(spark, sf)
+    overlap = F.pmod(F.expr("query_id div 50"), F.lit(7)) / 7
+    scope_ = rows.select("query_id").distinct().select("query_id", overlap.alias("overlap"))
+    said = F.when(F.length("question") % 2 == 0, F.lit("DECISION: YES\nJUSTIFICATION: A unit covers it in depth.\nMODULE: Module 3")).otherwise("DECISION: NO\nJUSTIFICATION: No unit covers it in depth.")
+    found_ = gates.audited(rows, 0.2, scoped=True, scope=scope_, judge=lambda asked_: asked_.withColumn("reply", said), c=BAND)
+    ids = F.array_join(F.transform("top_chunks", lambda x: x["chunk_id"].cast("string")), ",")
+    return found_.withColumn("top_chunks", ids)
 
 
 # -- store ---------------------------------------------------------------------------------------------------------

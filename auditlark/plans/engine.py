@@ -127,11 +127,12 @@ class CurriculumEngine:
         return VectorIndex.open(self.spark, self.store.path(store.INDEX + self.embedder.name))
 
     def nearest(self, queries: DataFrame, chunks: DataFrame, k: int, probes: int | None = None) -> DataFrame:
-        """grid.top_k over embedded(chunks): in full, or in so many cells of the index, if there is one."""
-        index = self.index() if probes else None
+        """grid.top_k over embedded(chunks): in full, or in so many cells of the index (0: as many as it measured), if there
+        is one."""
+        index = None if probes is None else self.index()
         if index is None:
             return grid.top_k(queries, chunks, k)
-        return index.search(queries, k, probes, among=chunks)
+        return index.search(queries, k, probes or None, among=chunks)
 
     # -- audit -----------------------------------------------------------------------------------------------------
 
@@ -173,11 +174,15 @@ class CurriculumEngine:
     def analyze_questions(self, pastes: DataFrame, syllabus_id: str | None = None, threshold: float | None = None, probes: int | None = None) -> DataFrame:
         """pastes(paste_id, text) -> one result row per question in them.
 
-        probes: look only into so many cells of the index that build_index() made; without a syllabus, which is searched in
-        full in any case.
+        probes: look only into so many cells of the index that build_index() made, 0 for as many as reach its recall;
+        without a syllabus, which is searched in full in any case.
         """
         questions = pastes.select("paste_id", F.posexplode(T.split_questions("text")).alias("pos", "question"))
-        questions = questions.withColumn("query_id", F.xxhash64("paste_id", "pos"))
+        return self.analyze_split(questions, syllabus_id, threshold, probes)
+
+    def analyze_split(self, questions: DataFrame, syllabus_id: str | None = None, threshold: float | None = None, probes: int | None = None) -> DataFrame:
+        """analyze_questions for questions(paste_id, pos, question) that are split already."""
+        questions = questions.select("paste_id", "pos", "question").withColumn("query_id", F.xxhash64("paste_id", "pos"))
         chunks = self.store.read("chunks")
         if syllabus_id is not None:
             chunks = chunks.where(F.col("syllabus_id") == syllabus_id)
@@ -199,14 +204,12 @@ class CurriculumEngine:
         level = T.bloom_level("asked")
         nothing = {
             "question": F.col("asked"), "similarity": F.lit(0.0), "match_strength": F.lit("NO_MATCH"), "match_type": F.lit("OUT_OF_CURRICULUM"), "gatekeeper_passed": F.lit(False), "is_in_syllabus": F.lit(False), "bloom_level": level,
-            "difficulty": T.difficulty(level), "modules": F.lit(""), "question_type": T.question_type("asked"), "decision": F.lit("NO"), "justification": F.lit(gates.LOW), "n_chunks": F.lit(0).cast("long"),
+            "difficulty": T.difficulty(level), "modules": F.lit(""), "question_type": T.question_type("asked"), "decision": F.lit("NO"), "justification": F.lit(gates.GATE_FAILED), "n_chunks": F.lit(0).cast("long"),
+            "retrieval_status": F.lit("NO_MATCH"), "scope_rejected": F.lit(False), "top_chunks": F.array().cast(dict(result.dtypes)["top_chunks"]),
             **{label: F.lit(0.0) for label in gates.DIAGNOSTICS.values()},
         }
         out = questions.select("paste_id", "pos", "query_id", F.col("question").alias("asked")).join(result, "query_id", "left")
         out = out.withColumns({k: F.coalesce(k, v) for k, v in nothing.items()}).drop("asked")
         out = out.join(self._outcomes(asked, syllabus_id), "query_id", "left")
-        if gate is None:
-            return out
-        refused = (F.col("similarity") >= self.config.scope_similarity) & (F.col("match_strength") == "WEAK_MATCH") & (F.round("overlap", 4) < self.config.scope_overlap)
-        mapped = {k: F.when(~F.coalesce(refused, F.lit(False)), F.col(k)) for k in ("mapped_co", "mapped_co_full", "mapped_po")}
-        return out.join(gate, "query_id", "left").withColumns(mapped).drop("overlap")
+        # a question out of scope is mapped to no outcome
+        return out.withColumns({k: F.when(~F.col("scope_rejected"), F.col(k)) for k in ("mapped_co", "mapped_co_full", "mapped_po")})

@@ -1,5 +1,6 @@
 """The engine end to end on a small warehouse, its readers and its stream."""
 
+import datetime
 import io
 import json
 import zipfile
@@ -7,10 +8,11 @@ import zipfile
 import pytest
 from pyspark.sql import functions as F
 
+from auditlark.operators.judge import CachedJudge, prompt
 from auditlark.plans import fixtures
 from auditlark.plans.engine import CurriculumEngine, NoInput
 from auditlark.sources import readers
-from auditlark.streaming.questions import audit_stream
+from auditlark.streaming.questions import audit_stream, summary_stream
 
 BODY = "Encryption and decryption protocol design, with the architecture of secure communication systems and a comparison of every algorithm in use."
 
@@ -144,6 +146,58 @@ def test_stream(spark, engine, tmp_path):
     assert spark.read.parquet(str(tmp_path / "out")).count() == 1
 
 
+def test_stream_drops_repeats_and_keeps_count(spark, engine, tmp_path):
+    """Equal questions within the watermark are answered once; a replay gives the same files; the summary runs along."""
+    source, out = tmp_path / "in", tmp_path / "out"
+    schema = "paste_id long, text string, at timestamp"
+
+    def put(*rows):
+        spark.createDataFrame([(i, t, datetime.datetime(2026, 1, 1, h)) for i, t, h in rows], schema).coalesce(1).write.mode("append").parquet(str(source))
+
+    def run():
+        q = audit_stream(engine, spark.readStream.schema(schema).parquet(str(source)), str(out), str(tmp_path / "state"), time="at", delay="2 hours")
+        q.processAllAvailable()
+        q.stop()
+        s = summary_stream(spark, str(out), str(tmp_path / "summary"), str(tmp_path / "counts"))
+        s.processAllAvailable()
+        s.stop()
+        asked = sorted((r.paste_id, r.question) for r in spark.read.parquet(str(out)).collect())
+        total = spark.read.parquet(str(tmp_path / "summary")).first()
+        assert total.n == len(asked) == total.n_in + total.n_borderline + total.n_out
+        return asked
+
+    put((1, "Q1. Define RSA Q2: Compare  trees", 1), (2, "define rsa", 1))
+    assert len(first := run()) == 2 and {q.lower() for _, q in first} == {"define rsa", "compare  trees"}
+    put((3, "compare Trees", 2), (4, "Design a cipher", 2))
+    assert [x for x in run() if x not in first] == [(4, "Design a cipher")]
+    files = {f.name: f.stat().st_mtime_ns for f in out.rglob("*.parquet")}
+    again = sorted(int(f.name) for f in (tmp_path / "state" / "commits").iterdir() if f.name.isdigit())[-1]
+    for name in (str(again), f".{again}.crc"):  # the last batch was written, its commit lost
+        (tmp_path / "state" / "commits" / name).unlink(missing_ok=True)
+    assert len(run()) == 3 and {f.name: f.stat().st_mtime_ns for f in out.rglob("*.parquet")} == files
+
+
+def test_judge_is_asked_once_for_each_prompt(spark, tmp_path):
+    calls = []
+
+    def ask(prompts):
+        rows = prompts.collect()
+        calls.append(len(rows))
+        return spark.createDataFrame([(r.prompt_id, None if "broken" in r.prompt else "DECISION: YES\nJUSTIFICATION: it is covered by a unit\nMODULE: M2", "timeout" if "broken" in r.prompt else None) for r in rows], "prompt_id string, reply string, error string")
+
+    chunk = {"text": "x" * 500}
+    rows = spark.createDataFrame([(1, "How to use a", [chunk] * 5), (2, "How to use a", [chunk] * 5), (3, "How to use b", []), (4, "broken", [{"text": None}]), (5, None, None)], "query_id long, question string, chunks array<struct<text:string>>")
+    made = rows.where("query_id = 1").select(prompt(F.col("question"), F.col("chunks")).alias("p")).first().p
+    assert made.count("- " + "x" * 200 + "\n") == 3 and "x" * 201 not in made and "How to use a" in made
+    judge = CachedJudge(spark, f"file://{tmp_path}/replies", ask)
+    got = {r.query_id: r.reply for r in judge(rows).collect()}
+    assert calls == [4] and got[1] == got[2] and got[1].startswith("DECISION: YES") and got[4] == ""
+    assert [(r.error,) for r in judge.errors().collect()] == [("timeout",)]
+    assert {r.query_id: r.reply for r in judge(rows).collect()} == got and calls == [4, 1]  # only the error again
+    assert {r.query_id: r.reply for r in judge(rows.where("query_id <> 4")).collect()} == {k: v for k, v in got.items() if k != 4} and calls == [4, 1]
+    assert judge(rows.limit(0)).count() == 0 and calls == [4, 1]
+
+
 def test_delete_cascades(spark, tmp_path):
     e = CurriculumEngine(spark, f"file://{tmp_path}/store")
     e.ingest_syllabus(spark.createDataFrame([(1, fixtures.STRUCTURED.replace("Staff readings between two tides.", BODY))], "doc_id long, text string"))

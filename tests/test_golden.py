@@ -220,6 +220,19 @@ def test_gate_failure_record(spark):
     scored = rows.select("query_id", "question", F.explode("chunks").alias("c")).select("query_id", "question", "c.*")
     r = gates.audited(scored).first()
     assert (r.is_in_syllabus, r.gatekeeper_passed, r.match_strength, r.match_type, r.decision) == (False, False, "NO_MATCH", "OUT_OF_CURRICULUM", "NO")
+    assert (r.retrieval_status, r.top_chunks, r.n_chunks, r.justification, r.llm_decision, r.llm_justification, r.llm_module, r.scope_rejected) == ("NO_MATCH", [], 0, gates.GATE_FAILED, None, None, None, False)
+
+
+BODY = "Introduction to the design of foundations, with an analysis of the settlement of clay layers and the architecture of retaining walls in practice."
+
+
+@pytest.mark.parametrize("similarity, threshold, status, modules, shown", [(0.75, 0.8, "MATCH_FOUND", "A,B,C", []), (0.85, 0.8, "MATCH_FOUND", "A,B", [1])])
+def test_record_by_gate(spark, similarity, threshold, status, modules, shown):
+    """A weak match below the user's threshold shows no chunks but all its modules; a pass shows chunks and two modules."""
+    rows = [(1, "Define clay layers", i + 1, m, similarity - 0.01 * i, 0.2 + i / 100, similarity - 0.01 * i, 0.5, 0.0, BODY) for i, m in enumerate("ABC")]
+    frame = spark.createDataFrame(rows, "query_id long, question string, chunk_id long, module string, similarity double, distance double, semantic double, keyword double, boost double, text string")
+    r = gates.audited(frame, threshold).first()
+    assert (r.retrieval_status, r.modules, [c.chunk_id for c in r.top_chunks][:1], r.gatekeeper_passed, r.llm_decision) == (status, modules, shown, bool(shown), "YES" if shown else None)
 
 
 def test_scope(spark):
@@ -272,7 +285,7 @@ def test_record_of_a_question_out_of_scope(spark):
     scope_of = spark.createDataFrame([(1, 0.0), (2, 0.9)], "query_id long, overlap double")
     out, kept = gates.audited(rows, 0.2, scope=scope_of).orderBy("query_id").collect()
     assert (out.gatekeeper_passed, out.is_in_syllabus, out.decision, out.modules, out.n_chunks, out.bloom_level, out.difficulty) == (False, False, "NO", "", 0, "Unknown", "Unknown")
-    assert (out.match_strength, out.match_type, out.semantic_score) == ("WEAK_MATCH", "OUT_OF_CURRICULUM", 0.0) and "0.90" in out.justification and "concepts" in out.justification
+    assert (out.match_strength, out.match_type, out.semantic_score) == ("WEAK_MATCH", "OUT_OF_CURRICULUM", 0.0) and out.scope_rejected and out.retrieval_status == "MATCH_FOUND" and out.top_chunks == [] and out.llm_decision is None and "0.90" in out.justification and "concepts" in out.justification
     assert (kept.gatekeeper_passed, kept.modules, kept.n_chunks, kept.semantic_score, kept.keyword_overlap_score, kept.concept_boost) == (True, "Unit 1", 1, 0.9, 0.5, 0.0)
 
 

@@ -113,10 +113,11 @@ def test_index(spark, numbers, tmp_path, form):
     assert index.rows().count() == len(rows) and index.rows().select("cell").distinct().count() > 12
     assert as_rows(index.search(queries, 8, probes=24)) == as_rows(index.exact(queries, 8)) == as_rows(grid.top_k(queries, chunks, 8))
     few, many = (index.recall(queries, 8, probes=p) for p in (1, 6))
-    assert few <= many and many >= 0.9
+    assert few <= many and 1 <= index.probes < 24 and index.recall(queries, 8) >= 0.9
     again = VectorIndex.open(spark, folder)
     assert again.path.rsplit("/", 1)[1] == index.path.rsplit("/", 1)[1] and np.allclose(again.centroids, index.centroids)
     more = form(spark, {9000: rows[3]}, "chunk_id")
+    assert again.probes == index.probes
     again.append(more)
     found = as_rows(again.search(form(spark, {3: rows[3]}, "query_id"), 2, probes=1))
     assert [c for _, c, _ in found[3]] == [3, 9000]
