@@ -88,6 +88,7 @@ SCORED = f"""{found(8)}, half AS (SELECT *, 1 - cosine AS distance, greatest(0,
     based AS (SELECT *, CASE WHEN best >= 0.35 THEN 0.12 WHEN best >= 0.30 THEN 0.06 ELSE 0.0 END AS boost, 0.8 * semantic + 0.2 * keyword AS base FROM half),
     scored AS (SELECT *, CASE WHEN base > 0.2 THEN least(1.0, base + boost) ELSE base END AS similarity FROM based)"""
 ITEM = "STRUCT(chunk_id BIGINT, module VARCHAR, similarity DOUBLE, text VARCHAR)[]"
+RICH_ITEM = "STRUCT(chunk_id BIGINT, module VARCHAR, similarity DOUBLE, semantic DOUBLE, keyword DOUBLE, boost DOUBLE, text VARCHAR)[]"
 LISTED = "lists AS (SELECT query_id, list([{'chunk_id': chunk_id, 'module': module, 'similarity': similarity, 'text': text}] ORDER BY distance, chunk_id) AS l FROM scored GROUP BY query_id)"
 
 RESULTS = r"""results AS (SELECT d.doc_id, l.quality = 1 AS expected, score >= 0.5 AS predicted, score, d.n_chars >= 400 AS other
@@ -353,6 +354,40 @@ STATEMENTS = {
         WHEN question_type = 'unknown' AND topic THEN CASE WHEN strong THEN 'The question is conceptually grounded in syllabus topics.' ELSE 'The question is grounded in syllabus topics.' END
         WHEN question_type = 'application' THEN CASE WHEN strong THEN 'The application conceptually aligns with syllabus topics.' ELSE 'The question introduces topics or applications not explicitly supported by the syllabus.' END
         ELSE 'Validator could not confidently ground the question in the syllabus.' END AS justification, CASE WHEN yes THEN module ELSE 'unknown' END AS decided_module FROM f""",
+    "full_audit": f"""WITH {SCORED}, lists AS (SELECT query_id, any_value(question) AS question, max(similarity) AS top, list([{{'chunk_id': chunk_id, 'module': module, 'similarity': similarity, 'semantic': semantic, 'keyword': keyword, 'boost': boost, 'text': text}}] ORDER BY distance, chunk_id) AS l
+            FROM scored GROUP BY query_id),
+        one AS (SELECT * REPLACE (list_reduce(l, lambda acc, x: CASE WHEN {strip('x[1].text')} = '' OR {reference_entry('x[1].text')}
+            OR len(list_filter(acc, lambda y: y.module IS NOT DISTINCT FROM x[1].module AND (contains(lower({strip('y.text')}), lower({strip('x[1].text')})) OR contains(lower({strip('x[1].text')}), lower({strip('y.text')}))))) > 0
+            THEN acc ELSE list_concat(acc, x) END, CAST([] AS {RICH_ITEM})) AS l) FROM lists),
+        two AS (SELECT * REPLACE (list_reduce(list_transform(l, lambda x: [x]), lambda acc, x: CASE WHEN len(acc) = 0 OR (len(acc) < 3 AND acc[1].similarity - x[1].similarity <= CASE WHEN len(list_filter(acc, lambda y: y.module = x[1].module)) > 0 THEN 0.02 ELSE 0.04 END)
+            THEN list_concat(acc, x) ELSE acc END, CAST([] AS {RICH_ITEM})) AS l) FROM one),
+        parts AS (SELECT query_id, unnest(l) AS x, unnest(range(len(l))) AS i FROM two), clean AS (SELECT query_id, x, i FROM parts WHERE NOT {noisy('x.text')} AND NOT {low_information('x.text')}),
+        three AS (SELECT two.query_id, question, top, coalesce(list(x ORDER BY i) FILTER (x IS NOT NULL), []) AS l FROM two LEFT JOIN clean USING (query_id) GROUP BY ALL),
+        read AS (SELECT *, l[1] AS first, question AS q, lower(array_to_string(list_transform(l, lambda x: x.text), ' ')) AS t,
+            lower(array_to_string(list_transform(list_filter(l, lambda x: NOT regexp_matches(lower(x.text), 'reference books|bibliography')), lambda x: x.text), ' ')) AS c,
+            {question_type('question')} AS question_type, (query_id // 50 % 7) / 7 AS overlap FROM three),
+        seen AS (SELECT *, {DOMAINS} AS alien, top >= 0.33 AND coalesce(first.semantic, 0) >= 0.3 AND coalesce(first.boost, 0) > 0 AS strong, len(list_filter({core_terms('question')}, lambda w: contains(t, w))) > 0 AS named FROM read),
+        known AS (SELECT *, named OR strong AS topic, top >= 0.34 AND round(overlap, 4) < 0.24 AS rejected, top >= 0.28 AND alien IS NULL AND question_type = 'application' AND NOT strong AS asked, length(question) % 2 = 0 AS even FROM seen),
+        judged AS (SELECT *, CASE WHEN top < 0.28 OR alien IS NOT NULL THEN false WHEN question_type = 'definition' THEN topic WHEN question_type = 'unknown' AND topic THEN true WHEN question_type = 'application' THEN strong OR (asked AND even) ELSE false END AS yes FROM known),
+        told AS (SELECT *, CASE WHEN top < 0.28 THEN 'Question is not sufficiently similar to syllabus content.' WHEN alien IS NOT NULL THEN 'Question introduces external application domain ' || chr(39) || alien || chr(39) || ' not explicitly covered in syllabus.'
+            WHEN question_type = 'definition' THEN CASE WHEN topic AND strong THEN 'The topic is conceptually covered in the syllabus.' WHEN topic THEN 'The topic is explicitly listed in the syllabus.' ELSE 'The topic is not explicitly mentioned in the syllabus.' END
+            WHEN question_type = 'unknown' AND topic THEN CASE WHEN strong THEN 'The question is conceptually grounded in syllabus topics.' ELSE 'The question is grounded in syllabus topics.' END
+            WHEN question_type = 'application' THEN CASE WHEN strong THEN 'The application conceptually aligns with syllabus topics.' WHEN even THEN 'A unit covers it in depth.' ELSE 'No unit covers it in depth.' END
+            ELSE 'Validator could not confidently ground the question in the syllabus.' END AS why,
+            CASE WHEN asked THEN CASE WHEN even THEN 'Module 3' ELSE 'unknown' END WHEN yes THEN coalesce(nullif(first.module, ''), 'unknown') ELSE 'unknown' END AS llm_at, top >= 0.28 AND NOT rejected AS passed,
+            CASE WHEN top > 0.36 THEN 'STRONG_MATCH' WHEN top >= 0.32 THEN 'PARTIAL_MATCH' WHEN top >= 0.28 THEN 'WEAK_MATCH' ELSE 'NO_MATCH' END AS strength FROM judged),
+        final AS (SELECT * REPLACE (CASE WHEN rejected THEN [] ELSE l END AS l, CASE WHEN NOT rejected THEN first END AS first) FROM told),
+        likely AS (SELECT *, list_transform(list_filter(l, lambda x: x.similarity >= 0.2), lambda x: x.module) AS ms FROM final),
+        mods AS (SELECT *, list_filter(ms, lambda m, i: NOT list_contains(list_slice(ms, 1, i - 1), m)) AS m, CASE WHEN rejected THEN 'Unknown' ELSE {bloom('question')} END AS bloom_level FROM likely)
+        SELECT query_id, question, round(top, 4) AS similarity, CASE WHEN rejected THEN 'WEAK_MATCH' WHEN passed AND strength = 'WEAK_MATCH' AND coalesce(first.semantic, 0) >= 0.3 AND coalesce(first.boost, 0) > 0 THEN 'PARTIAL_MATCH' ELSE strength END AS match_strength,
+        CASE WHEN passed AND yes THEN 'DIRECT_SUBJECT_MATCH' ELSE 'OUT_OF_CURRICULUM' END AS match_type, passed AS gatekeeper_passed, passed AND yes AS is_in_syllabus, bloom_level, {difficulty('bloom_level')} AS difficulty,
+        array_to_string(CASE WHEN passed THEN m[1:2] ELSE m END, ',') AS modules, question_type, CASE WHEN passed AND yes THEN 'YES' ELSE 'NO' END AS decision,
+        CASE WHEN rejected THEN printf('High similarity (%.2f) but only %.2f of the question' || chr(39) || 's concepts occur in the syllabus; at least 0.24 must.', top, overlap) WHEN passed THEN why
+            ELSE 'Similarity below threshold — no valid syllabus content found.' END AS justification,
+        CASE WHEN rejected THEN 'MATCH_FOUND' WHEN strength = 'NO_MATCH' OR (passed AND len(l) = 0) THEN 'NO_MATCH' ELSE 'MATCH_FOUND' END AS retrieval_status, rejected AS scope_rejected,
+        CASE WHEN passed THEN CASE WHEN yes THEN 'YES' ELSE 'NO' END END AS llm_decision, CASE WHEN passed THEN why END AS llm_justification, CASE WHEN passed THEN llm_at END AS llm_module,
+        CASE WHEN passed THEN len(l) ELSE 0 END AS n_chunks, CASE WHEN passed THEN coalesce(array_to_string(list_transform(l, lambda x: x.chunk_id), ','), '') ELSE '' END AS top_chunks,
+        round(coalesce(first.semantic, 0), 4)::DOUBLE AS semantic_score, round(coalesce(first.keyword, 0), 4)::DOUBLE AS keyword_overlap_score, round(coalesce(first.boost, 0), 4)::DOUBLE AS concept_boost FROM mods""",
     "scope_overlap": f"""WITH {EXCHANGES}, {QUESTIONS}, s AS (SELECT DISTINCT 's' || item_id % 6 AS sid, unnest(list_filter({words('question')}, lambda w: regexp_full_match(w, '[a-z]{{3,}}'))) AS o FROM questions),
         q AS (SELECT conv_id || '-' || turn AS query_id, 's' || turn AS sid, {content_words('question')} AS ws FROM exchanges), e AS (SELECT query_id, sid, unnest(ws) AS w, unnest(range(len(ws))) AS p FROM q),
         u AS (SELECT DISTINCT sid, w FROM e), m AS (SELECT u.sid, u.w, max(CASE WHEN w = o OR ({ALIKE}) THEN 1.0 ELSE 0.0 END) AS score FROM u JOIN s USING (sid) GROUP BY u.sid, u.w),
