@@ -57,6 +57,21 @@ def labelled(found: DataFrame, outcome_map: DataFrame) -> DataFrame:
     return found.withColumn("key", F.upper("mapped_co")).join(labels, ["syllabus_id", "key"], "left").drop("key")
 
 
+def with_subject(rows: DataFrame, registered: DataFrame) -> DataFrame:
+    """rows(syllabus_id, ...) plus the subject's name, code, department and semester; null for unknown syllabi."""
+    about = registered.select(F.col("syllabus_id").alias("of"), "subject_name", "subject_code", "department", "semester")
+    return rows.join(about, F.col("syllabus_id") == F.col("of"), "left").drop("of")
+
+
+def matched_option(detected: DataFrame, registered: DataFrame) -> DataFrame:
+    """detected(syllabus_id, subject_code, ...) plus option: the stored syllabus of that id, else the first by id with that
+    code in any case; null without one."""
+    ids = registered.select(F.col("syllabus_id").alias("by_id")).distinct()
+    coded = registered.where("subject_code <> ''").groupBy(F.upper("subject_code").alias("code")).agg(F.min("syllabus_id").alias("by_code"))
+    rows = detected.join(ids, F.col("syllabus_id") == F.col("by_id"), "left").join(coded, F.upper("subject_code") == F.col("code"), "left")
+    return rows.withColumn("option", F.coalesce("by_id", "by_code")).drop("by_id", "by_code", "code")
+
+
 def by_module(chunks: DataFrame) -> DataFrame:
     """chunks(syllabus_id, chunk_no, text, module) with each module's chunks numbered: module, nth, syllabus_id, chunk_no,
     text. Chunks without a module belong to general topics."""
@@ -108,6 +123,24 @@ class Store:
         schema = f"syllabus_id string, chunk_no int, vector {kind}"
         return self.spark.read.schema(schema).parquet(self.path(VECTORS + model)) if fs.exists(at) else self.spark.createDataFrame([], schema)
 
+    def get(self, table: str, where: str | None = None, columns: list[str] | None = None, limit: int | None = None) -> DataFrame:
+        """Rows that meet a condition, some of their columns, and at most so many, the first by syllabus and place; conditions
+        and columns reach the scan, and one on syllabus_id its folders."""
+        rows = self.read(table)
+        rows = rows if where is None else rows.where(where)
+        if limit is not None:
+            order = [c for c in ("syllabus_id", "chunk_no", "rank", "co", "doc_id") if c in rows.columns]
+            rows = rows.orderBy(*order).limit(limit)
+        return rows if columns is None else rows.select(*columns)
+
+    def orphans(self) -> DataFrame:
+        """(table, n): how many rows of the other tables are of syllabi without chunks."""
+        known, out = self.read("chunks").select("syllabus_id").distinct(), None
+        for table in ("concepts", "outcomes", "outcome_map"):
+            n = self.read(table).join(known, "syllabus_id", "left_anti").agg(F.lit(table).alias("table"), F.count("*").alias("n"))
+            out = n if out is None else out.unionByName(n)
+        return out
+
     def exists(self, syllabus_id: str) -> bool:
         return bool(self.read("chunks").where(F.col("syllabus_id") == syllabus_id).limit(1).count())
 

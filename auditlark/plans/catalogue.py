@@ -493,6 +493,21 @@ def ingestion_summary(spark, sf):
     return store.summary(stored_chunks(spark, sf).withColumn("syllabus_id", F.concat("syllabus_id", F.lit("-"), (F.col("chunk_no") % 40).cast("string"))))
 
 
+def detected_subjects(spark: SparkSession, sf: str) -> DataFrame:
+    """Customers as documents whose subject was detected: some name a syllabus that isn't stored, with a code that may be."""
+    return catalog_rows(spark, sf).select("c_custkey", F.concat(F.lit("s"), (F.col("c_custkey") % 40).cast("string")).alias("syllabus_id"), F.lower("code").alias("subject_code"))
+
+
+@query
+def subject_options(spark, sf):
+    return store.matched_option(detected_subjects(spark, sf), store.registry(stored_chunks(spark, sf))).select("c_custkey", "option")
+
+
+@query
+def subject_of_question(spark, sf):
+    return store.with_subject(detected_subjects(spark, sf).select("c_custkey", "syllabus_id"), store.registry(stored_chunks(spark, sf)))
+
+
 @query
 def registry(spark, sf):
     rows = stored_chunks(spark, sf)

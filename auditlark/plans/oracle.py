@@ -397,6 +397,10 @@ STATEMENTS = {
     "ingestion_summary": f"""WITH {CATALOG}, r AS (SELECT 's' || c_nationkey || '-' || c_custkey % 40 AS sid, c_custkey, department, semester, CASE WHEN c_custkey % 7 <> 0 THEN 'M' || c_custkey % 5 END AS module FROM catalog),
         s AS (SELECT sid, arg_min(department, c_custkey) AS department, arg_min(semester, c_custkey) AS semester, count(DISTINCT module) AS m, count(*) AS n FROM r GROUP BY sid)
         SELECT CAST(grouping(department, semester) AS INT) AS level, department, semester, count(*) AS n_subjects, CAST(sum(m) AS BIGINT) AS n_modules, CAST(sum(n) AS BIGINT) AS n_chunks FROM s GROUP BY ROLLUP (department, semester)""",
+    "subject_options": f"""WITH {CATALOG}, r AS (SELECT 's' || c_nationkey AS sid, arg_min(code, c_custkey) AS code FROM catalog GROUP BY ALL), k AS (SELECT upper(code) AS code, min(sid) AS by_code FROM r GROUP BY ALL)
+        SELECT c_custkey, coalesce(r.sid, by_code) AS option FROM catalog c LEFT JOIN r ON r.sid = 's' || c_custkey % 40 LEFT JOIN k ON k.code = upper(c.code)""",
+    "subject_of_question": f"""WITH {CATALOG}, r AS (SELECT 's' || c_nationkey AS sid, arg_min(c_name, c_custkey) AS subject_name, arg_min(code, c_custkey) AS subject_code, arg_min(department, c_custkey) AS department, arg_min(semester, c_custkey) AS semester FROM catalog GROUP BY ALL)
+        SELECT c_custkey, 's' || c_custkey % 40 AS syllabus_id, subject_name, subject_code, r.department, r.semester FROM catalog LEFT JOIN r ON sid = 's' || c_custkey % 40""",
     "registry": f"""WITH {CATALOG}, r AS (SELECT 's' || c_nationkey AS syllabus_id, c_custkey, department, semester, code, c_name, CASE WHEN c_custkey % 7 <> 0 THEN 'M' || c_custkey % 5 END AS module FROM catalog),
         m AS (SELECT syllabus_id, string_agg(module, ',' ORDER BY seen) AS modules FROM (SELECT syllabus_id, module, min(c_custkey) AS seen FROM r WHERE module IS NOT NULL GROUP BY ALL) GROUP BY syllabus_id)
         SELECT syllabus_id, arg_min(department, c_custkey) AS department, arg_min(semester, c_custkey) AS semester, arg_min(code, c_custkey) AS subject_code, arg_min(c_name, c_custkey) AS subject_name, 'CORE' AS elective_type, any_value(coalesce(modules, '')) AS modules, count(*) AS n_chunks

@@ -69,6 +69,12 @@ def test_audit(spark, engine):
     assert (d.subject_name, d.semester) == ("Other", "4")
 
 
+def test_get_and_orphans(spark, engine):
+    rows = engine.store.get("chunks", "module is not null and syllabus_id = 'CE-V-OEC-OE-CE514C'", ["chunk_no", "text"], 1).collect()
+    assert [(r.chunk_no, len(r)) for r in rows] == [(0, 2)]
+    assert {r.table: r.n for r in engine.store.orphans().collect()}["concepts"] == engine.store.read("concepts").join(engine.store.read("chunks"), "syllabus_id", "left_anti").count()
+
+
 class Table:
     """Vectors of given texts; all others are alike and far from them."""
 
