@@ -57,7 +57,10 @@ def structured_lines(docs: DataFrame) -> DataFrame:
 
     A title line opens a course; what stands before the first one is dropped. The state is that of the last heading.
     """
-    rows = document_lines(docs).withColumn("trigger", trigger("line"))
+    # texts that no title can be in are left before their lines are made
+    lower = F.lower("text")
+    titled = docs.where((F.contains(lower, F.lit("title")) | F.contains(lower, F.lit("name"))) & F.col("text").rlike(f"(?i){dict(TRIGGERS)['TITLE']}"))
+    rows = document_lines(titled).withColumn("trigger", trigger("line"))
     w = _so_far("doc_id")
     rows = rows.select(
         "*",
