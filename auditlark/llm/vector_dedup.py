@@ -18,8 +18,9 @@ from auditlark.llm.common import small_batches, written
 from auditlark.llm.components import connected_components
 from auditlark.llm.hnsw import Graph, audited_beam, unit
 
-#: Vectors of a shard and of a block of queries; both are what one task holds, and about as much is shuffled for either.
-SHARD_ROWS, BLOCK_ROWS = 16_384, 16_384
+#: Vectors of a shard and of a block of queries; both are what one task holds. A search grows with the logarithm of the
+#: shard, and their number with that of shards, so a shard is as large as a task builds in a minute or two.
+SHARD_ROWS, BLOCK_ROWS = 32_768, 16_384
 #: The first beam, the recall that audits ask for and the rows that one compares in full.
 BEAM, RECALL, AUDITED = 32, 0.999, 256
 #: Angles closer than this, in radians, are decided by the cosine itself; components compared at a time.
