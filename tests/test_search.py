@@ -1,17 +1,21 @@
 """The grid of cells, the inverted-file index and the sparse embedder against numpy."""
 
 import math
+import os
 import re
+import subprocess
+import sys
 from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark import cloudpickle
 from pyspark.sql import functions as F
 
 from auditlark.functions.lemmas import lemma
 from auditlark.operators import grid, phrases, scope, store
 from auditlark.operators.embed import HashedWords, counted, sparse_cosine
-from auditlark.operators.index import VectorIndex, fit_centroids
+from auditlark.operators.index import VectorIndex, _probing, fit_centroids
 from auditlark.plans.engine import CurriculumEngine
 
 LINES = ["one two two three", "", None, "Three; THREE three_x", "été Ωmega 42", " ".join(f"w{i % 90}" for i in range(3000))]
@@ -210,3 +214,26 @@ def test_summary(spark):
     rows = [("a", 0, "M1", "D", "I"), ("a", 1, "M1", None, None), ("a", 2, None, "X", "IX"), ("b", 5, "unknown", "D", "II"), ("c", 0, "M", None, None)]
     got = {(r.level, r.department, r.semester): (r.n_subjects, r.n_modules, r.n_chunks) for r in store.summary(spark.createDataFrame(rows, "syllabus_id string, chunk_no int, module string, department string, semester string")).collect()}
     assert got == {(0, "D", "I"): (1, 1, 3), (0, "D", "II"): (1, 0, 1), (1, "D", None): (2, 1, 4), (0, "Unknown Department", "Unknown"): (1, 1, 1), (1, "Unknown Department", None): (1, 1, 1), (3, None, None): (3, 2, 5)}
+
+
+def test_executors_need_no_copy_of_the_package(tmp_path):
+    """What tasks run is pickled whole: a process that can't import the package runs it."""
+    made = cloudpickle.dumps((grid._nearest(1, False), grid._highest(True), _probing(np.eye(2), 1)))
+    code = """if True:
+        import pickle, sys
+        import pyarrow as pa
+        nearest, highest, probing = pickle.load(sys.stdin.buffer)
+        q = pa.table({"query_id": [1, 2], "vector": [[1.0, 0.0], [0.0, 1.0]]})
+        c = pa.table({"chunk_id": [1, 2], "vector": [[0.5, 0.0], [1.0, 2.0]]})
+        assert nearest(q, c).column("chunk_id").to_pylist() == [1, 2]
+        assert highest(q, c).column("score").to_pylist() == [1.0]
+        batch = c.select(["vector"]).to_batches()[0]
+        assert [b.column(0).to_pylist() for b in probing(iter([batch]))] == [[[0], [1]]]
+        assert not any(m.split(".")[0] == "auditlark" for m in sys.modules)
+        try:
+            import auditlark
+        except ModuleNotFoundError:
+            print("alone")
+    """
+    ran = subprocess.run([sys.executable, "-c", code], input=made, cwd=tmp_path, env={k: v for k, v in os.environ.items() if k != "PYTHONPATH"}, capture_output=True)
+    assert ran.stdout == b"alone\n", ran.stderr.decode()[-2000:]
