@@ -1,14 +1,15 @@
 """Benchmark decontamination with a generalised suffix automaton of the normalised test items.
 
-The automaton reads a document word by word and tracks the longest match with any item. Only stretches of
-words that all occur in the benchmark can move it off its root, so numpy finds those stretches first.
+The automaton reads a document word by word and tracks the longest match with any item. A hit needs a whole window,
+so numpy first compares the hashes of all runs of a window's length with those of the items' windows, whatever words
+the benchmark and the documents share; the automaton reads the stretches that such runs cover.
 """
 
 from __future__ import annotations
 
 import hashlib
 from array import array
-from bisect import bisect_right
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import numpy as np
@@ -17,7 +18,38 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from auditlark.llm.common import documents_of, returning_memory, small_batches, written
-from auditlark.llm.kernels import non_alphanumeric_bytes, slices, words_of
+from auditlark.llm.kernels import BASE, Words, mixed, non_alphanumeric_bytes, slices, words_of
+
+#: Words of stretches whose readings a task remembers at most; beyond it the memory starts anew.
+MOST_READ = 1_000_000
+
+
+def run_hashes(words: np.ndarray, longest: int) -> Iterator[tuple[int, np.ndarray]]:
+    """For each length up to longest: hashes of that many consecutive words, by the word where they begin."""
+    factors = mixed(np.arange(1, longest + 1, dtype=np.uint64) * np.uint64(BASE)) | np.uint64(1)
+    value = np.zeros(len(words), np.uint64)
+    for k in range(min(longest, len(words))):
+        value = value[: len(words) - k] + words[k:] * factors[k]
+        yield k + 1, value
+
+
+class HashSet:
+    """A sorted set of hashes with a table of their upper bits, which most other hashes miss."""
+
+    def __init__(self, values: np.ndarray):
+        self.values = np.unique(values)
+        bits = min(24, max(16, len(values).bit_length() + 4))
+        self.shift, self.seen = np.uint64(64 - bits), np.zeros(1 << bits, bool)
+        self.seen[self._upper(self.values)] = True
+
+    def _upper(self, values: np.ndarray) -> np.ndarray:
+        return (values >> self.shift).astype(np.int64)
+
+    def places(self, values: np.ndarray) -> np.ndarray:
+        """Which of values are members."""
+        maybe = np.flatnonzero(self.seen[self._upper(values)])
+        at = np.minimum(np.searchsorted(self.values, values[maybe]), len(self.values) - 1)
+        return maybe[self.values[at] == values[maybe]]
 
 
 class SuffixAutomaton:
@@ -32,7 +64,7 @@ class SuffixAutomaton:
         items = [(name, words) for name, words in items if len(words)]
         self.window, self.names = window, [name for name, _ in items]
         self.vocabulary = np.unique(np.concatenate([words for _, words in items])) if items else np.zeros(0, np.uint64)
-        self.least = min([window, *(len(words) for _, words in items)])
+        self.runs = self._runs([words for _, words in items])
         self.only, self.to = array("i", [-1]), array("i", [-1])
         self.link, self.length = array("i", [0]), array("i", [0])
         self.more: dict[int, int] = {}
@@ -46,6 +78,41 @@ class SuffixAutomaton:
             sizes.append(len(words))
         self._finish(np.array(ends, np.int64), np.array(sizes, np.int64))
 
+    def _runs(self, items: list[np.ndarray]) -> dict[int, HashSet]:
+        """The hashes of all windows by their length: the window's, or that of a shorter item."""
+        first = np.concatenate(([0], np.cumsum([len(words) for words in items]))).astype(np.int64)
+        sizes, out = np.diff(first), {}
+        for length, value in run_hashes(np.concatenate(items), self.window) if items else ():
+            if length < self.window:
+                at = first[:-1][sizes == length]
+            else:
+                at = np.arange(len(value))
+                at = at[at + length <= first[np.searchsorted(first, at, side="right")]]
+            if len(at):
+                out[length] = HashSet(value[at])
+        return out
+
+    def stretches(self, w: Words) -> list[tuple[int, int, int]]:
+        """(document, from, to) of runs of words outside of which no window occurs, by place; none is across documents."""
+        begins, ends = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        for length, value in run_hashes(w.hash, max(self.runs, default=0)):
+            if length in self.runs:
+                at = self.runs[length].places(value)
+                at = at[at + length <= w.first[np.searchsorted(w.first, at, side="right")]]
+                begins.append(at)
+                ends.append(at + length)
+        begin = np.concatenate(begins)
+        order = np.argsort(begin, kind="stable")
+        begin, reach = begin[order], np.maximum.accumulate(np.concatenate(ends)[order])
+        new = np.flatnonzero(np.concatenate(([True], begin[1:] >= reach[:-1]))) if len(begin) else np.zeros(0, np.int64)
+        stop = reach[np.append(new[1:] - 1, len(reach) - 1)] if len(begin) else new
+        return list(zip((np.searchsorted(w.first, begin[new], side="right") - 1).tolist(), begin[new].tolist(), stop.tolist(), strict=True))
+
+    def codes(self, words: np.ndarray) -> np.ndarray:
+        """Places of word hashes in the vocabulary, -1 for others."""
+        at = np.minimum(np.searchsorted(self.vocabulary, words), len(self.vocabulary) - 1)
+        return np.where(self.vocabulary[at] == words, at, -1)
+
     def _move(self, state: int, w: int) -> int:
         return self.to[state] if self.only[state] == w else self.more.get(state * len(self.vocabulary) + w, -1)
 
@@ -95,7 +162,7 @@ class SuffixAutomaton:
         self.only, self.to, self.link, self.length = (np.array(x, np.int32) for x in (self.only, self.to, self.link, self.length))
         keys = np.fromiter(self.more.keys(), np.int64, len(self.more))
         order = np.argsort(keys)
-        self.more_keys, self.more_to = keys[order], np.fromiter(self.more.values(), np.int32, len(keys))[order]
+        more_to = np.fromiter(self.more.values(), np.int32, len(keys))[order]
         del self.more, self.branches
         short_end = np.zeros(len(self.link), bool)
         state, item = ends >> 32, ends & 0xFFFFFFFF
@@ -108,6 +175,11 @@ class SuffixAutomaton:
             self.short[s] = s if short_end[s] else self.short[up]
         self.window_items = self._grouped(self.at_window[state], item, self.at_window[state] > 0)
         self.short_items = self._grouped(state, item, whole)
+        # plain arrays give Python its numbers several times faster
+        self.more_keys = array("q", keys[order].tobytes())
+        self.only, self.to, self.link, self.length, self.at_window, self.short, self.more_to = (
+            array("i", x.tobytes()) for x in (self.only, self.to, self.link, self.length, self.at_window, self.short, more_to)
+        )
 
     @staticmethod
     def _grouped(state: np.ndarray, item: np.ndarray, chosen: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -116,43 +188,48 @@ class SuffixAutomaton:
         return (pairs >> 32).astype(np.int32), (pairs & 0xFFFFFFFF).astype(np.int32)
 
     @staticmethod
-    def _of(grouped: tuple[np.ndarray, np.ndarray], state: int) -> list[int]:
+    def _of(grouped: tuple[np.ndarray, np.ndarray], wanted: set[int]) -> set[int]:
+        """The items of the states wanted."""
         states, items = grouped
-        return items[np.searchsorted(states, state) : np.searchsorted(states, state, side="right")].tolist()
+        lo, hi = (np.searchsorted(states, np.fromiter(wanted, np.int32, len(wanted)), side=side) for side in ("left", "right"))
+        size = hi - lo
+        return set(np.unique(items[np.arange(size.sum()) + np.repeat(lo - (np.cumsum(size) - size), size)]).tolist())
 
     def _read_move(self, state: int, w: int) -> int:
         if self.only[state] == w:
-            return int(self.to[state])
+            return self.to[state]
         key = state * len(self.vocabulary) + w
-        at = int(np.searchsorted(self.more_keys, key))
-        return int(self.more_to[at]) if at < len(self.more_keys) and self.more_keys[at] == key else -1
+        at = bisect_left(self.more_keys, key)
+        return self.more_to[at] if at < len(self.more_keys) and self.more_keys[at] == key else -1
 
     def read(self, codes: list[int]) -> tuple[list[tuple[int, int]], set[int]]:
-        """Spans (from, to) of words that a window covers, and the items of those windows. Codes are of the vocabulary."""
+        """Spans (from, to) of words that a window covers, and the items of those windows. Codes are of codes()."""
         state = run = 0
         spans: list[tuple[int, int]] = []
         windows: set[int] = set()
         shorts: set[int] = set()
         for i, w in enumerate(codes):
+            if w < 0:
+                state = run = 0
+                continue
             while (to := self._read_move(state, w)) < 0 and state:
-                state = int(self.link[state])
-                run = int(self.length[state])
+                state = self.link[state]
+                run = self.length[state]
             if to < 0:
                 continue
             state, run = to, run + 1
             if run >= self.window:
-                windows.add(int(self.at_window[state]))
+                windows.add(self.at_window[state])
                 spans.append((i + 1 - run, i + 1))
-            at, longest = int(self.short[state]), 0
+            at, longest = self.short[state], 0
             while at:
                 if self.length[at] <= run:
                     shorts.add(at)
-                    longest = longest or int(self.length[at])
-                at = int(self.short[self.link[at]])
+                    longest = longest or self.length[at]
+                at = self.short[self.link[at]]
             if longest:
                 spans.append((i + 1 - longest, i + 1))
-        items = {k for s in windows for k in self._of(self.window_items, s)}
-        return spans, items | {k for s in shorts for k in self._of(self.short_items, s)}
+        return joined(spans), self._of(self.window_items, windows) | self._of(self.short_items, shorts)
 
 
 def _words(column: pa.Array) -> Iterator[tuple[int, int, object]]:
@@ -183,29 +260,24 @@ def _matches(shared, window: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         automaton: SuffixAutomaton = shared.value  # read once a worker
-        vocabulary, least = automaton.vocabulary, automaton.least
-        mask = np.zeros(1 << 16, bool)
-        mask[(vocabulary & np.uint64(0xFFFF)).astype(np.int64)] = True
+        held: dict[bytes, tuple] = {}  # copies are read once
+        size = 0
         for batch in batches:
             for lo, hi, w in _words(batch.column(1)):
-                known, code = mask[(w.hash & np.uint64(0xFFFF)).astype(np.int64)], np.zeros(len(w.hash), np.int64)
-                maybe = np.flatnonzero(known)
-                code[maybe] = np.minimum(np.searchsorted(vocabulary, w.hash[maybe]), len(vocabulary) - 1)
-                known[maybe] = vocabulary[code[maybe]] == w.hash[maybe]
-                # stretches of known words within one document
-                edge = np.flatnonzero(np.diff(np.concatenate(([0], known.astype(np.int8), [0]))))
                 spans, items = {}, {}
-                for a, b in edge.reshape(-1, 2)[(edge[1::2] - edge[::2]) >= least].tolist():
-                    d = bisect_right(w.first, a) - 1
-                    while a < b:
-                        stop = min(b, int(w.first[d + 1]))
-                        if stop - a >= least:
-                            found, which = automaton.read(code[a:stop].tolist())
-                            if found:
-                                start = a - int(w.first[d])
-                                spans.setdefault(d, []).extend((start + x, start + y) for x, y in found)
-                                items.setdefault(d, set()).update(automaton.names[k] for k in which)
-                        a, d = max(a, stop), d + 1
+                for d, a, b in automaton.stretches(w):
+                    codes = automaton.codes(w.hash[a:b])
+                    if (key := codes.tobytes()) not in held:
+                        size += b - a
+                        if size > MOST_READ:
+                            held.clear()
+                            size = b - a
+                        held[key] = automaton.read(codes.tolist())
+                    found, which = held[key]
+                    if found:
+                        start = a - int(w.first[d])
+                        spans.setdefault(d, []).extend((start + x, start + y) for x, y in found)
+                        items.setdefault(d, set()).update(automaton.names[k] for k in which)
                 part = batch.slice(lo, hi - lo)
                 merged = [part.column(3), part.column(4)]
                 if spans:

@@ -181,6 +181,21 @@ def test_decontamination(spark, docs, rows, most_words):
     assert none.where("n_hit > 0").count() == 0 and none.count() == len(rows)
 
 
+def test_decontamination_of_shared_words(spark):
+    """Items and documents of the same few words, with items in items, repeats and windows across documents' ends."""
+    rng = random.Random(8)
+    text = lambda n: " ".join(rng.choices("abcd", (8, 4, 2, 1), k=n))
+    items = [(str(k), text(rng.choice([2, 5, 9, 12, 13, 14, 30]))) for k in range(30)]
+    items += [("90", "a " * 20), ("91", items[0][1]), ("92", "zz " + items[3][1]), ("93", "only_here")]
+    rows = [(k, text(rng.randrange(60))) for k in range(150)] + [(200 + k, " ".join([text(5), i[1], text(5)])) for k, i in enumerate(items)]
+    rows += [(300, " ".join(i[1] for i in items) * 2), (301, "a " * 300), (302, "b only"), (303, "here only here")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    bench = spark.createDataFrame([(int(i), t) for i, t in items], "item_id long, text string")
+    for most_words in (1_000_000, 40):
+        got = decontaminate.contract_columns(decontaminate.benchmark_matches(docs, bench, most_words=most_words)).collect()
+        assert sorted(tuple(r) for r in got) == sorted((r[0], *contamination(r[1], items)) for r in rows)
+
+
 def test_spans_are_cut_out(spark):
     docs = spark.createDataFrame([(1, "Keep this. a b c d e f g h i j k l m! And this", "en"), (2, "clean", "fr"), (3, None, "de")], "doc_id long, text string, lang string")
     bench = spark.createDataFrame([(1, "a b c d e f g h i j k l m")], "item_id long, text string")
