@@ -2,8 +2,9 @@
 
 A tokenizers file is run by the tokenizers library. Both supported files cut a text into units before any merge, so
 that a text's ids are those of its units in turn. numpy finds the units of many texts at a time, Arrow the distinct
-ones; units repeat far more often than texts, and a worker keeps the ids of those it has met. A text with a character
-beyond Latin-1, or that may hold a special token's string, is encoded whole by the library.
+ones; units repeat far more often than texts, and a worker keeps the ids of those it has met. The class of a character
+beyond Latin-1 is asked of the library once a worker, and texts with such characters are normalised by the library
+where a file says so. A text that may hold a special token's string is encoded whole by the library.
 """
 
 from __future__ import annotations
@@ -25,7 +26,7 @@ MOST_UNITS = 250_000
 #: Bytes of texts that are cut at a time; a longer text is a slice of its own.
 SLICE_BYTES = 1 << 20
 BLANK, APOSTROPHE = 32, 39
-SPACE, LETTER, NUMBER, OTHER = range(4)
+SPACE, LETTER, NUMBER, OTHER, UNKNOWN = range(5)
 
 # Byte-level files write printable bytes as themselves and the others, in order, from U+0100 on.
 PRINTABLE = {*range(33, 127), *range(161, 173), *range(174, 256)}
@@ -96,7 +97,8 @@ class Encoder:
         # a byte-level file keeps the blank before a word with the word; the other drops all blanks
         alone = [self.tokenizer.encode(t, add_special_tokens=False).ids for t in ("a b", "a", " b", "b")]
         self.leading = len(alone[0]) == len(alone[1]) + len(alone[2]) and alone[2] != alone[3]
-        self.kinds = np.array([self._kind(chr(c)) for c in range(256)], np.uint8)
+        self.kinds = np.full(0x110000, UNKNOWN, np.uint8)  # by code point
+        self._kinds_of(np.concatenate((np.arange(256), np.arange(0x2000, 0x2070), [0x1680, 0x180E, 0x3000, 0xFEFF])))
         spaces = [chr(c).encode() for c in np.flatnonzero(self.kinds == SPACE).tolist()]
         self.units = Units(self.tokenizer, frozenset(() if self.leading else spaces))
 
@@ -109,12 +111,28 @@ class Encoder:
             return OTHER
         return NUMBER if pieces("1") == (1 if self.leading else 3) else SPACE
 
+    def _kinds_of(self, points: np.ndarray) -> np.ndarray:
+        kinds = self.kinds[points]
+        if (kinds == UNKNOWN).any():
+            for c in np.unique(points[kinds == UNKNOWN]).tolist():
+                self.kinds[c] = self._kind(chr(c))
+            kinds = self.kinds[points]
+        return kinds
+
     def _starts(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-        """The bytes where units of Latin-1 texts begin."""
+        """The bytes where units begin."""
         kind = self.kinds[data]
-        wide = np.flatnonzero(data >= 0xC2)
-        if len(wide):
-            kind[wide] = kind[wide + 1] = self.kinds[(data[wide] & 3).astype(np.int64) << 6 | data[wide + 1] & 63]
+        lead = np.flatnonzero(data >= 0xC2)
+        if len(lead):
+            first = data[lead].astype(np.int64)
+            size = 2 + (first >= 0xE0) + (first >= 0xF0)
+            points = first & (0x7F >> size)
+            for k in (1, 2, 3):
+                more = size > k
+                points[more] = points[more] << 6 | data[lead[more] + k] & 63
+            kind[lead] = kinds = self._kinds_of(points)
+            for k in (1, 2, 3):
+                kind[lead[size > k] + k] = kinds[size > k]
         head = np.zeros(len(data), bool)
         head[offsets[:-1][offsets[:-1] < offsets[1:]]] = True
         start = head.copy()
@@ -125,8 +143,10 @@ class Encoder:
             after = np.flatnonzero(start & ~head & (kind != SPACE))
             after = after[kind[after - 1] == SPACE]
             last = after - 1
-            start[last - within[last]] = True
-            start[after[data[last] == BLANK]] = False
+            for _ in range(3):  # to the character's first byte
+                last = last - within[last]
+            start[last] = True
+            start[after[data[after - 1] == BLANK]] = False
         else:
             start |= (kind == NUMBER) & ~within
         mark = np.flatnonzero((data == APOSTROPHE) & start)
@@ -160,6 +180,20 @@ class Encoder:
         coded = pa.Array.from_buffers(pa.binary(), len(starts), [None, places, pa.py_buffer(np.ascontiguousarray(data))]).dictionary_encode()
         return self.units.numbers(coded.dictionary.to_pylist())[coded.indices.to_numpy()], np.searchsorted(starts, offsets)
 
+    def _normalised(self, texts: pa.Array) -> pa.Array:
+        """texts, those with characters beyond Latin-1 as the library normalises them; blanks and case of others are
+        seen to in numbers. Nothing is composed across a blank, so that equal words are normalised once."""
+        offsets, data = _buffers(texts)
+        seen = np.concatenate(([0], np.cumsum(data >= 0xC4)))
+        odd = seen[offsets[1:]] > seen[offsets[:-1]]
+        if not odd.any():
+            return texts
+        words = pc.split_pattern(texts.filter(pa.array(odd)).cast(pa.string()), " ")
+        coded = words.flatten().dictionary_encode()
+        normal = pa.array([w if w.isascii() else self.tokenizer.normalizer.normalize_str(w) for w in coded.dictionary.to_pylist()], pa.string())
+        again = pa.ListArray.from_arrays(pc.subtract(words.offsets, words.offsets[0]), normal.take(coded.indices))
+        return pc.replace_with_mask(texts, pa.array(odd), pc.binary_join(again, " ").cast(texts.type))
+
     def _slices(self, texts: pa.Array) -> Iterator[tuple[pa.Array, np.ndarray, list[list[int]]]]:
         """Slices of texts: those to cut, which of all they are, and the ids of the others, which the library encodes."""
         ends, lo = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy()), 0
@@ -168,12 +202,13 @@ class Encoder:
             hi = max(lo + 1, int(np.searchsorted(ends, before + SLICE_BYTES, side="right")))
             part = pc.fill_null(texts.slice(lo, hi - lo), "")
             offsets, data = _buffers(part)
-            odd = data >= 0xC4
-            odd[:-1] |= (data[:-1] == ord("<")) & (data[1:] == ord("|"))
+            odd = np.zeros(len(data), bool)
+            odd[:-1] = (data[:-1] == ord("<")) & (data[1:] == ord("|"))
             seen = np.concatenate(([0], np.cumsum(odd)))
             plain = seen[offsets[1:]] == seen[offsets[:-1]]
             others = [] if plain.all() else part.filter(pa.array(~plain)).to_pylist()
-            yield part.filter(pa.array(plain)) if others else part, plain, [self.tokenizer.encode(t, add_special_tokens=False).ids for t in others]
+            kept = part.filter(pa.array(plain)) if others else part
+            yield kept if self.leading else self._normalised(kept), plain, [self.tokenizer.encode(t, add_special_tokens=False).ids for t in others]
             lo = hi
 
     def counts(self, texts: pa.Array) -> np.ndarray:
