@@ -2,9 +2,10 @@
 
 Base spans seed the extraction. An instance is a run of number groups, or another word with a digit or an at sign.
 Its lexical patterns have several widths: the two words before it, the last word before it, its own prefix up to an
-equals sign or colon, each with the rough form of the instance, and its exact form alone. Patterns and instances form
-a graph that Spark scores in turn: a pattern is as sure as the instances it holds, an instance as its patterns
-together. Sure patterns with enough distinct seeds then mark the instances that the fixed patterns missed.
+equals sign or colon, each with the rough form of the instance; a form without a context is no pattern. Patterns and
+instances form a graph that Spark scores in turn: a pattern is as sure as the instances it holds, an instance as its
+patterns together. Sure patterns with enough distinct seeds mark the instances that the fixed patterns missed; these
+become seeds themselves, and the graph is scored anew until none is added.
 """
 
 from __future__ import annotations
@@ -139,11 +140,6 @@ def shape(word: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(F.regexp_replace(word, "[A-Za-z]+", "a"), "[0-9]+", "9"), r"\x20+", " ")
 
 
-def exact_form(word: Column) -> Column:
-    """The form with each digit by itself."""
-    return F.regexp_replace(F.regexp_replace(word, "[A-Za-z]+", "a"), "[0-9]", "9")
-
-
 def patterns_of(word: Column, before: Column) -> Column:
     """The patterns of an instance as (context, form), each context marked with its width."""
     pattern = lambda width, context, form: F.struct(F.concat(F.lit(width), context).alias("context"), form.alias("form"))
@@ -151,7 +147,6 @@ def patterns_of(word: Column, before: Column) -> Column:
     last = F.regexp_extract(before, r"([^\x20\x09-\x0D]++)$", 1)
     given = F.array(
         F.when(before != last, pattern("2:", before, shape(word))), F.when(last != "", pattern("1:", last, shape(word))), F.when(prefix != "", pattern("=:", prefix, shape(word))),
-        pattern("0:", F.lit(""), exact_form(word)),
     )
     return F.filter(given, lambda x: x.isNotNull())
 
@@ -161,33 +156,49 @@ def span_text(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", F.element_at(names, s["kind"] + 1), s["start"].cast("string"), s["end"].cast("string"))), ",")
 
 
-def discovered(edges: DataFrame, rounds: int = 2, least_seeds: int = 3, sure: float = 0.8) -> DataFrame:
+def _patterns(known: DataFrame, rounds: int, least_seeds: int) -> DataFrame:
+    """known(context, form, word, seed, trust) -> context, form, confidence, seeds, kind of the patterns with least_seeds
+    seeds or more, after rounds of scoring."""
+    scored = known.withColumn("score", F.col("trust"))
+    for left in reversed(range(rounds)):
+        patterns = scored.groupBy("context", "form").agg(F.avg("score").alias("confidence"), F.count("seed").alias("seeds"), F.mode("seed", deterministic=True).alias("kind"))
+        # a table of its own: Spark can then split the join where one pattern has very many instances
+        patterns = written(patterns.where(F.col("seeds") >= least_seeds), "pii-patterns")
+        if left:
+            doubt = F.exp(F.sum(F.log(F.greatest(F.lit(1e-9), 1 - F.col("confidence")))))
+            lift = scored.join(patterns.select("context", "form", "confidence"), ["context", "form"]).groupBy("word").agg((1 - doubt).alias("lift"))
+            again = F.greatest("trust", F.coalesce("lift", F.lit(0.0)))
+            scored = written(scored.drop("score").join(lift, "word", "left").select("context", "form", "word", "seed", "trust", again.alias("score")), "pii-scores")
+    return patterns
+
+
+def discovered(edges: DataFrame, rounds: int = 2, least_seeds: int = 3, sure: float = 0.8, most_steps: int = 20) -> DataFrame:
     """edges(key, start, end, word, before, seed: kind or null) -> key, start, end, kind of unseen identifiers.
 
     A word is a whole instance, a run with its blanks; seeds and spans are whole ones too.
 
-    Scores of a round: a pattern's is the mean of its instances' scores; an instance's is 1 for a seed, else 1 minus
-    the product of (1 - score) of its patterns of at least least_seeds distinct seeds. Kinds are voted by seeds. An
-    instance that no base span overlaps is found if a pattern of at least least_seeds seeds has a score of sure or
-    more in the last round; the surest pattern gives the kind, of equal ones the least. Instances need four digits, or
-    an at sign.
+    Scores of a round: a pattern's is the mean of its instances' scores; an instance's is 1 for a seed of the fixed
+    patterns, else the larger of its trust and 1 minus the product of (1 - score) of its patterns of at least
+    least_seeds distinct seeds. Kinds are voted by seeds. An instance that no base span overlaps is found by a pattern of
+    at least least_seeds seeds with a score of sure or more in the last round; the surest pattern gives the kind, of
+    equal ones the least. Instances need four digits, or an at sign. What a step finds is a seed of the next one, with
+    its pattern's score as trust; scores only rise, so that no finding is taken back. Steps end when one finds nothing
+    new; work that isn't settled after most_steps steps stops there, with what is found by then.
     """
     named = edges.select("*", F.explode(patterns_of(F.col("word"), F.col("before"))).alias("p")).select("key", "start", "end", "word", "seed", "p.*")
+    rich = (F.length(F.regexp_replace("word", "[^0-9]", "")) >= 4) | F.contains("word", F.lit("@"))
     # a pattern-instance pair counts once however often it repeats, so copies of a document add no confidence
-    graph = written(named.groupBy("context", "form", "word").agg(F.max("seed").alias("seed")), "pii-graph")
-    scored = graph.select("*", F.when(F.col("seed").isNotNull(), 1.0).otherwise(0.0).alias("score"))
-    for last in [False] * (rounds - 1) + [True]:
-        patterns = scored.groupBy("context", "form").agg(F.avg("score").alias("confidence"), F.count("seed").alias("seeds"), F.mode("seed", deterministic=True).alias("kind"))
-        # a table of its own: Spark can then split the join where one pattern has very many instances
-        patterns = written(patterns.where(F.col("seeds") >= least_seeds), "pii-patterns")
-        if last:
+    graph = named.groupBy("context", "form", "word").agg(F.max("seed").alias("seed"))
+    known = written(graph.select("*", F.when(F.col("seed").isNotNull(), 1.0).otherwise(0.0).alias("trust")), "pii-graph")
+    for _ in range(most_steps):
+        patterns = _patterns(known, rounds, least_seeds)
+        chosen = patterns.where(F.col("confidence") >= sure).select("context", "form", "kind", "confidence")
+        best = known.where(F.col("seed").isNull() & rich).join(chosen, ["context", "form"]).groupBy("word").agg(F.min(F.struct((-F.col("confidence")).alias("doubt"), "kind")).alias("best"))
+        new = written(best.select("word", F.col("best.kind").alias("new_seed"), (-F.col("best.doubt")).alias("new_trust")), "pii-new")
+        if new.isEmpty():
             break
-        doubt = F.exp(F.sum(F.log(F.greatest(F.lit(1e-9), 1 - F.col("confidence")))))
-        lift = scored.join(patterns.select("context", "form", "confidence"), ["context", "form"]).groupBy("word").agg((1 - doubt).alias("lift"))
-        again = F.when(F.col("seed").isNotNull(), 1.0).otherwise(F.coalesce("lift", F.lit(0.0)))
-        scored = written(scored.drop("score").join(lift, "word", "left").select("context", "form", "word", "seed", again.alias("score")), "pii-scores")
-    chosen = patterns.where(F.col("confidence") >= sure).select("context", "form", "kind", "confidence")
-    rich = (F.length(F.regexp_replace("word", "[^0-9]", "")) >= 4) | F.contains("word", F.lit("@"))
+        trust = F.when(F.col("seed").isNotNull(), F.col("trust")).otherwise(F.coalesce("new_trust", "trust"))
+        known = written(known.join(new, "word", "left").select("context", "form", "word", F.coalesce("seed", "new_seed").alias("seed"), trust.alias("trust")), "pii-graph")
     found = named.where(F.col("seed").isNull() & rich).join(chosen, ["context", "form"])
     return found.groupBy("key", "start", "end").agg(F.min(F.struct(-F.col("confidence"), "kind"))["kind"].alias("kind"))
 

@@ -247,16 +247,16 @@ def test_context_finds_identifiers_with_blanks(spark):
     docs = spark.createDataFrame(list(enumerate(texts + unseen)), "doc_id long, text string")
     got = {r.doc_id: r for r in personal_data.contract_columns(personal_data.find_personal_data(docs)).collect()}
     assert len(seeds) == 6 and all(got[i].n_added == 0 and len(got[i].spans.split(",")) == 1 for i in range(len(texts)))
-    assert [got[len(texts) + i].spans for i in range(len(unseen))] == ["card:18:37", "phone:18:29", "phone:18:29", "card:8:27", "", "phone:11:22"]
+    assert [got[len(texts) + i].spans for i in range(len(unseen))] == ["card:18:37", "phone:18:29", "phone:18:29", "", "", "phone:11:22"]
 
 
 def test_identifiers_that_others_hide(spark):
-    """A card behind a phone makes one number of both, which is neither; their exact forms mark each by itself."""
+    """A card behind a phone makes one number of both, which is neither; what stands before the phone marks that one."""
     cards = [c for i in range(400) if base_of(c := f"4111111111{i:06d}")[1][2]][:12]
-    texts = [f"{'w' * (i + 1)} {c} and" for i, c in enumerate(cards[:8])] + [f"so +1 (212) 555-01{i:02d} v" for i in range(8)] + [f"at +1 (212) 555-0199 {cards[9]} there"]
+    texts = [f"{'w' * (i + 1)} {c} and" for i, c in enumerate(cards[:8])] + [f"so +1 (212) 555-01{i:02d} v" for i in range(8)] + [f"so +1 (212) 555-0199 {cards[9]} there"]
     got = personal_data.contract_columns(personal_data.find_personal_data(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))).collect()
     last = max(got, key=lambda r: r.doc_id)
-    assert (last.n_card, last.n_phone, last.n_added, last.spans) == (0, 0, 2, "phone:3:20,card:21:37")
+    assert (last.n_card, last.n_phone, last.n_added, last.spans) == (0, 0, 1, "phone:3:20")
     assert all(r.n_added == 0 for r in got if r.doc_id < 16)
 
 
@@ -272,30 +272,45 @@ def plain_discovery(edges, rounds, least, sure):
     def parts(word, before):
         rough = re.sub(" +", " ", re.sub("[0-9]+", "9", re.sub("[A-Za-z]+", "a", word)))
         last, prefix = before.split(" ")[-1] if before else "", re.match("[^=:0-9]*[=:][\"']?", word.lower())
-        return {("0:", re.sub("[0-9]", "9", re.sub("[A-Za-z]+", "a", word))), *([("2:" + before, rough)] if before != last else []), *([("1:" + last, rough)] if last else []), *([("=:" + prefix[0], rough)] if prefix else [])}
+        return {*([("2:" + before, rough)] if before != last else []), *([("1:" + last, rough)] if last else []), *([("=:" + prefix[0], rough)] if prefix else [])}
 
+    rich = lambda word: len(re.sub("[^0-9]", "", word)) >= 4 or "@" in word
     seed = {}
     for _, _, _, word, before, kind in edges:
         for p in parts(word, before):
             seed[p, word] = max((x for x in (seed.get((p, word)), kind) if x is not None), default=None)
-    score = {pair: float(k is not None) for pair, k in seed.items()}
-    for r in range(rounds):
-        by = {}
-        for (p, word), v in score.items():
-            by.setdefault(p, []).append((v, seed[p, word]))
-        sure_of = {p: (sum(v for v, _ in x) / len(x), min(k for k in {k for _, k in x if k is not None} if sum(j == k for _, j in x) == max(sum(j == i for _, j in x) for i in {i for _, i in x if i is not None})))
-                   for p, x in by.items() if sum(k is not None for _, k in x) >= least}
-        if r < rounds - 1:
-            for pair in score:
-                if seed[pair] is None:
+    trust = {pair: float(k is not None) for pair, k in seed.items()}
+    steps = 0
+    while True:
+        steps, score = steps + 1, dict(trust)
+        for r in range(rounds):
+            by = {}
+            for (p, word), v in score.items():
+                by.setdefault(p, []).append((v, seed[p, word]))
+            sure_of = {}
+            for p, held in by.items():
+                kinds = [k for _, k in held if k is not None]
+                if len(kinds) >= least:
+                    sure_of[p] = sum(v for v, _ in held) / len(held), min(k for k in kinds if kinds.count(k) == max(map(kinds.count, kinds)))
+            if r < rounds - 1:
+                for pair in score:
                     doubts = [max(1e-9, 1 - sure_of[p][0]) for p, w in score if w == pair[1] and p in sure_of]
-                    score[pair] = 1 - math.prod(doubts) if doubts else 0.0
+                    score[pair] = max(trust[pair], 1 - math.prod(doubts) if doubts else 0.0)
+        new = {}
+        for (p, word), k in seed.items():
+            if k is None and rich(word) and p in sure_of and sure_of[p][0] >= sure:
+                new[word] = min(new.get(word, (0, 9)), (-sure_of[p][0], sure_of[p][1]))
+        if not new:
+            break
+        for pair, k in seed.items():
+            if k is None and pair[1] in new:
+                trust[pair], seed[pair] = -new[pair[1]][0], new[pair[1]][1]
     out = set()
     for key, start, end, word, before, kind in edges:
         best = [(-sure_of[p][0], sure_of[p][1]) for p in parts(word, before) if p in sure_of and sure_of[p][0] >= sure]
-        if kind is None and best and (len(re.sub("[^0-9]", "", word)) >= 4 or "@" in word):
+        if kind is None and best and rich(word):
             out.add((key, start, end, min(best)[1]))
-    return out
+    return out, steps
 
 
 @pytest.mark.parametrize("rounds", [1, 2, 3])
@@ -308,7 +323,24 @@ def test_discovery_scores(spark, rounds):
         edges.append((k % 90, k * 10, k * 10 + len(word), word, rng.choice(["", "at", "host at", "call me", "no"]), known))
     frame = spark.createDataFrame(edges, "key long, start int, end int, word string, before string, seed int")
     got = {tuple(r) for r in personal_data.discovered(frame, rounds, 3, 0.55).collect()}
-    assert got == plain_discovery(edges, rounds, 3, 0.55) and got
+    want, steps = plain_discovery(edges, rounds, 3, 0.55)
+    assert got == want and got and steps > 1
+
+
+def test_findings_are_seeds_and_planted_identifiers(spark):
+    """Hosts that no fixed pattern takes (a part above 255): the first context has seeds; the second one holds numbers
+    that only the first tells, the third those of the second. Others look alike, in contexts without seeds."""
+    rng = random.Random(4)
+    host = lambda bad: ".".join(str(rng.randrange(1, 255)) for _ in range(3)) + f".{rng.randrange(300, 999) if bad else rng.randrange(1, 255)}"
+    first, second, third = [host(True) for _ in range(8)], [host(True) for _ in range(8)], [host(True) for _ in range(3)]
+    texts = [f"n{k} please reach server {host(False)} now" for k in range(90)] + [f"please reach server {h} now" for h in first]
+    start = len(texts) - len(first)
+    texts += [f"the machine named {h} is up" for h in [*first, *second]] + [f"log of node {h} here" for h in [*second, *third]]
+    marked = set(range(start, len(texts)))
+    texts += [f"see chapter {host(True)} for it" for _ in range(20)] + [f"word{k} {host(True)} and" for k in range(20)] + [f"the version of {h} is old" for h in first[:1]]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    added = {r.doc_id for r in personal_data.contract_columns(personal_data.find_personal_data(docs)).collect() if r.n_added}
+    assert added == marked
 
 
 def test_targets():
