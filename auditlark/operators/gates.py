@@ -48,7 +48,9 @@ def similarity_band(similarity: Column | str) -> Column:
 
 
 def percent(similarity: Column | str) -> Column:
-    return F.format_string("%.1f", T.col(similarity) * 100)
+    """With one decimal; of the number as stored, halves to the even digit, as C and DuckDB print (format_string rounds
+    the shortest decimal form, halves up)."""
+    return F.call_function("format_number", T.col(similarity) * 100, F.lit("0.0"))
 
 
 def judged_reply(reply: Column | str) -> tuple[Column, Column, Column]:
