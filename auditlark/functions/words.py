@@ -143,3 +143,5 @@ METADATA = {
     "department": [r"Department\s*[:\-]\s*(.+)", r"Dept\.\s*[:\-]\s*(.+)"],
     "bos": [r"Board\s*of\s*Studies\s*[:\-]\s*(.+)", r"BOS\s*[:\-]\s*(.+)"],
 }
+#: What every match of those patterns holds, in lower case.
+METADATA_HELD = {"subject_name": ["name", "subject", "title", ""], "subject_code": ["code"] * 3, "semester": ["semester"] * 2, "program": ["program", "course"], "department": ["department", "dept."], "bos": ["studies", "bos"]}

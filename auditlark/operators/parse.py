@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from auditlark.config import DEFAULTS, Config
 from auditlark.functions import text as T
 from auditlark.functions import words as W
+from auditlark.operators import store
 
 # Section headings, tried in this order.
 TRIGGERS = [
@@ -52,14 +53,23 @@ def _so_far(*by: str) -> Window:
     return Window.partitionBy(*by).orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0)
 
 
+def may_have_title(text: Column | str) -> Column:
+    lower = F.lower(T.col(text))
+    return (F.contains(lower, F.lit("title")) | F.contains(lower, F.lit("name"))) & T.col(text).rlike(f"(?i){dict(TRIGGERS)['TITLE']}")
+
+
+def may_have_code(text: Column | str) -> Column:
+    """A mark in brackets may part the word, and is cleaned away."""
+    return F.contains(F.lower(T.col(text)), F.lit("code")) | F.contains(T.col(text), F.lit("["))
+
+
 def structured_lines(docs: DataFrame) -> DataFrame:
     """Lines of the courses of each document: course_no (from 1), state, raw line and content (null: none).
 
     A title line opens a course; what stands before the first one is dropped. The state is that of the last heading.
     """
     # texts that no title can be in are left before their lines are made
-    lower = F.lower("text")
-    titled = docs.where((F.contains(lower, F.lit("title")) | F.contains(lower, F.lit("name"))) & F.col("text").rlike(f"(?i){dict(TRIGGERS)['TITLE']}"))
+    titled = docs.where(may_have_title("text"))
     rows = document_lines(titled).withColumn("trigger", trigger("line"))
     w = _so_far("doc_id")
     rows = rows.select(
@@ -316,8 +326,7 @@ def legacy_subjects(docs: DataFrame, fix_semester: bool = False, c: Config = DEF
     """
     # only a line with a code opens a subject: documents that hold none leave before their lines are sorted
     lines = T.let(F.split(T.clean_legacy("text"), "\n"), lambda own: F.when(F.exists(own, lambda x: T.strip(x).rlike(CODE)), own))
-    # (a mark in brackets may part the word, and is cleaned away)
-    cleaned = docs.where(F.contains(F.lower("text"), F.lit("code")) | F.contains("text", F.lit("["))).select("doc_id", F.posexplode(lines).alias("raw_no", "line"))
+    cleaned = docs.where(may_have_code("text")).select("doc_id", F.posexplode(lines).alias("raw_no", "line"))
     rows = cleaned.select("doc_id", "raw_no", F.col("raw_no").alias("line_no"), T.strip("line").alias("line")).where("line <> ''")
     context = global_context(rows)
     sem = F.coalesce(*(F.when(F.regexp_extract("line", p, 1) != "", F.regexp_extract("line", p, 1)) for p in (SEMESTER, ORDINAL_SEMESTER)))
@@ -359,12 +368,17 @@ def segments(docs: DataFrame) -> DataFrame:
     """Every document by its route: structured parser, that parser per block, or the legacy one; else a fallback.
 
     (doc_id, syllabus_id, department, program, semester, subject_code, subject_name, elective_type, route, text)
+
+    Only texts that a parser can find a title or a code in are routed; what the parsers find is Parquet, as the fallback
+    asks for it too.
     """
-    routed = docs.withColumn("route", T.document_type("text"))
+    routed = docs.where(may_have_title("text") | may_have_code("text")).withColumn("route", T.document_type("text"))
     shared = ["doc_id", "syllabus_id", "department", "program", "semester", "subject_code", "subject_name", "elective_type", "route", "text"]
     parsed = structured_courses(routed.where("route <> 'LEGACY_SUBJECT'")).withColumn("route", F.lit("STRUCTURED")).select(shared)
     legacy = legacy_subjects(routed.where("route = 'LEGACY_SUBJECT'")).withColumn("route", F.lit("LEGACY")).select(shared)
     found = parsed.unionByName(legacy)
+    found.write.parquet(folder := store.scratch(docs.sparkSession, "segments"))
+    found = docs.sparkSession.read.schema(found.schema).parquet(folder)
     rest = docs.join(found.select("doc_id").distinct(), "doc_id", "left_anti")
     about = rest.select("doc_id", "text", *(v.alias(k) for k, v in T.metadata("text").items()))
     about = about.withColumns({"department": F.coalesce("department", F.lit("Department Unknown")), "elective_type": F.lit("CORE"), "route": F.lit("FALLBACK")})
