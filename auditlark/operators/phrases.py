@@ -10,6 +10,8 @@ from auditlark.functions import words as W
 
 #: A word, with hyphens and apostrophes inside, or a run of marks, or a line's end. Words of a phrase at most.
 TOKEN, MOST_WORDS = r"[\p{L}\p{N}_]+(?:['’\-][\p{L}\p{N}_]+)*|[^\s\p{L}\p{N}_]+|\n", 4
+#: Characters of a key's texts above which they are spread over tasks.
+LARGE = 16_000_000
 
 
 def candidate_phrases(text: Column | str, most_words: int = MOST_WORDS, stop_words=W.TFIDF_STOP_WORDS) -> Column:
@@ -25,12 +27,28 @@ def key_phrases(texts: DataFrame, most: int, most_words: int = MOST_WORDS, key:
     """texts(key, text) -> (key, rank, phrase, score, n): the phrases of the highest scores in all texts of a key.
 
     A word's frequency counts the candidates that hold it, repeats included; its degree sums their words. A phrase has the
-    sum of degree over frequency of its words; equal scores go by the phrase. Rows are counted before they are dealt, and
-    only the first of a key are ranked.
+    sum of degree over frequency of its words; equal scores go by the phrase, and only the first of a key are ranked.
+
+    Texts are dealt by key once, and all else happens where they are. Of keys with more than LARGE characters, of which
+    there can only be few, phrases and words are counted before they are dealt, each by itself.
     """
+    large = F.broadcast(texts.groupBy(F.col(key).alias("of")).agg(F.sum(F.length("text")).alias("chars")).where(F.col("chars") > LARGE).select("of"))
+    mine = F.col(key).eqNullSafe(F.col("of"))
+    dealt = _words(texts.join(large, mine, "left_anti").repartition(key), most_words, key)
+    own = Window.partitionBy(key, "word")
+    dealt = dealt.withColumn("weight", F.sum(F.col("size") * F.col("n")).over(own) / F.sum("n").over(own))
+    spread = _words(texts.join(large, mine, "left_semi"), most_words, key)
+    weights = spread.groupBy(F.col(key).alias("of"), F.col("word").alias("w")).agg((F.sum(F.col("size") * F.col("n")) / F.sum("n")).alias("weight"))
+    spread = spread.join(weights, mine & (F.col("word") == F.col("w")))
+    return _first(dealt, most, key).unionByName(_first(spread, most, key))
+
+
+def _words(texts: DataFrame, most_words: int, key: str) -> DataFrame:
     found = texts.select(key, F.explode(candidate_phrases("text", most_words)).alias("phrase")).groupBy(key, "phrase").agg(F.count("*").alias("n"))
-    words = found.select(key, "phrase", "n", F.explode(F.split("phrase", " ")).alias("word"), F.size(F.split("phrase", " ")).alias("size"))
-    weights = words.groupBy(F.col(key).alias("of"), F.col("word").alias("w")).agg((F.sum(F.col("size") * F.col("n")) / F.sum("n")).alias("weight"))
-    scored = words.join(weights, F.col(key).eqNullSafe(F.col("of")) & (F.col("word") == F.col("w"))).groupBy(key, "phrase", "n").agg(F.sum("weight").alias("score"))
+    return found.select(key, "phrase", "n", F.explode(F.split("phrase", " ")).alias("word"), F.size(F.split("phrase", " ")).alias("size"))
+
+
+def _first(words: DataFrame, most: int, key: str) -> DataFrame:
+    scored = words.groupBy(key, "phrase", "n").agg(F.sum("weight").alias("score"))
     best = Window.partitionBy(key).orderBy(F.desc(F.round("score", 9)), "phrase")
     return scored.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= most).select(key, "rank", "phrase", "score", "n")
